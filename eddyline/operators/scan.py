@@ -126,3 +126,20 @@ def chunked_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str |
         out = out.withColumn(next_out, F.when(is_last, F.col("_next_chunk_first"))
                              .otherwise(F.lead("_v").over(w_rows)))
     return out.drop(GK, CHUNK, "_v", "_ord", "_rn", "_prev_chunk_last", "_next_chunk_first")
+
+
+def chunked_last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                          chunk: Column, value: Column, out: str) -> DataFrame:
+    """Latest non-null ``value`` at or before each row in ``order`` (as-of carry)."""
+    ordered = _order(order)
+    d = _with_group(df, keys, chunk).withColumn("_v", value).withColumn(
+        "_ord", F.when(F.col("_v").isNotNull(), F.struct(*ordered)))
+    part = [GK, CHUNK]
+    totals = d.groupBy(*part).agg(F.max_by("_v", "_ord").alias("_last"))
+    w_chunks = Window.partitionBy(GK).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*part, F.last("_last", ignorenulls=True).over(w_chunks).alias("_carry"))
+    joined = d.join(carry, part, "left")
+    w_rows = Window.partitionBy(*part).orderBy(*ordered).rowsBetween(
+        Window.unboundedPreceding, 0)
+    res = F.coalesce(F.last("_v", ignorenulls=True).over(w_rows), F.col("_carry"))
+    return joined.withColumn(out, res).drop(GK, CHUNK, "_v", "_ord", "_carry")

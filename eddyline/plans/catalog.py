@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.functions.encode import to_kafka_rows
+from eddyline.operators import keyed, windows
 from eddyline.operators.filters import keep_types
 from eddyline.operators.windows import (
     avg_count_agg, sliding, sliding_panes, stats_agg, tumbling, with_event_time,
 )
 from eddyline.plans import inputs
 from eddyline.schema import SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
+from eddyline.streaming import stateful
 from eddyline.streaming.run import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +105,156 @@ def sliding_avg_stream(spark, sf_dir):
 def windowed_stats(spark, sf_dir):
     """Sum / min / max / avg / count per key and hour (named built-ins)."""
     return tumbling(inputs.decoded_events(spark, sf_dir), "1 hour", aggs=stats_agg())
+
+
+# ── pattern 04 and the other per-key state operators ──────────────────────
+def _ntz_cols(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+@register
+def running_count(spark, sf_dir):
+    return keyed.running_count(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def running_count_stream(spark, sf_dir):
+    return drain(stateful.running_count_stream(inputs.event_stream(spark, sf_dir)),
+                 output_mode="update", keys=["key"], name="running-count")
+
+
+@register
+def running_count_per_record(spark, sf_dir):
+    return keyed.running_count(inputs.decoded_events(spark, sf_dir), per_record=True)
+
+
+@register
+def running_count_per_record_stream(spark, sf_dir):
+    out = drain(stateful.running_count_stream(inputs.event_stream(spark, sf_dir),
+                                              per_record=True),
+                output_mode="append", name="running-count-record")
+    return _ntz_cols(out, "event_time")
+
+
+@register
+def running_last_type(spark, sf_dir):
+    return keyed.running_last_type(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def running_last_type_stream(spark, sf_dir):
+    return drain(stateful.running_last_type_stream(inputs.event_stream(spark, sf_dir)),
+                 output_mode="update", keys=["key"], name="running-last-type")
+
+
+@register
+def running_sum(spark, sf_dir):
+    return keyed.running_sum(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def recent_list(spark, sf_dir):
+    return keyed.collect_recent(inputs.decoded_events(spark, sf_dir), 3)
+
+
+@register
+def recent_list_stream(spark, sf_dir):
+    return drain(stateful.recent_list_stream(inputs.event_stream(spark, sf_dir), 3),
+                 output_mode="update", keys=["key"], name="recent-list")
+
+
+@register
+def type_map(spark, sf_dir):
+    return keyed.counts_by_type(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def type_map_stream(spark, sf_dir):
+    return drain(stateful.type_counts_stream(inputs.event_stream(spark, sf_dir)),
+                 output_mode="update", keys=["key", "event_type"], name="type-map")
+
+
+@register
+def fold_state(spark, sf_dir):
+    return keyed.fold_state(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def fold_state_stream(spark, sf_dir):
+    out = drain(stateful.fold_stream(inputs.event_stream(spark, sf_dir)),
+                output_mode="update", keys=["key"], name="fold-state")
+    return out.select("key", "max_value",
+                      F.round(F.col("sum_value") / F.col("event_count"), 4).alias("avg_value"),
+                      "event_count")
+
+
+INACTIVITY_GAP = "6 hours"
+
+
+@register
+def inactivity_alerts(spark, sf_dir):
+    return keyed.inactivity_alerts(inputs.decoded_events(spark, sf_dir), INACTIVITY_GAP)
+
+
+@register
+def inactivity_alerts_stream(spark, sf_dir):
+    src = with_event_time(inputs.event_stream(spark, sf_dir))
+    out = drain(stateful.inactivity_stream(src, INACTIVITY_GAP), output_mode="append",
+                name="inactivity")
+    return _ntz_cols(out, "last_event_time", "alert_time")
+
+
+@register
+def funnel_states(spark, sf_dir):
+    return keyed.funnel_states(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def funnel_states_stream(spark, sf_dir):
+    return drain(stateful.funnel_stream(inputs.event_stream(spark, sf_dir)),
+                 output_mode="update", keys=["key"], name="funnel")
+
+
+CO_BOUND = "1 hour"
+
+
+def _views_clicks(df: DataFrame):
+    return (df.filter(F.col("event_type") == "view"), df.filter(F.col("event_type") == "click"))
+
+
+@register
+def co_process(spark, sf_dir):
+    views, clicks = _views_clicks(inputs.decoded_events(spark, sf_dir))
+    return keyed.co_process(views, clicks, CO_BOUND)
+
+
+@register
+def co_process_stream(spark, sf_dir):
+    views, clicks = _views_clicks(inputs.event_stream(spark, sf_dir))
+    out = drain(stateful.co_process_stream(views, clicks, CO_BOUND), output_mode="append",
+                name="co-process")
+    return _ntz_cols(out, "click_time", "view_time")
+
+
+SESSION_GAP = "2 hours"
+
+
+@register
+def sessions(spark, sf_dir):
+    return windows.sessions(inputs.decoded_events(spark, sf_dir), SESSION_GAP)
+
+
+@register
+def sessions_stream(spark, sf_dir):
+    src = with_event_time(inputs.event_stream(spark, sf_dir))
+    return drain(windows.sessions(src, SESSION_GAP), output_mode="append", name="sessions")
+
+
+@register
+def manual_sessions_stream(spark, sf_dir):
+    src = with_event_time(inputs.event_stream(spark, sf_dir))
+    out = drain(stateful.manual_sessions_stream(src, SESSION_GAP), output_mode="append",
+                name="manual-sessions")
+    return _ntz_cols(out, "session_start", "session_end")

@@ -73,3 +73,125 @@ ORACLE: dict[str, str] = {
     "sliding_avg_stream": SLIDING,
     "windowed_stats": STATS,
 }
+
+
+# ── per-key state ─────────────────────────────────────────────────────────
+W_KEY = "PARTITION BY key ORDER BY t_us, event_id"
+
+RUNNING_COUNT = f"WITH {EV} SELECT key, count(*) AS running_count FROM ev GROUP BY key"
+
+RUNNING_PER_RECORD = f"""WITH {EV}
+SELECT key, event_id, make_timestamp(t_us) AS event_time,
+       row_number() OVER ({W_KEY}) AS running_count
+FROM ev"""
+
+RUNNING_LAST_TYPE = f"""WITH {EV},
+r AS (SELECT key, event_type,
+             row_number() OVER (PARTITION BY key ORDER BY t_us DESC, event_id DESC) AS rn
+      FROM ev)
+SELECT key, count(*) AS running_count,
+       max(CASE WHEN rn = 1 THEN event_type END) AS last_event_type
+FROM r GROUP BY key"""
+
+RUNNING_SUM = f"""WITH {EV}
+SELECT key, event_id, make_timestamp(t_us) AS event_time,
+       CAST(sum(value) OVER ({W_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS running_sum
+FROM ev"""
+
+RECENT_LIST = f"""WITH {EV},
+r AS (SELECT key, event_id, t_us,
+             row_number() OVER (PARTITION BY key ORDER BY t_us DESC, event_id DESC) AS rn
+      FROM ev)
+SELECT key, string_agg(event_id, ',' ORDER BY t_us, event_id) AS recent,
+       count(*) AS n_recent
+FROM r WHERE rn <= 3 GROUP BY key"""
+
+TYPE_MAP = f"""WITH {EV}
+SELECT key, event_type, count(*) AS type_count FROM ev GROUP BY key, event_type"""
+
+FOLD_STATE = f"""WITH {EV}
+SELECT key, max(value) AS max_value, round(avg(value), 4) AS avg_value,
+       count(*) AS event_count
+FROM ev GROUP BY key"""
+
+GAP6H = 6 * HOUR_US
+INACTIVITY = f"""WITH {EV},
+n AS (SELECT key, t_us, lead(t_us) OVER ({W_KEY}) AS nxt FROM ev),
+wm AS (SELECT max(t_us) - 10000000 AS wm FROM ev)
+SELECT key, make_timestamp(t_us) AS last_event_time,
+       make_timestamp(t_us + {GAP6H}) AS alert_time
+FROM n
+WHERE (nxt IS NOT NULL AND nxt - t_us > {GAP6H})
+   OR (nxt IS NULL AND t_us + {GAP6H} <= (SELECT wm FROM wm))"""
+
+FUNNEL = f"""WITH RECURSIVE {EV},
+r AS (SELECT key, event_type, row_number() OVER ({W_KEY}) AS rn FROM ev),
+st(key, rn, stage, completed) AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT) FROM r
+  UNION ALL
+  SELECT st.key, st.rn + 1,
+         CASE WHEN st.stage = 0 AND r.event_type = 'view' THEN 1
+              WHEN st.stage = 1 AND r.event_type = 'click' THEN 2
+              WHEN st.stage = 2 AND r.event_type = 'purchase' THEN 0
+              ELSE st.stage END,
+         st.completed + CASE WHEN st.stage = 2 AND r.event_type = 'purchase' THEN 1 ELSE 0 END
+  FROM st JOIN r ON r.key = st.key AND r.rn = st.rn + 1)
+SELECT key, CAST(arg_max(stage, rn) AS INTEGER) AS stage, max(completed) AS completed
+FROM st GROUP BY key"""
+
+CO_BOUND_US = HOUR_US
+CO_PROCESS = f"""WITH {EV},
+u AS (SELECT key, event_id, t_us, event_type = 'view' AS is_view
+      FROM ev WHERE event_type IN ('view', 'click')),
+s AS (SELECT *,
+        last_value(CASE WHEN is_view THEN event_id END IGNORE NULLS) OVER w AS vid,
+        last_value(CASE WHEN is_view THEN t_us END IGNORE NULLS) OVER w AS vt
+      FROM u
+      WINDOW w AS ({W_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT key, event_id AS click_id, make_timestamp(t_us) AS click_time,
+       CASE WHEN t_us - vt <= {CO_BOUND_US} THEN vid END AS view_id,
+       CASE WHEN t_us - vt <= {CO_BOUND_US} THEN make_timestamp(vt) END AS view_time
+FROM s WHERE NOT is_view"""
+
+GAP2H = 2 * HOUR_US
+
+
+def _sessions(closed_only: bool) -> str:
+    where = (f"HAVING max(t_us) + {GAP2H} <= (SELECT max(t_us) - 10000000 FROM ev)"
+             if closed_only else "")
+    return f"""WITH {EV},
+f AS (SELECT key, t_us, event_id,
+             CASE WHEN lag(t_us) OVER ({W_KEY}) IS NULL
+                    OR t_us - lag(t_us) OVER ({W_KEY}) >= {GAP2H} THEN 1 ELSE 0 END AS new
+      FROM ev),
+s AS (SELECT key, t_us, sum(new) OVER ({W_KEY} ROWS UNBOUNDED PRECEDING) AS sid FROM f)
+SELECT key, make_timestamp(min(t_us)) AS session_start,
+       make_timestamp(max(t_us) + {GAP2H}) AS session_end, count(*) AS event_count
+FROM s GROUP BY key, sid {where}"""
+
+
+ORACLE.update({
+    "running_count": RUNNING_COUNT,
+    "running_count_stream": RUNNING_COUNT,
+    "running_count_per_record": RUNNING_PER_RECORD,
+    "running_count_per_record_stream": RUNNING_PER_RECORD,
+    "running_last_type": RUNNING_LAST_TYPE,
+    "running_last_type_stream": RUNNING_LAST_TYPE,
+    "running_sum": RUNNING_SUM,
+    "recent_list": RECENT_LIST,
+    "recent_list_stream": RECENT_LIST,
+    "type_map": TYPE_MAP,
+    "type_map_stream": TYPE_MAP,
+    "fold_state": FOLD_STATE,
+    "fold_state_stream": FOLD_STATE,
+    "inactivity_alerts": INACTIVITY,
+    "inactivity_alerts_stream": INACTIVITY,
+    "funnel_states": FUNNEL,
+    "funnel_states_stream": FUNNEL,
+    "co_process": CO_PROCESS,
+    "co_process_stream": CO_PROCESS,
+    "sessions": _sessions(False),
+    "sessions_stream": _sessions(True),
+    "manual_sessions_stream": _sessions(True),
+})

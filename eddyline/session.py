@@ -44,6 +44,7 @@ def get_session(master: str | None = None, app: str = "eddyline",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
+    ship_package(spark)
     return spark
 
 
@@ -97,4 +98,42 @@ def cut_lineage(df, spark: SparkSession | None = None):
 
 
 __all__ = ["get_session", "ensure_utc", "ensure_stateful_conf", "checkpoint_root",
-           "scratch_dir", "local_path", "cut_lineage"]
+           "scratch_dir", "local_path", "cut_lineage", "ship_package"]
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``eddyline`` importable in Python workers (``addPyFile`` of a zip).
+
+    Stateful processors and pandas functions are pickled by reference, so
+    every executor's Python worker must be able to import this package.
+    """
+    sc = spark.sparkContext
+    ident = sc.applicationId
+    if ident in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = checkpoint_root(spark)
+    local_root = local_path(root) if (root.startswith("file:") or root.startswith("/")) else None
+    folder = local_root or tempfile.mkdtemp(prefix="eddyline-pkg-")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"eddyline-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(target)
+    # Driver-side Python runners (the stateful processor's init runner) do not
+    # see addPyFile; they take PYTHONPATH from the function environment.
+    parent = os.path.dirname(pkg_dir)
+    cur = sc.environment.get("PYTHONPATH", "")
+    if parent not in cur.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (parent, cur) if p)
+    _SHIPPED.add(ident)
