@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.functions.encode import to_kafka_rows
-from eddyline.operators import keyed, windows
+from eddyline.functions.encode import render_count_line, render_window_line, to_kafka_rows
+from eddyline.operators import dedup as dedup_ops
+from eddyline.operators import joins, keyed, sets, windows
 from eddyline.operators.filters import keep_types
 from eddyline.operators.windows import (
     avg_count_agg, sliding, sliding_panes, stats_agg, tumbling, with_event_time,
@@ -258,3 +259,250 @@ def manual_sessions_stream(spark, sf_dir):
     out = drain(stateful.manual_sessions_stream(src, SESSION_GAP), output_mode="append",
                 name="manual-sessions")
     return _ntz_cols(out, "session_start", "session_end")
+
+
+# ── joins ──────────────────────────────────────────────────────────────────
+def customer_dim(spark, sf_dir) -> DataFrame:
+    """customer ⋈ nation, keyed like the events (``user_<custkey>``)."""
+    cust = inputs.load_table(spark, sf_dir, "customer")
+    nation = inputs.load_table(spark, sf_dir, "nation")
+    dim = joins.enrich(cust, nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"),
+                       "c_nationkey", "left")
+    return dim.select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("key"),
+                      "c_name", "c_mktsegment", "n_name")
+
+
+def enrich_plan(df: DataFrame, dim: DataFrame) -> DataFrame:
+    return joins.enrich(df.select("event_id", "key", "event_type"), dim, "key", "left")
+
+
+@register
+def enrich_customer(spark, sf_dir):
+    return enrich_plan(inputs.decoded_events(spark, sf_dir), customer_dim(spark, sf_dir))
+
+
+@register
+def enrich_customer_stream(spark, sf_dir):
+    return drain(enrich_plan(inputs.event_stream(spark, sf_dir), customer_dim(spark, sf_dir)),
+                 output_mode="append", name="enrich")
+
+
+@register
+def refreshing_lookup_stream(spark, sf_dir):
+    """The lookup table is re-read for every micro-batch (slowly changing)."""
+    from eddyline.streaming.sinks import enrich_refreshing
+    out = enrich_refreshing(inputs.event_stream(spark, sf_dir).select("event_id", "key",
+                                                                     "event_type"),
+                            lambda: customer_dim(spark, sf_dir), "key", name="refreshing")
+    return out.drop("batch_id")
+
+
+JOIN_BOUND = "1 hour"
+
+
+def _sides(df: DataFrame):
+    views = df.filter(F.col("event_type") == "view").select(
+        "key", F.col("event_id").alias("view_id"), F.col("event_time").alias("view_time"))
+    clicks = df.filter(F.col("event_type") == "click").select(
+        "key", F.col("event_id").alias("click_id"), F.col("event_time").alias("click_time"))
+    return views, clicks
+
+
+def _pairs_out(df: DataFrame) -> DataFrame:
+    return df.select("key", "view_id", F.col("view_time").cast("timestamp_ntz").alias("view_time"),
+                     "click_id", F.col("click_time").cast("timestamp_ntz").alias("click_time"))
+
+
+@register
+def interval_join(spark, sf_dir):
+    views, clicks = _sides(inputs.decoded_events(spark, sf_dir))
+    return _pairs_out(joins.interval_join(views, clicks, JOIN_BOUND, left_time="view_time",
+                                          right_time="click_time"))
+
+
+@register
+def interval_join_left(spark, sf_dir):
+    views, clicks = _sides(inputs.decoded_events(spark, sf_dir))
+    return _pairs_out(joins.interval_join(views, clicks, JOIN_BOUND, left_time="view_time",
+                                          right_time="click_time", how="left",
+                                          left_id="view_id"))
+
+
+def _stream_sides(spark, sf_dir):
+    views, clicks = _sides(inputs.event_stream(spark, sf_dir))
+    return (views.withWatermark("view_time", "10 seconds"),
+            clicks.withWatermark("click_time", "10 seconds"))
+
+
+@register
+def interval_join_stream(spark, sf_dir):
+    views, clicks = _stream_sides(spark, sf_dir)
+    j = joins.interval_join_stream(views, clicks, JOIN_BOUND, left_time="view_time",
+                                   right_time="click_time")
+    return drain(_pairs_out(j), output_mode="append", name="interval-join")
+
+
+@register
+def interval_join_left_stream(spark, sf_dir):
+    views, clicks = _stream_sides(spark, sf_dir)
+    j = joins.interval_join_stream(views, clicks, JOIN_BOUND, left_time="view_time",
+                                   right_time="click_time", how="left")
+    return drain(_pairs_out(j), output_mode="append", name="interval-join-left")
+
+
+@register
+def window_join(spark, sf_dir):
+    views, clicks = _sides(inputs.decoded_events(spark, sf_dir))
+    return joins.window_cogroup(views, clicks, "1 hour", left_time="view_time",
+                                right_time="click_time")
+
+
+@register
+def materialised_join(spark, sf_dir):
+    """Both streams land as tables (Append), then an interval join in batch."""
+    views, clicks = _sides(inputs.event_stream(spark, sf_dir))
+    vt = drain(views, output_mode="append", name="views-table")
+    ct = drain(clicks, output_mode="append", name="clicks-table")
+    return _pairs_out(joins.interval_join(vt, ct, JOIN_BOUND, left_time="view_time",
+                                          right_time="click_time"))
+
+
+# ── dedup, final-row collapse, sink modes ──────────────────────────────────
+def _redelivered(spark, sf_dir) -> DataFrame:
+    """Every message delivered twice (at-least-once producer/sink)."""
+    m = inputs.messages(spark, sf_dir)
+    return m.unionByName(m)
+
+
+@register
+def dedup(spark, sf_dir):
+    ev = inputs.decode_front(_redelivered(spark, sf_dir))
+    return dedup_ops.dedup(ev, ["event_id"]).drop("event_time")
+
+
+@register
+def dedup_within_watermark_stream(spark, sf_dir):
+    ms = inputs.message_stream(spark, sf_dir, msgs=_redelivered(spark, sf_dir),
+                               name="redelivered")
+    ev = inputs.decode_front(ms)
+    out = dedup_ops.dedup_within(ev, ["event_id"], "event_time", "10 minutes")
+    return drain(out.drop("event_time"), output_mode="append", name="dedup")
+
+
+@register
+def latest_per_key(spark, sf_dir):
+    ev = inputs.decoded_events(spark, sf_dir).select("key", "event_id", "event_type",
+                                                     "event_time")
+    out = dedup_ops.latest_per_key(ev, ["key"], ["event_time", "event_id"])
+    return out.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
+def _type_day_counts(df: DataFrame) -> DataFrame:
+    return windows.tumbling(with_event_time(df), "1 day", keys=["event_type"])
+
+
+@register
+def upsert_stream(spark, sf_dir):
+    """Update mode through the batch-folder upsert sink, read as latest rows."""
+    return drain(_type_day_counts(inputs.event_stream(spark, sf_dir)), output_mode="update",
+                 keys=["event_type", "window_start", "window_end"], name="upsert")
+
+
+@register
+def complete_stream(spark, sf_dir):
+    agg = inputs.event_stream(spark, sf_dir).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("event_count"))
+    return drain(agg, output_mode="complete", name="complete")
+
+
+# ── union and branches ─────────────────────────────────────────────────────
+@register
+def union_streams(spark, sf_dir):
+    u = sets.union_streams(inputs.decoded_events(spark, sf_dir),
+                           inputs.order_events(spark, sf_dir))
+    return windows.tumbling(u, "1 day", keys=["event_type"])
+
+
+@register
+def union_streams_stream(spark, sf_dir):
+    orders = inputs.decode_front(inputs.message_stream(
+        spark, sf_dir, msgs=inputs.to_messages(inputs.orders_as_events(
+            inputs.load_table(spark, sf_dir, "orders"))), name="order-messages"))
+    # one watermark per source; the query's watermark is the minimum of them,
+    # so the older source's rows are not late against the newer one's.
+    u = sets.union_streams(with_event_time(inputs.event_stream(spark, sf_dir)),
+                           with_event_time(orders))
+    return drain(windows.tumbling(u, "1 day", keys=["event_type"]), output_mode="update",
+                 keys=["event_type", "window_start", "window_end"], name="union")
+
+
+def branches() -> dict:
+    return {
+        "dead_letter": F.col("_corrupt_record").isNotNull(),
+        "engagement": F.col("event_type").isin("click", "view"),
+        "revenue": F.col("event_type") == "purchase",
+    }
+
+
+@register
+def branch_side_outputs(spark, sf_dir):
+    raw = inputs.cast_message(inputs.noisy_messages(spark, sf_dir))
+    ev = inputs.decode_events(raw, keep_corrupt=True)
+    tagged = sets.tag_branches(ev, branches(), default="other")
+    return tagged.select("branch", "event_id", F.col("_corrupt_record").alias("raw"))
+
+
+@register
+def decode_bad_json(spark, sf_dir):
+    raw = inputs.cast_message(inputs.noisy_messages(spark, sf_dir))
+    ev = inputs.decode_events(raw, keep_corrupt=True)
+    return ev.select("event_id", "event_type", "key", "value", "produced_at",
+                     F.col("_corrupt_record").isNotNull().alias("is_malformed"))
+
+
+@register
+def decode_strict(spark, sf_dir):
+    raw = inputs.cast_message(inputs.noisy_messages(spark, sf_dir))
+    return inputs.decode_events(raw, strict=True)
+
+
+@register
+def decode_with_kafka_key(spark, sf_dir):
+    return inputs.decode_with_key(inputs.messages(spark, sf_dir))
+
+
+@register
+def decode_defaults(spark, sf_dir):
+    """JVM message form: value DOUBLE, produced_at ISO text, fields may be absent."""
+    ev = inputs.jvm_decoded(spark, sf_dir)
+    return ev.select("event_id", "key", "event_type", "value",
+                     F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+@register
+def sliding_avg_jvm(spark, sf_dir):
+    """Pattern 03 as the JVM job computes it: missing value counts as 0.0."""
+    ev = inputs.jvm_decoded(spark, sf_dir)
+    return windows.sliding(ev, aggs=windows.avg_count_agg(digits=4))
+
+
+@register
+def passthrough_docs(spark, sf_dir):
+    """Documented pattern 01 output: Kafka key = event key, value = all fields."""
+    ev = inputs.decode_with_key(inputs.messages(spark, sf_dir))
+    kept = keep_types(ev)
+    return to_kafka_rows(kept, key_col="kafka_key")
+
+
+@register
+def sliding_avg_lines(spark, sf_dir):
+    """Window renderer: ``key=K window=[a .. b) avg_value=X.XXXX``."""
+    return render_window_line(sliding(inputs.decoded_events(spark, sf_dir),
+                                      aggs=windows.avg_count_agg(digits=None)))
+
+
+@register
+def running_count_lines(spark, sf_dir):
+    """Per-record counter output rendered ``key=K count=N``."""
+    return render_count_line(keyed.running_count(inputs.decoded_events(spark, sf_dir),
+                                                 per_record=True))

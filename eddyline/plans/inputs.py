@@ -11,10 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.functions.decode import cast_message, decode_events, with_event_time_col
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from eddyline.functions.decode import (  # noqa: F401 - re-exported for the catalog
+    cast_message, decode_events, decode_with_key, flexible_event_time, with_event_time_col,
+)
 from eddyline.schema import KAFKA_SOURCE_SCHEMA
 from eddyline.sources.files import file_stream, stage_stream_files
-from eddyline.sources.tables import driver_events, load_table, orders_as_events, to_messages
+from eddyline.sources.tables import (  # noqa: F401
+    driver_events, epoch_millis, load_table, orders_as_events, to_messages,
+)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +61,45 @@ def arrival_order(df: DataFrame) -> DataFrame:
     positions (``seq = id + (id * 7919) % 13``), ties broken by id."""
     eid = F.col("event_id").cast("long")
     return df.withColumn("arrival_seq", eid + F.pmod(eid * F.lit(7919), F.lit(13)))
+
+
+def noisy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages where every ``error`` event's JSON lost its closing brace
+    (malformed input for decode and dead-letter tests)."""
+    m = messages(spark, sf_dir)
+    text = F.col("value").cast("string")
+    broken = F.when(F.get_json_object(text, "$.event_type") == "error",
+                    F.expr("substr(CAST(value AS STRING), 1, length(CAST(value AS STRING)) - 1)"))
+    return m.withColumn("value", F.coalesce(broken, text).cast("binary"))
+
+
+JVM_SCHEMA = StructType([
+    StructField("event_id", StringType()), StructField("event_type", StringType()),
+    StructField("key", StringType()), StructField("value", DoubleType()),
+    StructField("produced_at", StringType()),
+])
+
+
+def jvm_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JVM-form messages: ``value`` a double, ``produced_at`` ISO-8601 text;
+    ``signup`` events carry no key and ``error`` events no value."""
+    ev = load_table(spark, sf_dir, "events")
+    key = F.when(F.col("event_type") != "signup",
+                 F.concat(F.lit("user_"), F.col("user_id").cast("string")))
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    payload = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"),
+                                 "event_type", key.alias("key"), value.alias("value"),
+                                 iso.alias("produced_at")))
+    ms = epoch_millis(ev, "ts")
+    return ev.select(F.lit(None).cast("binary").alias("key"), payload.cast("binary").alias("value"),
+                     F.timestamp_millis(ms).alias("timestamp"))
+
+
+def jvm_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decode JVM-form messages with the JVM defaults and the ISO/epoch/ingest
+    event-time rule."""
+    m = jvm_messages(spark, sf_dir)
+    ev = decode_events(m.select(F.col("value").cast("string").alias("json_str"), "timestamp"),
+                       defaults=True, keep=["timestamp"], schema=JVM_SCHEMA)
+    return ev.withColumn("event_time", flexible_event_time("produced_at", "timestamp"))

@@ -195,3 +195,151 @@ ORACLE.update({
     "sessions_stream": _sessions(True),
     "manual_sessions_stream": _sessions(True),
 })
+
+
+# ── joins ──────────────────────────────────────────────────────────────────
+ENRICH = f"""WITH {EV},
+dim AS (SELECT 'user_' || CAST(c.c_custkey AS VARCHAR) AS key, c.c_name, c.c_mktsegment, n.n_name
+        FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT ev.event_id, ev.key, ev.event_type, dim.c_name, dim.c_mktsegment, dim.n_name
+FROM ev LEFT JOIN dim ON ev.key = dim.key"""
+
+SIDES = """v AS (SELECT key, event_id AS view_id, t_us AS vt FROM ev WHERE event_type = 'view'),
+c AS (SELECT key, event_id AS click_id, t_us AS ct FROM ev WHERE event_type = 'click')"""
+
+
+def _interval(how: str) -> str:
+    return f"""WITH {EV}, {SIDES}
+SELECT v.key, view_id, make_timestamp(vt) AS view_time, click_id,
+       make_timestamp(ct) AS click_time
+FROM v {how} JOIN c ON v.key = c.key AND ct >= vt AND ct <= vt + {HOUR_US}"""
+
+
+# Stream left outer join: an unmatched view is emitted once the query's
+# watermark (minimum over both inputs of max time − 10 s) passes view + bound.
+INTERVAL_LEFT_STREAM = f"""WITH {EV}, {SIDES},
+wm AS (SELECT least((SELECT max(vt) FROM v), (SELECT max(ct) FROM c)) - 10000000 AS wm),
+j AS (SELECT v.key, view_id, vt, click_id, ct
+      FROM v LEFT JOIN c ON v.key = c.key AND ct >= vt AND ct <= vt + {HOUR_US})
+SELECT key, view_id, make_timestamp(vt) AS view_time, click_id,
+       make_timestamp(ct) AS click_time
+FROM j WHERE click_id IS NOT NULL OR vt + {HOUR_US} < (SELECT wm FROM wm)"""
+
+WINDOW_JOIN = f"""WITH {EV},
+v AS (SELECT key, t_us // {HOUR_US} * {HOUR_US} AS ws, count(*) AS left_count
+      FROM ev WHERE event_type = 'view' GROUP BY ALL),
+c AS (SELECT key, t_us // {HOUR_US} * {HOUR_US} AS ws, count(*) AS right_count
+      FROM ev WHERE event_type = 'click' GROUP BY ALL)
+SELECT coalesce(v.key, c.key) AS key, make_timestamp(coalesce(v.ws, c.ws)) AS window_start,
+       make_timestamp(coalesce(v.ws, c.ws) + {HOUR_US}) AS window_end,
+       coalesce(left_count, 0) AS left_count, coalesce(right_count, 0) AS right_count,
+       (left_count IS NOT NULL AND right_count IS NOT NULL) AS joined
+FROM v FULL OUTER JOIN c ON v.key = c.key AND v.ws = c.ws"""
+
+# ── dedup, collapse, modes, union ──────────────────────────────────────────
+DEDUP = f"WITH {EV} SELECT event_id, event_type, key, value, produced_at FROM ev"
+
+LATEST = f"""WITH {EV},
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t_us DESC, event_id DESC) AS rn
+      FROM ev)
+SELECT key, event_id, event_type, make_timestamp(t_us) AS event_time FROM r WHERE rn = 1"""
+
+
+def _type_days(src: str) -> str:
+    return f"""WITH {EV}, u AS ({src})
+SELECT event_type, make_timestamp(t_us // {DAY_US} * {DAY_US}) AS window_start,
+       make_timestamp(t_us // {DAY_US} * {DAY_US} + {DAY_US}) AS window_end,
+       count(*) AS event_count
+FROM u GROUP BY event_type, t_us // {DAY_US}"""
+
+
+UPSERT = _type_days("SELECT event_type, t_us FROM ev")
+UNION = _type_days("""SELECT event_type, t_us FROM ev
+  UNION ALL SELECT 'order', epoch_us(o_orderdate) // 1000 * 1000 FROM orders""")
+COMPLETE = f"WITH {EV} SELECT event_type, count(*) AS event_count FROM ev GROUP BY event_type"
+
+# ── decode variants ────────────────────────────────────────────────────────
+JSON = """CAST(json_object('event_id', event_id, 'event_type', event_type, 'key', key,
+                         'value', value, 'produced_at', produced_at) AS VARCHAR)"""
+
+BRANCH = f"""WITH {EV}, j AS (SELECT *, {JSON} AS js FROM ev)
+SELECT CASE WHEN event_type = 'error' THEN 'dead_letter'
+            WHEN event_type IN ('click', 'view') THEN 'engagement'
+            WHEN event_type = 'purchase' THEN 'revenue' ELSE 'other' END AS branch,
+       CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
+       CASE WHEN event_type = 'error' THEN substr(js, 1, length(js) - 1) END AS raw
+FROM j"""
+
+BAD_JSON = f"""WITH {EV}
+SELECT CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
+       CASE WHEN event_type <> 'error' THEN event_type END AS event_type,
+       CASE WHEN event_type <> 'error' THEN key END AS key,
+       CASE WHEN event_type <> 'error' THEN value END AS value,
+       CASE WHEN event_type <> 'error' THEN produced_at END AS produced_at,
+       event_type = 'error' AS is_malformed
+FROM ev"""
+
+STRICT = f"""WITH {EV}
+SELECT event_id, event_type, key, value, produced_at FROM ev WHERE event_type <> 'error'"""
+
+WITH_KEY = f"""WITH {EV}
+SELECT key AS kafka_key, event_id, event_type, key, value, produced_at FROM ev"""
+
+JVM_EV = """jv AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_id, event_type,
+         CASE WHEN event_type = 'signup' THEN 'unknown' ELSE 'user_' || CAST(user_id AS VARCHAR) END AS key,
+         CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS value,
+         ts AS event_time, epoch_us(ts) AS t_us
+  FROM events)"""
+
+DEFAULTS = f"WITH {JVM_EV} SELECT event_id, key, event_type, value, event_time FROM jv"
+
+SLIDING_JVM = f"""WITH {JVM_EV},
+w AS (SELECT key, t_us // {MIN_US} * {MIN_US} - i * {MIN_US} AS ws, value
+      FROM jv, range(0, 5) r(i))
+SELECT key, make_timestamp(ws) AS window_start, make_timestamp(ws + {5 * MIN_US}) AS window_end,
+       round(avg(value), 4) AS avg_value, count(*) AS event_count
+FROM w GROUP BY key, ws"""
+
+PASSTHROUGH_DOCS = f"""WITH {EV}
+SELECT key, {JSON} AS value FROM ev WHERE event_type IN ('click', 'purchase')"""
+
+SLIDING_LINES = f"""WITH {EV},
+w AS (SELECT key, t_us // {MIN_US} * {MIN_US} - i * {MIN_US} AS ws, value
+      FROM ev, range(0, 5) r(i)),
+a AS (SELECT key, ws, avg(value) AS av FROM w GROUP BY key, ws)
+SELECT printf('key=%s window=[%s .. %s) avg_value=%.4f', key,
+              strftime(make_timestamp(ws), '%Y-%m-%d %H:%M:%S'),
+              strftime(make_timestamp(ws + {5 * MIN_US}), '%Y-%m-%d %H:%M:%S'), av) AS line
+FROM a"""
+
+COUNT_LINES = f"""WITH {EV}
+SELECT printf('key=%s count=%d', key, row_number() OVER ({W_KEY})) AS line FROM ev"""
+
+ORACLE.update({
+    "enrich_customer": ENRICH,
+    "enrich_customer_stream": ENRICH,
+    "refreshing_lookup_stream": ENRICH,
+    "interval_join": _interval("INNER"),
+    "interval_join_left": _interval("LEFT"),
+    "interval_join_stream": _interval("INNER"),
+    "interval_join_left_stream": INTERVAL_LEFT_STREAM,
+    "window_join": WINDOW_JOIN,
+    "materialised_join": _interval("INNER"),
+    "dedup": DEDUP,
+    "dedup_within_watermark_stream": DEDUP,
+    "latest_per_key": LATEST,
+    "upsert_stream": UPSERT,
+    "complete_stream": COMPLETE,
+    "union_streams": UNION,
+    "union_streams_stream": UNION,
+    "branch_side_outputs": BRANCH,
+    "decode_bad_json": BAD_JSON,
+    "decode_strict": STRICT,
+    "decode_with_kafka_key": WITH_KEY,
+    "decode_defaults": DEFAULTS,
+    "sliding_avg_jvm": SLIDING_JVM,
+    "passthrough_docs": PASSTHROUGH_DOCS,
+    "sliding_avg_lines": SLIDING_LINES,
+    "running_count_lines": COUNT_LINES,
+})

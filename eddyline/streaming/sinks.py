@@ -79,3 +79,31 @@ class RowWriter:
         self._fh.close()
         if error:
             raise error
+
+
+def enrich_refreshing(stream: DataFrame, loader: Callable[[], DataFrame], on, *,
+                      name: str = "refreshing", how: str = "left",
+                      timeout_s: float = 600) -> DataFrame:
+    """Stream–table join whose table is re-read for every micro-batch.
+
+    ``loader()`` is called inside ``foreachBatch``, so a slowly changing
+    table is picked up at the next batch.  Each batch's join result goes to
+    its own folder (idempotent on replay); returns all batches' rows.
+    """
+    from eddyline.session import scratch_dir
+    from eddyline.streaming.run import await_query
+    spark = stream.sparkSession
+    base = scratch_dir(spark, name)
+    out = f"{base}/out"
+
+    def join_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.join(loader(), on, how).write.mode("overwrite").parquet(
+            f"{out}/{BATCH_COL}={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(join_batch)
+         .option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    await_query(q, timeout_s)
+    if not _exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.option("basePath", out).parquet(out)
