@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.encode import render_count_line, render_window_line, to_kafka_rows
 from eddyline.operators import dedup as dedup_ops
-from eddyline.operators import joins, keyed, sets, windows
+from eddyline.operators import joins, keyed, late, latency, sets, windows
 from eddyline.operators.filters import keep_types
 from eddyline.operators.windows import (
     avg_count_agg, sliding, sliding_panes, stats_agg, tumbling, with_event_time,
@@ -506,3 +506,80 @@ def running_count_lines(spark, sf_dir):
     """Per-record counter output rendered ``key=K count=N``."""
     return render_count_line(keyed.running_count(inputs.decoded_events(spark, sf_dir),
                                                  per_record=True))
+
+
+# ── late rows ──────────────────────────────────────────────────────────────
+def _late_input(spark, sf_dir) -> DataFrame:
+    return inputs.arrival_order(inputs.decoded_events(spark, sf_dir))
+
+
+def late_kw() -> dict:
+    return dict(delay="10 seconds", window="1 minute", arrival_col="arrival_seq",
+                tiebreak=F.col("event_id").cast("long"))
+
+
+@register
+def late_split(spark, sf_dir):
+    out = late.mark_late(_late_input(spark, sf_dir), **late_kw())
+    return out.select("event_id", "key", F.col("event_time").cast("timestamp_ntz")
+                      .alias("event_time"), "arrival_seq", "is_late")
+
+
+@register
+def late_drop(spark, sf_dir):
+    on_time = late.drop_late(_late_input(spark, sf_dir), **late_kw())
+    return windows.tumbling(on_time, "1 minute")
+
+
+# ── latency analytics ──────────────────────────────────────────────────────
+def latency_input(df: DataFrame) -> DataFrame:
+    """Arrival stamp derived from the data: ``produced_at + (id·7919 mod 500)`` ms."""
+    rec = F.col("produced_at") + F.pmod(F.col("event_id").cast("long") * F.lit(7919), F.lit(500))
+    return latency.with_latency(df.withColumn("received_at", rec))
+
+
+@register
+def latency_report(spark, sf_dir):
+    return latency.latency_report(latency_input(inputs.decoded_events(spark, sf_dir)), "1 hour")
+
+
+@register
+def latency_empty_buckets(spark, sf_dir):
+    return latency.latency_buckets(latency_input(inputs.decoded_events(spark, sf_dir)),
+                                   "5 minutes")
+
+
+@register
+def latency_summary(spark, sf_dir):
+    rep = latency.latency_report(latency_input(inputs.decoded_events(spark, sf_dir)), "1 hour")
+    return latency.latency_summary(rep)
+
+
+@register
+def latency_matrix(spark, sf_dir):
+    """Per pattern (event type): median over runs (days) of each run's
+    median bucket p99."""
+    ev = latency_input(inputs.decoded_events(spark, sf_dir))
+    ev = ev.withColumn("pattern", F.col("event_type")).withColumn(
+        "run", latency.bucket_of("received_at", "1 day"))
+    rep = latency.latency_report(ev, "1 hour", group=["pattern", "run"])
+    runs = latency.latency_summary(rep, group=["pattern", "run"])
+    return runs.groupBy("pattern").agg(F.count(F.lit(1)).alias("runs"),
+                                       F.median("median_p99").alias("median_p99"))
+
+
+@register
+def latency_report_stream(spark, sf_dir):
+    """Exact report over a stream: the histogram aggregates in Update mode per
+    micro-batch; the percentile step runs on the drained histogram."""
+    ev = latency_input(inputs.event_stream(spark, sf_dir))
+    hist = (ev.withColumn("received_ts", F.timestamp_millis("received_at"))
+            .withWatermark("received_ts", "10 seconds")
+            .groupBy(F.window("received_ts", "1 hour").alias("w"),
+                     F.col("latency_ms").alias("_lat"))
+            .agg(F.count(F.lit(1)).alias("_c"))
+            # the event-time window lets the watermark evict closed buckets
+            .select(F.floor(F.unix_millis("w.start") / F.lit(3_600_000)).cast("long")
+                    .alias("bucket"), "_lat", "_c"))
+    h = drain(hist, output_mode="update", keys=["bucket", "_lat"], name="latency-hist")
+    return latency.report_from_histogram(h, "1 hour")

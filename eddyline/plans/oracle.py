@@ -343,3 +343,88 @@ ORACLE.update({
     "sliding_avg_lines": SLIDING_LINES,
     "running_count_lines": COUNT_LINES,
 })
+
+
+# ── late rows ──────────────────────────────────────────────────────────────
+LATE_BASE = f"""{EV},
+a AS (SELECT *, CAST(event_id AS BIGINT) + (CAST(event_id AS BIGINT) * 7919) % 13 AS arrival_seq
+      FROM ev),
+m AS (SELECT *, max(t_us) OVER (ORDER BY arrival_seq, CAST(event_id AS BIGINT)
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx
+      FROM a),
+l AS (SELECT *, coalesce(t_us // {MIN_US} * {MIN_US} + {MIN_US} <= mx - 10000000, false) AS is_late
+      FROM m)"""
+
+LATE_SPLIT = f"""WITH {LATE_BASE}
+SELECT event_id, key, make_timestamp(t_us) AS event_time, arrival_seq, is_late FROM l"""
+
+LATE_DROP = f"""WITH {LATE_BASE}
+SELECT key, make_timestamp(t_us // {MIN_US} * {MIN_US}) AS window_start,
+       make_timestamp(t_us // {MIN_US} * {MIN_US} + {MIN_US}) AS window_end,
+       count(*) AS event_count
+FROM l WHERE NOT is_late GROUP BY key, t_us // {MIN_US}"""
+
+# ── latency ────────────────────────────────────────────────────────────────
+LAT_BASE = f"""{EV},
+lat AS (SELECT event_type, produced_at + (CAST(event_id AS BIGINT) * 7919) % 500 AS received_at,
+               (CAST(event_id AS BIGINT) * 7919) % 500 AS lat
+        FROM ev)"""
+
+
+def _report(width_ms: int, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {g}bucket"
+    return f"""b AS (SELECT {g}received_at // {width_ms} AS bucket, lat FROM lat),
+r AS (SELECT *, row_number() OVER ({part} ORDER BY lat) - 1 AS i,
+             count(*) OVER ({part}) AS n FROM b),
+rep AS (SELECT {g}bucket, count(*) AS n,
+          max(CASE WHEN i = least(floor(n * 0.5::DOUBLE), n - 1) THEN lat END) AS p50,
+          max(CASE WHEN i = least(floor(n * 0.95::DOUBLE), n - 1) THEN lat END) AS p95,
+          max(CASE WHEN i = least(floor(n * 0.99::DOUBLE), n - 1) THEN lat END) AS p99,
+          avg(lat) AS mean, min(lat) AS min, max(lat) AS max
+        FROM r GROUP BY {g}bucket)"""
+
+
+HOUR_MS, MIN5_MS, DAY_MS = 3_600_000, 300_000, 86_400_000
+
+LAT_REPORT = f"""WITH {LAT_BASE}, {_report(HOUR_MS)}
+SELECT make_timestamp(bucket * {HOUR_MS} * 1000) AS bucket_start, n, p50, p95, p99, mean,
+       min, max, bucket = (SELECT max(bucket) FROM rep) AS is_partial
+FROM rep"""
+
+LAT_EMPTY = f"""WITH {LAT_BASE}, {_report(MIN5_MS)},
+allb AS (SELECT range AS bucket
+         FROM range((SELECT min(bucket) FROM rep), (SELECT max(bucket) FROM rep) + 1))
+SELECT make_timestamp(allb.bucket * {MIN5_MS} * 1000) AS bucket_start, coalesce(rep.n, 0) AS n,
+       p50, p95, p99, mean, min, max,
+       CASE WHEN rep.n IS NOT NULL THEN allb.bucket = (SELECT max(bucket) FROM rep) END
+         AS is_partial,
+       rep.n IS NULL AS is_empty
+FROM allb LEFT JOIN rep ON allb.bucket = rep.bucket"""
+
+LAT_SUMMARY = f"""WITH {LAT_BASE}, {_report(HOUR_MS)}
+SELECT sum(n) AS events, count(*) AS buckets, quantile_cont(p99, 0.5) AS median_p99,
+       string_agg(CAST(p99 AS VARCHAR), ',' ORDER BY bucket) AS p99_list
+FROM rep"""
+
+LAT_MATRIX = f"""WITH {LAT_BASE},
+lat2 AS (SELECT event_type AS pattern, received_at // {DAY_MS} AS run, received_at, lat FROM lat),
+b AS (SELECT pattern, run, received_at // {HOUR_MS} AS bucket, lat FROM lat2),
+r AS (SELECT *, row_number() OVER (PARTITION BY pattern, run, bucket ORDER BY lat) - 1 AS i,
+             count(*) OVER (PARTITION BY pattern, run, bucket) AS n FROM b),
+rep AS (SELECT pattern, run, bucket,
+          max(CASE WHEN i = least(floor(n * 0.99::DOUBLE), n - 1) THEN lat END) AS p99
+        FROM r GROUP BY ALL),
+runs AS (SELECT pattern, run, quantile_cont(p99, 0.5) AS run_p99 FROM rep GROUP BY ALL)
+SELECT pattern, count(*) AS runs, quantile_cont(run_p99, 0.5) AS median_p99
+FROM runs GROUP BY pattern"""
+
+ORACLE.update({
+    "late_split": LATE_SPLIT,
+    "late_drop": LATE_DROP,
+    "latency_report": LAT_REPORT,
+    "latency_report_stream": LAT_REPORT,
+    "latency_empty_buckets": LAT_EMPTY,
+    "latency_summary": LAT_SUMMARY,
+    "latency_matrix": LAT_MATRIX,
+})
