@@ -202,3 +202,10 @@ def co_process(left: DataFrame, right: DataFrame, bound: str,
         _ntz(F.col("event_time")).alias("click_time"),
         F.when(fresh, F.col("_view.id")).alias("view_id"),
         F.when(fresh, _ntz(F.col("_view.t"))).alias("view_time"))
+
+
+def key_profile(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """Batch twin of the multi-state processor: count, max value, distinct types."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"),
+                                 F.max("value").alias("max_value"),
+                                 F.count_distinct("event_type").alias("n_types"))

@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.functions.encode import render_count_line, render_window_line, to_kafka_rows
+from eddyline.functions import udfs
+from eddyline.functions.encode import (
+    render_count_line, render_window_line, to_kafka_rows, with_processed_at,
+)
 from eddyline.operators import dedup as dedup_ops
 from eddyline.operators import joins, keyed, late, latency, sets, windows
 from eddyline.operators.filters import keep_types
@@ -23,7 +26,7 @@ from eddyline.operators.windows import (
 from eddyline.plans import inputs
 from eddyline.schema import SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
 from eddyline.streaming import stateful
-from eddyline.streaming.run import drain
+from eddyline.streaming.run import drain, drain_until_consumed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -583,3 +586,107 @@ def latency_report_stream(spark, sf_dir):
                     .alias("bucket"), "_lat", "_c"))
     h = drain(hist, output_mode="update", keys=["bucket", "_lat"], name="latency-hist")
     return latency.report_from_histogram(h, "1 hour")
+
+
+# ── several state variables, TTL, processing-time timers ──────────────────
+@register
+def key_profile(spark, sf_dir):
+    return keyed.key_profile(inputs.decoded_events(spark, sf_dir))
+
+
+@register
+def key_profile_stream(spark, sf_dir):
+    return drain(stateful.key_profile_stream(inputs.event_stream(spark, sf_dir)),
+                 output_mode="update", keys=["key"], name="key-profile")
+
+
+def _input_rows(spark, sf_dir) -> int:
+    return inputs.load_table(spark, sf_dir, "events").count()
+
+
+@register
+def ttl_state_stream(spark, sf_dir):
+    """Running count whose state expires after 1 hour of processing time
+    without input for the key (never within a test run)."""
+    src = stateful.running_count_stream(inputs.event_stream(spark, sf_dir), ttl="1 hour")
+    return drain_until_consumed(src, _input_rows(spark, sf_dir), keys=["key"], name="ttl")
+
+
+@register
+def processing_timer_stream(spark, sf_dir):
+    """Inactivity alerts on processing-time timers (1 s after a key's last
+    batch); which keys alert depends on timing, so rows-only."""
+    src = stateful.inactivity_stream(inputs.event_stream(spark, sf_dir), "1 second",
+                                     processing_time=True)
+    out = drain_until_consumed(src, _input_rows(spark, sf_dir), output_mode="append",
+                               name="pt-timer")
+    return _ntz_cols(out, "last_event_time", "alert_time")
+
+
+# ── processing timestamp, approximate percentiles, foreach ────────────────
+@register
+def processed_at_stream(spark, sf_dir):
+    """Documented pattern 01 output with a processing timestamp (one value
+    per micro-batch; rows-only check)."""
+    ev = with_processed_at(keep_types(inputs.event_stream(spark, sf_dir)))
+    out = drain(to_kafka_rows(ev, key_col="key"), output_mode="append", name="processed-at")
+    return out
+
+
+@register
+def approx_latency_stream(spark, sf_dir):
+    """Approximate p50/p95/p99 per hour of arrival, Update mode."""
+    ev = latency_input(inputs.event_stream(spark, sf_dir)).withColumn(
+        "received_ts", F.timestamp_millis("received_at")).withWatermark("received_ts",
+                                                                         "10 seconds")
+    return drain(latency.approx_latency(ev, "1 hour"), output_mode="update",
+                 keys=["bucket_start"], name="approx-latency")
+
+
+@register
+def foreach_rows_stream(spark, sf_dir):
+    """Row-wise ``foreach`` sink writing one line per passthrough row."""
+    from eddyline.streaming.sinks import run_foreach
+    rows = passthrough(inputs.event_stream(spark, sf_dir))
+    return run_foreach(rows, lambda r: r["value"], name="foreach")
+
+
+# ── UDF surfaces ───────────────────────────────────────────────────────────
+@register
+def sliding_avg_udaf(spark, sf_dir):
+    """Pattern 03 with the average as a custom aggregate (pandas UDAF)."""
+    ev = inputs.decoded_events(spark, sf_dir)
+    w = ev.select("key", "value", F.window("event_time", "5 minutes", "1 minute").alias("w"))
+    g = w.select("key", "value", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                 F.col("w.end").cast("timestamp_ntz").alias("window_end"))
+    out = udfs.accumulate_by_group(
+        g, ["key", "window_start", "window_end"], "value",
+        "key string, window_start timestamp_ntz, window_end timestamp_ntz, result double, "
+        "rows long")
+    return out.select("key", "window_start", "window_end",
+                      F.round("result", 2).alias("avg_value"),
+                      F.col("rows").alias("event_count"))
+
+
+@register
+def sliding_avg_pandas_udaf(spark, sf_dir):
+    """The same average as a grouped-aggregate pandas UDF (one call per group:
+    the slow path, kept for users of per-group aggregate functions)."""
+    aggs = [udfs.avg_accumulator("value").alias("avg_value"),
+            udfs.count_rows("value").alias("event_count")]
+    out = sliding(inputs.decoded_events(spark, sf_dir), aggs=aggs)
+    return out.withColumn("avg_value", F.round("avg_value", 2))
+
+
+@register
+def pandas_udf_stream(spark, sf_dir):
+    ev = inputs.event_stream(spark, sf_dir)
+    return drain(ev.select("event_id", udfs.value_band("value").alias("value_band")),
+                 output_mode="append", name="pandas-udf")
+
+
+@register
+def window_process_lines(spark, sf_dir):
+    """Window process function: each (key, window) group rendered in pandas."""
+    return udfs.render_window_groups(inputs.decoded_events(spark, sf_dir), "5 minutes",
+                                     "1 minute")

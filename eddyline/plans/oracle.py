@@ -428,3 +428,25 @@ ORACLE.update({
     "latency_summary": LAT_SUMMARY,
     "latency_matrix": LAT_MATRIX,
 })
+
+
+KEY_PROFILE = f"""WITH {EV}
+SELECT key, count(*) AS event_count, max(value) AS max_value,
+       count(DISTINCT event_type) AS n_types
+FROM ev GROUP BY key"""
+
+FOREACH = f"""WITH {EV}
+SELECT {JSON} AS line FROM ev WHERE event_type IN ('click', 'purchase')"""
+
+VALUE_BAND = f"WITH {EV} SELECT event_id, CAST(value // 100 * 100 AS BIGINT) AS value_band FROM ev"
+
+ORACLE.update({
+    "key_profile": KEY_PROFILE,
+    "key_profile_stream": KEY_PROFILE,
+    "ttl_state_stream": RUNNING_COUNT,
+    "foreach_rows_stream": FOREACH,
+    "sliding_avg_udaf": SLIDING,
+    "sliding_avg_pandas_udaf": SLIDING,
+    "pandas_udf_stream": VALUE_BAND,
+    "window_process_lines": SLIDING_LINES,
+})

@@ -248,7 +248,7 @@ class InactivityProcessor(StatefulProcessor):
         prev, timer = self.last.get() if self.last.exists() else (None, None)
         last_t, alert_t = [], []
         for t in times:
-            if prev is not None and t - prev > self.gap_ms:
+            if not self.processing_time and prev is not None and t - prev > self.gap_ms:
                 last_t.append(prev)
                 alert_t.append(prev + self.gap_ms)
             prev = t
@@ -376,3 +376,37 @@ class CoProcessor(StatefulProcessor):
 
     def close(self):
         pass
+
+
+# ── ST14: several interacting state variables ─────────────────────────────
+class KeyProfileProcessor(StatefulProcessor):
+    """Value state (count, max value) plus map state (type → count): emits
+    the count, the max value and the number of distinct types seen."""
+    OUTPUT = StructType([StructField("key", StringType()), StructField("event_count", LongType()),
+                         StructField("max_value", IntegerType()),
+                         StructField("n_types", LongType())])
+
+    def init(self, handle):
+        self.totals = handle.getValueState("totals", StructType([
+            StructField("count", LongType()), StructField("max", IntegerType())]))
+        self.types = handle.getMapState(
+            "types", StructType([StructField("event_type", StringType())]),
+            StructType([StructField("count", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        count, mx = self.totals.get() if self.totals.exists() else (0, None)
+        for pdf in rows:
+            count += len(pdf)
+            v = pdf["value"].dropna()
+            if len(v):
+                mx = int(v.max()) if mx is None else max(mx, int(v.max()))
+            for t, c in pdf["event_type"].value_counts().items():
+                cur = self.types.getValue((t,))
+                self.types.updateValue((t,), ((cur[0] if cur else 0) + int(c),))
+        self.totals.update((count, mx))
+        n_types = sum(1 for _ in self.types.keys())
+        yield pd.DataFrame({"key": [_key(key)], "event_count": [count], "max_value": [mx],
+                            "n_types": [n_types]})
+
+    def close(self):
+        pass

@@ -83,3 +83,37 @@ def read_result(spark, schema: StructType, path: str, output_mode: str,
         return rows
     from eddyline.operators.dedup import latest_per_key
     return latest_per_key(rows, keys, [BATCH_COL]).drop(BATCH_COL)
+
+
+def drain_until_consumed(sdf: DataFrame, expected_rows: int, *, output_mode: str = "update",
+                         name: str = "drain-pt", keys: Sequence[str] | None = None,
+                         interval: str = "1 second", timeout_s: float = 300) -> DataFrame:
+    """Drain a processing-time query (timers/TTL keep it alive, so
+    ``availableNow`` never ends): run on a processing-time trigger and stop
+    once ``expected_rows`` input rows were processed and a later batch ran."""
+    import time
+    spark = sdf.sparkSession
+    base = scratch_dir(spark, name)
+    path, checkpoint = f"{base}/out", f"{base}/checkpoint"
+    batch_sink = output_mode in ("update", "complete")
+    writer = (sdf.writeStream.foreachBatch(upsert_sink(path)) if batch_sink
+              else sdf.writeStream.format("parquet").option("path", path))
+    q = (writer.outputMode(output_mode).option("checkpointLocation", checkpoint)
+         .queryName(f"{name}_{base.rsplit('-', 1)[-1]}")
+         .trigger(processingTime=interval).start())
+    deadline = time.time() + timeout_s
+    try:
+        while True:
+            if q.exception() is not None:
+                raise StreamFailed(str(q.exception()))
+            prog = q.recentProgress
+            seen = sum(p.get("numInputRows", 0) for p in prog)
+            after = [p for p in prog if p.get("numInputRows", 0) == 0]
+            if seen >= expected_rows and after and prog[-1].get("numInputRows", 0) == 0:
+                break
+            if time.time() > deadline:
+                raise TimeoutError(f"{name}: {seen}/{expected_rows} rows after {timeout_s}s")
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    return read_result(spark, sdf.schema, path, output_mode, keys)

@@ -107,3 +107,27 @@ def enrich_refreshing(stream: DataFrame, loader: Callable[[], DataFrame], on, *,
     if not _exists(spark, out):
         return spark.createDataFrame([], stream.schema)
     return spark.read.option("basePath", out).parquet(out)
+
+
+def run_foreach(df: DataFrame, fmt: Callable, *, name: str = "foreach",
+                timeout_s: float = 600) -> DataFrame:
+    """Drain ``df`` through a :class:`RowWriter` and read the lines back.
+
+    The folder must be reachable by every executor (a shared mount); here it
+    lives under the shared checkpoint folder.
+    """
+    from eddyline.session import local_path, scratch_dir
+    from eddyline.streaming.run import await_query
+    spark = df.sparkSession
+    base = scratch_dir(spark, name)
+    folder = local_path(f"{base}/lines")
+    if "://" in folder:
+        raise ValueError("the foreach example writes with local file APIs; "
+                         "spark.checkpoint.dir must be a mounted path")
+    q = (df.writeStream.foreach(RowWriter(folder, fmt))
+         .option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    await_query(q, timeout_s)
+    if not os.path.isdir(folder):
+        return spark.createDataFrame([], "line string")
+    return spark.read.text(folder).withColumnRenamed("value", "line")

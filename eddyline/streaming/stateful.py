@@ -86,3 +86,8 @@ def co_process_stream(left: DataFrame, right: DataFrame, bound: str) -> DataFram
          .unionByName(right.select(*cols, F.lit(False).alias("is_left"))))
     return apply_processor(u, P.CoProcessor(duration_us(bound) // 1000), P.CoProcessor.OUTPUT,
                            output_mode="Append")
+
+
+def key_profile_stream(df: DataFrame) -> DataFrame:
+    return apply_processor(df.select("key", "value", "event_type"), P.KeyProfileProcessor(),
+                           P.KeyProfileProcessor.OUTPUT)
