@@ -39,9 +39,13 @@ def decode_events(df: DataFrame, col: str = "json_str", *, defaults: bool = Fals
     opts = {"mode": "PERMISSIVE"}
     if want_corrupt:
         opts["columnNameOfCorruptRecord"] = CORRUPT_COL
+    # ``inline(array(from_json(...)))`` parses each message exactly once: with
+    # a plain projection, filters on parsed fields (``isnotnull(event_time)``
+    # added by ``window``, type filters) are pushed below it and re-evaluate
+    # ``from_json``; a generator output is not inlined into pushed filters.
     parsed = df.select(*(keep or []), F.col(col).alias("_raw"),
-                       F.from_json(F.col(col), sch, opts).alias("evt"))
-    out = parsed.select(*(keep or []), "_raw", "evt.*")
+                       F.inline(F.array(F.from_json(F.col(col), sch, opts))))
+    out = parsed
     if strict:
         out = out.filter(F.col("_raw").isNotNull() & F.col(CORRUPT_COL).isNull())
     if defaults:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eddyline.functions.durations import duration_us, shift
-from eddyline.operators.scan import chunked_neighbors, chunked_running_sum, time_chunk
+from eddyline.operators.scan import time_chunk
 from eddyline.schema import SLIDING_SLIDE, SLIDING_WINDOW, TUMBLING_WINDOW, WATERMARK_DELAY
 
 EVENT_TIME = "event_time"
@@ -130,19 +130,44 @@ def sessions(df: DataFrame, gap: str, aggs: Sequence[Column] | None = None, *,
 def sessionize_batch(df: DataFrame, gap: str, aggs: Sequence[Column], *,
                      keys: Sequence[str] = ("key",), time_col: str = EVENT_TIME,
                      ntz: bool = True, chunk: str = "1 day") -> DataFrame:
+    """Sessions of a table without a per-key sort of all rows.
+
+    One shuffle on ``(key, time chunk)``: inside each chunk, a row opens a
+    session when its gap to the previous row is at least ``gap``.  The
+    first row of a chunk is judged against the last time of the key's
+    previous chunk, and session numbers continue across chunks; both come
+    from a scan over the per-chunk summaries (one row per chunk).  Rows then
+    aggregate per ``(key, session number)`` with a map-side partial step.
+    """
     keys = list(keys)
-    t = F.col(time_col)
-    order = [time_col]
-    ck = time_chunk(time_col, chunk)
-    with_prev = chunked_neighbors(df, keys, order, ck, time_col, prev_out="_prev_t")
-    flag = (F.col("_prev_t").isNull() |
-            (F.unix_micros(t) - F.unix_micros("_prev_t") >= F.lit(duration_us(gap))))
-    numbered = chunked_running_sum(with_prev.withColumn("_new", flag.cast("long")),
-                                   keys, order, ck, {"_sid": F.col("_new")})
-    agg = numbered.groupBy(*keys, "_sid").agg(F.min(time_col).alias("_first"),
-                                              F.max(time_col).alias("_last"), *aggs)
-    start, end = F.col("_first"), shift(F.col("_last"), gap)
+    gap_us = duration_us(gap)
+    t_us = F.unix_micros(F.col(time_col))
+    gk = F.struct(*[F.col(k) for k in keys])
+    d = df.withColumn("_gk", gk).withColumn("_chunk", time_chunk(time_col, chunk)) \
+          .withColumn("_t", t_us)
+    w_in = Window.partitionBy("_gk", "_chunk").orderBy("_t")
+    d = (d.withColumn("_prev", F.lag("_t").over(w_in))
+          .withColumn("_open", (F.col("_t") - F.col("_prev") >= F.lit(gap_us)).cast("long")))
+    summary = d.groupBy("_gk", "_chunk").agg(
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+        F.sum(F.coalesce("_open", F.lit(0))).alias("_inner"))
+    w_ch = Window.partitionBy("_gk").orderBy("_chunk")
+    prev_last = F.lag("_last").over(w_ch)
+    first_opens = (prev_last.isNull() | (F.col("_first") - prev_last >= F.lit(gap_us))).cast("long")
+    summary = summary.withColumn("_first_opens", first_opens).withColumn(
+        "_opens", F.col("_inner") + F.col("_first_opens"))
+    carry = summary.select(
+        "_gk", "_chunk", "_first_opens",
+        F.coalesce(F.sum("_opens").over(w_ch.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_base"))
+    rows = d.join(carry, ["_gk", "_chunk"], "inner")
+    opens = F.when(F.col("_prev").isNull(), F.col("_first_opens")).otherwise(F.col("_open"))
+    w_run = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sid", F.col("_base") + F.sum(opens).over(w_run))
+    agg = rows.groupBy(*keys, "_sid").agg(F.min(time_col).alias("_s"),
+                                          F.max(time_col).alias("_e"), *aggs)
+    start, end = F.col("_s"), shift(F.col("_e"), gap)
     if ntz:
         start, end = _ntz(start), _ntz(end)
-    names = [a for a in agg.columns if a not in (*keys, "_sid", "_first", "_last")]
+    names = [a for a in agg.columns if a not in (*keys, "_sid", "_s", "_e")]
     return agg.select(*keys, start.alias("session_start"), end.alias("session_end"), *names)
