@@ -108,66 +108,100 @@ def sliding_panes(df: DataFrame, duration: str = SLIDING_WINDOW, slide: str = SL
                       avg.alias("avg_value"), F.col("_n").alias("event_count"))
 
 
-def sessions(df: DataFrame, gap: str, aggs: Sequence[Column] | None = None, *,
+SessionAggs = dict  # out name -> (kind, column); kind in count|sum|min|max|avg
+
+_KINDS = ("count", "sum", "min", "max", "avg")
+
+
+def _session_columns(aggs: SessionAggs) -> list[Column]:
+    out = []
+    for name, (kind, col) in aggs.items():
+        if kind not in _KINDS:
+            raise ValueError(f"session aggregate kind must be one of {_KINDS}")
+        c = F.lit(1) if col is None else F.col(col)
+        fn = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[kind]
+        out.append(fn(c).alias(name))
+    return out
+
+
+def sessions(df: DataFrame, gap: str, aggs: SessionAggs | None = None, *,
              keys: Sequence[str] = ("key",), time_col: str = EVENT_TIME,
              ntz: bool = True) -> DataFrame:
     """Session windows: a session closes after ``gap`` without events.
 
-    Streams use ``session_window`` (Append mode).  Tables use the
-    gap-flag / running-count form over skew-safe chunked scans, which gives
-    the same sessions ``[first, last + gap)``.
+    ``aggs`` maps output names to ``(kind, column)`` with kind count, sum,
+    min, max or avg (decomposable, so tables can merge partial sessions).
+    Streams use ``session_window`` (Append mode); tables use
+    :func:`sessionize_batch`.  Both give sessions ``[first, last + gap)``.
     """
-    aggs = list(aggs or count_agg())
+    aggs = aggs or {"event_count": ("count", None)}
     if df.isStreaming:
-        agg = df.groupBy(*keys, F.session_window(time_col, gap).alias("window")).agg(*aggs)
-        names = [a for a in agg.columns if a not in (*keys, "window")]
-        out = project_window(agg, keys, names, ntz=ntz)
+        agg = df.groupBy(*keys, F.session_window(time_col, gap).alias("window")).agg(
+            *_session_columns(aggs))
+        out = project_window(agg, keys, list(aggs), ntz=ntz)
         return out.withColumnRenamed("window_start", "session_start") \
                   .withColumnRenamed("window_end", "session_end")
     return sessionize_batch(df, gap, aggs, keys=keys, time_col=time_col, ntz=ntz)
 
 
-def sessionize_batch(df: DataFrame, gap: str, aggs: Sequence[Column], *,
+def sessionize_batch(df: DataFrame, gap: str, aggs: SessionAggs, *,
                      keys: Sequence[str] = ("key",), time_col: str = EVENT_TIME,
                      ntz: bool = True, chunk: str = "1 day") -> DataFrame:
-    """Sessions of a table without a per-key sort of all rows.
-
-    One shuffle on ``(key, time chunk)``: inside each chunk, a row opens a
-    session when its gap to the previous row is at least ``gap``.  The
-    first row of a chunk is judged against the last time of the key's
-    previous chunk, and session numbers continue across chunks; both come
-    from a scan over the per-chunk summaries (one row per chunk).  Rows then
-    aggregate per ``(key, session number)`` with a map-side partial step.
+    """Sessions of a table with one shuffle of the rows and no per-key sort.
+
+    1. Rows shuffle once on ``(key, time chunk)``; inside a chunk a row opens
+       a *local* session when its gap to the previous row is ≥ ``gap``, and
+       local sessions aggregate to partials (same partitioning, no shuffle).
+    2. Local sessions of a key are stitched in time order: one that starts
+       less than ``gap`` after the previous one ends continues it.  A key
+       has at most ``time span / gap`` sessions plus one per chunk, so this
+       per-key scan is bounded by time, not by the key's row count.
+    3. Partials merge per stitched session.
     """
     keys = list(keys)
     gap_us = duration_us(gap)
-    t_us = F.unix_micros(F.col(time_col))
     gk = F.struct(*[F.col(k) for k in keys])
-    d = df.withColumn("_gk", gk).withColumn("_chunk", time_chunk(time_col, chunk)) \
-          .withColumn("_t", t_us)
+    cols = {c for _, (_, c) in aggs.items() if c is not None}
+    d = df.select(gk.alias("_gk"), time_chunk(time_col, chunk).alias("_chunk"),
+                  F.unix_micros(F.col(time_col)).alias("_t"), *cols)
     w_in = Window.partitionBy("_gk", "_chunk").orderBy("_t")
-    d = (d.withColumn("_prev", F.lag("_t").over(w_in))
-          .withColumn("_open", (F.col("_t") - F.col("_prev") >= F.lit(gap_us)).cast("long")))
-    summary = d.groupBy("_gk", "_chunk").agg(
-        F.min("_t").alias("_first"), F.max("_t").alias("_last"),
-        F.sum(F.coalesce("_open", F.lit(0))).alias("_inner"))
-    w_ch = Window.partitionBy("_gk").orderBy("_chunk")
-    prev_last = F.lag("_last").over(w_ch)
-    first_opens = (prev_last.isNull() | (F.col("_first") - prev_last >= F.lit(gap_us))).cast("long")
-    summary = summary.withColumn("_first_opens", first_opens).withColumn(
-        "_opens", F.col("_inner") + F.col("_first_opens"))
-    carry = summary.select(
-        "_gk", "_chunk", "_first_opens",
-        F.coalesce(F.sum("_opens").over(w_ch.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_base"))
-    rows = d.join(carry, ["_gk", "_chunk"], "inner")
-    opens = F.when(F.col("_prev").isNull(), F.col("_first_opens")).otherwise(F.col("_open"))
-    w_run = w_in.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sid", F.col("_base") + F.sum(opens).over(w_run))
-    agg = rows.groupBy(*keys, "_sid").agg(F.min(time_col).alias("_s"),
-                                          F.max(time_col).alias("_e"), *aggs)
-    start, end = F.col("_s"), shift(F.col("_e"), gap)
+    prev = F.lag("_t").over(w_in)
+    d = d.withColumn("_open", F.when(prev.isNull() | (F.col("_t") - prev >= F.lit(gap_us)), 1)
+                     .otherwise(0))
+    d = d.withColumn("_lsid", F.sum("_open").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
+    partial = []
+    for name, (kind, col) in aggs.items():
+        c = F.lit(1) if col is None else F.col(col)
+        if kind == "count":
+            partial.append(F.count(c).alias(f"_p_{name}"))
+        elif kind == "avg":
+            partial += [F.sum(c).alias(f"_p_{name}_s"), F.count(c).alias(f"_p_{name}_c")]
+        else:
+            partial.append({"sum": F.sum, "min": F.min, "max": F.max}[kind](c)
+                           .alias(f"_p_{name}"))
+    local = d.groupBy("_gk", "_chunk", "_lsid").agg(F.min("_t").alias("_s"),
+                                                    F.max("_t").alias("_e"), *partial)
+    w_key = Window.partitionBy("_gk").orderBy("_s")
+    prev_end = F.lag("_e").over(w_key)
+    local = local.withColumn("_new", F.when(prev_end.isNull() | (F.col("_s") - prev_end
+                                                                 >= F.lit(gap_us)), 1)
+                             .otherwise(0))
+    local = local.withColumn("_sid", F.sum("_new").over(
+        w_key.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = []
+    for name, (kind, col) in aggs.items():
+        if kind == "count":
+            merged.append(F.sum(f"_p_{name}").alias(name))
+        elif kind == "avg":
+            merged.append((F.sum(f"_p_{name}_s") / F.sum(f"_p_{name}_c")).alias(name))
+        else:
+            fn = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
+            merged.append(fn(f"_p_{name}").alias(name))
+    out = local.groupBy("_gk", "_sid").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"),
+                                           *merged)
+    start = F.timestamp_micros("_s")
+    end = shift(F.timestamp_micros("_e"), gap)
     if ntz:
         start, end = _ntz(start), _ntz(end)
-    names = [a for a in agg.columns if a not in (*keys, "_sid", "_s", "_e")]
-    return agg.select(*keys, start.alias("session_start"), end.alias("session_end"), *names)
+    return out.select(*[F.col(f"_gk.{k}").alias(k) for k in keys], start.alias("session_start"),
+                      end.alias("session_end"), *list(aggs))
