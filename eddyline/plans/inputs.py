@@ -42,10 +42,11 @@ def decoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_stream(spark: SparkSession, sf_dir: str, n_files: int = 3,
                    msgs: DataFrame | None = None, name: str = "messages") -> DataFrame:
-    """Messages staged as ``n_files`` ascending-time files, read as a stream."""
+    """Messages staged as ``n_files`` ascending-time ranges, read as a stream
+    of about that many micro-batches."""
     msgs = msgs if msgs is not None else messages(spark, sf_dir)
-    path = stage_stream_files(msgs, n_files, "offset", name=name)
-    return file_stream(spark, path, KAFKA_SOURCE_SCHEMA, max_files_per_trigger=1)
+    path, per_batch = stage_stream_files(msgs, n_files, "offset", name=name)
+    return file_stream(spark, path, KAFKA_SOURCE_SCHEMA, max_files_per_trigger=per_batch)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, n_files: int = 3) -> DataFrame:

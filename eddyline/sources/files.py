@@ -10,28 +10,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 
 from eddyline.session import scratch_dir
 
 
-def stage_stream_files(df: DataFrame, n_files: int, order_col: str, *,
-                       name: str = "stream-src", files_per_range: int = 1) -> str:
-    """Write ``df`` as ``n_files`` ranges of ``order_col`` into a fresh folder."""
+def stage_stream_files(df: DataFrame, n_ranges: int, order_col: str, *,
+                       name: str = "stream-src") -> tuple[str, int]:
+    """Write ``df`` as ``n_ranges`` ascending ranges of ``order_col``.
+
+    Each range is written by its own job, in its natural partitioning (no
+    funnel through one task); range ``i``'s files are all older than range
+    ``i+1``'s, so a file stream replays the data in order whatever the batch
+    size.  Returns ``(path, files_per_batch)`` for about ``n_ranges`` batches.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
         df.limit(0).write.parquet(path)
-        return path
-    width = (hi - lo) / n_files if hi > lo else 1
-    rng = F.least(F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)), F.lit(n_files - 1))
-    tagged = df.withColumn("_range", rng)
-    for i in range(n_files):
-        (tagged.filter(F.col("_range") == i).drop("_range")
-         .repartition(files_per_range)
-         .write.mode("append").parquet(path))
-    return path
+        return path, 1
+    width = (hi - lo) / n_ranges if hi > lo else 1
+    rng = F.least(F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)), F.lit(n_ranges - 1))
+    tagged = df.withColumn("_range", rng).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for i in range(n_ranges):
+            tagged.filter(F.col("_range") == i).drop("_range").write.mode("append").parquet(path)
+    finally:
+        tagged.unpersist()
+    n_files = len([f for f in spark.read.parquet(path).inputFiles()])
+    return path, max(1, n_files // n_ranges)
 
 
 def file_stream(spark: SparkSession, path: str, schema, *, max_files_per_trigger: int = 1,
