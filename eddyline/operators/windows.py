@@ -21,9 +21,21 @@ EVENT_TIME = "event_time"
 
 
 def with_event_time(df: DataFrame, time_col: str = EVENT_TIME,
-                    delay: str | None = WATERMARK_DELAY) -> DataFrame:
-    """Bounded out-of-orderness watermark (ignored by batch plans)."""
-    return df.withWatermark(time_col, delay) if delay else df
+                    delay: str | None = WATERMARK_DELAY,
+                    allowed_lateness: str | None = None) -> DataFrame:
+    """Bounded out-of-orderness watermark (ignored by batch plans).
+
+    ``allowed_lateness`` (the JVM engine's extra lateness for windows) is
+    folded into the delay: Spark keeps window state until
+    ``max(time) − delay − lateness`` passes the window end.  Unlike the JVM
+    option this delays the first Append emission instead of re-firing.
+    """
+    if not delay:
+        return df
+    if allowed_lateness:
+        total = duration_us(delay) + duration_us(allowed_lateness)
+        delay = f"{total // 1000} milliseconds"
+    return df.withWatermark(time_col, delay)
 
 
 def _ntz(c: Column) -> Column:

@@ -690,3 +690,16 @@ def window_process_lines(spark, sf_dir):
     """Window process function: each (key, window) group rendered in pandas."""
     return udfs.render_window_groups(inputs.decoded_events(spark, sf_dir), "5 minutes",
                                      "1 minute")
+
+
+@register
+def branch_sink_stream(spark, sf_dir):
+    """Side outputs as several sinks fed from one micro-batch read."""
+    from eddyline.session import scratch_dir
+    from eddyline.streaming.sinks import write_branches
+    msgs = inputs.message_stream(spark, sf_dir, msgs=inputs.noisy_messages(spark, sf_dir),
+                                 name="noisy-messages")
+    ev = inputs.decode_events(inputs.cast_message(msgs), keep_corrupt=True)
+    out = write_branches(ev, branches(), scratch_dir(spark, "branch-out"), default="other")
+    return out.select(F.col("branch").cast("string").alias("branch"), "event_id",
+                      F.col("_corrupt_record").alias("raw"))

@@ -334,6 +334,7 @@ ORACLE.update({
     "union_streams": UNION,
     "union_streams_stream": UNION,
     "branch_side_outputs": BRANCH,
+    "branch_sink_stream": BRANCH,
     "decode_bad_json": BAD_JSON,
     "decode_strict": STRICT,
     "decode_with_kafka_key": WITH_KEY,

@@ -131,3 +131,37 @@ def run_foreach(df: DataFrame, fmt: Callable, *, name: str = "foreach",
     if not os.path.isdir(folder):
         return spark.createDataFrame([], "line string")
     return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+def write_branches(stream: DataFrame, branches: dict, path: str, *, default: str | None = None,
+                   name: str = "branches", timeout_s: float = 600) -> DataFrame:
+    """Multi-sink side outputs from one read of the source.
+
+    ``foreachBatch`` persists each micro-batch once, writes every branch to
+    ``path/branch=<name>/batch_id=<id>`` (overwrite: idempotent on replay)
+    and releases it.  Returns all written rows with ``branch``.
+    """
+    from pyspark import StorageLevel
+
+    from eddyline.operators.sets import branch
+    from eddyline.session import scratch_dir
+    from eddyline.streaming.run import await_query
+    spark = stream.sparkSession
+    base = scratch_dir(spark, name)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for bname, part in branch(batch, branches, default).items():
+                part.write.mode("overwrite").parquet(
+                    f"{path}/branch={bname}/{BATCH_COL}={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = (stream.writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    await_query(q, timeout_s)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], stream.schema).withColumn("branch", None)
+    return spark.read.option("basePath", path).parquet(path)
