@@ -15,6 +15,7 @@ the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +50,38 @@ def await_query(q, timeout_s: float) -> None:
         raise StreamFailed(str(exc))
 
 
+def default_state_partitions(spark) -> int:
+    """State partitions for a new checkpoint: the session's shuffle width,
+    capped at twice the cluster's parallelism (each partition is a state
+    store committed every batch; idle ones cost as much as busy ones)."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(width, 2 * spark.sparkContext.defaultParallelism))
+
+
+@contextmanager
+def shuffle_width(spark, n: int | None):
+    """Temporarily set ``spark.sql.shuffle.partitions`` (fixed into a stream's
+    checkpoint when the query first starts)."""
+    if n is None:
+        yield
+        return
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def drain(sdf: DataFrame, *, output_mode: str = "append", name: str = "drain",
           keys: Sequence[str] | None = None, timeout_s: float = 600,
-          path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+          path: str | None = None, checkpoint: str | None = None,
+          state_partitions: int | None = None) -> DataFrame:
     """Drain ``sdf`` and return its output as a batch DataFrame.
 
     For ``update`` pass ``keys`` to collapse to the final row of each key.
-    ``path``/``checkpoint`` may be reused to resume a stopped query.
+    ``path``/``checkpoint`` may be reused to resume a stopped query (the
+    state width recorded in the checkpoint then wins).
     """
     if not sdf.isStreaming:
         raise ValueError("drain expects a streaming DataFrame")
@@ -64,9 +90,11 @@ def drain(sdf: DataFrame, *, output_mode: str = "append", name: str = "drain",
     path = path or f"{base}/out"
     checkpoint = checkpoint or f"{base}/checkpoint"
     batch_sink = output_mode in ("update", "complete")
-    q = start_available_now(sdf, output_mode=output_mode, path=path, checkpoint=checkpoint,
-                            name=name, batch_sink=batch_sink)
-    await_query(q, timeout_s)
+    width = state_partitions or default_state_partitions(spark)
+    with shuffle_width(spark, width):
+        q = start_available_now(sdf, output_mode=output_mode, path=path,
+                                checkpoint=checkpoint, name=name, batch_sink=batch_sink)
+        await_query(q, timeout_s)
     return read_result(spark, sdf.schema, path, output_mode, keys)
 
 
@@ -91,16 +119,22 @@ def drain_until_consumed(sdf: DataFrame, expected_rows: int, *, output_mode: str
     """Drain a processing-time query (timers/TTL keep it alive, so
     ``availableNow`` never ends): run on a processing-time trigger and stop
     once ``expected_rows`` input rows were processed and a later batch ran."""
-    import time
     spark = sdf.sparkSession
     base = scratch_dir(spark, name)
     path, checkpoint = f"{base}/out", f"{base}/checkpoint"
     batch_sink = output_mode in ("update", "complete")
     writer = (sdf.writeStream.foreachBatch(upsert_sink(path)) if batch_sink
               else sdf.writeStream.format("parquet").option("path", path))
-    q = (writer.outputMode(output_mode).option("checkpointLocation", checkpoint)
-         .queryName(f"{name}_{base.rsplit('-', 1)[-1]}")
-         .trigger(processingTime=interval).start())
+    with shuffle_width(spark, default_state_partitions(spark)):
+        q = (writer.outputMode(output_mode).option("checkpointLocation", checkpoint)
+             .queryName(f"{name}_{base.rsplit('-', 1)[-1]}")
+             .trigger(processingTime=interval).start())
+        _wait_consumed(q, expected_rows, name, timeout_s)
+    return read_result(spark, sdf.schema, path, output_mode, keys)
+
+
+def _wait_consumed(q, expected_rows: int, name: str, timeout_s: float) -> None:
+    import time
     deadline = time.time() + timeout_s
     try:
         while True:
@@ -116,4 +150,3 @@ def drain_until_consumed(sdf: DataFrame, expected_rows: int, *, output_mode: str
             time.sleep(0.5)
     finally:
         q.stop()
-    return read_result(spark, sdf.schema, path, output_mode, keys)

@@ -101,3 +101,12 @@ def test_collect_recent_and_type_map(spark):
     assert r.recent == "7,8,9" and r.n_recent == 3
     m = {x.event_type: x.type_count for x in keyed.counts_by_type(df).collect()}
     assert m == {"view": 5, "click": 5}
+
+
+def test_dup_fixture(spark):
+    from eddyline.operators.dedup import dedup, latest_per_key
+    df = _ev(spark, [("a", 1, "x", "e1"), ("a", 1, "x", "e1"), ("a", 1, "x", "e1"),
+                     ("b", 2, "y", "e2")])
+    assert sorted(r.event_id for r in dedup(df, ["event_id"]).collect()) == ["e1", "e2"]
+    last = latest_per_key(df.withColumn("v", F.lit(0)), ["key"], ["event_time", "event_id"])
+    assert sorted((r.key, r.event_id) for r in last.collect()) == [("a", "e1"), ("b", "e2")]

@@ -68,3 +68,12 @@ def test_restart_from_checkpoint(spark, sf_small):
     got = run()
     batch = keyed.running_count(inputs.decoded_events(spark, sf_small))
     assert _sorted(got.select("key", "running_count")) == _sorted(batch)
+
+
+def test_per_record_stream_equals_batch(spark, sf_small):
+    batch = keyed.running_count(inputs.decoded_events(spark, sf_small), per_record=True)
+    s = inputs.decode_front(inputs.message_stream(spark, sf_small, 5))
+    got = drain(stateful.running_count_stream(s, per_record=True), output_mode="append",
+                name="per-record")
+    got = got.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    assert _sorted(got.select(*batch.columns)) == _sorted(batch)
