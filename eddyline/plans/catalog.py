@@ -125,10 +125,19 @@ def running_count(spark, sf_dir):
 
 @register
 def running_count_stream(spark, sf_dir):
+    """Pattern 04 as Spark's stateful aggregation (Update mode)."""
     return drain(stateful.running_count_stream(inputs.event_stream(spark, sf_dir)),
                  output_mode="update", keys=["key"], name="running-count")
 
 
+@register
+def running_count_state_stream(spark, sf_dir):
+    """Pattern 04 as written: value state in a stateful processor."""
+    return drain(stateful.running_count_stream(inputs.event_stream(spark, sf_dir),
+                                               engine="processor"),
+                 output_mode="update", keys=["key"], name="running-count-state")
+
+
 @register
 def running_count_per_record(spark, sf_dir):
     return keyed.running_count(inputs.decoded_events(spark, sf_dir), per_record=True)

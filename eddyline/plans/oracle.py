@@ -174,6 +174,7 @@ FROM s GROUP BY key, sid {where}"""
 ORACLE.update({
     "running_count": RUNNING_COUNT,
     "running_count_stream": RUNNING_COUNT,
+    "running_count_state_stream": RUNNING_COUNT,
     "running_count_per_record": RUNNING_PER_RECORD,
     "running_count_per_record_stream": RUNNING_PER_RECORD,
     "running_last_type": RUNNING_LAST_TYPE,

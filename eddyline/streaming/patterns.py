@@ -29,11 +29,11 @@ PATTERNS = {
     "01": ("stateless filter → Kafka rows", "append", False),
     "02": ("count per key and 1-minute tumbling window", "update", True),
     "03": ("average per key, 5-minute window sliding 1 minute", "update", True),
-    "04": ("running count per key (transformWithState)", "update", True),
+    "04": ("running count per key (stateful aggregation or processor)", "update", True),
 }
 
 
-def build(pattern: str, events: DataFrame) -> DataFrame:
+def build(pattern: str, events: DataFrame, engine: str = "aggregate") -> DataFrame:
     if pattern == "01":
         return to_kafka_rows(keep_types(events), key_col="event_id")
     if pattern == "02":
@@ -41,7 +41,7 @@ def build(pattern: str, events: DataFrame) -> DataFrame:
     if pattern == "03":
         return sliding(with_event_time(events))
     if pattern == "04":
-        return running_count_stream(with_event_time(events))
+        return running_count_stream(with_event_time(events), engine=engine)
     raise ValueError(f"unknown pattern {pattern!r}; choose from {sorted(PATTERNS)}")
 
 
@@ -57,9 +57,9 @@ def source(spark: SparkSession, cfg: PipelineConfig, kind: str, path: str | None
 
 def start(spark: SparkSession, pattern: str, cfg: PipelineConfig, *, source_kind: str = "kafka",
           path: str | None = None, sink: str = "kafka", out: str | None = None,
-          checkpoint: str):
+          checkpoint: str, engine: str = "aggregate"):
     _, mode, stateful = PATTERNS[pattern]
-    result = build(pattern, source(spark, cfg, source_kind, path))
+    result = build(pattern, source(spark, cfg, source_kind, path), engine)
     if sink == "kafka":
         if pattern != "01":
             from pyspark.sql import functions as F
@@ -91,12 +91,14 @@ def main(argv=None) -> None:
     ap.add_argument("--checkpoint", required=True)
     ap.add_argument("--mode", default=None, choices=["microbatch", "realtime", "available_now"])
     ap.add_argument("--timeout", type=float, default=None)
+    ap.add_argument("--engine", default="aggregate", choices=["aggregate", "processor"],
+                    help="pattern 04: built-in stateful aggregation or value-state processor")
     a = ap.parse_args(argv)
     from eddyline.session import get_session
     spark = get_session(app=f"pattern-{a.pattern}")
     cfg = PipelineConfig.from_env(**({"mode": a.mode} if a.mode else {}))
     q = start(spark, a.pattern, cfg, source_kind=a.source, path=a.path, sink=a.sink, out=a.out,
-              checkpoint=a.checkpoint)
+              checkpoint=a.checkpoint, engine=a.engine)
     q.awaitTermination(a.timeout)
 
 

@@ -144,6 +144,10 @@ def _wait_consumed(q, expected_rows: int, name: str, timeout_s: float) -> None:
             seen = sum(p.get("numInputRows", 0) for p in prog)
             after = [p for p in prog if p.get("numInputRows", 0) == 0]
             if seen >= expected_rows and after and prog[-1].get("numInputRows", 0) == 0:
+                # prefer stopping between triggers (bounded wait)
+                settle = time.time() + 3
+                while q.status.get("isTriggerActive") and time.time() < settle:
+                    time.sleep(0.05)
                 break
             if time.time() > deadline:
                 raise TimeoutError(f"{name}: {seen}/{expected_rows} rows after {timeout_s}s")

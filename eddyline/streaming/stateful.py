@@ -26,11 +26,20 @@ def apply_processor(df: DataFrame, processor, output, *, keys: Sequence[str] = (
 
 
 def running_count_stream(df: DataFrame, *, per_record: bool = False,
-                         ttl: str | None = None) -> DataFrame:
+                         ttl: str | None = None, engine: str = "aggregate") -> DataFrame:
     """ST1 (one row per key and batch, Update) or ST2 (one row per record, Append).
 
-    ``ttl`` expires the count of a key idle for that long (processing time).
+    ST1 with ``engine="aggregate"`` is Spark's own stateful aggregation
+    (``groupBy(key).count()`` in Update mode: JVM-side, partial aggregation
+    before the shuffle, same rows as the processor); ``engine="processor"``
+    runs :class:`CountProcessor` (value state in ``transformWithState``).
+    ``ttl`` expires the count of a key idle for that long (processor only,
+    processing time).
     """
+    if engine not in ("aggregate", "processor"):
+        raise ValueError("engine must be 'aggregate' or 'processor'")
+    if not per_record and not ttl and engine == "aggregate":
+        return df.groupBy("key").agg(F.count(F.lit(1)).alias("running_count"))
     if per_record:
         return apply_processor(df.select("key", "event_id", "event_time"),
                                P.PerRecordCountProcessor(), P.PerRecordCountProcessor.OUTPUT,

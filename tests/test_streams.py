@@ -19,12 +19,13 @@ def _sorted(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("n_files", [1, 3, 5])
-def test_running_count_split_invariant(spark, sf_small, n_files):
+@pytest.mark.parametrize("n_files,engine", [(1, "processor"), (3, "processor"),
+                                            (5, "processor"), (3, "aggregate")])
+def test_running_count_split_invariant(spark, sf_small, n_files, engine):
     batch = keyed.running_count(inputs.decoded_events(spark, sf_small))
     s = inputs.decode_front(inputs.message_stream(spark, sf_small, n_files))
-    got = drain(stateful.running_count_stream(s), output_mode="update", keys=["key"],
-                name="split")
+    got = drain(stateful.running_count_stream(s, engine=engine), output_mode="update",
+                keys=["key"], name="split")
     assert _sorted(got.select("key", "running_count")) == _sorted(batch)
 
 
@@ -58,7 +59,7 @@ def test_restart_from_checkpoint(spark, sf_small):
 
     def run():
         s = inputs.decode_front(file_stream(spark, src, KAFKA_SOURCE_SCHEMA))
-        return drain(stateful.running_count_stream(s), **kw)
+        return drain(stateful.running_count_stream(s, engine="processor"), **kw)
 
     add(0)
     add(1)
