@@ -15,26 +15,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline.functions.durations import duration_us
 
 DEFAULT_MAX_BROADCAST_ROWS = 5_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def _row_width(dt) -> int:
+    """Spark's default size estimates per type (strings/binaries 20 bytes)."""
+    if isinstance(dt, T.StructType):
+        return sum(_row_width(f.dataType) for f in dt.fields)
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return 20
+    if isinstance(dt, (T.ByteType, T.BooleanType)):
+        return 1
+    if isinstance(dt, T.ShortType):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(dt, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
+        return 8
+    if isinstance(dt, T.DecimalType):
+        return 8 if dt.precision <= 18 else 16
+    return 100  # arrays and maps: Spark's own default guess
+
+
+def broadcast_size_ok(table: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """Count the table (one cheap job) and bound its size by rows and by
+    rows × the schema's default row width."""
+    width = _row_width(table.schema) + 8
+    n = table.count()
+    return n <= max_rows and n * width <= max_bytes
 
 
 def enrich(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left", *,
-           broadcast: str | bool = "auto",
-           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+           broadcast: str | bool = "auto", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Stream–table (or table–table) equi-join.
 
-    ``broadcast="auto"`` leaves the choice to Catalyst/AQE, which broadcasts
-    only below ``spark.sql.autoBroadcastJoinThreshold`` (estimated, then
-    measured at run time) and otherwise shuffles.  ``broadcast=True`` counts
-    the table first and hints a broadcast only within
-    ``max_broadcast_rows``; beyond it the join stays a shuffle join.
+    ``broadcast=True`` counts the table first and hints a broadcast only
+    within ``max_broadcast_rows`` rows and ``max_broadcast_bytes``; beyond
+    that the join stays a shuffle join.  Deciding before planning keeps the
+    large side from being shuffled at all.  ``broadcast="auto"`` leaves the
+    choice to Catalyst (estimated size under
+    ``spark.sql.autoBroadcastJoinThreshold``) and AQE (measured size after
+    the shuffle stages ran).
     """
-    if broadcast is True:
-        if table.count() <= max_broadcast_rows:
-            table = F.broadcast(table)
+    if broadcast is True and broadcast_size_ok(table, max_broadcast_rows, max_broadcast_bytes):
+        table = F.broadcast(table)
     return df.join(table, on, how)
 
 

@@ -285,7 +285,8 @@ def customer_dim(spark, sf_dir) -> DataFrame:
 
 
 def enrich_plan(df: DataFrame, dim: DataFrame) -> DataFrame:
-    return joins.enrich(df.select("event_id", "key", "event_type"), dim, "key", "left")
+    return joins.enrich(df.select("event_id", "key", "event_type"), dim, "key", "left",
+                        broadcast=True)
 
 
 @register

@@ -29,11 +29,12 @@ def test_messages_parsed_once(spark, sf_small):
     assert plan.count("from_json(") == 1
 
 
-def test_small_dimension_is_broadcast(spark, sf_small):
+def test_small_dimension_is_broadcast_before_any_fact_shuffle(spark, sf_small):
     df = catalog.enrich_customer(spark, sf_small)
-    df.write.format("noop").mode("overwrite").save()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in final
+    plan = _plan(df)
+    assert "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 2  # nation into customer, dim into events
+    assert "Exchange hashpartitioning" not in plan  # the event side is never shuffled
 
 
 def test_interval_join_keys_on_time_bucket(spark, sf_small):
