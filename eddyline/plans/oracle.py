@@ -405,7 +405,7 @@ SELECT make_timestamp(allb.bucket * {MIN5_MS} * 1000) AS bucket_start, coalesce(
 FROM allb LEFT JOIN rep ON allb.bucket = rep.bucket"""
 
 LAT_SUMMARY = f"""WITH {LAT_BASE}, {_report(HOUR_MS)}
-SELECT sum(n) AS events, count(*) AS buckets, quantile_cont(p99, 0.5) AS median_p99,
+SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS buckets, quantile_cont(p99, 0.5) AS median_p99,
        string_agg(CAST(p99 AS VARCHAR), ',' ORDER BY bucket) AS p99_list
 FROM rep"""
 
