@@ -65,10 +65,30 @@ def count_agg() -> list[Column]:
     return [F.count(F.lit(1)).alias("event_count")]
 
 
-def avg_count_agg(value: str = "value", digits: int | None = 2) -> list[Column]:
-    a = F.avg(value)
-    if digits is not None:
-        a = F.round(a, digits)
+def avg_half_up(value: str, digits: int, value_scale: int) -> Column:
+    """Mean of a column holding decimals with ``value_scale`` places, rounded
+    half-up to ``digits`` places exactly (integer arithmetic on the scaled
+    sum), so the result does not depend on floating-point summation order."""
+    m, k = 10 ** value_scale, 10 ** digits
+    units = F.round(F.col(value) * F.lit(m)).cast("long")
+    num, n = F.sum(units), F.count(units)
+    q = F.floor((F.lit(2 * k) * F.abs(num) + n * F.lit(m)) / (F.lit(2 * m) * n)).cast("long")
+    return (F.signum(num) * q / F.lit(float(k))).cast("double")
+
+
+def avg_count_agg(value: str = "value", digits: int | None = 2,
+                  exact_scale: int | None = None) -> list[Column]:
+    """``avg_value`` (rounded to ``digits``) and ``event_count``.
+
+    ``exact_scale``: the values are decimals with that many places (e.g.
+    money with 2) — the mean is then rounded exactly, see :func:`avg_half_up`.
+    """
+    if exact_scale is not None and digits is not None:
+        a = avg_half_up(value, digits, exact_scale)
+    else:
+        a = F.avg(value)
+        if digits is not None:
+            a = F.round(a, digits)
     return [a.alias("avg_value"), F.count(F.lit(1)).alias("event_count")]
 
 

@@ -496,7 +496,8 @@ def decode_defaults(spark, sf_dir):
 def sliding_avg_jvm(spark, sf_dir):
     """Pattern 03 as the JVM job computes it: missing value counts as 0.0."""
     ev = inputs.jvm_decoded(spark, sf_dir)
-    return windows.sliding(ev, aggs=windows.avg_count_agg(digits=4))
+    # values are 2-decimal doubles; the 4-decimal mean is rounded exactly
+    return windows.sliding(ev, aggs=windows.avg_count_agg(digits=4, exact_scale=2))
 
 
 @register

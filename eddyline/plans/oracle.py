@@ -296,11 +296,14 @@ JVM_EV = """jv AS (
 DEFAULTS = f"WITH {JVM_EV} SELECT event_id, key, event_type, value, event_time FROM jv"
 
 SLIDING_JVM = f"""WITH {JVM_EV},
-w AS (SELECT key, t_us // {MIN_US} * {MIN_US} - i * {MIN_US} AS ws, value
-      FROM jv, range(0, 5) r(i))
+w AS (SELECT key, t_us // {MIN_US} * {MIN_US} - i * {MIN_US} AS ws,
+             CAST(round(value * 100) AS BIGINT) AS cents
+      FROM jv, range(0, 5) r(i)),
+a AS (SELECT key, ws, CAST(sum(cents) AS BIGINT) AS s, count(*) AS n FROM w GROUP BY key, ws)
 SELECT key, make_timestamp(ws) AS window_start, make_timestamp(ws + {5 * MIN_US}) AS window_end,
-       round(avg(value), 4) AS avg_value, count(*) AS event_count
-FROM w GROUP BY key, ws"""
+       sign(s) * ((20000 * abs(s) + n * 100) // (200 * n)) / 10000.0::DOUBLE AS avg_value,
+       n AS event_count
+FROM a"""
 
 PASSTHROUGH_DOCS = f"""WITH {EV}
 SELECT key, {JSON} AS value FROM ev WHERE event_type IN ('click', 'purchase')"""
