@@ -43,7 +43,8 @@ def _render_frame(pdf: pd.DataFrame) -> pd.DataFrame:
     g = pdf.groupby(["key", "ws", "we"], sort=False, dropna=False)["value"].mean().fillna(0.0)
     g = g.reset_index()
     fmt = "%Y-%m-%d %H:%M:%S"
-    lines = ("key=" + g["key"].astype(str) + " window=[" + g["ws"].dt.strftime(fmt) + " .. "
+    key = g["key"].astype(object).where(g["key"].notna(), "null").astype(str)  # as %s of null
+    lines = ("key=" + key + " window=[" + g["ws"].dt.strftime(fmt) + " .. "
              + g["we"].dt.strftime(fmt) + ") avg_value=" + g["value"].map("{:.4f}".format))
     return pd.DataFrame({"line": lines})
 
@@ -84,27 +85,27 @@ def render_window_groups(df: DataFrame, duration: str, slide: str | None = None,
 class AverageAccumulator:
     """create / add / merge / result of an average, vectorised over groups.
 
-    ``add`` folds a frame into per-group partials ``(sum, count)``; ``merge``
-    combines partials of the same groups; ``result`` is ``sum / count`` with
-    0.0 for an empty group (nulls are skipped, as the built-in ``avg``).
+    ``add`` folds a frame into per-group partials ``(sum, count, rows)``;
+    ``merge`` combines two partials of one group; ``result`` is
+    ``sum / count`` with 0.0 for a group without values (nulls are skipped,
+    as the built-in ``avg``).
     """
 
+    FIELDS = ("_sum", "_cnt", "_rows")
+
     @staticmethod
-    def create(keys) -> pd.DataFrame:
-        return pd.DataFrame(columns=[*keys, "_sum", "_cnt", "_rows"])
+    def create() -> dict:
+        return {"_sum": 0.0, "_cnt": 0, "_rows": 0}
 
     @staticmethod
     def add(pdf: pd.DataFrame, keys, value: str) -> pd.DataFrame:
         g = pdf.groupby(list(keys), sort=False, dropna=False)[value]
-        return pd.DataFrame({"_sum": g.sum(min_count=1), "_cnt": g.count(),
+        return pd.DataFrame({"_sum": g.sum(), "_cnt": g.count(),
                              "_rows": g.size()}).reset_index()
 
     @staticmethod
-    def merge(a: pd.DataFrame, b: pd.DataFrame, keys) -> pd.DataFrame:
-        both = pd.concat([a, b], ignore_index=True)
-        return both.groupby(list(keys), sort=False, dropna=False).agg(
-            _sum=("_sum", lambda s: s.sum(min_count=1)), _cnt=("_cnt", "sum"),
-            _rows=("_rows", "sum")).reset_index()
+    def merge(a, b) -> dict:
+        return {f: a[f] + b[f] for f in AverageAccumulator.FIELDS}
 
     @staticmethod
     def result(part: pd.DataFrame) -> pd.Series:
@@ -116,35 +117,44 @@ def accumulate_by_group(df: DataFrame, keys, value: str, out_schema: str,
                         acc=AverageAccumulator) -> DataFrame:
     """Run an accumulator per group of ``keys`` with vectorised pandas.
 
-    Rows are hash-clustered on the keys and each partition sorted, then
-    ``mapInPandas`` folds Arrow batches with ``add``; a group cut by a batch
-    boundary is completed with ``merge`` before ``result``.  Output columns:
-    the keys, ``result``, ``rows``.
+    Rows are hash-clustered on the keys and each partition sorted, so a
+    group's rows are contiguous.  ``mapInPandas`` folds each Arrow batch into
+    per-group partials with ``add``; only the batch's last group can continue
+    into the next batch, so its partial is carried and combined with
+    ``merge``.  Memory is one batch plus one partial, whatever the group
+    size.  Output columns: the keys, ``result``, ``rows``.
     """
     keys = list(keys)
     clustered = df.select(*keys, value).repartition(*keys).sortWithinPartitions(*keys)
 
-    def emit(rows: pd.DataFrame) -> pd.DataFrame:
-        part = acc.add(rows, keys, value)
-        return part[keys].assign(result=acc.result(part).values,
-                                 rows=part["_rows"].astype("int64").values)
+    def same_group(a, b) -> bool:
+        return all((a[k] == b[k]) or (pd.isna(a[k]) and pd.isna(b[k])) for k in keys)
+
+    def emit(part: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({k: part[k].astype(object).where(part[k].notna(), None).values
+                            for k in keys})
+        out["result"] = acc.result(part).values
+        out["rows"] = part["_rows"].astype("int64").values
+        return out
 
     def run(batches):
-        carry = None
+        carry = None  # partial of the last group seen, as a one-row frame
         for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            # the last group of a sorted batch may continue in the next batch
-            last = pdf[keys].iloc[-1]
-            tail = pd.Series(True, index=pdf.index)
-            for k in keys:
-                tail &= (pdf[k] == last[k]) | (pdf[k].isna() & pd.isna(last[k]))
-            carry, done = pdf[tail], pdf[~tail]
+            part = acc.add(pdf, keys, value)
+            if carry is not None:
+                first = part.iloc[0]
+                if same_group(carry.iloc[0], first):
+                    merged = acc.merge(carry.iloc[0], first)
+                    for f, v in merged.items():
+                        part.at[part.index[0], f] = v
+                else:
+                    yield emit(carry)
+            carry, done = part.iloc[[-1]].reset_index(drop=True), part.iloc[:-1]
             if len(done):
                 yield emit(done)
-        if carry is not None and len(carry):
+        if carry is not None:
             yield emit(carry)
 
     return clustered.mapInPandas(run, out_schema)

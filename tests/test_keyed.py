@@ -110,3 +110,22 @@ def test_dup_fixture(spark):
     assert sorted(r.event_id for r in dedup(df, ["event_id"]).collect()) == ["e1", "e2"]
     last = latest_per_key(df.withColumn("v", F.lit(0)), ["key"], ["event_time", "event_id"])
     assert sorted((r.key, r.event_id) for r in last.collect()) == [("a", "e1"), ("b", "e2")]
+
+
+def test_accumulator_groups_across_arrow_batches(spark):
+    from eddyline.functions import udfs
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [("a" if i < 50 else ("b" if i < 53 else None), float(i) if i % 5 else None)
+                for i in range(60)]
+        df = spark.createDataFrame(rows, "key string, value double")
+        got = {r.key: (round(r.result, 6), r.rows) for r in udfs.accumulate_by_group(
+            df, ["key"], "value", "key string, result double, rows long").collect()}
+        pdf = df.toPandas()
+        exp = {}
+        for k, g in pdf.groupby(pdf.key.fillna("<n>")):
+            v = g.value.dropna()
+            exp[None if k == "<n>" else k] = (round(v.mean(), 6) if len(v) else 0.0, len(g))
+        assert got == exp
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
