@@ -96,7 +96,7 @@ def sliding_avg_docs(spark, sf_dir):
 
 @register
 def sliding_panes_avg(spark, sf_dir):
-    return sliding_panes(inputs.decoded_events(spark, sf_dir))
+    return sliding_panes(inputs.typed_events(spark, sf_dir))
 
 
 @register
@@ -108,7 +108,7 @@ def sliding_avg_stream(spark, sf_dir):
 @register
 def windowed_stats(spark, sf_dir):
     """Sum / min / max / avg / count per key and hour (named built-ins)."""
-    return tumbling(inputs.decoded_events(spark, sf_dir), "1 hour", aggs=stats_agg())
+    return tumbling(inputs.typed_events(spark, sf_dir), "1 hour", aggs=stats_agg())
 
 
 # ── pattern 04 and the other per-key state operators ──────────────────────
@@ -164,12 +164,12 @@ def running_last_type_stream(spark, sf_dir):
 
 @register
 def running_sum(spark, sf_dir):
-    return keyed.running_sum(inputs.decoded_events(spark, sf_dir))
+    return keyed.running_sum(inputs.typed_events(spark, sf_dir))
 
 
 @register
 def recent_list(spark, sf_dir):
-    return keyed.collect_recent(inputs.decoded_events(spark, sf_dir), 3)
+    return keyed.collect_recent(inputs.typed_events(spark, sf_dir), 3)
 
 
 @register
@@ -180,7 +180,7 @@ def recent_list_stream(spark, sf_dir):
 
 @register
 def type_map(spark, sf_dir):
-    return keyed.counts_by_type(inputs.decoded_events(spark, sf_dir))
+    return keyed.counts_by_type(inputs.typed_events(spark, sf_dir))
 
 
 @register
@@ -191,7 +191,7 @@ def type_map_stream(spark, sf_dir):
 
 @register
 def fold_state(spark, sf_dir):
-    return keyed.fold_state(inputs.decoded_events(spark, sf_dir))
+    return keyed.fold_state(inputs.typed_events(spark, sf_dir))
 
 
 @register
@@ -208,7 +208,7 @@ INACTIVITY_GAP = "6 hours"
 
 @register
 def inactivity_alerts(spark, sf_dir):
-    return keyed.inactivity_alerts(inputs.decoded_events(spark, sf_dir), INACTIVITY_GAP)
+    return keyed.inactivity_alerts(inputs.typed_events(spark, sf_dir), INACTIVITY_GAP)
 
 
 @register
@@ -221,7 +221,7 @@ def inactivity_alerts_stream(spark, sf_dir):
 
 @register
 def funnel_states(spark, sf_dir):
-    return keyed.funnel_states(inputs.decoded_events(spark, sf_dir))
+    return keyed.funnel_states(inputs.typed_events(spark, sf_dir))
 
 
 @register
@@ -239,7 +239,7 @@ def _views_clicks(df: DataFrame):
 
 @register
 def co_process(spark, sf_dir):
-    views, clicks = _views_clicks(inputs.decoded_events(spark, sf_dir))
+    views, clicks = _views_clicks(inputs.typed_events(spark, sf_dir))
     return keyed.co_process(views, clicks, CO_BOUND)
 
 
@@ -256,7 +256,7 @@ SESSION_GAP = "2 hours"
 
 @register
 def sessions(spark, sf_dir):
-    return windows.sessions(inputs.decoded_events(spark, sf_dir), SESSION_GAP)
+    return windows.sessions(inputs.typed_events(spark, sf_dir), SESSION_GAP)
 
 
 @register
@@ -291,7 +291,7 @@ def enrich_plan(df: DataFrame, dim: DataFrame) -> DataFrame:
 
 @register
 def enrich_customer(spark, sf_dir):
-    return enrich_plan(inputs.decoded_events(spark, sf_dir), customer_dim(spark, sf_dir))
+    return enrich_plan(inputs.typed_events(spark, sf_dir), customer_dim(spark, sf_dir))
 
 
 @register
@@ -328,14 +328,14 @@ def _pairs_out(df: DataFrame) -> DataFrame:
 
 @register
 def interval_join(spark, sf_dir):
-    views, clicks = _sides(inputs.decoded_events(spark, sf_dir))
+    views, clicks = _sides(inputs.typed_events(spark, sf_dir))
     return _pairs_out(joins.interval_join(views, clicks, JOIN_BOUND, left_time="view_time",
                                           right_time="click_time"))
 
 
 @register
 def interval_join_left(spark, sf_dir):
-    views, clicks = _sides(inputs.decoded_events(spark, sf_dir))
+    views, clicks = _sides(inputs.typed_events(spark, sf_dir))
     return _pairs_out(joins.interval_join(views, clicks, JOIN_BOUND, left_time="view_time",
                                           right_time="click_time", how="left",
                                           left_id="view_id"))
@@ -365,7 +365,7 @@ def interval_join_left_stream(spark, sf_dir):
 
 @register
 def window_join(spark, sf_dir):
-    views, clicks = _sides(inputs.decoded_events(spark, sf_dir))
+    views, clicks = _sides(inputs.typed_events(spark, sf_dir))
     return joins.window_cogroup(views, clicks, "1 hour", left_time="view_time",
                                 right_time="click_time")
 
@@ -404,7 +404,7 @@ def dedup_within_watermark_stream(spark, sf_dir):
 
 @register
 def latest_per_key(spark, sf_dir):
-    ev = inputs.decoded_events(spark, sf_dir).select("key", "event_id", "event_type",
+    ev = inputs.typed_events(spark, sf_dir).select("key", "event_id", "event_type",
                                                      "event_time")
     out = dedup_ops.latest_per_key(ev, ["key"], ["event_time", "event_id"])
     return out.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
@@ -431,7 +431,7 @@ def complete_stream(spark, sf_dir):
 # ── union and branches ─────────────────────────────────────────────────────
 @register
 def union_streams(spark, sf_dir):
-    u = sets.union_streams(inputs.decoded_events(spark, sf_dir),
+    u = sets.union_streams(inputs.typed_events(spark, sf_dir),
                            inputs.order_events(spark, sf_dir))
     return windows.tumbling(u, "1 day", keys=["event_type"])
 
@@ -511,20 +511,20 @@ def passthrough_docs(spark, sf_dir):
 @register
 def sliding_avg_lines(spark, sf_dir):
     """Window renderer: ``key=K window=[a .. b) avg_value=X.XXXX``."""
-    return render_window_line(sliding(inputs.decoded_events(spark, sf_dir),
+    return render_window_line(sliding(inputs.typed_events(spark, sf_dir),
                                       aggs=windows.avg_count_agg(digits=None)))
 
 
 @register
 def running_count_lines(spark, sf_dir):
     """Per-record counter output rendered ``key=K count=N``."""
-    return render_count_line(keyed.running_count(inputs.decoded_events(spark, sf_dir),
+    return render_count_line(keyed.running_count(inputs.typed_events(spark, sf_dir),
                                                  per_record=True))
 
 
 # ── late rows ──────────────────────────────────────────────────────────────
 def _late_input(spark, sf_dir) -> DataFrame:
-    return inputs.arrival_order(inputs.decoded_events(spark, sf_dir))
+    return inputs.arrival_order(inputs.typed_events(spark, sf_dir))
 
 
 def late_kw() -> dict:
@@ -554,18 +554,18 @@ def latency_input(df: DataFrame) -> DataFrame:
 
 @register
 def latency_report(spark, sf_dir):
-    return latency.latency_report(latency_input(inputs.decoded_events(spark, sf_dir)), "1 hour")
+    return latency.latency_report(latency_input(inputs.typed_events(spark, sf_dir)), "1 hour")
 
 
 @register
 def latency_empty_buckets(spark, sf_dir):
-    return latency.latency_buckets(latency_input(inputs.decoded_events(spark, sf_dir)),
+    return latency.latency_buckets(latency_input(inputs.typed_events(spark, sf_dir)),
                                    "5 minutes")
 
 
 @register
 def latency_summary(spark, sf_dir):
-    rep = latency.latency_report(latency_input(inputs.decoded_events(spark, sf_dir)), "1 hour")
+    rep = latency.latency_report(latency_input(inputs.typed_events(spark, sf_dir)), "1 hour")
     return latency.latency_summary(rep)
 
 
@@ -573,7 +573,7 @@ def latency_summary(spark, sf_dir):
 def latency_matrix(spark, sf_dir):
     """Per pattern (event type): median over runs (days) of each run's
     median bucket p99."""
-    ev = latency_input(inputs.decoded_events(spark, sf_dir))
+    ev = latency_input(inputs.typed_events(spark, sf_dir))
     ev = ev.withColumn("pattern", F.col("event_type")).withColumn(
         "run", latency.bucket_of("received_at", "1 day"))
     rep = latency.latency_report(ev, "1 hour", group=["pattern", "run"])
@@ -602,7 +602,7 @@ def latency_report_stream(spark, sf_dir):
 # ── several state variables, TTL, processing-time timers ──────────────────
 @register
 def key_profile(spark, sf_dir):
-    return keyed.key_profile(inputs.decoded_events(spark, sf_dir))
+    return keyed.key_profile(inputs.typed_events(spark, sf_dir))
 
 
 @register
@@ -666,7 +666,7 @@ def foreach_rows_stream(spark, sf_dir):
 @register
 def sliding_avg_udaf(spark, sf_dir):
     """Pattern 03 with the average as a custom aggregate (pandas UDAF)."""
-    ev = inputs.decoded_events(spark, sf_dir)
+    ev = inputs.typed_events(spark, sf_dir)
     w = ev.select("key", "value", F.window("event_time", "5 minutes", "1 minute").alias("w"))
     g = w.select("key", "value", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                  F.col("w.end").cast("timestamp_ntz").alias("window_end"))
@@ -685,7 +685,7 @@ def sliding_avg_pandas_udaf(spark, sf_dir):
     the slow path, kept for users of per-group aggregate functions)."""
     aggs = [udfs.avg_accumulator("value").alias("avg_value"),
             udfs.count_rows("value").alias("event_count")]
-    out = sliding(inputs.decoded_events(spark, sf_dir), aggs=aggs)
+    out = sliding(inputs.typed_events(spark, sf_dir), aggs=aggs)
     return out.withColumn("avg_value", F.round("avg_value", 2))
 
 
@@ -699,7 +699,7 @@ def pandas_udf_stream(spark, sf_dir):
 @register
 def window_process_lines(spark, sf_dir):
     """Window process function: each (key, window) group rendered in pandas."""
-    return udfs.render_window_groups(inputs.decoded_events(spark, sf_dir), "5 minutes",
+    return udfs.render_window_groups(inputs.typed_events(spark, sf_dir), "5 minutes",
                                      "1 minute")
 
 

@@ -41,3 +41,13 @@ def test_interval_join_keys_on_time_bucket(spark, sf_small):
     plan = _plan(catalog.interval_join(spark, sf_small))
     assert "_b" in plan and ("SortMergeJoin" in plan or "BroadcastHashJoin" in plan)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_typed_inputs_push_type_filters_to_scan(spark, sf_small):
+    plan = _plan(catalog.interval_join(spark, sf_small))
+    assert "EqualTo(event_type,view)" in plan and "EqualTo(event_type,click)" in plan
+    pruned = _plan(catalog.running_count(spark, sf_small))
+    assert "from_json" in pruned  # pattern 04 keeps the message decode
+    latest = _plan(catalog.latest_per_key(spark, sf_small))
+    assert "from_json" not in latest and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz," \
+        "user_id:bigint,event_type:string>" in latest
