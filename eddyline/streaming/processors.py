@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
@@ -30,6 +31,11 @@ def _sorted(rows: Iterator[pd.DataFrame], cols: Sequence[str]) -> pd.DataFrame:
     return pdf.sort_values(["event_time", "event_id"], kind="stable", ignore_index=True)
 
 
+def _nullable(col: pd.Series):
+    """Object values with ``None`` for missing (Arrow string conversion)."""
+    return col.astype(object).where(col.notna(), None).values
+
+
 def _ms(ts: pd.Series) -> pd.Series:
     return (pd.to_datetime(ts, utc=True).astype("int64") // 1_000_000).astype("int64")
 
@@ -244,14 +250,17 @@ class InactivityProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["event_id", "event_time"])
-        times = list(_ms(pdf["event_time"])) if len(pdf) else []
+        times = _ms(pdf["event_time"]).to_numpy() if len(pdf) else np.empty(0, "int64")
         prev, timer = self.last.get() if self.last.exists() else (None, None)
-        last_t, alert_t = [], []
-        for t in times:
-            if not self.processing_time and prev is not None and t - prev > self.gap_ms:
-                last_t.append(prev)
-                alert_t.append(prev + self.gap_ms)
-            prev = t
+        last_t = np.empty(0, "int64")
+        if len(times):
+            # vectorised: gaps between consecutive events (and from the stored one)
+            seq = times if prev is None else np.concatenate([[prev], times])
+            if not self.processing_time:
+                gaps = np.diff(seq) > self.gap_ms
+                last_t = seq[:-1][gaps]
+            prev = int(times[-1])
+        alert_t = last_t + self.gap_ms
         if timer is not None:
             self.handle.deleteTimer(timer)
         if prev is not None:
@@ -261,7 +270,7 @@ class InactivityProcessor(StatefulProcessor):
                 timer = prev + self.gap_ms
             self.handle.registerTimer(timer)
             self.last.update((prev, timer))
-        if last_t:
+        if len(last_t):
             yield pd.DataFrame({"key": [_key(key)] * len(last_t),
                                 "last_event_time": self._ts(last_t),
                                 "alert_time": self._ts(alert_t)})
@@ -312,11 +321,24 @@ class SessionProcessor(StatefulProcessor):
         closed = []
         if cur is not None:
             self.handle.deleteTimer(cur[1] + self.gap_ms)
-        for t in (_ms(pdf["event_time"]) if len(pdf) else []):
-            if cur is not None and t - cur[1] >= self.gap_ms:
-                closed.append((cur[0], cur[1] + self.gap_ms, cur[2]))
-                cur = None
-            cur = (t, t, 1) if cur is None else (cur[0], t, cur[2] + 1)
+        if len(pdf):
+            t = _ms(pdf["event_time"]).to_numpy()
+            # a row opens a session when its gap to the previous row is >= gap
+            prev = np.concatenate([[cur[1] if cur is not None else t[0]], t[:-1]])
+            opens = (t - prev) >= self.gap_ms
+            if cur is None:
+                opens[0] = True
+            sid = np.cumsum(opens)  # 0 = continues the stored session
+            starts = pd.Series(t).groupby(sid).agg(["min", "max", "size"])
+            for s_id, row in starts.iterrows():
+                start, last, n = int(row["min"]), int(row["max"]), int(row["size"])
+                if s_id == 0:
+                    start, n = cur[0], cur[2] + n
+                closed.append((start, last, n))
+            if cur is not None and sid[0] > 0:
+                closed.insert(0, (cur[0], cur[1], cur[2]))
+            cur = closed.pop()  # the newest session stays open
+            closed = [(a, b + self.gap_ms, n) for a, b, n in closed]
         if cur is not None:
             self.sess.update(cur)
             self.handle.registerTimer(cur[1] + self.gap_ms)
@@ -351,28 +373,29 @@ class CoProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["event_id", "event_time", "is_left"])
         vid, vt = self.view.get() if self.view.exists() else (None, None)
-        out = {"click_id": [], "click_time": [], "view_id": [], "view_t": []}
-        for eid, et, is_left in zip(pdf["event_id"], _ms(pdf["event_time"]) if len(pdf) else [],
-                                    pdf["is_left"]):
-            if is_left:
-                vid, vt = eid, int(et)
-                continue
-            fresh = vt is not None and et - vt <= self.bound_ms
-            out["click_id"].append(eid)
-            out["click_time"].append(int(et))
-            out["view_id"].append(vid if fresh else None)
-            out["view_t"].append(vt if fresh else None)
-        if vid is not None:
-            self.view.update((vid, vt))
-        if out["click_id"]:
-            n = len(out["click_id"])
-            yield pd.DataFrame({
-                "key": [_key(key)] * n, "click_id": out["click_id"],
-                "click_time": pd.to_datetime(pd.Series(out["click_time"], dtype="int64"),
-                                             unit="ms", utc=True),
-                "view_id": out["view_id"],
-                "view_time": pd.to_datetime(pd.Series(out["view_t"], dtype="Int64"),
-                                            unit="ms", utc=True)})
+        if len(pdf):
+            t = _ms(pdf["event_time"])
+            left = pdf["is_left"].astype(bool)
+            # latest left row at or before each row: forward fill, seeded by state
+            last_id = pdf["event_id"].where(left).ffill()
+            last_t = t.where(left).ffill()
+            if vid is not None:
+                last_id = last_id.fillna(vid)
+                last_t = last_t.fillna(vt)
+            right = ~left
+            fresh = right & last_t.notna() & ((t - last_t) <= self.bound_ms)
+            if left.any():
+                vid, vt = pdf["event_id"][left].iloc[-1], int(t[left].iloc[-1])
+                self.view.update((vid, vt))
+            if right.any():
+                view_t = last_t.where(fresh)[right]
+                yield pd.DataFrame({
+                    "key": [_key(key)] * int(right.sum()),
+                    "click_id": pdf["event_id"][right].values,
+                    "click_time": pd.to_datetime(t[right].values, unit="ms", utc=True),
+                    "view_id": _nullable(last_id.where(fresh)[right]),
+                    "view_time": pd.to_datetime(view_t.astype("Int64").values, unit="ms",
+                                                utc=True)})
 
     def close(self):
         pass
