@@ -1,7 +1,7 @@
 """Trigger selection: micro-batch, drain-and-stop, or real-time mode.
 
 PySpark's ``trigger()`` has no real-time argument; Spark 4.1's public
-``RealTimeTrigger`` is set on the JVM writer.  Real-time mode needs a
+``Trigger.RealTime`` is set on the JVM writer.  Real-time mode needs a
 source that supports it (Kafka), Update output mode, and — for stateful
 operators — ``spark.sql.streaming.realTimeMode.allowlistCheck=false``.
 """
@@ -11,16 +11,19 @@ from __future__ import annotations
 from pyspark.sql.streaming import DataStreamWriter
 
 from eddyline.config import PipelineConfig
+from eddyline.functions.durations import duration_us
 
 RTM_ALLOWLIST_CONF = "spark.sql.streaming.realTimeMode.allowlistCheck"
 
 
 def real_time_trigger(writer: DataStreamWriter, checkpoint_interval: str = "5 minutes"):
-    """Set the real-time trigger (checkpoint every ``checkpoint_interval``)."""
-    jvm = writer._spark._jvm
-    jtrigger = jvm.org.apache.spark.sql.execution.streaming.RealTimeTrigger.apply(
-        checkpoint_interval)
-    writer._jwrite = writer._jwrite.trigger(jtrigger)
+    """Set real-time mode with the public ``Trigger.RealTime(intervalMs)``
+    factory; PySpark's ``trigger()`` cannot express it, so the JVM writer is
+    configured directly.  ``checkpoint_interval`` is how often progress is
+    checkpointed."""
+    interval_ms = duration_us(checkpoint_interval) // 1000
+    triggers = writer._spark._jvm.org.apache.spark.sql.streaming.Trigger
+    writer._jwrite = writer._jwrite.trigger(triggers.RealTime(interval_ms))
     return writer
 
 
