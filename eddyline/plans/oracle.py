@@ -455,3 +455,18 @@ ORACLE.update({
     "pandas_udf_stream": VALUE_BAND,
     "window_process_lines": SLIDING_LINES,
 })
+
+
+LATE_STREAM = f"""WITH {EV},
+a AS (SELECT *, CAST(event_id AS BIGINT) + (CAST(event_id AS BIGINT) * 7919) % 13 AS seq FROM ev),
+b AS (SELECT min(seq) AS lo, max(seq) AS hi FROM a),
+c AS (SELECT a.*, least(floor(CAST(seq - lo AS DOUBLE) / (CAST(hi - lo AS DOUBLE) / 3.0::DOUBLE)),
+                       2) AS batch
+      FROM a, b),
+m AS (SELECT batch, max(t_us) AS mx FROM c GROUP BY batch),
+p AS (SELECT c.*, (SELECT max(mx) FROM m WHERE m.batch < c.batch) AS prev FROM c)
+SELECT event_id, key, make_timestamp(t_us) AS event_time,
+       coalesce(t_us // {MIN_US} * {MIN_US} + {MIN_US} <= prev - 10000000, false) AS is_late
+FROM p"""
+
+ORACLE["late_split_stream"] = LATE_STREAM

@@ -50,11 +50,11 @@ def orders_as_events(df: DataFrame) -> DataFrame:
 
 
 def to_messages(events: DataFrame, topic: str = "benchmark-input",
-                partitions: int = 16) -> DataFrame:
+                partitions: int = 16, offset: Column | None = None) -> DataFrame:
     """Event records → rows shaped like the Kafka source (key/value bytes).
 
     ``value`` is the JSON text of the record, exactly what a producer sends;
-    ``offset`` is per-partition arrival order by ``produced_at``.
+    ``offset`` is the arrival order (``produced_at`` unless given).
     """
     payload = F.to_json(F.struct(*[F.col(c) for c in EVENT_COLUMNS]))
     return events.select(
@@ -62,7 +62,7 @@ def to_messages(events: DataFrame, topic: str = "benchmark-input",
         payload.cast("binary").alias("value"),
         F.lit(topic).alias("topic"),
         F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int").alias("partition"),
-        F.col("produced_at").alias("offset"),
+        (offset if offset is not None else F.col("produced_at")).cast("long").alias("offset"),
         F.timestamp_millis("produced_at").alias("timestamp"),
         F.lit(0).alias("timestampType"),
     )
