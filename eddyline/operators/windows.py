@@ -104,9 +104,25 @@ def tumbling(df: DataFrame, duration: str = TUMBLING_WINDOW,
     return windowed_agg(df, duration, aggs or count_agg(), **kw)
 
 
+PANES_MIN_RATIO = 4
+
+
 def sliding(df: DataFrame, duration: str = SLIDING_WINDOW, slide: str = SLIDING_SLIDE,
-            aggs: Sequence[Column] | None = None, **kw) -> DataFrame:
-    """Pattern 03: average and count per (key, sliding window)."""
+            aggs: Sequence[Column] | None = None, *, panes: str | bool = "auto",
+            **kw) -> DataFrame:
+    """Pattern 03: average and count per (key, sliding window).
+
+    With the default aggregates on a table, and a window of at least
+    ``PANES_MIN_RATIO`` slides, rows are aggregated once into panes instead
+    of being copied into every window (``panes=False`` forces the copy).
+    """
+    ratio = duration_us(duration) / duration_us(slide)
+    use_panes = (panes is True or (panes == "auto" and ratio >= PANES_MIN_RATIO)) \
+        and aggs is None and not df.isStreaming and ratio == int(ratio)
+    if use_panes:
+        keys = kw.get("keys", ("key",))
+        return sliding_panes(df, duration, slide, keys=keys,
+                             time_col=kw.get("time_col", EVENT_TIME))
     return windowed_agg(df, duration, aggs or avg_count_agg(), slide=slide, **kw)
 
 

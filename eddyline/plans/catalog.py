@@ -80,7 +80,7 @@ def sliding_avg_plan(df: DataFrame, duration=None, slide=None) -> DataFrame:
     kw = {}
     if duration:
         kw = {"duration": duration, "slide": slide}
-    return sliding(with_event_time(df), aggs=avg_count_agg(), **kw)
+    return sliding(with_event_time(df), **kw)
 
 
 @register
