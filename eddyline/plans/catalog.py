@@ -21,7 +21,7 @@ from eddyline.operators import dedup as dedup_ops
 from eddyline.operators import joins, keyed, late, latency, sets, windows
 from eddyline.operators.filters import keep_types
 from eddyline.operators.windows import (
-    avg_count_agg, sliding, sliding_panes, stats_agg, tumbling, with_event_time,
+    sliding, sliding_panes, stats_agg, tumbling, with_event_time,
 )
 from eddyline.plans import inputs
 from eddyline.schema import SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
