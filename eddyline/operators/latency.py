@@ -58,8 +58,11 @@ def report_from_histogram(hist: DataFrame, bucket: str, *, group: Sequence[str]
         F.sum("_c").alias("n"), *picks,
         (F.sum(F.col("_lat") * F.col("_c")) / F.sum("_c")).alias("mean"),
         F.min("_lat").alias("min"), F.max("_lat").alias("max"))
-    last = Window.partitionBy(*group)
-    rep = rep.withColumn("is_partial", F.col("bucket") == F.max("bucket").over(last))
+    if group:
+        last = F.max("bucket").over(Window.partitionBy(*group))
+    else:  # one run: the last bucket as a scalar subquery, not a one-task window
+        last = hist.agg(F.max("bucket")).scalar()
+    rep = rep.withColumn("is_partial", F.col("bucket") == last)
     return rep.select(*group, F.timestamp_millis(F.col("bucket") * F.lit(w_ms))
                       .cast("timestamp_ntz").alias("bucket_start"),
                       *[c for c in rep.columns if c not in (*group, "bucket")])
