@@ -7,7 +7,9 @@ These are the table twins of the stateful processors in
 gives the same final rows.  Ordered per-key scans use the chunked two-level
 scans of :mod:`eddyline.operators.scan`, so one hot key is spread over its
 time chunks instead of landing in one task.  Order within a key is
-``(event_time, event_id)``.
+``(event_time, event_id)``.  Only keys with more than ``hot_rows`` rows are
+split into time chunks (:func:`eddyline.operators.scan.hot_key_chunks`);
+``hot_rows=None`` chunks every key.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.durations import duration_us, shift
 from eddyline.operators.scan import (
-    chunked_last_non_null, chunked_neighbors, chunked_running_sum, time_chunk,
+    DEFAULT_HOT_ROWS, chunked_last_non_null, chunked_neighbors, chunked_running_sum,
+    hot_key_chunks, time_chunk,
 )
 
 ORDER = ("event_time", "event_id")
@@ -30,8 +33,16 @@ def _ntz(c):
     return c.cast("timestamp_ntz")
 
 
+def _chunked(df: DataFrame, keys, chunk: str, hot_rows: int | None) -> DataFrame:
+    """Add ``_ck``: the time chunk for hot keys (all keys if ``hot_rows`` is None)."""
+    base = time_chunk("event_time", chunk)
+    if hot_rows is None:
+        return df.withColumn("_ck", base)
+    return hot_key_chunks(df, list(keys), base, "_ck", hot_rows=hot_rows)
+
+
 def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record: bool = False,
-                  chunk: str = CHUNK_WIDTH) -> DataFrame:
+                  chunk: str = CHUNK_WIDTH, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Running count per key.
 
     Final form (one row per key, the last value a processor emits):
@@ -41,8 +52,8 @@ def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record:
     keys = list(keys)
     if not per_record:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("running_count"))
-    out = chunked_running_sum(df.select(*keys, "event_id", "event_time"), keys, ORDER,
-                              time_chunk("event_time", chunk), {"running_count": F.lit(1)})
+    d = _chunked(df.select(*keys, "event_id", "event_time"), keys, chunk, hot_rows)
+    out = chunked_running_sum(d, keys, ORDER, F.col("_ck"), {"running_count": F.lit(1)})
     return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"),
                       F.col("running_count").cast("long").alias("running_count"))
 
@@ -55,18 +66,19 @@ def running_last_type(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFram
 
 
 def running_sum(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key",), *,
-                chunk: str = CHUNK_WIDTH) -> DataFrame:
+                chunk: str = CHUNK_WIDTH, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Generic accumulator: per-record running total of ``value``."""
     keys = list(keys)
-    out = chunked_running_sum(df.select(*keys, "event_id", "event_time", value), keys, ORDER,
-                              time_chunk("event_time", chunk),
+    d = _chunked(df.select(*keys, "event_id", "event_time", value), keys, chunk, hot_rows)
+    out = chunked_running_sum(d, keys, ORDER, F.col("_ck"),
                               {"running_sum": F.col(value).cast("long")})
     return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"),
                       F.col("running_sum"))
 
 
 def collect_recent(df: DataFrame, n: int = 3, item: str = "event_id",
-                   keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH) -> DataFrame:
+                   keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
+                   hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Last ``n`` items per key, oldest first, as ``a,b,c`` text.
 
     Two levels: top-``n`` inside each ``(key, chunk)``, then top-``n`` of
@@ -74,7 +86,8 @@ def collect_recent(df: DataFrame, n: int = 3, item: str = "event_id",
     """
     keys = list(keys)
     ordk = F.struct(*[F.col(c) for c in ORDER])
-    d = df.select(*keys, item, *ORDER).withColumn("_chunk", time_chunk("event_time", chunk))
+    d = _chunked(df.select(*keys, item, *ORDER), keys, chunk, hot_rows) \
+        .withColumnRenamed("_ck", "_chunk")
     w = Window.partitionBy(*keys, "_chunk").orderBy(F.col("event_time").desc(),
                                                      F.col("event_id").desc())
     cand = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
@@ -99,7 +112,8 @@ def fold_state(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key"
 
 
 def inactivity_alerts(df: DataFrame, gap: str, delay: str | None = "10 seconds",
-                      keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH) -> DataFrame:
+                      keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
+                      hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Alert when a key has no event for more than ``gap`` of event time.
 
     An event alerts at ``t + gap`` if the key's next event comes later than
@@ -109,9 +123,8 @@ def inactivity_alerts(df: DataFrame, gap: str, delay: str | None = "10 seconds",
     keys = list(keys)
     gap_us = duration_us(gap)
     delay_us = duration_us(delay) if delay else 0
-    base = df.select(*keys, *ORDER)
-    nxt = chunked_neighbors(base, keys, ORDER, time_chunk("event_time", chunk), "event_time",
-                            next_out="_next")
+    base = _chunked(df.select(*keys, *ORDER), keys, chunk, hot_rows)
+    nxt = chunked_neighbors(base, keys, ORDER, F.col("_ck"), "event_time", next_out="_next")
     # final watermark as a scalar subquery: computed once, then a literal.
     final_wm = df.agg((F.max(F.unix_micros("event_time")) - F.lit(delay_us))).scalar()
     t_us = F.unix_micros("event_time")
@@ -140,7 +153,8 @@ def _completes(state: str, typ: str, steps: Sequence[str]) -> str:
 
 
 def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
-                  keys: Sequence[str] = ("key",), *, chunk: str = "1 minute") -> DataFrame:
+                  keys: Sequence[str] = ("key",), *, chunk: str = "1 minute",
+                  hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Per-key funnel: only the expected next step advances the stage; the
     last step completes a funnel and resets the stage to 0.
 
@@ -153,8 +167,8 @@ def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     """
     keys = list(keys)
     n = len(steps)
-    d = df.select(*keys, *ORDER, "event_type").withColumn(
-        "_chunk", time_chunk("event_time", chunk))
+    d = _chunked(df.select(*keys, *ORDER, "event_type"), keys, chunk, hot_rows) \
+        .withColumnRenamed("_ck", "_chunk")
     evs = F.array_sort(F.collect_list(F.struct("event_time", "event_id", "event_type")))
     init = "named_struct(" + ", ".join(
         [f"'s{i}', {i}" for i in range(n)] + [f"'c{i}', 0L" for i in range(n)]) + ")"
@@ -179,7 +193,8 @@ def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
 
 # ── two-stream co-processing ───────────────────────────────────────────────
 def co_process(left: DataFrame, right: DataFrame, bound: str,
-               keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH) -> DataFrame:
+               keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
+               hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
     """Match every right row (e.g. click) with the latest left row (view) of
     its key at or before it, if no older than ``bound``; else no match.
 
@@ -193,8 +208,8 @@ def co_process(left: DataFrame, right: DataFrame, bound: str,
          .unionByName(right.select(*cols, F.lit(False).alias("is_left"))))
     view = F.when(F.col("is_left"), F.struct(F.col("event_id").alias("id"),
                                            F.col("event_time").alias("t")))
-    scanned = chunked_last_non_null(u, keys, ORDER, time_chunk("event_time", chunk), view,
-                                    "_view")
+    u = _chunked(u, keys, chunk, hot_rows)
+    scanned = chunked_last_non_null(u, keys, ORDER, F.col("_ck"), view, "_view")
     fresh = (F.unix_micros("event_time") - F.unix_micros("_view.t")
              <= F.lit(duration_us(bound)))
     return scanned.filter(~F.col("is_left")).select(

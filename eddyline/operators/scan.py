@@ -143,3 +143,34 @@ def chunked_last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[st
         Window.unboundedPreceding, 0)
     res = F.coalesce(F.last("_v", ignorenulls=True).over(w_rows), F.col("_carry"))
     return joined.withColumn(out, res).drop(GK, CHUNK, "_v", "_ord", "_carry")
+
+
+DEFAULT_HOT_ROWS = 1_000_000
+DEFAULT_MAX_HOT_KEYS = 1_000_000
+
+
+def hot_key_chunks(df: DataFrame, keys: Sequence[str], base_chunk: Column, out: str = "_ck", *,
+                   hot_rows: int = DEFAULT_HOT_ROWS,
+                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
+    """Chunk only the keys that need it.
+
+    A key with more than ``hot_rows`` rows is split by ``base_chunk`` (time
+    buckets); every other key stays one chunk (``0``), so its scan is a
+    plain per-key window over at most ``hot_rows`` rows and the chunk-total
+    table has one row per such key instead of one per bucket.  The hot keys
+    are found by a map-side combined count per key; there are at most
+    ``rows / hot_rows`` of them, and they are broadcast (checked against
+    ``max_hot_keys``; beyond it every key is chunked).
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > F.lit(hot_rows)).select(
+        F.struct(*[F.col(k) for k in keys]).alias("_hk"), F.lit(True).alias("_hot"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    if n_hot > max_hot_keys:
+        return df.withColumn(out, base_chunk)
+    tagged = df.withColumn("_hk", F.struct(*[F.col(k) for k in keys])).join(
+        F.broadcast(hot), "_hk", "left")
+    return tagged.withColumn(out, F.when(F.col("_hot"), base_chunk).otherwise(F.lit(0))
+                             .cast("long")).drop("_hk", "_hot")

@@ -4,6 +4,7 @@ inactivity) and brute-force checks of the funnel and co-processing."""
 import datetime as dt
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ def _ev(spark, rows):
 
 def test_running_count_fixture(spark):
     df = _ev(spark, [("a", 1, "x"), ("b", 2, "x"), ("a", 3, "x"), ("a", 4, "x"), ("b", 5, "x")])
-    per = keyed.running_count(df, per_record=True, chunk="2 seconds").orderBy("event_time")
+    per = keyed.running_count(df, per_record=True, chunk="2 seconds",
+                              hot_rows=None).orderBy("event_time")
     assert [(r.key, r.running_count) for r in per.collect()] == [
         ("a", 1), ("b", 1), ("a", 2), ("a", 3), ("b", 2)]
     final = dict((r.key, r.running_count) for r in keyed.running_count(df).collect())
@@ -29,7 +31,7 @@ def test_running_count_fixture(spark):
 
 def test_null_key_is_its_own_group(spark):
     df = _ev(spark, [(None, 1, "x"), (None, 2, "x"), ("a", 3, "x")])
-    per = keyed.running_count(df, per_record=True, chunk="1 second").collect()
+    per = keyed.running_count(df, per_record=True, chunk="1 second", hot_rows=None).collect()
     assert sorted(((r.key or ""), r.running_count) for r in per) == [("", 1), ("", 2), ("a", 1)]
 
 
@@ -55,7 +57,8 @@ def _brute_funnel(types, steps=("view", "click", "purchase")):
     return stage, done
 
 
-def test_funnel_matches_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [None, 500, 10_000])
+def test_funnel_matches_brute_force(spark, hot_rows):
     rng = np.random.default_rng(3)
     n = 2000
     pdf = pd.DataFrame({
@@ -66,14 +69,15 @@ def test_funnel_matches_brute_force(spark):
     pdf["event_id"] = [f"{i:05d}" for i in range(n)]
     df = (spark.createDataFrame(pdf).withColumn(
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200))))
-    got = {r.key: (r.stage, r.completed) for r in keyed.funnel_states(df, chunk="7 minutes")
-           .collect()}
+    got = {r.key: (r.stage, r.completed) for r in keyed.funnel_states(
+        df, chunk="7 minutes", hot_rows=hot_rows).collect()}
     exp = {k: _brute_funnel(g.sort_values(["s", "event_id"]).event_type)
            for k, g in pdf.groupby("key")}
     assert got == exp
 
 
-def test_co_process_matches_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [None, 600])
+def test_co_process_matches_brute_force(spark, hot_rows):
     rng = np.random.default_rng(5)
     n = 1500
     pdf = pd.DataFrame({"key": rng.choice(["a", "b"], n), "s": rng.integers(0, 40_000, n),
@@ -83,7 +87,7 @@ def test_co_process_matches_brute_force(spark):
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200)))
     got = {r.click_id: r.view_id for r in keyed.co_process(
         df.filter("event_type = 'view'"), df.filter("event_type = 'click'"), "1 hour",
-        chunk="10 minutes").collect()}
+        chunk="10 minutes", hot_rows=hot_rows).collect()}
     exp = {}
     for _, g in pdf.sort_values(["s", "event_id"]).groupby("key"):
         last = None
@@ -97,7 +101,8 @@ def test_co_process_matches_brute_force(spark):
 
 def test_collect_recent_and_type_map(spark):
     df = _ev(spark, [("a", i, "view" if i % 2 else "click") for i in range(10)])
-    r = keyed.collect_recent(df, 3, chunk="2 seconds").first()
+    r = keyed.collect_recent(df, 3, chunk="2 seconds", hot_rows=None).first()
+    assert keyed.collect_recent(df, 3, chunk="2 seconds", hot_rows=4).first().recent == "7,8,9"
     assert r.recent == "7,8,9" and r.n_recent == 3
     m = {x.event_type: x.type_count for x in keyed.counts_by_type(df).collect()}
     assert m == {"view": 5, "click": 5}
@@ -129,3 +134,33 @@ def test_accumulator_groups_across_arrow_batches(spark):
         assert got == exp
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_key_chunks_split_only_hot_keys(spark):
+    from eddyline.operators.scan import hot_key_chunks, time_chunk
+    rows = [("hot", i * 3600) for i in range(30)] + [("cold", i * 3600) for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, s long").withColumn(
+        "event_time", F.timestamp_seconds("s"))
+    out = hot_key_chunks(df, ["key"], time_chunk("event_time", "1 hour"), hot_rows=10)
+    chunks = {k: set() for k in ("hot", "cold")}
+    for r in out.collect():
+        chunks[r.key].add(r._ck)
+    assert len(chunks["hot"]) == 30 and chunks["cold"] == {0}
+
+
+@pytest.mark.parametrize("hot_rows", [None, 200])
+def test_running_count_hot_key_adaptive(spark, hot_rows):
+    rng = np.random.default_rng(9)
+    n = 1200
+    pdf = pd.DataFrame({"key": np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b"], n)),
+                        "s": rng.integers(0, 100_000, n)})
+    pdf["event_id"] = [f"{i:05d}" for i in range(n)]
+    df = spark.createDataFrame(pdf).withColumn(
+        "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200)))
+    got = {r.event_id: r.running_count for r in keyed.running_count(
+        df, per_record=True, chunk="1 hour", hot_rows=hot_rows).collect()}
+    exp = {}
+    for _, g in pdf.sort_values(["s", "event_id"]).groupby("key"):
+        for i, eid in enumerate(g.event_id, 1):
+            exp[eid] = i
+    assert got == exp
