@@ -40,8 +40,12 @@ def mark_late(df: DataFrame, *, time_col: str = "event_time", arrival_col: str =
 
 
 def split_late(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
-    """(on-time rows, late rows) — the side output the JVM engine offers."""
-    tagged = mark_late(df, **kw).cache()
+    """(on-time rows, late rows) — the side output the JVM engine offers.
+
+    The tagged rows are checkpointed once to the shared checkpoint folder
+    (reliable, survives lost executors), and both outputs read them."""
+    from eddyline.session import cut_lineage
+    tagged = cut_lineage(mark_late(df, **kw))
     return (tagged.filter(~F.col("is_late")).drop("is_late"),
             tagged.filter(F.col("is_late")).drop("is_late"))
 

@@ -49,3 +49,10 @@ def test_latency_gap_bucket_marked_empty(spark):
     rep = latency.latency_report(df, "5 seconds")
     s = latency.latency_summary(rep).first()
     assert s.buckets == 2 and s.median_p99 == 25.0 and s.p99_list == "20,30"
+
+
+def test_split_late_outputs_partition_rows(spark):
+    df = _arrivals(spark, ["00:00:30", "00:02:00", "00:00:40", "00:03:00", "00:01:10"])
+    on_time, late_rows = late.split_late(df, window="1 minute")
+    assert on_time.count() + late_rows.count() == 5
+    assert sorted(r.arrival_seq for r in late_rows.collect()) == [2, 4]
