@@ -78,3 +78,23 @@ def test_per_record_stream_equals_batch(spark, sf_small):
                 name="per-record")
     got = got.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
     assert _sorted(got.select(*batch.columns)) == _sorted(batch)
+
+
+def test_text_file_stream_of_json_lines(spark, sf_small):
+    """JSON lines landed as text files: the message front works on them too."""
+    from eddyline.functions.decode import decode_events
+    from eddyline.sources.events import read_events
+    path = scratch_dir(spark, "json-lines")
+    inputs.messages(spark, sf_small).select(F.col("value").cast("string").alias("value")) \
+        .write.text(path)
+    s = read_events(spark, "text", path, stream=True, options={"maxFilesPerTrigger": "1"})
+    got = drain(decode_events(s.withColumnRenamed("value", "json_str")).select("event_id"),
+                output_mode="append", name="json-lines")
+    assert got.count() == inputs.events(spark, sf_small).count()
+
+
+def test_allowed_lateness_folds_into_watermark(spark, sf_small):
+    s = inputs.event_stream(spark, sf_small)
+    plan = with_event_time(s, delay="10 seconds", allowed_lateness="1 minute") \
+        ._jdf.queryExecution().logical().toString()
+    assert "EventTimeWatermark" in plan and "1 minutes 10 seconds" in plan
