@@ -1,10 +1,11 @@
 """Joins: stream–table enrichment, interval joins, same-window co-aggregation,
 table-materialised joins.
 
-Interval joins add a time-bucket equi-key (bucket width = the join bound):
+Interval joins add a time-bucket equi-key (bucket width ≥ the join bound):
 a left row in bucket ``b`` can only meet right rows in buckets ``b`` and
-``b+1``, so the left side is duplicated into those two buckets and the
-join is an equi-join on ``(key, bucket)`` plus the exact range filter.  A
+``b+1``, so a left row whose range crosses its bucket's end is duplicated
+into both, and the join is an equi-join on ``(key, bucket)`` plus the exact
+range filter.  A
 hot key is thereby spread over its time buckets instead of one task, and
 every pair is produced exactly once (each right row has one bucket).
 """
@@ -77,17 +78,25 @@ def time_bucket(ts: str | Column, width_us: int) -> Column:
 def interval_join(left: DataFrame, right: DataFrame, bound: str, *,
                   key: str = "key", left_time: str = "left_time",
                   right_time: str = "right_time", how: str = "inner",
-                  left_id: str | None = None) -> DataFrame:
+                  left_id: str | None = None, bucket_factor: int = 2) -> DataFrame:
     """Pairs with equal ``key`` and ``left_time <= right_time <= left_time + bound``.
 
+    Buckets are ``bucket_factor × bound`` wide; only left rows whose range
+    crosses their bucket's end are copied into the next bucket.
+
     ``how="left"`` also returns left rows without a partner (right columns
     null); ``left_id`` must then name a unique column of ``left``.
     Streams: both sides need watermarks on their time columns.
     """
     w = duration_us(bound)
-    lb = left.withColumn("_b", F.explode(F.array(time_bucket(left_time, w),
-                                                 time_bucket(left_time, w) + F.lit(1))))
-    rb = right.withColumn("_b", time_bucket(right_time, w))
+    width = w * bucket_factor
+    b = time_bucket(left_time, width)
+    # a left row needs the next bucket only when its range [t, t + bound]
+    # crosses the bucket's end: a 1/bucket_factor share of the rows
+    crosses = F.unix_micros(F.col(left_time)) + F.lit(w) >= (b + F.lit(1)) * F.lit(width)
+    lb = left.withColumn("_b", F.explode(F.when(crosses, F.array(b, b + F.lit(1)))
+                                          .otherwise(F.array(b))))
+    rb = right.withColumn("_b", time_bucket(right_time, width))
     cond = [lb[key] == rb[key], lb["_b"] == rb["_b"],
             rb[right_time] >= lb[left_time],
             rb[right_time] <= lb[left_time] + F.expr(f"INTERVAL {w} MICROSECONDS")]

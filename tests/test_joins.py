@@ -2,6 +2,7 @@
 interval_join), including pairs across bucket edges."""
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ def test_interval_join_fixture(spark):
         ("v1", "c1"), ("v2", "")]
 
 
-def test_interval_join_matches_brute_force(spark):
+@pytest.mark.parametrize("factor", [1, 2, 3])
+def test_interval_join_matches_brute_force(spark, factor):
     rng = np.random.default_rng(11)
     v = pd.DataFrame({"key": rng.choice(["a", "hot", "hot", "b"], 400),
                       "view_id": [f"v{i}" for i in range(400)], "s": rng.integers(0, 30_000, 400)})
@@ -34,7 +36,8 @@ def test_interval_join_matches_brute_force(spark):
     views = _side(spark, list(v.itertuples(index=False)), "view_id", "view_time")
     clicks = _side(spark, list(c.itertuples(index=False)), "click_id", "click_time")
     got = sorted((r.view_id, r.click_id) for r in joins.interval_join(
-        views, clicks, "20 minutes", left_time="view_time", right_time="click_time").collect())
+        views, clicks, "20 minutes", left_time="view_time", right_time="click_time",
+        bucket_factor=factor).collect())
     m = v.merge(c, on="key", suffixes=("_v", "_c"))
     m = m[(m.s_c >= m.s_v) & (m.s_c <= m.s_v + 1200)]
     assert got == sorted(zip(m.view_id, m.click_id))
