@@ -164,3 +164,13 @@ def test_running_count_hot_key_adaptive(spark, hot_rows):
         for i, eid in enumerate(g.event_id, 1):
             exp[eid] = i
     assert got == exp
+
+
+def test_hot_key_chunks_beyond_max_hot_keys_chunks_all(spark):
+    from eddyline.operators.scan import hot_key_chunks, time_chunk
+    rows = [(k, i * 3600) for k in ("a", "b") for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, s long").withColumn(
+        "event_time", F.timestamp_seconds("s"))
+    out = hot_key_chunks(df, ["key"], time_chunk("event_time", "1 hour"), hot_rows=1,
+                         max_hot_keys=1)
+    assert len({r._ck for r in out.collect()}) == 5

@@ -61,3 +61,15 @@ def test_sessions_across_chunks_and_exact_gap(spark):
                                                      "total": ("sum", "value")}).collect())
     assert got == [("2024-01-01 23:58:00", 2), ("2024-01-02 00:07:00", 1),
                    ("2024-01-02 23:59:00", 1)]
+
+
+def test_session_aggregate_kinds_merge_across_chunks(spark):
+    # one session spanning three day-chunks; partials must merge exactly
+    data = [("a", "2024-01-01 23:59:00", 1), ("a", "2024-01-02 00:01:00", 4),
+            ("a", "2024-01-02 23:59:30", 7), ("a", "2024-01-03 00:00:10", 2)]
+    df = (spark.createDataFrame(data, "key string, ts string, value int")
+          .withColumn("event_time", F.to_timestamp("ts")))
+    aggs = {"n": ("count", None), "s": ("sum", "value"), "lo": ("min", "value"),
+            "hi": ("max", "value"), "mean": ("avg", "value")}
+    got = sorted((r.n, r.s, r.lo, r.hi, r.mean) for r in sessions(df, "1 day", aggs).collect())
+    assert got == [(4, 14, 1, 7, 3.5)]
