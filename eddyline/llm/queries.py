@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from eddyline.llm import simhash
+from eddyline.llm import line_dedup, mixing, quality, simhash
 
 QUERIES = {
+    "op1_mix_to_targets": mixing.op1_mix_to_targets,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_quality_perplexity": quality.op6_quality_perplexity,
     "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+}
