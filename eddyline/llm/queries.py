@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from eddyline.llm import line_dedup, mixing, quality, simhash
+from eddyline.llm import line_dedup, mixing, pieces, quality, simhash
 
 QUERIES = {
     "op1_mix_to_targets": mixing.op1_mix_to_targets,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_sentencepiece_gumbel": pieces.op3_sentencepiece_gumbel,
     "op6_quality_perplexity": quality.op6_quality_perplexity,
     "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
 }
