@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eddyline.llm import line_dedup, lm, mixing, personal, pieces, quality, simhash, token_rollup, topk
+from eddyline.llm import line_dedup, lm, mixing, personal, pieces, quality, simhash, suffix_dedup, token_rollup, topk
 
 QUERIES = {
     "op1_mix_to_targets": mixing.op1_mix_to_targets,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_sentencepiece_gumbel": pieces.op3_sentencepiece_gumbel,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_personal_data": personal.op5_personal_data,
     "op6_quality_perplexity": quality.op6_quality_perplexity,
     "op7_lm_log_bilinear": lm.op7_lm_log_bilinear,
