@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 _MODES = ("microbatch", "realtime", "available_now")
 
@@ -20,7 +20,6 @@ class PipelineConfig:
     starting_offsets: str = "latest"
     max_offsets_per_trigger: int | None = None
     shuffle_partitions: int | None = None
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.mode not in _MODES:
@@ -43,5 +42,7 @@ class PipelineConfig:
             kw["mode"] = "realtime"
         if env.get("MAX_OFFSETS_PER_TRIGGER"):
             kw["max_offsets_per_trigger"] = int(env["MAX_OFFSETS_PER_TRIGGER"])
+        if env.get("SHUFFLE_PARTITIONS"):
+            kw["shuffle_partitions"] = int(env["SHUFFLE_PARTITIONS"])
         kw.update(overrides)
         return cls(**kw)

@@ -34,13 +34,16 @@ def with_processed_at(df: DataFrame, col: str = "processed_at") -> DataFrame:
 
 
 def _ts_text(c: str) -> Column:
-    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss")
+    """ISO instant in UTC; milliseconds only if there are any."""
+    t = F.col(c)
+    return F.when(F.date_format(t, "SSS") == "000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(
+        F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def render_window_line(df: DataFrame, value_col: str = "avg_value", digits: int = 4,
                        out: str = "line") -> DataFrame:
-    """``key=K window=[start .. end) avg_value=X.XXXX`` (window bounds UTC)."""
-    fmt = f"key=%s window=[%s .. %s) {value_col}=%.{digits}f"
+    """``key=K  window=[start .. end)  avg_value=X.XXXX`` (bounds as UTC instants)."""
+    fmt = f"key=%s  window=[%s .. %s)  {value_col}=%.{digits}f"
     return df.select(F.format_string(fmt, F.col("key"), _ts_text("window_start"),
                                      _ts_text("window_end"),
                                      F.col(value_col).cast("double")).alias(out))
@@ -48,5 +51,5 @@ def render_window_line(df: DataFrame, value_col: str = "avg_value", digits: int
 
 def render_count_line(df: DataFrame, count_col: str = "running_count",
                       out: str = "line") -> DataFrame:
-    return df.select(F.format_string("key=%s count=%d", F.col("key"),
+    return df.select(F.format_string("key=%s  count=%d", F.col("key"),
                                      F.col(count_col)).alias(out))

@@ -42,10 +42,10 @@ def _render_frame(pdf: pd.DataFrame) -> pd.DataFrame:
     """Vectorised: one line per (key, window) group of a sorted frame."""
     g = pdf.groupby(["key", "ws", "we"], sort=False, dropna=False)["value"].mean().fillna(0.0)
     g = g.reset_index()
-    fmt = "%Y-%m-%d %H:%M:%S"
+    fmt = "%Y-%m-%dT%H:%M:%SZ"
     key = g["key"].astype(object).where(g["key"].notna(), "null").astype(str)  # as %s of null
-    lines = ("key=" + key + " window=[" + g["ws"].dt.strftime(fmt) + " .. "
-             + g["we"].dt.strftime(fmt) + ") avg_value=" + g["value"].map("{:.4f}".format))
+    lines = ("key=" + key + "  window=[" + g["ws"].dt.strftime(fmt) + " .. "
+             + g["we"].dt.strftime(fmt) + ")  avg_value=" + g["value"].map("{:.4f}".format))
     return pd.DataFrame({"line": lines})
 
 

@@ -7,9 +7,9 @@ These are the table twins of the stateful processors in
 gives the same final rows.  Ordered per-key scans use the chunked two-level
 scans of :mod:`eddyline.operators.scan`, so one hot key is spread over its
 time chunks instead of landing in one task.  Order within a key is
-``(event_time, event_id)``.  Only keys with more than ``hot_rows`` rows are
-split into time chunks (:func:`eddyline.operators.scan.hot_key_chunks`);
-``hot_rows=None`` chunks every key.
+``(event_time, event_id)``.  Every key is cut into chunks of about
+``chunk_rows`` rows (:func:`eddyline.operators.scan.balanced_chunks`);
+``chunk_rows=None`` cuts by time buckets of ``chunk`` instead.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.durations import duration_us, shift
 from eddyline.operators.scan import (
-    DEFAULT_HOT_ROWS, chunked_last_non_null, chunked_neighbors, chunked_running_sum,
-    hot_key_chunks, time_chunk,
+    DEFAULT_CHUNK_ROWS, balanced_chunks, chunked_last_non_null, chunked_neighbors,
+    chunked_running_sum, time_chunk,
 )
 
 ORDER = ("event_time", "event_id")
@@ -33,16 +33,15 @@ def _ntz(c):
     return c.cast("timestamp_ntz")
 
 
-def _chunked(df: DataFrame, keys, chunk: str, hot_rows: int | None) -> DataFrame:
-    """Add ``_ck``: the time chunk for hot keys (all keys if ``hot_rows`` is None)."""
-    base = time_chunk("event_time", chunk)
-    if hot_rows is None:
-        return df.withColumn("_ck", base)
-    return hot_key_chunks(df, list(keys), base, "_ck", hot_rows=hot_rows)
+def _chunked(df: DataFrame, keys, chunk: str, chunk_rows: int | None) -> DataFrame:
+    """Add ``_ck``: chunks of ``chunk_rows`` rows, or time buckets if that is None."""
+    if chunk_rows is None:
+        return df.withColumn("_ck", time_chunk("event_time", chunk))
+    return balanced_chunks(df, list(keys), "event_time", "_ck", rows=chunk_rows)
 
 
 def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record: bool = False,
-                  chunk: str = CHUNK_WIDTH, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                  chunk: str = CHUNK_WIDTH, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Running count per key.
 
     Final form (one row per key, the last value a processor emits):
@@ -52,7 +51,7 @@ def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record:
     keys = list(keys)
     if not per_record:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("running_count"))
-    d = _chunked(df.select(*keys, "event_id", "event_time"), keys, chunk, hot_rows)
+    d = _chunked(df.select(*keys, "event_id", "event_time"), keys, chunk, chunk_rows)
     out = chunked_running_sum(d, keys, ORDER, F.col("_ck"), {"running_count": F.lit(1)})
     return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"),
                       F.col("running_count").cast("long").alias("running_count"))
@@ -66,10 +65,10 @@ def running_last_type(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFram
 
 
 def running_sum(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key",), *,
-                chunk: str = CHUNK_WIDTH, hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                chunk: str = CHUNK_WIDTH, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Generic accumulator: per-record running total of ``value``."""
     keys = list(keys)
-    d = _chunked(df.select(*keys, "event_id", "event_time", value), keys, chunk, hot_rows)
+    d = _chunked(df.select(*keys, "event_id", "event_time", value), keys, chunk, chunk_rows)
     out = chunked_running_sum(d, keys, ORDER, F.col("_ck"),
                               {"running_sum": F.col(value).cast("long")})
     return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"),
@@ -77,26 +76,19 @@ def running_sum(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key
 
 
 def collect_recent(df: DataFrame, n: int = 3, item: str = "event_id",
-                   keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
-                   hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                   keys: Sequence[str] = ("key",)) -> DataFrame:
     """Last ``n`` items per key, oldest first, as ``a,b,c`` text.
 
-    Two levels: top-``n`` inside each ``(key, chunk)``, then top-``n`` of
-    those candidates per key — at most ``n`` × chunks rows meet per key.
+    The rank filter keeps at most ``n`` rows of a key in each task before the
+    shuffle (window group limit), so a hot key needs no chunks.
     """
     keys = list(keys)
-    ordk = F.struct(*[F.col(c) for c in ORDER])
-    d = _chunked(df.select(*keys, item, *ORDER), keys, chunk, hot_rows) \
-        .withColumnRenamed("_ck", "_chunk")
-    w = Window.partitionBy(*keys, "_chunk").orderBy(F.col("event_time").desc(),
-                                                     F.col("event_id").desc())
-    cand = d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    per_key = cand.groupBy(*keys).agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(ordk.alias("o"), F.col(item).alias("v"))),
-                             asc=False), 1, n).alias("_top"))
-    items = F.transform(F.reverse(F.col("_top")), lambda x: x["v"])
-    return per_key.select(*keys, F.array_join(items, ",").alias("recent"),
-                          F.size("_top").cast("long").alias("n_recent"))
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in ORDER])
+    top = df.select(*keys, item, *ORDER).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("o"),
+                                                             F.col(item).alias("v")))), lambda x: x["v"])
+    return top.groupBy(*keys).agg(F.array_join(items, ",").alias("recent"),
+                                  F.count(F.lit(1)).alias("n_recent"))
 
 
 def counts_by_type(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
@@ -113,7 +105,7 @@ def fold_state(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key"
 
 def inactivity_alerts(df: DataFrame, gap: str, delay: str | None = "10 seconds",
                       keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
-                      hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                      chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Alert when a key has no event for more than ``gap`` of event time.
 
     An event alerts at ``t + gap`` if the key's next event comes later than
@@ -123,7 +115,7 @@ def inactivity_alerts(df: DataFrame, gap: str, delay: str | None = "10 seconds",
     keys = list(keys)
     gap_us = duration_us(gap)
     delay_us = duration_us(delay) if delay else 0
-    base = _chunked(df.select(*keys, *ORDER), keys, chunk, hot_rows)
+    base = _chunked(df.select(*keys, *ORDER), keys, chunk, chunk_rows)
     nxt = chunked_neighbors(base, keys, ORDER, F.col("_ck"), "event_time", next_out="_next")
     # final watermark as a scalar subquery: computed once, then a literal.
     final_wm = df.agg((F.max(F.unix_micros("event_time")) - F.lit(delay_us))).scalar()
@@ -154,7 +146,7 @@ def _completes(state: str, typ: str, steps: Sequence[str]) -> str:
 
 def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
                   keys: Sequence[str] = ("key",), *, chunk: str = "1 minute",
-                  hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Per-key funnel: only the expected next step advances the stage; the
     last step completes a funnel and resets the stage to 0.
 
@@ -167,7 +159,7 @@ def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
     """
     keys = list(keys)
     n = len(steps)
-    d = _chunked(df.select(*keys, *ORDER, "event_type"), keys, chunk, hot_rows) \
+    d = _chunked(df.select(*keys, *ORDER, "event_type"), keys, chunk, chunk_rows) \
         .withColumnRenamed("_ck", "_chunk")
     evs = F.array_sort(F.collect_list(F.struct("event_time", "event_id", "event_type")))
     init = "named_struct(" + ", ".join(
@@ -194,7 +186,7 @@ def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
 # ── two-stream co-processing ───────────────────────────────────────────────
 def co_process(left: DataFrame, right: DataFrame, bound: str,
                keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
-               hot_rows: int | None = DEFAULT_HOT_ROWS) -> DataFrame:
+               chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Match every right row (e.g. click) with the latest left row (view) of
     its key at or before it, if no older than ``bound``; else no match.
 
@@ -208,7 +200,7 @@ def co_process(left: DataFrame, right: DataFrame, bound: str,
          .unionByName(right.select(*cols, F.lit(False).alias("is_left"))))
     view = F.when(F.col("is_left"), F.struct(F.col("event_id").alias("id"),
                                            F.col("event_time").alias("t")))
-    u = _chunked(u, keys, chunk, hot_rows)
+    u = _chunked(u, keys, chunk, chunk_rows)
     scanned = chunked_last_non_null(u, keys, ORDER, F.col("_ck"), view, "_view")
     fresh = (F.unix_micros("event_time") - F.unix_micros("_view.t")
              <= F.lit(duration_us(bound)))

@@ -56,7 +56,7 @@ def drop_late(df: DataFrame, **kw) -> DataFrame:
 
 def split_late_stream(stream: DataFrame, out: str, *, time_col: str = "event_time",
                       delay: str = "10 seconds", window: str | None = None,
-                      timeout_s: float = 600) -> DataFrame:
+                      timeout_s: float | None = None) -> DataFrame:
     """Late-row side output for a stream, as the engine would judge it.
 
     Spark drops a row as late against the watermark of the *previous*

@@ -2,8 +2,8 @@
 
 A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one
 task; with one key holding a third of the rows that task holds a third of
-the data.  These helpers split each key's order into *chunks* (time buckets
-of the ordering column, or arrival ranges) and compute the scan in two
+the data.  These helpers split each key's order into *chunks* (ranges of
+the ordering column with about equally many rows, time buckets, or arrival ranges) and compute the scan in two
 levels, the classic parallel prefix:
 
 1. a partial aggregate per ``(key, chunk)`` — map-side combined, small;
@@ -27,10 +27,15 @@ from eddyline.functions.durations import duration_us
 CHUNK = "_chunk"
 
 
+NULL_CHUNK = -(2 ** 62)     # rows without a time come first, in a chunk of their own
+
+
 def time_chunk(ts: str | Column, width: str) -> Column:
-    """Chunk id of a TIMESTAMP column: epoch-aligned buckets of ``width``."""
+    """Chunk id of a TIMESTAMP column: epoch-aligned buckets of ``width``;
+    never null, so that the carry join finds rows without a time."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c) / F.lit(duration_us(width))).cast("long")
+    return F.coalesce(F.floor(F.unix_micros(c) / F.lit(duration_us(width))).cast("long"),
+                      F.lit(NULL_CHUNK))
 
 
 GK = "_gk"
@@ -145,32 +150,32 @@ def chunked_last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[st
     return joined.withColumn(out, res).drop(GK, CHUNK, "_v", "_ord", "_carry")
 
 
-DEFAULT_HOT_ROWS = 1_000_000
-DEFAULT_MAX_HOT_KEYS = 1_000_000
+DEFAULT_CHUNK_ROWS = 1_000_000
+MAX_BOUNDS = 256
 
 
-def hot_key_chunks(df: DataFrame, keys: Sequence[str], base_chunk: Column, out: str = "_ck", *,
-                   hot_rows: int = DEFAULT_HOT_ROWS,
-                   max_hot_keys: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
-    """Chunk only the keys that need it.
+def balanced_chunks(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_ck", *,
+                    rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Chunks of about ``rows`` rows, by one rule for every key.
 
-    A key with more than ``hot_rows`` rows is split by ``base_chunk`` (time
-    buckets); every other key stays one chunk (``0``), so its scan is a
-    plain per-key window over at most ``hot_rows`` rows and the chunk-total
-    table has one row per such key instead of one per bucket.  The hot keys
-    are found by a map-side combined count per key; there are at most
-    ``rows / hot_rows`` of them, and they are broadcast (checked against
-    ``max_hot_keys``; beyond it every key is chunked).
+    A key of ``n`` rows is cut at its own time quantiles into ``ceil(n /
+    rows)`` chunks (at most ``MAX_BOUNDS`` + 1, which then grow with ``n``), so
+    a key whose rows crowd into one hour is cut as evenly as one spread over a
+    year.  Counts and quantiles come from one aggregation with a partial step;
+    keys of one chunk have no bounds and take no part in the join.  Rows with
+    equal times share a chunk; rows without a time have the first chunk, as
+    nulls sort first.  Results of a scan do not depend on ``rows``.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > F.lit(hot_rows)).select(
-        F.struct(*[F.col(k) for k in keys]).alias("_hk"), F.lit(True).alias("_hot"))
-    n_hot = hot.count()
-    if n_hot == 0:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    if n_hot > max_hot_keys:
-        return df.withColumn(out, base_chunk)
-    tagged = df.withColumn("_hk", F.struct(*[F.col(k) for k in keys])).join(
-        F.broadcast(hot), "_hk", "left")
-    return tagged.withColumn(out, F.when(F.col("_hot"), base_chunk).otherwise(F.lit(0))
-                             .cast("long")).drop("_hk", "_hot")
+    t = F.unix_micros(ts)
+    steps = [i / (MAX_BOUNDS + 1) for i in range(1, MAX_BOUNDS + 1)]
+    per_key = df.groupBy(F.struct(*[F.col(k) for k in keys]).alias("_bk")).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(t, steps, 10_000).alias("_q"))
+    n_cuts = F.least(F.ceil(F.col("_n") / F.lit(rows)) - 1, F.lit(MAX_BOUNDS))
+    pick = F.transform(F.sequence(F.lit(1).cast("long"), n_cuts), lambda i: F.element_at(
+        "_q", F.ceil(i * MAX_BOUNDS / (n_cuts + 1)).cast("int")))
+    bounds = per_key.filter((F.col("_n") > rows) & F.col("_q").isNotNull()).select(
+        "_bk", F.array_distinct(pick).alias("_bounds"))
+    tagged = df.withColumn("_bk", F.struct(*[F.col(k) for k in keys])).join(bounds, "_bk", "left")
+    after = F.size(F.filter("_bounds", lambda b: b < t)).cast("long")
+    chunk = F.when(t.isNull(), F.lit(NULL_CHUNK)).when(F.col("_bounds").isNull(), F.lit(0)).otherwise(after)
+    return tagged.withColumn(out, chunk.cast("long")).drop("_bk", "_bounds")

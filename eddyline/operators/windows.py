@@ -179,6 +179,7 @@ def sessions(df: DataFrame, gap: str, aggs: SessionAggs | None = None, *,
 
     ``aggs`` maps output names to ``(kind, column)`` with kind count, sum,
     min, max or avg (decomposable, so tables can merge partial sessions).
+    Events exactly ``gap`` apart share a session; rows without a time have none.
     Streams use ``session_window`` (Append mode); tables use
     :func:`sessionize_batch`.  Both give sessions ``[first, last + gap)``.
     """
@@ -198,10 +199,10 @@ def sessionize_batch(df: DataFrame, gap: str, aggs: SessionAggs, *,
     """Sessions of a table with one shuffle of the rows and no per-key sort.
 
     1. Rows shuffle once on ``(key, time chunk)``; inside a chunk a row opens
-       a *local* session when its gap to the previous row is ≥ ``gap``, and
+       a *local* session when its gap to the previous row is > ``gap``, and
        local sessions aggregate to partials (same partitioning, no shuffle).
     2. Local sessions of a key are stitched in time order: one that starts
-       less than ``gap`` after the previous one ends continues it.  A key
+       at most ``gap`` after the previous one ends continues it.  A key
        has at most ``time span / gap`` sessions plus one per chunk, so this
        per-key scan is bounded by time, not by the key's row count.
     3. Partials merge per stitched session.
@@ -210,11 +211,12 @@ def sessionize_batch(df: DataFrame, gap: str, aggs: SessionAggs, *,
     gap_us = duration_us(gap)
     gk = F.struct(*[F.col(k) for k in keys])
     cols = {c for _, (_, c) in aggs.items() if c is not None}
-    d = df.select(gk.alias("_gk"), time_chunk(time_col, chunk).alias("_chunk"),
-                  F.unix_micros(F.col(time_col)).alias("_t"), *cols)
+    timed = df.filter(F.col(time_col).isNotNull())        # as session_window does
+    d = timed.select(gk.alias("_gk"), time_chunk(time_col, chunk).alias("_chunk"),
+                     F.unix_micros(F.col(time_col)).alias("_t"), *cols)
     w_in = Window.partitionBy("_gk", "_chunk").orderBy("_t")
     prev = F.lag("_t").over(w_in)
-    d = d.withColumn("_open", F.when(prev.isNull() | (F.col("_t") - prev >= F.lit(gap_us)), 1)
+    d = d.withColumn("_open", F.when(prev.isNull() | (F.col("_t") - prev > F.lit(gap_us)), 1)
                      .otherwise(0))
     d = d.withColumn("_lsid", F.sum("_open").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
     partial = []
@@ -232,7 +234,7 @@ def sessionize_batch(df: DataFrame, gap: str, aggs: SessionAggs, *,
     w_key = Window.partitionBy("_gk").orderBy("_s")
     prev_end = F.lag("_e").over(w_key)
     local = local.withColumn("_new", F.when(prev_end.isNull() | (F.col("_s") - prev_end
-                                                                 >= F.lit(gap_us)), 1)
+                                                                 > F.lit(gap_us)), 1)
                              .otherwise(0))
     local = local.withColumn("_sid", F.sum("_new").over(
         w_key.rowsBetween(Window.unboundedPreceding, 0)))

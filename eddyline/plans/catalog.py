@@ -24,7 +24,7 @@ from eddyline.operators.windows import (
     sliding, sliding_panes, stats_agg, tumbling, with_event_time,
 )
 from eddyline.plans import inputs
-from eddyline.schema import SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
+from eddyline.schema import EVENT_COLUMNS, SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
 from eddyline.streaming import stateful
 from eddyline.streaming.run import drain, drain_until_consumed
 
@@ -280,6 +280,46 @@ def manual_sessions_stream(spark, sf_dir):
     return _ntz_cols(out, "session_start", "session_end")
 
 
+# ── the same processors over rows that arrive out of order ─────────────────
+OOO_DELAY = "2 days"       # covers the replay's disorder, so that no row is late
+
+
+def shuffled_stream(spark, sf_dir, n_files: int = 3) -> DataFrame:
+    """Events replayed in the out-of-order arrival sequence."""
+    ev = inputs.arrival_order(inputs.events(spark, sf_dir))
+    msgs = inputs.to_messages(ev, offset=F.col("arrival_seq"))
+    return inputs.decode_front(inputs.message_stream(spark, sf_dir, n_files, msgs=msgs,
+                                                     name="shuffled-messages"))
+
+
+@register
+def running_last_type_ooo_stream(spark, sf_dir):
+    return drain(stateful.running_last_type_stream(shuffled_stream(spark, sf_dir)),
+                 output_mode="update", keys=["key"], name="last-type-ooo")
+
+
+@register
+def recent_list_ooo_stream(spark, sf_dir):
+    return drain(stateful.recent_list_stream(shuffled_stream(spark, sf_dir), 3),
+                 output_mode="update", keys=["key"], name="recent-list-ooo")
+
+
+@register
+def manual_sessions_ooo_stream(spark, sf_dir):
+    src = with_event_time(shuffled_stream(spark, sf_dir), delay=OOO_DELAY)
+    out = drain(stateful.manual_sessions_stream(src, SESSION_GAP), output_mode="append",
+                name="manual-sessions-ooo")
+    return _ntz_cols(out, "session_start", "session_end")
+
+
+@register
+def inactivity_alerts_ooo_stream(spark, sf_dir):
+    src = with_event_time(shuffled_stream(spark, sf_dir), delay=OOO_DELAY)
+    out = drain(stateful.inactivity_stream(src, INACTIVITY_GAP), output_mode="append",
+                name="inactivity-ooo")
+    return _ntz_cols(out, "last_event_time", "alert_time")
+
+
 # ── joins ──────────────────────────────────────────────────────────────────
 def customer_dim(spark, sf_dir) -> DataFrame:
     """customer ⋈ nation, keyed like the events (``user_<custkey>``)."""
@@ -509,22 +549,24 @@ def sliding_avg_jvm(spark, sf_dir):
 
 @register
 def passthrough_docs(spark, sf_dir):
-    """Documented pattern 01 output: Kafka key = event key, value = all fields."""
+    """Documented pattern 01 output: Kafka key = event key, value = all columns
+    with the message key (the job adds ``processed_at``, see
+    ``processed_at_stream``; a clock has no place in a compared result)."""
     ev = inputs.decode_with_key(inputs.messages(spark, sf_dir))
     kept = keep_types(ev)
-    return to_kafka_rows(kept, key_col="kafka_key")
+    return to_kafka_rows(kept, key_col="key", value_cols=["kafka_key", *EVENT_COLUMNS])
 
 
 @register
 def sliding_avg_lines(spark, sf_dir):
-    """Window renderer: ``key=K window=[a .. b) avg_value=X.XXXX``."""
+    """Window renderer: ``key=K  window=[a .. b)  avg_value=X.XXXX``."""
     return render_window_line(sliding(inputs.typed_events(spark, sf_dir),
                                       aggs=windows.avg_count_agg(digits=None)))
 
 
 @register
 def running_count_lines(spark, sf_dir):
-    """Per-record counter output rendered ``key=K count=N``."""
+    """Per-record counter output rendered ``key=K  count=N``."""
     return render_count_line(keyed.running_count(inputs.typed_events(spark, sf_dir),
                                                  per_record=True))
 
@@ -627,7 +669,9 @@ def ttl_state_stream(spark, sf_dir):
     """Running count whose state expires after 1 hour of processing time
     without input for the key (never within a test run)."""
     src = stateful.running_count_stream(inputs.event_stream(spark, sf_dir), ttl="1 hour")
-    return drain_until_consumed(src, _input_rows(spark, sf_dir), keys=["key"], name="ttl")
+    n = _input_rows(spark, sf_dir)
+    return drain_until_consumed(src, lambda got: got.agg(F.sum("running_count")).first()[0] == n,
+                                keys=["key"], name="ttl")
 
 
 @register
@@ -636,19 +680,23 @@ def processing_timer_stream(spark, sf_dir):
     batch); which keys alert depends on timing, so rows-only."""
     src = stateful.inactivity_stream(inputs.event_stream(spark, sf_dir), "1 second",
                                      processing_time=True)
-    out = drain_until_consumed(src, _input_rows(spark, sf_dir), output_mode="append",
-                               name="pt-timer")
-    return _ntz_cols(out, "last_event_time", "alert_time")
+    n_keys = inputs.typed_events(spark, sf_dir).select("key").distinct().count()
+    out = drain_until_consumed(src, lambda got: got.select("key").distinct().count() == n_keys,
+                               output_mode="append", name="pt-timer")
+    return out.filter("alert_time IS NOT NULL").select("key").distinct()
 
 
 # ── processing timestamp, approximate percentiles, foreach ────────────────
 @register
 def processed_at_stream(spark, sf_dir):
     """Documented pattern 01 output with a processing timestamp (one value
-    per micro-batch; rows-only check)."""
+    per micro-batch); the clock itself is shown as whether it lies in the run."""
+    started = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
     ev = with_processed_at(keep_types(inputs.event_stream(spark, sf_dir)))
     out = drain(to_kafka_rows(ev, key_col="key"), output_mode="append", name="processed-at")
-    return out
+    stamp = F.to_timestamp(F.get_json_object("value", "$.processed_at"))
+    return out.select("key", F.get_json_object("value", "$.event_id").alias("event_id"),
+                      (stamp.between(F.date_trunc("second", started), F.current_timestamp())).alias("stamped"))
 
 
 @register

@@ -125,6 +125,17 @@ FROM n
 WHERE (nxt IS NOT NULL AND nxt - t_us > {GAP6H})
    OR (nxt IS NULL AND t_us + {GAP6H} <= (SELECT wm FROM wm))"""
 
+
+def _inactivity_stream(delay_us: int) -> str:
+    """An alert leaves once the final watermark has reached it."""
+    return f"""WITH {EV},
+n AS (SELECT key, t_us, lead(t_us) OVER ({W_KEY}) AS nxt FROM ev)
+SELECT key, make_timestamp(t_us) AS last_event_time,
+       make_timestamp(t_us + {GAP6H}) AS alert_time
+FROM n WHERE (nxt IS NULL OR nxt - t_us > {GAP6H})
+         AND t_us + {GAP6H} <= (SELECT max(t_us) - {delay_us} FROM ev)"""
+
+
 FUNNEL = f"""WITH RECURSIVE {EV},
 r AS (SELECT key, event_type, row_number() OVER ({W_KEY}) AS rn FROM ev),
 st(key, rn, stage, completed) AS (
@@ -157,13 +168,13 @@ FROM s WHERE NOT is_view"""
 GAP2H = 2 * HOUR_US
 
 
-def _sessions(closed_only: bool) -> str:
-    where = (f"HAVING max(t_us) + {GAP2H} <= (SELECT max(t_us) - 10000000 FROM ev)"
+def _sessions(closed_only: bool, delay_us: int = 10000000) -> str:
+    where = (f"HAVING max(t_us) + {GAP2H} <= (SELECT max(t_us) - {delay_us} FROM ev)"
              if closed_only else "")
     return f"""WITH {EV},
 f AS (SELECT key, t_us, event_id,
              CASE WHEN lag(t_us) OVER ({W_KEY}) IS NULL
-                    OR t_us - lag(t_us) OVER ({W_KEY}) >= {GAP2H} THEN 1 ELSE 0 END AS new
+                    OR t_us - lag(t_us) OVER ({W_KEY}) > {GAP2H} THEN 1 ELSE 0 END AS new
       FROM ev),
 s AS (SELECT key, t_us, sum(new) OVER ({W_KEY} ROWS UNBOUNDED PRECEDING) AS sid FROM f)
 SELECT key, make_timestamp(min(t_us)) AS session_start,
@@ -187,7 +198,11 @@ ORACLE.update({
     "fold_state": FOLD_STATE,
     "fold_state_stream": FOLD_STATE,
     "inactivity_alerts": INACTIVITY,
-    "inactivity_alerts_stream": INACTIVITY,
+    "inactivity_alerts_stream": _inactivity_stream(10000000),
+    "inactivity_alerts_ooo_stream": _inactivity_stream(48 * HOUR_US),
+    "manual_sessions_ooo_stream": _sessions(True, 48 * HOUR_US),
+    "running_last_type_ooo_stream": RUNNING_LAST_TYPE,
+    "recent_list_ooo_stream": RECENT_LIST,
     "funnel_states": FUNNEL,
     "funnel_states_stream": FUNNEL,
     "co_process": CO_PROCESS,
@@ -306,19 +321,19 @@ SELECT key, make_timestamp(ws) AS window_start, make_timestamp(ws + {5 * MIN_US}
 FROM a"""
 
 PASSTHROUGH_DOCS = f"""WITH {EV}
-SELECT key, {JSON} AS value FROM ev WHERE event_type IN ('click', 'purchase')"""
+SELECT key, {JSON.replace("json_object(", "json_object('kafka_key', key, ")} AS value FROM ev WHERE event_type IN ('click', 'purchase')"""
 
 SLIDING_LINES = f"""WITH {EV},
 w AS (SELECT key, t_us // {MIN_US} * {MIN_US} - i * {MIN_US} AS ws, value
       FROM ev, range(0, 5) r(i)),
 a AS (SELECT key, ws, avg(value) AS av FROM w GROUP BY key, ws)
-SELECT printf('key=%s window=[%s .. %s) avg_value=%.4f', key,
-              strftime(make_timestamp(ws), '%Y-%m-%d %H:%M:%S'),
-              strftime(make_timestamp(ws + {5 * MIN_US}), '%Y-%m-%d %H:%M:%S'), av) AS line
+SELECT printf('key=%s  window=[%s .. %s)  avg_value=%.4f', key,
+              strftime(make_timestamp(ws), '%Y-%m-%dT%H:%M:%SZ'),
+              strftime(make_timestamp(ws + {5 * MIN_US}), '%Y-%m-%dT%H:%M:%SZ'), av) AS line
 FROM a"""
 
 COUNT_LINES = f"""WITH {EV}
-SELECT printf('key=%s count=%d', key, row_number() OVER ({W_KEY})) AS line FROM ev"""
+SELECT printf('key=%s  count=%d', key, row_number() OVER ({W_KEY})) AS line FROM ev"""
 
 ORACLE.update({
     "enrich_customer": ENRICH,
@@ -470,3 +485,9 @@ SELECT event_id, key, make_timestamp(t_us) AS event_time,
 FROM p"""
 
 ORACLE["late_split_stream"] = LATE_STREAM
+
+ORACLE.update({
+    "processing_timer_stream": f"WITH {EV} SELECT DISTINCT key FROM ev",
+    "processed_at_stream": f"""WITH {EV} SELECT key, event_id, true AS stamped FROM ev
+WHERE event_type IN ('click', 'purchase')""",
+})

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import argparse
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from eddyline.config import PipelineConfig
@@ -22,9 +24,11 @@ from eddyline.operators.filters import keep_types
 from eddyline.operators.windows import sliding, tumbling, with_event_time
 from eddyline.schema import KAFKA_SOURCE_SCHEMA
 from eddyline.sources.events import read_events
+from eddyline.streaming.modes import check_output_mode
 from eddyline.streaming.stateful import running_count_stream
 from eddyline.streaming.triggers import trigger_from_config
 
+#: What it does, output mode of micro-batches, statefulness.
 PATTERNS = {
     "01": ("stateless filter → Kafka rows", "append", False),
     "02": ("count per key and 1-minute tumbling window", "update", True),
@@ -45,11 +49,35 @@ def build(pattern: str, events: DataFrame, engine: str = "aggregate") -> DataFra
     raise ValueError(f"unknown pattern {pattern!r}; choose from {sorted(PATTERNS)}")
 
 
-def source(spark: SparkSession, cfg: PipelineConfig, kind: str, path: str | None) -> DataFrame:
+#: Documented rate limit of pattern 04's job (rows per trigger).
+PATTERN_04_OFFSETS = 10_000
+KINDS = {"01": "stateless", "02": "aggregation", "03": "aggregation", "04": "aggregation"}
+
+
+def output_mode(pattern: str, cfg: PipelineConfig, engine: str = "aggregate") -> str:
+    """The pattern's mode, checked against its operator; real-time mode takes
+    Update only, also for the stateless pattern."""
+    realtime = cfg.mode == "realtime"
+    mode = "update" if realtime else PATTERNS[pattern][1]
+    kind = "transform_with_state" if pattern == "04" and engine == "processor" else KINDS[pattern]
+    return check_output_mode(kind, mode, realtime=realtime)
+
+
+def with_rate_limit(pattern: str, cfg: PipelineConfig) -> PipelineConfig:
+    """Pattern 04 reads 10 000 offsets a trigger unless the configuration says
+    otherwise (real-time mode has no batches to limit)."""
+    if pattern == "04" and cfg.max_offsets_per_trigger is None and cfg.mode != "realtime":
+        return replace(cfg, max_offsets_per_trigger=PATTERN_04_OFFSETS)
+    return cfg
+
+
+def source(spark: SparkSession, cfg: PipelineConfig, kind: str, path: str | None,
+           max_files: int | None = None) -> DataFrame:
+    """Kafka, or files (all new files a trigger unless ``max_files`` is given)."""
     if kind == "kafka":
         raw = read_events(spark, "kafka", cfg=cfg, stream=True)
     else:
-        opts = {"maxFilesPerTrigger": "1"}
+        opts = {"maxFilesPerTrigger": str(max_files)} if max_files else {}
         raw = read_events(spark, "parquet", path, stream=True, schema=KAFKA_SOURCE_SCHEMA,
                           options=opts)
     return with_event_time_col(decode_events(cast_message(raw)))
@@ -57,9 +85,12 @@ def source(spark: SparkSession, cfg: PipelineConfig, kind: str, path: str | None
 
 def start(spark: SparkSession, pattern: str, cfg: PipelineConfig, *, source_kind: str = "kafka",
           path: str | None = None, sink: str = "kafka", out: str | None = None,
-          checkpoint: str, engine: str = "aggregate"):
-    _, mode, stateful = PATTERNS[pattern]
-    result = build(pattern, source(spark, cfg, source_kind, path), engine)
+          checkpoint: str, engine: str = "aggregate", max_files: int | None = None):
+    stateful = PATTERNS[pattern][2]
+    mode, cfg = output_mode(pattern, cfg, engine), with_rate_limit(pattern, cfg)
+    if cfg.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(cfg.shuffle_partitions))
+    result = build(pattern, source(spark, cfg, source_kind, path, max_files), engine)
     if sink == "kafka":
         if pattern != "01":
             from pyspark.sql import functions as F

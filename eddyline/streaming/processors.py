@@ -2,13 +2,18 @@
 
 Each handler receives the rows of one key in one micro-batch as an
 iterator of pandas frames (Arrow batches) and keeps its state in the
-RocksDB state store.  Rows of a batch are ordered by
-``(event_time, event_id)`` before per-record logic; results therefore do
-not depend on how the input was split into batches.
+RocksDB state store.  Counts and folds do not depend on the order of rows.
+Processors that do (last type, recent items, sessions, inactivity) keep event
+times in their state, so rows may arrive in any order within the watermark:
+last values compare times, sessions merge, and sessions and alerts leave only
+once the watermark has passed them.  The per-record count and the funnel
+number rows as they arrive (ordered within a batch), as a record-at-a-time
+job does.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,38 +36,62 @@ def _sorted(rows: Iterator[pd.DataFrame], cols: Sequence[str]) -> pd.DataFrame:
     return pdf.sort_values(["event_time", "event_id"], kind="stable", ignore_index=True)
 
 
-def _nullable(col: pd.Series):
-    """Object values with ``None`` for missing (Arrow string conversion)."""
-    return col.astype(object).where(col.notna(), None).values
+def _us(ts: pd.Series) -> pd.Series:
+    return pd.to_datetime(ts, utc=True).astype("datetime64[us, UTC]").astype("int64")
 
 
 def _ms(ts: pd.Series) -> pd.Series:
-    return (pd.to_datetime(ts, utc=True).astype("int64") // 1_000_000).astype("int64")
+    return _us(ts) // 1000
 
 
-# ── ST1 / ST5: running count, one row per key and batch ───────────────────
-class CountProcessor(StatefulProcessor):
-    OUTPUT = StructType([StructField("key", StringType()),
-                         StructField("running_count", LongType())])
+def _instants(ms) -> pd.Series:
+    return pd.to_datetime(pd.Series(ms, dtype="int64"), unit="ms", utc=True)
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+
+# ── ST1 / ST3 / ST5: one folded value per key ─────────────────────────────
+class KeyFold(StatefulProcessor):
+    """A value per key: ``merge(state or None, frame) -> state`` over a
+    batch's frames; the state's fields named in ``show`` are emitted.  TTL
+    counts from the key's last update."""
+
+    def __init__(self, name: str, state: StructType, merge, show: Sequence[str],
+                 ttl_ms: int | None = None):
+        self.name, self.state_type, self.merge = name, state, merge
+        self.show, self.ttl_ms = tuple(show), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState(
-            "count", StructType([StructField("count", LongType())]), self.ttl_ms)
+        self.value = handle.getValueState(self.name, self.state_type, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        current = self.count.get()[0] if self.count.exists() else 0
-        for pdf in rows:
-            current += len(pdf)
-        self.count.update((current,))
-        yield pd.DataFrame({"key": [_key(key)], "running_count": [current]})
+        folded = None
+        if self.value.exists():
+            folded = tuple(self.value.get())
+        for frame in rows:
+            folded = self.merge(folded, frame)
+        if folded is None:
+            return
+        self.value.update(folded)
+        names = self.state_type.fieldNames()
+        yield pd.DataFrame({"key": [_key(key)],
+                            **{c: [folded[names.index(c)]] for c in self.show}})
 
     def close(self) -> None:
         pass
 
 
+def _add_rows(state, frame: pd.DataFrame):
+    return ((state[0] if state else 0) + len(frame),)
+
+
+class CountProcessor(KeyFold):
+    OUTPUT = StructType([StructField("key", StringType()),
+                         StructField("running_count", LongType())])
+
+    def __init__(self, ttl_ms: int | None = None):
+        super().__init__("count", StructType([StructField("running_count", LongType())]),
+                         _add_rows, ["running_count"], ttl_ms)
+
+
 # ── ST2: running count per record ─────────────────────────────────────────
 class PerRecordCountProcessor(StatefulProcessor):
     OUTPUT = StructType([StructField("key", StringType()), StructField("event_id", StringType()),
@@ -87,27 +116,30 @@ class PerRecordCountProcessor(StatefulProcessor):
 
 
 # ── ST3: running count + last event type ──────────────────────────────────
-class LastTypeProcessor(StatefulProcessor):
+def _latest(state, frame: pd.DataFrame):
+    """Rows counted, and the type of the row with the largest (time, id)."""
+    n, kind, at, eid = state or (0, None, None, None)
+    timed = frame[frame["event_time"].notna()]
+    if len(timed):
+        us = _us(timed["event_time"])
+        tie = timed[us == us.max()]
+        best = tie.loc[tie["event_id"].fillna("").idxmax()]
+        t, i = int(us.max()), best["event_id"] if pd.notna(best["event_id"]) else ""
+        if at is None or (t, i) >= (at, eid):
+            kind, at, eid = (best["event_type"] if pd.notna(best["event_type"]) else None), t, i
+    return (n + len(frame), kind, at, eid)
+
+
+class LastTypeProcessor(KeyFold):
     OUTPUT = StructType([StructField("key", StringType()),
                          StructField("running_count", LongType()),
                          StructField("last_event_type", StringType())])
 
-    def init(self, handle):
-        self.state = handle.getValueState("count_type", StructType([
-            StructField("count", LongType()), StructField("last_type", StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows, ["event_id", "event_time", "event_type"])
-        count, last = self.state.get() if self.state.exists() else (0, None)
-        if len(pdf):
-            count += len(pdf)
-            last = pdf["event_type"].iloc[-1]
-        self.state.update((count, last))
-        yield pd.DataFrame({"key": [_key(key)], "running_count": [count],
-                            "last_event_type": [last]})
-
-    def close(self):
-        pass
+    def __init__(self):
+        super().__init__("count_type", StructType([
+            StructField("running_count", LongType()), StructField("last_event_type", StringType()),
+            StructField("at_us", LongType()), StructField("event_id", StringType())]),
+            _latest, ["running_count", "last_event_type"])
 
 
 # ── ST4 / ST8: accumulators (sum, max, average) ───────────────────────────
@@ -149,14 +181,18 @@ class RecentListProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.items = handle.getListState("recent", StructType([
-            StructField("event_id", StringType())]))
+            StructField("at_us", LongType()), StructField("event_id", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows, ["event_id", "event_time"])
-        kept = [t[0] for t in self.items.get()] if self.items.exists() else []
-        kept = (kept + list(pdf["event_id"]))[-self.n:]
-        self.items.put([(x,) for x in kept])
-        yield pd.DataFrame({"key": [_key(key)], "recent": [",".join(kept)],
+        kept = [tuple(t) for t in self.items.get()] if self.items.exists() else []
+        for pdf in rows:                     # only n rows of a frame can stay
+            timed = pdf[pdf["event_time"].notna()]
+            last = timed.sort_values(["event_time", "event_id"]).tail(self.n)
+            kept += zip(_us(last["event_time"]).tolist(), last["event_id"].tolist())
+            kept = sorted(kept)[-self.n:]
+        if kept:
+            self.items.put(kept)
+        yield pd.DataFrame({"key": [_key(key)], "recent": [",".join(e for _, e in kept)],
                             "n_recent": [len(kept)]})
 
     def close(self):
@@ -225,12 +261,12 @@ class FunnelProcessor(StatefulProcessor):
 
 # ── ST11 / ST10: inactivity alerts on timers ──────────────────────────────
 class InactivityProcessor(StatefulProcessor):
-    """Alert ``gap`` after a key's last event when no newer event arrived.
+    """Alert ``gap`` after an event when no newer event follows in time.
 
-    Event-time mode: the timer fires once the watermark reaches
-    ``last + gap``; gaps *inside* a batch are found by scanning the sorted
-    rows, since the watermark moves only between batches.  Processing-time
-    mode: the timer is set ``gap`` after the batch's processing time.
+    Event-time mode: the state holds the times that the watermark has not yet
+    left ``gap`` behind (at least the newest); once it has, a time alerts if
+    the next one is further off, and is dropped.  A timer stands at the
+    earliest.  Processing-time mode: one timer, ``gap`` after the last batch.
     """
     OUTPUT = StructType([StructField("key", StringType()),
                          StructField("last_event_time", TimestampType()),
@@ -241,57 +277,79 @@ class InactivityProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.last = handle.getValueState("last_ms", StructType([
-            StructField("last_ms", LongType()), StructField("timer_ms", LongType())]))
-
-    @staticmethod
-    def _ts(ms_list):
-        return pd.to_datetime(pd.Series(ms_list, dtype="int64"), unit="ms", utc=True)
+        self.times = handle.getListState("times", StructType([StructField("ms", LongType())]))
+        self.timer = handle.getValueState("timer", StructType([StructField("ms", LongType())]))
+
+    def _alerts(self, key, last, at):
+        if len(last):
+            yield pd.DataFrame({"key": [_key(key)] * len(last), "last_event_time": _instants(last),
+                                "alert_time": _instants(at)})
+
+    def _set_timer(self, ms: int | None) -> None:
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if ms is not None:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def _settle(self, key, times: np.ndarray, watermark: int):
+        """Alert and drop the times that the watermark has left behind."""
+        done = times + self.gap_ms <= watermark
+        quiet = done & (np.r_[np.diff(times), np.iinfo("int64").max] > self.gap_ms)
+        rest = times[~done]
+        self.times.clear()
+        if len(rest):
+            self.times.put([(int(t),) for t in rest])
+        self._set_timer(int(rest[0]) + self.gap_ms if len(rest) else None)
+        yield from self._alerts(key, times[quiet], times[quiet] + self.gap_ms)
+
+    def _stored(self) -> np.ndarray:
+        return np.array([t[0] for t in self.times.get()] if self.times.exists() else [], dtype="int64")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows, ["event_id", "event_time"])
-        times = _ms(pdf["event_time"]).to_numpy() if len(pdf) else np.empty(0, "int64")
-        prev, timer = self.last.get() if self.last.exists() else (None, None)
-        last_t = np.empty(0, "int64")
-        if len(times):
-            # vectorised: gaps between consecutive events (and from the stored one)
-            seq = times if prev is None else np.concatenate([[prev], times])
-            if not self.processing_time:
-                gaps = np.diff(seq) > self.gap_ms
-                last_t = seq[:-1][gaps]
-            prev = int(times[-1])
-        alert_t = last_t + self.gap_ms
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        if prev is not None:
-            if self.processing_time:
-                timer = timerValues.getCurrentProcessingTimeInMs() + self.gap_ms
-            else:
-                timer = prev + self.gap_ms
-            self.handle.registerTimer(timer)
-            self.last.update((prev, timer))
-        if len(last_t):
-            yield pd.DataFrame({"key": [_key(key)] * len(last_t),
-                                "last_event_time": self._ts(last_t),
-                                "alert_time": self._ts(alert_t)})
+        parts = [self._stored()]
+        parts += [_ms(f["event_time"].dropna()).to_numpy() for f in rows]
+        times = np.unique(np.concatenate(parts))
+        if not len(times):
+            return
+        if self.processing_time:
+            self.times.put([(int(times[-1]),)])
+            self._set_timer(timerValues.getCurrentProcessingTimeInMs() + self.gap_ms)
+        else:
+            yield from self._settle(key, times, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.last.exists():
-            prev, _ = self.last.get()
-            self.last.clear()
-            alert = prev + self.gap_ms if not self.processing_time else \
-                expiredTimerInfo.getExpiryTimeInMs()
-            yield pd.DataFrame({"key": [_key(key)], "last_event_time": self._ts([prev]),
-                                "alert_time": self._ts([alert])})
+        times = self._stored()
+        self.timer.clear()
+        if not len(times):
+            return
+        if self.processing_time:
+            self.times.clear()
+            yield from self._alerts(key, times[-1:], [expiredTimerInfo.getExpiryTimeInMs()])
+        else:
+            yield from self._settle(key, times, timerValues.getCurrentWatermarkInMs())
 
     def close(self):
         pass
 
 
-# ── T6: sessions kept by hand (value state + event-time timer) ─────────────
+# ── T6: sessions kept by hand (list state + event-time timer) ──────────────
+def merge_sessions(sessions: list[tuple], gap_ms: int) -> list[tuple]:
+    """(start, last, count) pieces → sessions: pieces at most a gap apart join."""
+    out: list[tuple] = []
+    for start, last, n in sorted(sessions):
+        if out and start - out[-1][1] <= gap_ms:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+        else:
+            out.append((start, last, n))
+    return out
+
+
 class SessionProcessor(StatefulProcessor):
-    """Session = events with gaps < ``gap``; emitted once closed, i.e. when a
-    later event opens a new one or the watermark passes ``last + gap``."""
+    """Session = events at most ``gap`` apart.  The state holds the open
+    sessions; rows that arrive late, but not behind the watermark, extend or
+    join them.  A session leaves when the watermark passes ``last + gap``."""
     OUTPUT = StructType([StructField("key", StringType()),
                          StructField("session_start", TimestampType()),
                          StructField("session_end", TimestampType()),
@@ -302,53 +360,46 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.sess = handle.getValueState("session", StructType([
+        self.open = handle.getListState("sessions", StructType([
             StructField("start", LongType()), StructField("last", LongType()),
             StructField("count", LongType())]))
-
-    def _emit(self, key, closed):
-        if closed:
-            starts, ends, counts = zip(*closed)
-            yield pd.DataFrame({
-                "key": [_key(key)] * len(closed),
-                "session_start": pd.to_datetime(pd.Series(starts, dtype="int64"), unit="ms", utc=True),
-                "session_end": pd.to_datetime(pd.Series(ends, dtype="int64"), unit="ms", utc=True),
-                "event_count": list(counts)})
+        self.timer = handle.getValueState("timer", StructType([StructField("ms", LongType())]))
+
+    def _stored(self) -> list[tuple]:
+        return [tuple(s) for s in self.open.get()] if self.open.exists() else []
+
+    def _close(self, key, sessions: list[tuple], watermark: int):
+        done = [s for s in sessions if s[1] + self.gap_ms <= watermark]
+        rest = [s for s in sessions if s[1] + self.gap_ms > watermark]
+        self.open.clear()
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if rest:
+            self.open.put(rest)
+            first = min(s[1] for s in rest) + self.gap_ms
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+        if done:
+            starts, lasts, counts = zip(*done)
+            yield pd.DataFrame({"key": [_key(key)] * len(done), "session_start": _instants(starts),
+                                "session_end": _instants([t + self.gap_ms for t in lasts]),
+                                "event_count": list(counts)})
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows, ["event_id", "event_time"])
-        cur = self.sess.get() if self.sess.exists() else None
-        closed = []
-        if cur is not None:
-            self.handle.deleteTimer(cur[1] + self.gap_ms)
-        if len(pdf):
-            t = _ms(pdf["event_time"]).to_numpy()
-            # a row opens a session when its gap to the previous row is >= gap
-            prev = np.concatenate([[cur[1] if cur is not None else t[0]], t[:-1]])
-            opens = (t - prev) >= self.gap_ms
-            if cur is None:
-                opens[0] = True
-            sid = np.cumsum(opens)  # 0 = continues the stored session
-            starts = pd.Series(t).groupby(sid).agg(["min", "max", "size"])
-            for s_id, row in starts.iterrows():
-                start, last, n = int(row["min"]), int(row["max"]), int(row["size"])
-                if s_id == 0:
-                    start, n = cur[0], cur[2] + n
-                closed.append((start, last, n))
-            if cur is not None and sid[0] > 0:
-                closed.insert(0, (cur[0], cur[1], cur[2]))
-            cur = closed.pop()  # the newest session stays open
-            closed = [(a, b + self.gap_ms, n) for a, b, n in closed]
-        if cur is not None:
-            self.sess.update(cur)
-            self.handle.registerTimer(cur[1] + self.gap_ms)
-        yield from self._emit(key, closed)
+        pieces = self._stored()
+        for pdf in rows:                      # a frame's own sessions, then merged
+            t = np.sort(_ms(pdf["event_time"].dropna()).to_numpy())
+            if len(t):
+                first = np.flatnonzero(np.r_[True, np.diff(t) > self.gap_ms])
+                last = np.r_[first[1:], len(t)]
+                pieces += zip(t[first].tolist(), t[last - 1].tolist(), (last - first).tolist())
+        yield from self._close(key, merge_sessions(pieces, self.gap_ms),
+                               timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.sess.exists():
-            s, last, n = self.sess.get()
-            self.sess.clear()
-            yield from self._emit(key, [(s, last + self.gap_ms, n)])
+        self.timer.clear()
+        yield from self._close(key, self._stored(), timerValues.getCurrentWatermarkInMs())
 
     def close(self):
         pass
@@ -356,8 +407,12 @@ class SessionProcessor(StatefulProcessor):
 
 # ── ST13: co-processing of two sides ──────────────────────────────────────
 class CoProcessor(StatefulProcessor):
-    """Union of two sides per key; state holds the latest left row; each
-    right row is emitted with it when it is at most ``bound_ms`` older."""
+    """Union of two sides per key.  The state holds the left rows no older
+    than ``bound_ms`` before the newest one; each right row is emitted with
+    the latest of them at or before it, at most ``bound_ms`` older.  A right
+    row goes out in its own batch, so it sees the left rows that have arrived
+    by then; a left row that comes later never changes it, and an older left
+    row never hides a newer one."""
     OUTPUT = StructType([StructField("key", StringType()), StructField("click_id", StringType()),
                          StructField("click_time", TimestampType()),
                          StructField("view_id", StringType()),
@@ -367,35 +422,33 @@ class CoProcessor(StatefulProcessor):
         self.bound_ms = bound_ms
 
     def init(self, handle):
-        self.view = handle.getValueState("last_view", StructType([
-            StructField("id", StringType()), StructField("t", LongType())]))
+        self.views = handle.getListState("views", StructType([
+            StructField("t", LongType()), StructField("id", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["event_id", "event_time", "is_left"])
-        vid, vt = self.view.get() if self.view.exists() else (None, None)
-        if len(pdf):
-            t = _ms(pdf["event_time"])
-            left = pdf["is_left"].astype(bool)
-            # latest left row at or before each row: forward fill, seeded by state
-            last_id = pdf["event_id"].where(left).ffill()
-            last_t = t.where(left).ffill()
-            if vid is not None:
-                last_id = last_id.fillna(vid)
-                last_t = last_t.fillna(vt)
-            right = ~left
-            fresh = right & last_t.notna() & ((t - last_t) <= self.bound_ms)
-            if left.any():
-                vid, vt = pdf["event_id"][left].iloc[-1], int(t[left].iloc[-1])
-                self.view.update((vid, vt))
-            if right.any():
-                view_t = last_t.where(fresh)[right]
-                yield pd.DataFrame({
-                    "key": [_key(key)] * int(right.sum()),
-                    "click_id": pdf["event_id"][right].values,
-                    "click_time": pd.to_datetime(t[right].values, unit="ms", utc=True),
-                    "view_id": _nullable(last_id.where(fresh)[right]),
-                    "view_time": pd.to_datetime(view_t.astype("Int64").values, unit="ms",
-                                                utc=True)})
+        pdf = pdf[pdf["event_time"].notna()]
+        if not len(pdf):
+            return
+        t, left = _ms(pdf["event_time"]).to_numpy(), pdf["is_left"].to_numpy(bool)
+        ids = pdf["event_id"].astype(object).to_numpy()
+        views = sorted(([tuple(v) for v in self.views.get()] if self.views.exists() else [])
+                       + list(zip(t[left].tolist(), ids[left].tolist())))
+        if views:
+            newest = views[-1][0]
+            self.views.put([v for v in views if v[0] >= newest - self.bound_ms])
+        if left.all():
+            return
+        rt, rid = t[~left], ids[~left]
+        # a view at the click's own time counts if its id sorts before the click's
+        at = np.array([bisect_right(views, (int(a), b)) - 1 for a, b in zip(rt, rid)])
+        vt = np.array([views[i][0] if i >= 0 else np.iinfo("int64").min // 2 for i in at])
+        ok = (rt - vt <= self.bound_ms) & (at >= 0)
+        yield pd.DataFrame({
+            "key": [_key(key)] * len(rt), "click_id": rid, "click_time": _instants(rt),
+            "view_id": [views[i][1] if o else None for i, o in zip(at, ok)],
+            "view_time": pd.to_datetime(pd.Series([int(v) if o else None for v, o in zip(vt, ok)],
+                                                  dtype="Int64"), unit="ms", utc=True)})
 
     def close(self):
         pass

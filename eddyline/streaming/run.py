@@ -40,8 +40,9 @@ def start_available_now(sdf: DataFrame, *, output_mode: str, path: str, checkpoi
             .trigger(availableNow=True).start())
 
 
-def await_query(q, timeout_s: float) -> None:
-    done = q.awaitTermination(timeout_s)
+def await_query(q, timeout_s: float | None = None) -> None:
+    """Wait for the end of ``q``; without a limit unless one is given."""
+    done = q.awaitTermination(timeout_s) if timeout_s else (q.awaitTermination() or True)
     if not done:
         q.stop()
         raise TimeoutError(f"stream {q.name} did not finish within {timeout_s}s")
@@ -51,11 +52,10 @@ def await_query(q, timeout_s: float) -> None:
 
 
 def default_state_partitions(spark) -> int:
-    """State partitions for a new checkpoint: the session's shuffle width,
-    capped at twice the cluster's parallelism (each partition is a state
-    store committed every batch; idle ones cost as much as busy ones)."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(width, 2 * spark.sparkContext.defaultParallelism))
+    """State partitions for a new checkpoint: the session's shuffle width.  The
+    checkpoint keeps it for good, so it follows the configured width, not the
+    number of executors that happen to be up."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @contextmanager
@@ -74,7 +74,7 @@ def shuffle_width(spark, n: int | None):
 
 
 def drain(sdf: DataFrame, *, output_mode: str = "append", name: str = "drain",
-          keys: Sequence[str] | None = None, timeout_s: float = 600,
+          keys: Sequence[str] | None = None, timeout_s: float | None = None,
           path: str | None = None, checkpoint: str | None = None,
           state_partitions: int | None = None) -> DataFrame:
     """Drain ``sdf`` and return its output as a batch DataFrame.
@@ -113,12 +113,12 @@ def read_result(spark, schema: StructType, path: str, output_mode: str,
     return latest_per_key(rows, keys, [BATCH_COL]).drop(BATCH_COL)
 
 
-def drain_until_consumed(sdf: DataFrame, expected_rows: int, *, output_mode: str = "update",
+def drain_until_consumed(sdf: DataFrame, done, *, output_mode: str = "update",
                          name: str = "drain-pt", keys: Sequence[str] | None = None,
-                         interval: str = "1 second", timeout_s: float = 300) -> DataFrame:
+                         interval: str = "1 second", timeout_s: float | None = None) -> DataFrame:
     """Drain a processing-time query (timers/TTL keep it alive, so
-    ``availableNow`` never ends): run on a processing-time trigger and stop
-    once ``expected_rows`` input rows were processed and a later batch ran."""
+    ``availableNow`` never ends): run on a processing-time trigger until
+    ``done(result so far)`` is true after a batch, then stop between triggers.  No limit on time unless one is given."""
     spark = sdf.sparkSession
     base = scratch_dir(spark, name)
     path, checkpoint = f"{base}/out", f"{base}/checkpoint"
@@ -129,28 +129,28 @@ def drain_until_consumed(sdf: DataFrame, expected_rows: int, *, output_mode: str
         q = (writer.outputMode(output_mode).option("checkpointLocation", checkpoint)
              .queryName(f"{name}_{base.rsplit('-', 1)[-1]}")
              .trigger(processingTime=interval).start())
-        _wait_consumed(q, expected_rows, name, timeout_s)
+        _wait_done(q, lambda: done(read_result(spark, sdf.schema, path, output_mode, keys)),
+                   name, timeout_s)
     return read_result(spark, sdf.schema, path, output_mode, keys)
 
 
-def _wait_consumed(q, expected_rows: int, name: str, timeout_s: float) -> None:
+def _wait_done(q, done, name: str, timeout_s: float | None) -> None:
     import time
-    deadline = time.time() + timeout_s
+    deadline = time.time() + timeout_s if timeout_s else None
+    checked = -1
     try:
         while True:
             if q.exception() is not None:
                 raise StreamFailed(str(q.exception()))
-            prog = q.recentProgress
-            seen = sum(p.get("numInputRows", 0) for p in prog)
-            after = [p for p in prog if p.get("numInputRows", 0) == 0]
-            if seen >= expected_rows and after and prog[-1].get("numInputRows", 0) == 0:
-                # prefer stopping between triggers (bounded wait)
-                settle = time.time() + 3
-                while q.status.get("isTriggerActive") and time.time() < settle:
-                    time.sleep(0.05)
-                break
-            if time.time() > deadline:
-                raise TimeoutError(f"{name}: {seen}/{expected_rows} rows after {timeout_s}s")
-            time.sleep(0.5)
+            last = q.lastProgress
+            if last is not None and last["batchId"] != checked:
+                checked = last["batchId"]
+                if done():
+                    while q.status["isTriggerActive"]:
+                        time.sleep(0.05)
+                    return
+            if deadline and time.time() > deadline:
+                raise TimeoutError(f"{name}: not done after {timeout_s}s")
+            time.sleep(0.2)
     finally:
         q.stop()

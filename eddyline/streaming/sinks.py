@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -83,7 +84,7 @@ class RowWriter:
 
 def enrich_refreshing(stream: DataFrame, loader: Callable[[], DataFrame], on, *,
                       name: str = "refreshing", how: str = "left",
-                      timeout_s: float = 600) -> DataFrame:
+                      timeout_s: float | None = None) -> DataFrame:
     """Stream–table join whose table is re-read for every micro-batch.
 
     ``loader()`` is called inside ``foreachBatch``, so a slowly changing
@@ -110,31 +111,33 @@ def enrich_refreshing(stream: DataFrame, loader: Callable[[], DataFrame], on, *,
 
 
 def run_foreach(df: DataFrame, fmt: Callable, *, name: str = "foreach",
-                timeout_s: float = 600) -> DataFrame:
-    """Drain ``df`` through a :class:`RowWriter` and read the lines back.
+                timeout_s: float | None = None) -> DataFrame:
+    """Drain ``df`` as one line per row and read the lines back.
 
-    The folder must be reachable by every executor (a shared mount); here it
-    lives under the shared checkpoint folder.
+    ``fmt`` renders a row.  Each micro-batch writes its lines with Spark's
+    text writer to a folder of its own, so any shared file system will do and
+    a replayed batch replaces its own lines.
     """
-    from eddyline.session import local_path, scratch_dir
+    from eddyline.session import scratch_dir
     from eddyline.streaming.run import await_query
     spark = df.sparkSession
     base = scratch_dir(spark, name)
-    folder = local_path(f"{base}/lines")
-    if "://" in folder:
-        raise ValueError("the foreach example writes with local file APIs; "
-                         "spark.checkpoint.dir must be a mounted path")
-    q = (df.writeStream.foreach(RowWriter(folder, fmt))
+    line = F.udf(lambda r: fmt(r), "string")(F.struct(*[F.col(c) for c in df.columns]))
+
+    def write_lines(batch: DataFrame, batch_id: int) -> None:
+        batch.select(line.alias("line")).write.mode("overwrite").text(f"{base}/lines/{BATCH_COL}={batch_id}")
+
+    q = (df.writeStream.foreachBatch(write_lines)
          .option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     await_query(q, timeout_s)
-    if not os.path.isdir(folder):
+    if not _exists(spark, f"{base}/lines"):
         return spark.createDataFrame([], "line string")
-    return spark.read.text(folder).withColumnRenamed("value", "line")
+    return spark.read.text(f"{base}/lines").select(F.col("value").alias("line"))
 
 
 def write_branches(stream: DataFrame, branches: dict, path: str, *, default: str | None = None,
-                   name: str = "branches", timeout_s: float = 600) -> DataFrame:
+                   name: str = "branches", timeout_s: float | None = None) -> DataFrame:
     """Multi-sink side outputs from one read of the source.
 
     ``foreachBatch`` persists each micro-batch once, writes every branch to

@@ -81,4 +81,4 @@ def test_to_json_omits_nulls_and_kafka_rows(spark):
 
 def test_render_count_line(spark):
     df = spark.createDataFrame([("a", 3)], "key string, running_count long")
-    assert render_count_line(df).first()["line"] == "key=a count=3"
+    assert render_count_line(df).first()["line"] == "key=a  count=3"

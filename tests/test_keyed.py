@@ -22,7 +22,7 @@ def _ev(spark, rows):
 def test_running_count_fixture(spark):
     df = _ev(spark, [("a", 1, "x"), ("b", 2, "x"), ("a", 3, "x"), ("a", 4, "x"), ("b", 5, "x")])
     per = keyed.running_count(df, per_record=True, chunk="2 seconds",
-                              hot_rows=None).orderBy("event_time")
+                              chunk_rows=None).orderBy("event_time")
     assert [(r.key, r.running_count) for r in per.collect()] == [
         ("a", 1), ("b", 1), ("a", 2), ("a", 3), ("b", 2)]
     final = dict((r.key, r.running_count) for r in keyed.running_count(df).collect())
@@ -31,7 +31,7 @@ def test_running_count_fixture(spark):
 
 def test_null_key_is_its_own_group(spark):
     df = _ev(spark, [(None, 1, "x"), (None, 2, "x"), ("a", 3, "x")])
-    per = keyed.running_count(df, per_record=True, chunk="1 second", hot_rows=None).collect()
+    per = keyed.running_count(df, per_record=True, chunk="1 second", chunk_rows=None).collect()
     assert sorted(((r.key or ""), r.running_count) for r in per) == [("", 1), ("", 2), ("a", 1)]
 
 
@@ -57,8 +57,8 @@ def _brute_funnel(types, steps=("view", "click", "purchase")):
     return stage, done
 
 
-@pytest.mark.parametrize("hot_rows", [None, 500, 10_000])
-def test_funnel_matches_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("chunk_rows", [None, 500, 10_000])
+def test_funnel_matches_brute_force(spark, chunk_rows):
     rng = np.random.default_rng(3)
     n = 2000
     pdf = pd.DataFrame({
@@ -70,14 +70,14 @@ def test_funnel_matches_brute_force(spark, hot_rows):
     df = (spark.createDataFrame(pdf).withColumn(
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200))))
     got = {r.key: (r.stage, r.completed) for r in keyed.funnel_states(
-        df, chunk="7 minutes", hot_rows=hot_rows).collect()}
+        df, chunk="7 minutes", chunk_rows=chunk_rows).collect()}
     exp = {k: _brute_funnel(g.sort_values(["s", "event_id"]).event_type)
            for k, g in pdf.groupby("key")}
     assert got == exp
 
 
-@pytest.mark.parametrize("hot_rows", [None, 600])
-def test_co_process_matches_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("chunk_rows", [None, 600])
+def test_co_process_matches_brute_force(spark, chunk_rows):
     rng = np.random.default_rng(5)
     n = 1500
     pdf = pd.DataFrame({"key": rng.choice(["a", "b"], n), "s": rng.integers(0, 40_000, n),
@@ -87,7 +87,7 @@ def test_co_process_matches_brute_force(spark, hot_rows):
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200)))
     got = {r.click_id: r.view_id for r in keyed.co_process(
         df.filter("event_type = 'view'"), df.filter("event_type = 'click'"), "1 hour",
-        chunk="10 minutes", hot_rows=hot_rows).collect()}
+        chunk="10 minutes", chunk_rows=chunk_rows).collect()}
     exp = {}
     for _, g in pdf.sort_values(["s", "event_id"]).groupby("key"):
         last = None
@@ -101,8 +101,8 @@ def test_co_process_matches_brute_force(spark, hot_rows):
 
 def test_collect_recent_and_type_map(spark):
     df = _ev(spark, [("a", i, "view" if i % 2 else "click") for i in range(10)])
-    r = keyed.collect_recent(df, 3, chunk="2 seconds", hot_rows=None).first()
-    assert keyed.collect_recent(df, 3, chunk="2 seconds", hot_rows=4).first().recent == "7,8,9"
+    r = keyed.collect_recent(df, 3).first()
+    assert keyed.collect_recent(df, 3).first().recent == "7,8,9"
     assert r.recent == "7,8,9" and r.n_recent == 3
     m = {x.event_type: x.type_count for x in keyed.counts_by_type(df).collect()}
     assert m == {"view": 5, "click": 5}
@@ -136,20 +136,19 @@ def test_accumulator_groups_across_arrow_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_hot_key_chunks_split_only_hot_keys(spark):
-    from eddyline.operators.scan import hot_key_chunks, time_chunk
-    rows = [("hot", i * 3600) for i in range(30)] + [("cold", i * 3600) for i in range(5)]
+def test_balanced_chunks_cut_by_rows_not_by_time(spark):
+    from eddyline.operators.scan import balanced_chunks
+    rows = [("hot", i) for i in range(3000)] + [("cold", i * 3600) for i in range(5)] + [("hot", None)]
     df = spark.createDataFrame(rows, "key string, s long").withColumn(
         "event_time", F.timestamp_seconds("s"))
-    out = hot_key_chunks(df, ["key"], time_chunk("event_time", "1 hour"), hot_rows=10)
-    chunks = {k: set() for k in ("hot", "cold")}
-    for r in out.collect():
-        chunks[r.key].add(r._ck)
-    assert len(chunks["hot"]) == 30 and chunks["cold"] == {0}
+    out = balanced_chunks(df, ["key"], "event_time", rows=500).groupBy("key", "_ck").count().collect()
+    hot = [r["count"] for r in out if r.key == "hot"]
+    assert len(hot) == 8 and max(hot) <= 600 and sum(hot) == 3001
+    assert [r["count"] for r in out if r.key == "cold"] == [5]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 200])
-def test_running_count_hot_key_adaptive(spark, hot_rows):
+@pytest.mark.parametrize("chunk_rows", [None, 200])
+def test_running_count_hot_key_adaptive(spark, chunk_rows):
     rng = np.random.default_rng(9)
     n = 1200
     pdf = pd.DataFrame({"key": np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b"], n)),
@@ -158,7 +157,7 @@ def test_running_count_hot_key_adaptive(spark, hot_rows):
     df = spark.createDataFrame(pdf).withColumn(
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200)))
     got = {r.event_id: r.running_count for r in keyed.running_count(
-        df, per_record=True, chunk="1 hour", hot_rows=hot_rows).collect()}
+        df, per_record=True, chunk="1 hour", chunk_rows=chunk_rows).collect()}
     exp = {}
     for _, g in pdf.sort_values(["s", "event_id"]).groupby("key"):
         for i, eid in enumerate(g.event_id, 1):
@@ -166,11 +165,18 @@ def test_running_count_hot_key_adaptive(spark, hot_rows):
     assert got == exp
 
 
-def test_hot_key_chunks_beyond_max_hot_keys_chunks_all(spark):
-    from eddyline.operators.scan import hot_key_chunks, time_chunk
-    rows = [(k, i * 3600) for k in ("a", "b") for i in range(5)]
-    df = spark.createDataFrame(rows, "key string, s long").withColumn(
-        "event_time", F.timestamp_seconds("s"))
-    out = hot_key_chunks(df, ["key"], time_chunk("event_time", "1 hour"), hot_rows=1,
-                         max_hot_keys=1)
-    assert len({r._ck for r in out.collect()}) == 5
+@pytest.mark.parametrize("chunk_rows", [None, 1, 7, 1_000_000])
+def test_null_times_and_keys_count_alike_at_every_chunk_size(spark, chunk_rows):
+    rng = np.random.default_rng(4)
+    rows = [(None if rng.random() < 0.4 else str(rng.choice(["a", "b"])),
+             None if rng.random() < 0.2 else int(rng.integers(0, 3600)), f"{i:04d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, s long, event_id string").withColumn(
+        "event_time", F.timestamp_seconds("s")).withColumn("value", F.lit(2))
+    exp, seen = {}, {}
+    for k, t, e in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        exp[e] = seen[k]
+    got = keyed.running_count(df, per_record=True, chunk="10 minutes", chunk_rows=chunk_rows)
+    assert {r.event_id: r.running_count for r in got.collect()} == exp
+    total = keyed.running_sum(df, chunk="10 minutes", chunk_rows=chunk_rows)
+    assert {r.event_id: r.running_sum for r in total.collect()} == {e: 2 * n for e, n in exp.items()}

@@ -38,3 +38,16 @@ def test_pattern_job_equals_batch(spark, sf_small, pattern):
     cols = expected.columns
     got = got.select(*[F.col(c).cast(expected.schema[c].dataType) for c in cols])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+@pytest.mark.parametrize("mode", ["microbatch", "realtime", "available_now"])
+@pytest.mark.parametrize("pattern", ["01", "02", "03", "04"])
+def test_output_mode_of_every_pattern(pattern, mode):
+    got = patterns.output_mode(pattern, PipelineConfig(mode=mode))
+    assert got == ("append" if pattern == "01" and mode != "realtime" else "update")
+
+
+def test_pattern_04_rate_limit_is_a_default():
+    assert patterns.with_rate_limit("04", PipelineConfig()).max_offsets_per_trigger == 10_000
+    assert patterns.with_rate_limit("04", PipelineConfig(max_offsets_per_trigger=7)).max_offsets_per_trigger == 7
+    assert patterns.with_rate_limit("02", PipelineConfig()).max_offsets_per_trigger is None

@@ -59,8 +59,14 @@ def test_sessions_across_chunks_and_exact_gap(spark):
     got = sorted((str(r.session_start), r.event_count)
                  for r in sessions(df, "5 minutes", {"event_count": ("count", None),
                                                      "total": ("sum", "value")}).collect())
-    assert got == [("2024-01-01 23:58:00", 2), ("2024-01-02 00:07:00", 1),
-                   ("2024-01-02 23:59:00", 1)]
+    # exactly one gap apart: one session, as session_window has it
+    assert got == [("2024-01-01 23:58:00", 3), ("2024-01-02 23:59:00", 1)]
+    no_time = df.select("key", F.lit(None).cast("timestamp").alias("event_time"), "value")
+    assert sessions(df.select("key", "event_time", "value").union(no_time), "5 minutes").count() == 2
+    hourly = df.select("key", F.date_trunc("hour", "event_time").alias("event_time"))
+    own = sorted(tuple(r) for r in sessions(hourly, "1 hour").collect())
+    ref = hourly.groupBy("key", F.session_window("event_time", "1 hour").alias("w")).count()
+    assert sorted((r[0], r[3]) for r in own) == sorted((r.key, r["count"]) for r in ref.collect())
 
 
 def test_session_aggregate_kinds_merge_across_chunks(spark):
