@@ -182,9 +182,14 @@ class Lattice:
             beta[pos] = acc
         self.logq = w + beta[self.dst] - beta[self.src] if n else w
         q = np.exp(np.minimum(self.logq, 0.0))
-        total = np.cumsum(q)
-        base = np.r_[0.0, total][self.off[self.src]] if n else total
-        self.cum = total - base
+        self.cum = q                                           # summed place by place, so that
+        act = head[deg[head] > 1]                              # rounding never depends on the slice
+        j = 1
+        while len(act):
+            e = self.off[act] + j
+            self.cum[e] += self.cum[e - 1]
+            j += 1
+            act = act[deg[act] > j]
         last = self.off[head] + deg[head] - 1
         self.cum[last] = np.inf
         self.deg = deg
@@ -324,9 +329,9 @@ class _Slice:
         start = np.cumsum(size) - size
         e = np.concatenate(full)
         logq = np.minimum(lat.logq[e], 0.0)
-        cum = np.cumsum(logq)
-        base = np.repeat(np.where(start > 0, np.r_[0.0, cum][start], 0.0), size)
-        mass = cum - logq - base + lat.log_rest[e]
+        before = np.concatenate([np.r_[0.0, np.cumsum(logq[a:a + n])][:-1] if n else logq[:0]
+                                 for a, n in zip(start, size)])      # each text by itself
+        mass = before + lat.log_rest[e]
         step = np.arange(len(e)) - np.repeat(start, size)
         mass[step < np.repeat(turns, size)] = -np.inf
         for j, d in enumerate(ds):
@@ -335,7 +340,7 @@ class _Slice:
                 p = lat.src[e[at]]
                 free = self._free(p, shut[d, sample, int(turns[j])])
                 rest = np.log(np.exp(lat.logq[free]).sum()) if len(free) else -np.inf
-                mass[at] = cum[at] - logq[at] - base[at] + rest
+                mass[at] = before[at] + rest
         with np.errstate(over="ignore", divide="ignore"):
             h = mix64(np.repeat(self._key(ds, sample, 3), size) + step.astype(np.uint64))
             g = mass - np.log(-np.log(_unit(h)))

@@ -4,9 +4,12 @@ The language model is a character 4-gram model with modified Kneser-Ney
 smoothing.  Characters fold into 32 classes (letters without accents, space,
 line end, digit, sentence marks, other marks, ...), so a language has at most
 2^20 4-grams however much text is counted: that bounds what is gathered and
-sent to the workers (at most 8 MB a language; languages not listed share one
-model).
+sent to the workers (at most 8 MB for each half of a language; languages not
+listed share one model).
 
+* Texts fall into two halves by a hash of the text, and each is scored by the
+  model of the other half: otherwise a document's own rare grams, which the
+  model has seen once, would pass for good language.
 * Counting is a Spark job: each task counts its grams in a fixed array, then
   the (language, gram) counts are summed by a grouped aggregation over all
   documents.
@@ -41,6 +44,7 @@ ORDER = 4
 CLASSES = 32
 PAD = 31
 GRAMS = CLASSES ** ORDER
+MIN_SPREAD = 0.04
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 WINDOW = 8
@@ -181,6 +185,14 @@ def _slot(lang: str, languages) -> F.Column:
     return F.when(c.isin(*languages), c).otherwise(F.lit(OTHER))
 
 
+def _other_half(label: str, models: dict) -> str:
+    """The model that scores a text: its language's other half, or its own
+    half where the other has no text."""
+    lang, half = label.rsplit("|", 1)
+    other = f"{lang}|{1 - int(half)}"
+    return other if other in models else label
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
     """``rows(lang, text)`` → ``(lang, code, n)``, summed over all rows."""
     def run(batches):
@@ -272,17 +284,20 @@ def measure(rows: DataFrame, models: dict[str, HashArrays], carry: list[str]) ->
                 mark = _tables()[1][cps]
                 score = np.full(len(texts), np.nan)
                 codes = _gram_codes(cps, starts)
-                for lang in set(langs):
-                    if lang not in dense:
-                        dense[lang] = shared.value[lang].dense() if lang in shared.value else None
-                    if dense[lang] is None:
+                size = np.diff(starts)
+                for label in set(langs):
+                    own = np.flatnonzero((langs == label) & (size > 0))
+                    if not len(own):
                         continue
-                    total, size = _sums(dense[lang][codes], starts), np.diff(starts)
-                    own = (langs == lang) & (size > 0)
-                    score[own] = -total[own] / size[own]
+                    name = _other_half(label, shared.value)
+                    if name not in dense:
+                        dense[name] = shared.value[name].dense()
+                    mine = np.repeat(langs == label, size)
+                    at = np.r_[0, np.cumsum(size[own])]
+                    score[own] = -_sums(dense[name][codes[mine]], at) / size[own]
                 n, repeat = _repeat_words(texts)
                 yield pd.DataFrame({
-                    **{c: part[c] for c in carry}, "_lang": langs, "n_words": n,
+                    **{c: part[c] for c in carry}, "_lang": [x.rsplit("|", 1)[0] for x in langs], "n_words": n,
                     "word_chars": _sums((mark > 0).astype(np.int64), starts),
                     "n_symbols": _sums((mark == 3).astype(np.int64), starts),
                     "n_dup_lines": [_dup_lines(t) for t in texts], "n_repeat_words": repeat, "score": score})
@@ -291,14 +306,16 @@ def measure(rows: DataFrame, models: dict[str, HashArrays], carry: list[str]) ->
 
 
 def perplexity_bands(scores: DataFrame, width: float) -> dict[str, tuple[float, float]]:
-    """Lower and upper score by language (a row a language reaches the driver)."""
+    """Lower and upper score by language (a row a language reaches the driver).
+    A spread under ``MIN_SPREAD`` counts as that, so that a language whose
+    documents are much alike does not reject the slightly unusual."""
     q = F.percentile_approx("score", [0.25, 0.75], 10_000)
     got = (scores.filter("score IS NOT NULL AND NOT isnan(score) AND n_words >= " + str(MIN_WORDS))
            .groupBy("_lang").agg(q.alias("q")).collect())
     out = {}
     for r in got:
         low, high = r["q"]
-        spread = max(high - low, 0.01)
+        spread = max(high - low, MIN_SPREAD)
         out[r["_lang"]] = (low - width * spread, high + width * spread)
     return out
 
@@ -311,7 +328,8 @@ def judge_documents(docs: DataFrame, carry: list[str], text_col: str = "text", l
     keep = {c: f"_c{i}" for i, c in enumerate(carry)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()],
                        F.col(f"`{text_col}`").cast("string").alias("_text"),
-                       _slot(f"`{lang_col}`", languages).alias("_lang"))
+                       F.concat_ws("|", _slot(f"`{lang_col}`", languages), F.pmod(F.xxhash64(
+                           F.col(f"`{text_col}`").cast("string")), F.lit(2)).cast("string")).alias("_lang"))
     models = train(rows.select(F.col("_lang").alias("lang"), F.col("_text").alias("text")))
     got = stored(measure(rows, models, list(keep.values())), "quality")
     bands = perplexity_bands(got, width)
