@@ -45,7 +45,7 @@ from eddyline.llm.common import fresh, load_table, mix64, prepare, text_slices
 
 MARK = "▁"
 SEED = 20240607
-SLICE = 2_500_000       # characters held at once by a worker
+SLICE = 1_500_000       # characters held at once by a worker
 
 
 def default_model() -> str:
