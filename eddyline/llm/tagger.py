@@ -69,9 +69,13 @@ class Tagger:
         return (states, past) if keep else states
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scores ``(n, t, tags)``, stored tag by tag so that taking the best
+        tag of every place is a pass over whole rows."""
         states = self.run(x)
         n, t, d = states.shape
-        return (states.reshape(-1, d) @ self.out + self.bias).reshape(n, t, -1)
+        e = self.out.T @ states.reshape(-1, d).T
+        e += self.bias[:, None]
+        return np.moveaxis(e.reshape(self.tags, n, t), 0, 2)
 
     # ---- training ----------------------------------------------------------
 
