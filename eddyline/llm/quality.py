@@ -1,27 +1,29 @@
 """Quality rules: word counts and repetition, then n-gram perplexity bands.
 
 The language model is a character 4-gram model with modified Kneser-Ney
-smoothing.  Characters fold into 32 classes (letters without accents, space,
-line end, digit, sentence marks, other marks, ...), so a language has at most
-2^20 4-grams however much text is counted: that bounds what is gathered and
-sent to the workers (at most 8 MB for each half of a language; languages not
-listed share one model).
+smoothing over UTF-16 units as they are: case, digits, marks and all scripts
+stay apart, and four units make one 64-bit code, so no two grams share one.
+What is counted grows with the corpus and never reaches the driver.
 
 * Texts fall into two halves by a hash of the text, and each is scored by the
   model of the other half: otherwise a document's own rare grams, which the
   model has seen once, would pass for good language.
-* Counting is a Spark job: each task counts its grams in a fixed array, then
-  the (language, gram) counts are summed by a grouped aggregation over all
-  documents.
-* The model keeps the observed grams of each order as sorted arrays of gram
-  hashes with their log10 values, and is looked up by binary search with the
-  usual back-off to shorter grams.
-* A document's score is its mean -log10 probability a character.  The bands
+* Texts are dealt into blocks of one language and half, of about ``BLOCK``
+  bytes, by a hash.  Each block lists its distinct grams with their counts;
+  the counts of all blocks are summed by (language, gram).
+* The levels of the model (grams of 4, 3, 2 and 1 units) are tables in hash
+  partitions; their discounts come from counts of counts (four numbers a level
+  and half reach the driver), their contexts' sums and the next shorter level
+  are joined by hash and sorted.
+* The probabilities are joined back to the blocks' lists, and each block meets
+  its own list again, as sorted arrays, for scoring.
+* A document's score is its mean -log10 probability a UTF-16 unit.  The bands
   of a language lie ``width`` interquartile ranges below and above the
   quartiles of its own documents' scores; documents outside are rejected.
 
 Defined cases: null text is empty (no words, fails the base rules); a null or
-unlisted language uses the shared model; repeated rows are rows of their own
+unlisted language uses the shared model; a half is scored by its own model if
+the other half has no text; U+FFFF, which is no character, counts as U+FFFE; repeated rows are rows of their own
 and are counted each; an empty table gives an empty result; other columns are
 ignored, or pass through ``keep_good_documents``.
 """
@@ -49,6 +51,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 WINDOW = 8
 SLICE = 2_000_000          # characters held at once by a worker
+BLOCK = 4_000_000          # bytes of the texts that share a list of grams
+EDGE = 0xFFFF              # unit before a text
+FLOOR = 1.0 / 0xFFFF       # of each unit but EDGE, below the shortest level
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 # ---- text to numbers -------------------------------------------------------
@@ -91,8 +97,30 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(cps, 0x10000), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
 
 
+def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 units of all texts, and where each text starts (and the end)."""
+    units = np.frombuffer("".join(texts).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    if len(units) > size.sum():
+        size = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts], dtype=np.int64)
+    return np.where(units == EDGE, EDGE - 1, units).astype(np.uint16), np.r_[0, np.cumsum(size)].astype(np.int64)
+
+
+def _unit_codes(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The four units that end at each unit as one 64-bit code."""
+    code = units.astype(np.uint64)
+    pos = np.arange(len(units)) - np.repeat(starts[:-1], np.diff(starts))
+    for back in range(1, ORDER):
+        prev = np.full(len(units), EDGE, dtype=np.uint64)
+        prev[back:] = units[:-back] if len(units) > back else prev[back:]
+        prev[pos < back] = EDGE
+        code |= prev << np.uint64(16 * back)
+    return code.view(np.int64)
+
+
 def _gram_codes(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Code of the 4-gram ending at each character; before a text, padding."""
+    """Code of the 4-gram of folded classes that ends at each character;
+    before a text, padding."""
     c = _tables()[0][cps].astype(np.int32)
     code = c.copy()
     pos = np.arange(len(c)) - np.repeat(starts[:-1], np.diff(starts))
@@ -107,15 +135,20 @@ def _gram_codes(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # ---- model -----------------------------------------------------------------
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discount for counts 0, 1, 2 and 3 or more, from counts of counts."""
-    n = [max(1.0, float((counts == k).sum())) for k in range(1, 5)]
+    """Discount for counts 0, 1, 2 and 3 or more."""
+    return _discounts_from([float((counts == k).sum()) for k in range(1, 5)])
+
+
+def _discounts_from(counts_of_counts) -> np.ndarray:
+    n = [max(1.0, float(x)) for x in counts_of_counts]
     y = n[0] / (n[0] + 2 * n[1])
     d = [0.0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
     return np.clip(np.array(d), [0.0, 0.05, 0.05, 0.05], [0.0, 0.95, 1.9, 2.9])
 
 
 def kneser_ney(counts: np.ndarray) -> list[tuple]:
-    """Dense 4-gram counts → per order (shortest first) the observed grams'
+    """The definition, dense and in memory, on folded classes (the tests hold
+    :func:`gram_probabilities` against it).  4-gram counts → per order (shortest first) the observed grams'
     codes, their log10 probability, and the log10 back-off weight of every
     context code.  Lower orders count distinct left neighbours; probabilities
     interpolate with the next shorter order, the shortest with the uniform
@@ -150,7 +183,8 @@ def _hash(codes: np.ndarray) -> np.ndarray:
 
 
 class HashArrays:
-    """A language's model as sorted hash arrays, one pair for each order."""
+    """The levels of :func:`kneser_ney` as sorted hash arrays, one pair for
+    each order."""
 
     def __init__(self, levels: list[tuple]):
         self.levels = []
@@ -176,7 +210,7 @@ class HashArrays:
         return out
 
     def dense(self) -> np.ndarray:
-        """Every gram looked up once: what a worker indexes text with."""
+        """Every gram looked up once."""
         return self.lookup(np.arange(GRAMS, dtype=np.int64))
 
 
@@ -185,44 +219,71 @@ def _slot(lang: str, languages) -> F.Column:
     return F.when(c.isin(*languages), c).otherwise(F.lit(OTHER))
 
 
-def _other_half(label: str, models: dict) -> str:
-    """The model that scores a text: its language's other half, or its own
-    half where the other has no text."""
-    lang, half = label.rsplit("|", 1)
-    other = f"{lang}|{1 - int(half)}"
-    return other if other in models else label
-
-
-def count_grams(rows: DataFrame) -> DataFrame:
-    """``rows(lang, text)`` → ``(lang, code, n)``, summed over all rows."""
-    def run(batches):
-        held: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            langs = pdf["lang"].to_numpy()
-            for lo, hi in text_slices(texts, SLICE):
-                for lang in set(langs[lo:hi]):
-                    cps, starts = _points([t for t, g in zip(texts[lo:hi], langs[lo:hi]) if g == lang])
-                    if len(cps):
-                        acc = held.setdefault(lang, np.zeros(GRAMS, dtype=np.int64))
-                        acc += np.bincount(_gram_codes(cps, starts), minlength=GRAMS)
-        for lang, acc in held.items():
-            code = np.flatnonzero(acc)
-            yield pd.DataFrame({"lang": lang, "code": code.astype(np.int32), "n": acc[code]})
-
-    return (rows.mapInPandas(run, "lang string, code int, n long")
-            .groupBy("lang", "code").agg(F.sum("n").alias("n")))
-
-
-def train(rows: DataFrame) -> dict[str, HashArrays]:
-    """Models by language from summed counts (at most 2^20 rows a language)."""
-    pdf = count_grams(rows).toPandas()
-    models = {}
-    for lang, g in pdf.groupby("lang"):
-        counts = np.zeros(GRAMS, dtype=np.int64)
-        counts[g["code"].to_numpy()] = g["n"].to_numpy()
-        models[lang] = HashArrays(kneser_ney(counts))
-    return models
+def _by_key(column: str, values: dict) -> F.Column:
+    """``values[column]``, for a few keys."""
+    out = F.lit(None)
+    for k, v in values.items():
+        out = F.when(F.col(column) == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def block_grams(blocked: DataFrame) -> DataFrame:
+    """``rows(block, _lang, _half, _text)`` → ``(block, lang, half, g, n)``: the
+    distinct grams of each block.  A block is of one language and half."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [t for t in pdf["_text"] if isinstance(t, str)]
+        got = []
+        for lo, hi in text_slices(texts, SLICE):
+            codes, kinds = pd.factorize(_unit_codes(*_units(texts[lo:hi])))
+            got.append(pd.Series(np.bincount(codes, minlength=len(kinds)), index=kinds))
+        one = got[0] if len(got) == 1 else pd.concat(got).groupby(level=0).sum() if got else pd.Series([], dtype="int64")
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "lang": pdf["_lang"].iloc[0], "half": pdf["_half"].iloc[0],
+                             "g": one.index.to_numpy(np.int64), "n": one.to_numpy(np.int64)})
+
+    return (blocked.select("block", "_lang", "_half", "_text").groupBy("block")
+            .applyInPandas(run, "block int, lang string, half int, g long, n long"))
+
+
+def gram_probabilities(counts: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """``(lang, g, n0, n1)``, counts of 4-grams in the two halves → ``(lang, g,
+    p0, p1)``: the probability of the last unit after the three before, by
+    each half's model, for the grams of both.  The definition is that of
+    :func:`kneser_ney`; ``floor`` is the uniform distribution."""
+    levels = [counts]
+    for order in range(ORDER - 1, 0, -1):
+        short = F.col("g").bitwiseAND(F.lit((1 << 16 * order) - 1).cast("long"))
+        levels.insert(0, stored(levels[0].groupBy("lang", short.alias("g")).agg(
+            *[F.sum((F.col(f"n{m}") > 0).cast("long")).alias(f"n{m}") for m in (0, 1)]), "quality-level"))
+    lower = None
+    for order, level in enumerate(levels, 1):
+        of = level.groupBy("lang").agg(*[F.sum((F.col(f"n{m}") == k).cast("long")).alias(f"c{m}_{k}")
+                                         for m in (0, 1) for k in range(1, 5)]).collect()
+        d = {r["lang"]: [_discounts_from([r[f"c{m}_{k}"] for k in range(1, 5)]) for m in (0, 1)] for r in of}
+        if not d:
+            return counts.select("lang", "g", F.lit(0.0).alias("p0"), F.lit(0.0).alias("p1"))
+
+        def off(m: int) -> F.Column:
+            out = F.lit(0.0)
+            for k in (1, 2, 3):
+                here = F.col(f"n{m}") == k if k < 3 else F.col(f"n{m}") >= 3
+                out = F.when(here, _by_key("lang", {g: float(x[m][k]) for g, x in d.items()})).otherwise(out)
+            return out
+
+        rows = level.select("lang", "g", "n0", "n1", off(0).alias("d0"), off(1).alias("d1"),
+                            F.shiftrightunsigned("g", 16).alias("ctx"),
+                            F.col("g").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long")).alias("short"))
+        sums = rows.groupBy("lang", "ctx").agg(*[F.sum(f"{c}{m}").alias(f"{t}{m}")
+                                                 for m in (0, 1) for c, t in (("n", "t"), ("d", "free"))])
+        rows = rows.join(sums, ["lang", "ctx"])
+        if lower is None:
+            rows = rows.withColumns({"q0": F.lit(floor), "q1": F.lit(floor)})
+        else:
+            rows = rows.join(lower.select("lang", F.col("g").alias("short"), F.col("p0").alias("q0"),
+                                          F.col("p1").alias("q1")), ["lang", "short"])
+        lower = rows.select("lang", "g", *[
+            F.when(F.col(f"t{m}") > 0, (F.col(f"n{m}") - F.col(f"d{m}") + F.col(f"free{m}") * F.col(f"q{m}"))
+                   / F.col(f"t{m}")).otherwise(F.col(f"q{m}")).alias(f"p{m}") for m in (0, 1)])
+    return lower
 
 
 # ---- base rules ------------------------------------------------------------
@@ -263,46 +324,39 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)][starts])
 
 
-def measure(rows: DataFrame, models: dict[str, HashArrays], carry: list[str]) -> DataFrame:
-    """``rows(carry..., lang, text)`` → carry columns, base counts and ``score``
-    (mean -log10 probability a character, null without text)."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(models)
-    schema = T.StructType([rows.schema[c] for c in carry] + [
-        T.StructField("_lang", T.StringType()),
-        *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
-                                                   "n_repeat_words")], T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        dense: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for lo, hi in text_slices([t or "" for t in pdf["_text"]], SLICE):
-                part = pdf.iloc[lo:hi]
-                texts = [t if isinstance(t, str) else "" for t in part["_text"]]
-                langs = part["_lang"].to_numpy()
-                cps, starts = _points(texts)
-                mark = _tables()[1][cps]
-                score = np.full(len(texts), np.nan)
-                codes = _gram_codes(cps, starts)
-                size = np.diff(starts)
-                for label in set(langs):
-                    own = np.flatnonzero((langs == label) & (size > 0))
-                    if not len(own):
-                        continue
-                    name = _other_half(label, shared.value)
-                    if name not in dense:
-                        dense[name] = shared.value[name].dense()
-                    mine = np.repeat(langs == label, size)
-                    at = np.r_[0, np.cumsum(size[own])]
-                    score[own] = -_sums(dense[name][codes[mine]], at) / size[own]
-                n, repeat = _repeat_words(texts)
-                yield pd.DataFrame({
-                    **{c: part[c] for c in carry}, "_lang": [x.rsplit("|", 1)[0] for x in langs], "n_words": n,
-                    "word_chars": _sums((mark > 0).astype(np.int64), starts),
-                    "n_symbols": _sums((mark == 3).astype(np.int64), starts),
-                    "n_dup_lines": [_dup_lines(t) for t in texts], "n_repeat_words": repeat, "score": score})
-
-    return rows.mapInPandas(run, schema)
+def measure(blocked: DataFrame, listed: DataFrame, carry: list[str]) -> DataFrame:
+    """``blocked(block, carry..., _lang, _text)`` and ``listed(block, g, p)`` →
+    carry columns, ``_lang``, base counts and ``score`` (mean -log10
+    probability a unit, null without text)."""
+    schema = T.StructType([blocked.schema[c] for c in carry] + [
+        T.StructField("_lang", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS],
+        T.StructField("score", T.DoubleType())])
+
+    def run(own: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(grams["g"].to_numpy(np.int64))
+        g, cost = grams["g"].to_numpy(np.int64)[order], -np.log10(grams["p"].to_numpy(np.float64)[order])
+        parts = []
+        every = [t if isinstance(t, str) else "" for t in own["_text"]]
+        for lo, hi in text_slices(every, SLICE):
+            part, texts = own.iloc[lo:hi], every[lo:hi]
+            cps, starts = _points(texts)
+            mark = _tables()[1][cps]
+            units, at = _units(texts)
+            codes, kinds = pd.factorize(_unit_codes(units, at))
+            size = np.diff(at)
+            score = np.full(len(texts), np.nan)
+            if len(kinds):
+                each = cost[np.searchsorted(g, kinds)][codes]
+                score[size > 0] = (_sums(each, at) / np.maximum(size, 1))[size > 0]
+            n, repeat = _repeat_words(texts)
+            parts.append(pd.DataFrame({
+                **{c: part[c] for c in carry}, "_lang": part["_lang"], "n_words": n,
+                "word_chars": _sums((mark > 0).astype(np.int64), starts),
+                "n_symbols": _sums((mark == 3).astype(np.int64), starts),
+                "n_dup_lines": [_dup_lines(t) for t in texts], "n_repeat_words": repeat, "score": score}))
+        return pd.concat(parts) if parts else pd.DataFrame({f.name: [] for f in schema})
+
+    return blocked.groupBy("block").cogroup(listed.groupBy("block")).applyInPandas(run, schema)
 
 
 def perplexity_bands(scores: DataFrame, width: float) -> dict[str, tuple[float, float]]:
@@ -322,16 +376,39 @@ def perplexity_bands(scores: DataFrame, width: float) -> dict[str, tuple[float,
 
 def judge_documents(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang",
                     languages=LANGUAGES, width: float = 12.0) -> DataFrame:
-    """``carry`` columns, the base counts, ``base_failed``, ``perplexity``,
-    ``kept``; one row per input row.  Added names that clash with a carried
-    column get underscores."""
+    """``carry`` columns, the base counts, ``base_failed``, ``kept``,
+    ``perplexity``; one row per input row.  Added names that clash with a
+    carried column get underscores."""
     keep = {c: f"_c{i}" for i, c in enumerate(carry)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()],
                        F.col(f"`{text_col}`").cast("string").alias("_text"),
-                       F.concat_ws("|", _slot(f"`{lang_col}`", languages), F.pmod(F.xxhash64(
-                           F.col(f"`{text_col}`").cast("string")), F.lit(2)).cast("string")).alias("_lang"))
-    models = train(rows.select(F.col("_lang").alias("lang"), F.col("_text").alias("text")))
-    got = stored(measure(rows, models, list(keep.values())), "quality")
+                       _slot(f"`{lang_col}`", languages).alias("_lang")).withColumn(
+                           "_half", F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int"))
+    sizes = {(r["_lang"], r["_half"]): r["b"] or 0 for r in
+             rows.groupBy("_lang", "_half").agg(F.sum(F.octet_length("_text")).alias("b")).collect()}
+    blocks, first, start = {}, {}, 0
+    for key in sorted(sizes):
+        blocks[key], first[key] = max(1, -(-sizes[key] // BLOCK)), start
+        start += blocks[key]
+    side = F.concat_ws("|", "_lang", F.col("_half").cast("string"))
+    label = {k: f"{k[0]}|{k[1]}" for k in sizes}
+    # carried columns are part of the hash, so that rows that share a text spread too
+    spread = [c for c in keep.values() if "map<" not in rows.schema[c].dataType.simpleString()]
+    blocked = (rows.withColumn("_side", side)
+               .withColumn("block", (F.pmod(F.xxhash64("_text", *spread),
+                                            _by_key("_side", {label[k]: n for k, n in blocks.items()}).cast("long"))
+                                     + _by_key("_side", {label[k]: n for k, n in first.items()})).cast("int"))
+               .drop("_side"))
+    listed = stored(block_grams(blocked), "quality-grams")
+    counts = stored(listed.groupBy("lang", "g").agg(*[
+        F.sum(F.when(F.col("half") == m, F.col("n")).otherwise(0)).alias(f"n{m}") for m in (0, 1)]), "quality-level")
+    # the model of the other half, or a half's own where the other has no text
+    first_half = [label[lang, h] for lang, h in sizes if not sizes.get((lang, 1 - h)) and h == 0
+                  or sizes.get((lang, 0)) and h == 1]
+    p = F.when(F.concat_ws("|", "lang", F.col("half").cast("string")).isin(*first_half), F.col("p0")).otherwise(
+        F.col("p1"))
+    priced = listed.drop("n").join(gram_probabilities(counts), ["lang", "g"]).select("block", "g", p.alias("p"))
+    got = stored(measure(blocked, priced, list(keep.values())), "quality")
     bands = perplexity_bands(got, width)
     inside = F.lit(False)
     for lang, (low, high) in bands.items():

@@ -72,3 +72,39 @@ def test_odd_rows_and_empty_table(odd, none):
     assert out.columns[:7] == odd.columns and out.count() == odd.count()
     assert out.filter("(text IS NULL OR text = '') AND (kept OR n_words > 0)").count() == 0
     assert Q.judge_documents(none, ["doc_id"]).count() == 0
+
+
+def test_spark_levels_match_the_dense_definition(spark):
+    """Grams of unfolded units: the same numbers as the definition where
+    folding merges nothing, and grams that folding would merge stay apart."""
+    halves = ["the cat sat on the mat\nthe dog sat on the log " * 3, "a cat and a dog sat on a mat\nand on a log " * 2]
+    rows, dense = {}, []
+    for m, text in enumerate(halves):
+        for g in Q._unit_codes(*Q._units([text, "", "the end"])).tolist():
+            rows.setdefault(g, [0, 0])[m] += 1
+        codes = Q._gram_codes(*Q._points([text, "", "the end"]))
+        dense.append(Q.HashArrays(Q.kneser_ney(np.bincount(codes, minlength=Q.GRAMS))).dense())
+    counts = spark.createDataFrame([("en", g, *n) for g, n in rows.items()], "lang string, g long, n0 long, n1 long")
+    fold = {0xFFFF: Q.PAD, 10: 27, 32: 26, **{97 + i: i for i in range(26)}}
+    got = Q.gram_probabilities(counts, floor=1 / (Q.CLASSES - 1)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        code = sum(fold[(r.g >> 16 * k) & 0xFFFF] << 5 * k for k in range(4))
+        assert abs(np.log10(r.p0) - dense[0][code]) < 1e-4 and abs(np.log10(r.p1) - dense[1][code]) < 1e-4
+
+
+def test_grams_keep_case_digits_marks_and_scripts_apart():
+    for a, b in (("abcd", "ABCD"), ("1234", "5678"), ("####", "$$$$"), ("жжжж", "字字字字"), ("a😀", "a😁")):
+        x, y = (Q._unit_codes(*Q._units([t]))[-1] for t in (a, b))
+        assert x != y
+    units, starts = Q._units(["a😀", "", "b￿"])
+    assert starts.tolist() == [0, 3, 3, 5] and units.tolist()[-1] == 0xFFFE
+    assert [int(x) & 0xFFFFFFFFFFFFFFFF for x in Q._unit_codes(units, starts)][3] == 0xFFFFFFFFFFFF0000 + ord("b")
+
+
+def test_case_changes_the_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    text = docs.filter("lang = 'en' AND n_chars > 2000").first().text
+    extra = spark.createDataFrame([(-1, text, "en", "s", 1), (-2, text.upper(), "en", "s", 1)], docs.schema)
+    got = {r.doc_id: r.perplexity for r in Q.judge_documents(docs.union(extra), ["doc_id"]).collect()}
+    assert got[-2] > 1.5 * got[-1]
