@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and their language's band."""
     prepare(spark)
     names = docs.columns
-    judged = judge_documents(docs, names)
+    judged = judge_documents(docs, names, labels=load_table(spark, sf_dir, "labels"))
     kept = judged.columns[len(names) + 6]
     return judged.filter(F.col(f"`{kept}`")).select(*[F.col(f"`{n}`") for n in names])
 

@@ -17,13 +17,19 @@ What is counted grows with the corpus and never reaches the driver.
   are joined by hash and sorted.
 * The probabilities are joined back to the blocks' lists, and each block meets
   its own list again, as sorted arrays, for scoring.
-* A document's score is its mean -log10 probability a UTF-16 unit.  The bands
-  of a language lie ``width`` interquartile ranges below and above the
-  quartiles of its own documents' scores; documents outside are rejected.
+* A document's score is its mean -log10 probability a UTF-16 unit.
+* With labels, a language of at least ``MIN_LABELS`` / 2 documents of
+  quality 1 in each half trains on all of these alone, so that junk is foreign to the model however
+  much of it there is, and its band leaves out ``TARGET`` of their scores, half
+  on each side.  Without, it trains on all documents and the band lies
+  ``width`` interquartile ranges below and above the quartiles of its own
+  documents' scores, as nothing tells which of them are good.  Documents
+  outside the band are rejected.
 
 Defined cases: null text is empty (no words, fails the base rules); a null or
 unlisted language uses the shared model; a half is scored by its own model if
-the other half has no text; U+FFFF, which is no character, counts as U+FFFE; repeated rows are rows of their own
+the other half has no text; an id labelled both 0 and 1 counts as 0, and a null
+id as unlabelled; U+FFFF, which is no character, counts as U+FFFE; repeated rows are rows of their own
 and are counted each; an empty table gives an empty result; other columns are
 ignored, or pass through ``keep_good_documents``.
 """
@@ -48,6 +54,8 @@ PAD = 31
 GRAMS = CLASSES ** ORDER
 MIN_SPREAD = 0.04
 SYMBOLS = "#*$%&|<>"
+TARGET = 0.01              # of a language's documents of quality 1, outside its band
+MIN_LABELS = 200           # for one document in each half of TARGET
 MIN_WORDS = 20
 WINDOW = 8
 SLICE = 2_000_000          # characters held at once by a worker
@@ -227,21 +235,32 @@ def _by_key(column: str, values: dict) -> F.Column:
     return out
 
 
-def block_grams(blocked: DataFrame) -> DataFrame:
-    """``rows(block, _lang, _half, _text)`` → ``(block, lang, half, g, n)``: the
-    distinct grams of each block.  A block is of one language and half."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in pdf["_text"] if isinstance(t, str)]
+def block_grams(blocked: DataFrame, good: DataFrame | None = None) -> DataFrame:
+    """``rows(block, _lang, _half, _text, _id)`` → ``(block, lang, half, g, n)``:
+    the distinct grams of each block, and their count in the texts that train:
+    all, or the rows of ``good(block, id)`` in the blocks listed there (a null
+    id lists a block only).  A block is of one language and half."""
+    def run(pdf: pd.DataFrame, listed: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in ("block", "lang", "half", "g", "n")})
+        trains = pdf["_id"].isin(listed["id"].dropna()) if listed is not None and len(listed) else pdf["_id"].map(
+            lambda _: True)
+        texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
         got = []
         for lo, hi in text_slices(texts, SLICE):
-            codes, kinds = pd.factorize(_unit_codes(*_units(texts[lo:hi])))
-            got.append(pd.Series(np.bincount(codes, minlength=len(kinds)), index=kinds))
-        one = got[0] if len(got) == 1 else pd.concat(got).groupby(level=0).sum() if got else pd.Series([], dtype="int64")
+            units, at = _units(texts[lo:hi])
+            codes, kinds = pd.factorize(_unit_codes(units, at))
+            own = np.repeat(trains.to_numpy(bool)[lo:hi], np.diff(at))
+            got.append(pd.Series(np.bincount(codes[own], minlength=len(kinds)), index=kinds))
+        one = got[0] if len(got) == 1 else pd.concat(got).groupby(level=0).sum()
         return pd.DataFrame({"block": pdf["block"].iloc[0], "lang": pdf["_lang"].iloc[0], "half": pdf["_half"].iloc[0],
                              "g": one.index.to_numpy(np.int64), "n": one.to_numpy(np.int64)})
 
-    return (blocked.select("block", "_lang", "_half", "_text").groupBy("block")
-            .applyInPandas(run, "block int, lang string, half int, g long, n long"))
+    rows = blocked.select("block", "_lang", "_half", "_text", "_id").groupBy("block")
+    schema = "block int, lang string, half int, g long, n long"
+    if good is None:
+        return rows.applyInPandas(lambda pdf: run(pdf), schema)
+    return rows.cogroup(good.groupBy("block")).applyInPandas(lambda pdf, listed: run(pdf, listed), schema)
 
 
 def gram_probabilities(counts: DataFrame, floor: float = FLOOR) -> DataFrame:
@@ -359,30 +378,41 @@ def measure(blocked: DataFrame, listed: DataFrame, carry: list[str]) -> DataFram
     return blocked.groupBy("block").cogroup(listed.groupBy("block")).applyInPandas(run, schema)
 
 
-def perplexity_bands(scores: DataFrame, width: float) -> dict[str, tuple[float, float]]:
-    """Lower and upper score by language (a row a language reaches the driver).
-    A spread under ``MIN_SPREAD`` counts as that, so that a language whose
+def perplexity_bands(scores: DataFrame, width: float, languages=()) -> dict[str, tuple[float, float]]:
+    """Lower and upper score by language (a row a language reaches the driver):
+    in ``languages`` the quantiles that leave out ``TARGET`` of the documents
+    marked ``_good``, in the others ``width`` spreads outside the quartiles.  A
+    spread under ``MIN_SPREAD`` counts as that, so that a language whose
     documents are much alike does not reject the slightly unusual."""
+    usable = scores.filter("score IS NOT NULL AND NOT isnan(score) AND n_words >= " + str(MIN_WORDS)
+                           + " AND 100 * n_repeat_words <= 30 * n_words")
+    out = {}
+    if languages:
+        q = F.percentile_approx("score", [TARGET / 2, 1 - TARGET / 2], 10_000)
+        got = usable.filter(F.col("_good") & F.col("_lang").isin(*languages)).groupBy("_lang").agg(q.alias("q"))
+        out = {r["_lang"]: tuple(r["q"]) for r in got.collect()}
     q = F.percentile_approx("score", [0.25, 0.75], 10_000)
     got = (scores.filter("score IS NOT NULL AND NOT isnan(score) AND n_words >= " + str(MIN_WORDS))
            .groupBy("_lang").agg(q.alias("q")).collect())
-    out = {}
     for r in got:
         low, high = r["q"]
         spread = max(high - low, MIN_SPREAD)
-        out[r["_lang"]] = (low - width * spread, high + width * spread)
+        out.setdefault(r["_lang"], (low - width * spread, high + width * spread))
     return out
 
 
 def judge_documents(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang",
-                    languages=LANGUAGES, width: float = 12.0) -> DataFrame:
+                    languages=LANGUAGES, width: float = 12.0, labels: DataFrame | None = None,
+                    id_col: str = "doc_id") -> DataFrame:
     """``carry`` columns, the base counts, ``base_failed``, ``kept``,
-    ``perplexity``; one row per input row.  Added names that clash with a
+    ``perplexity``; one row per input row.  ``labels(id_col, quality)`` says
+    which documents are good (1) or bad (0).  Added names that clash with a
     carried column get underscores."""
     keep = {c: f"_c{i}" for i, c in enumerate(carry)}
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in keep.items()],
                        F.col(f"`{text_col}`").cast("string").alias("_text"),
-                       _slot(f"`{lang_col}`", languages).alias("_lang")).withColumn(
+                       _slot(f"`{lang_col}`", languages).alias("_lang"),
+                       (F.col(f"`{id_col}`") if labels is not None else F.lit(None)).cast("string").alias("_id")).withColumn(
                            "_half", F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int"))
     sizes = {(r["_lang"], r["_half"]): r["b"] or 0 for r in
              rows.groupBy("_lang", "_half").agg(F.sum(F.octet_length("_text")).alias("b")).collect()}
@@ -399,7 +429,24 @@ def judge_documents(docs: DataFrame, carry: list[str], text_col: str = "text", l
                                             _by_key("_side", {label[k]: n for k, n in blocks.items()}).cast("long"))
                                      + _by_key("_side", {label[k]: n for k, n in first.items()})).cast("int"))
                .drop("_side"))
-    listed = stored(block_grams(blocked), "quality-grams")
+    good, taught = None, []
+    if labels is not None:
+        # the labels are dealt into the blocks by narrow rows, so that no text moves for them
+        ones = (labels.select(F.col(f"`{id_col}`").cast("string").alias("_id"), "quality").filter("_id IS NOT NULL")
+                .groupBy("_id").agg(F.min("quality").alias("q")).filter("q = 1").select("_id"))
+        good = stored(blocked.select("block", "_lang", "_half", "_id").join(ones, "_id"), "quality-labels")
+        n = {(r["_lang"], r["_half"]): r["n"] for r in
+             good.groupBy("_lang", "_half").agg(F.countDistinct("_id").alias("n")).collect()}
+        taught = sorted(k for k, h in n if h == 0 and min(n[k, 0], n.get((k, 1), 0)) >= MIN_LABELS / 2)
+    if taught:
+        every = [b for key in blocks if key[0] in taught for b in range(first[key], first[key] + blocks[key])]
+        lists = docs.sparkSession.createDataFrame([(b, None) for b in every],
+                                                  T.StructType([T.StructField("block", T.IntegerType()),
+                                                                T.StructField("id", T.StringType())]))
+        train = good.filter(F.col("_lang").isin(*taught)).select("block", F.col("_id").alias("id")).unionByName(lists)
+        listed = stored(block_grams(blocked, train), "quality-grams")
+    else:
+        listed = stored(block_grams(blocked), "quality-grams")
     counts = stored(listed.groupBy("lang", "g").agg(*[
         F.sum(F.when(F.col("half") == m, F.col("n")).otherwise(0)).alias(f"n{m}") for m in (0, 1)]), "quality-level")
     # the model of the other half, or a half's own where the other has no text
@@ -408,8 +455,12 @@ def judge_documents(docs: DataFrame, carry: list[str], text_col: str = "text", l
     p = F.when(F.concat_ws("|", "lang", F.col("half").cast("string")).isin(*first_half), F.col("p0")).otherwise(
         F.col("p1"))
     priced = listed.drop("n").join(gram_probabilities(counts), ["lang", "g"]).select("block", "g", p.alias("p"))
-    got = stored(measure(blocked, priced, list(keep.values())), "quality")
-    bands = perplexity_bands(got, width)
+    got = stored(measure(blocked, priced, [*keep.values(), "_id"]), "quality")
+    judged = got
+    if taught:
+        judged = got.select("_id", "_lang", "n_words", "n_repeat_words", "score").join(
+            good.select("_id", F.lit(True).alias("_good")).distinct(), "_id", "left")
+    bands = perplexity_bands(judged, width, taught)
     inside = F.lit(False)
     for lang, (low, high) in bands.items():
         inside = inside | ((F.col("_lang") == lang) & F.col("score").between(low, high))
@@ -425,4 +476,5 @@ def judge_documents(docs: DataFrame, carry: list[str], text_col: str = "text", l
 
 def op6_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return judge_documents(load_table(spark, sf_dir, "documents"), ["doc_id"])
+    return judge_documents(load_table(spark, sf_dir, "documents"), ["doc_id"],
+                           labels=load_table(spark, sf_dir, "labels"))

@@ -108,3 +108,24 @@ def test_case_changes_the_score(spark):
     extra = spark.createDataFrame([(-1, text, "en", "s", 1), (-2, text.upper(), "en", "s", 1)], docs.schema)
     got = {r.doc_id: r.perplexity for r in Q.judge_documents(docs.union(extra), ["doc_id"]).collect()}
     assert got[-2] > 1.5 * got[-1]
+
+
+def test_labels_set_the_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'de'")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = Q.judge_documents(docs, ["doc_id", "text"], labels=labels)
+    got = judged.join(labels, "doc_id", "left").filter("NOT base_failed").collect()
+    bad, good = ([r for r in got if r.quality == q] for q in (0, 1))
+    assert len(bad) > 40 and sum(r.kept for r in bad) <= 0.1 * len(bad)
+    assert len(good) > 400 and sum(r.kept for r in good) >= 0.98 * len(good)
+    junk = [r for r in got if r.quality is None and sum(r.text.count(x) for x in ("###", "$$$", "%%%")) > r.n_words / 8]
+    assert junk and not any(r.kept for r in junk)
+
+
+def test_few_or_contradictory_labels_change_nothing(spark, docs):
+    plain = {r.doc_id: (r.kept, round(r.perplexity, 9)) for r in Q.judge_documents(docs, ["doc_id"]).collect()}
+    few = docs.select("doc_id", (docs["doc_id"] % 2).alias("quality")).limit(50)
+    both = docs.selectExpr("doc_id", "explode(array(0, 1)) AS quality")
+    for labels in (few, both):
+        got = Q.judge_documents(docs, ["doc_id"], labels=labels).collect()
+        assert {r.doc_id: (r.kept, round(r.perplexity, 9)) for r in got} == plain
