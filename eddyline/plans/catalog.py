@@ -252,7 +252,7 @@ def co_process(spark, sf_dir):
 
 @register
 def co_process_stream(spark, sf_dir):
-    views, clicks = _views_clicks(inputs.event_stream(spark, sf_dir))
+    views, clicks = _views_clicks(with_event_time(inputs.event_stream(spark, sf_dir)))
     out = drain(stateful.co_process_stream(views, clicks, CO_BOUND), output_mode="append",
                 name="co-process")
     return _ntz_cols(out, "click_time", "view_time")
@@ -320,6 +320,19 @@ def inactivity_alerts_ooo_stream(spark, sf_dir):
     return _ntz_cols(out, "last_event_time", "alert_time")
 
 
+@register
+def co_process_ooo_stream(spark, sf_dir):
+    # clicks alone come late, so later views overtake them but no click comes before its view
+    ev = inputs.arrival_order(inputs.events(spark, sf_dir))
+    seq = F.when(F.col("event_type") == "click", F.col("arrival_seq")).otherwise(F.col("event_id").cast("long"))
+    msgs = inputs.to_messages(ev, offset=seq)
+    src = inputs.decode_front(inputs.message_stream(spark, sf_dir, msgs=msgs, name="late-click-messages"))
+    views, clicks = _views_clicks(with_event_time(src, delay=OOO_DELAY))
+    out = drain(stateful.co_process_stream(views, clicks, CO_BOUND), output_mode="append",
+                name="co-process-ooo")
+    return _ntz_cols(out, "click_time", "view_time")
+
+
 # ── joins ──────────────────────────────────────────────────────────────────
 def customer_dim(spark, sf_dir) -> DataFrame:
     """customer ⋈ nation, keyed like the events (``user_<custkey>``)."""

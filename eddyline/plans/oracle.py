@@ -207,6 +207,7 @@ ORACLE.update({
     "funnel_states_stream": FUNNEL,
     "co_process": CO_PROCESS,
     "co_process_stream": CO_PROCESS,
+    "co_process_ooo_stream": CO_PROCESS,
     "sessions": _sessions(False),
     "sessions_stream": _sessions(True),
     "manual_sessions_stream": _sessions(True),

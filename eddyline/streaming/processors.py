@@ -408,8 +408,10 @@ class SessionProcessor(StatefulProcessor):
 # ── ST13: co-processing of two sides ──────────────────────────────────────
 class CoProcessor(StatefulProcessor):
     """Union of two sides per key.  The state holds the left rows no older
-    than ``bound_ms`` before the newest one; each right row is emitted with
-    the latest of them at or before it, at most ``bound_ms`` older.  A right
+    than ``bound_ms`` before the watermark, so every right row that is not late
+    finds its own; each right row is emitted with the latest of them at or
+    before it, at most ``bound_ms`` older.  A timer empties a key that gets no
+    more rows.  A right
     row goes out in its own batch, so it sees the left rows that have arrived
     by then; a left row that comes later never changes it, and an older left
     row never hides a newer one."""
@@ -422,9 +424,24 @@ class CoProcessor(StatefulProcessor):
         self.bound_ms = bound_ms
 
     def init(self, handle):
+        self.handle = handle
         self.views = handle.getListState("views", StructType([
             StructField("t", LongType()), StructField("id", StringType())]))
 
+    def _held(self):
+        return sorted(tuple(v) for v in self.views.get()) if self.views.exists() else []
+
+    def _keep(self, views, timerValues):
+        views = [v for v in views if v[0] >= timerValues.getCurrentWatermarkInMs() - self.bound_ms]
+        if views:
+            self.views.put(views)
+        else:
+            self.views.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._keep(self._held(), timerValues)
+        return iter(())
+
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["event_id", "event_time", "is_left"])
         pdf = pdf[pdf["event_time"].notna()]
@@ -432,11 +449,14 @@ class CoProcessor(StatefulProcessor):
             return
         t, left = _ms(pdf["event_time"]).to_numpy(), pdf["is_left"].to_numpy(bool)
         ids = pdf["event_id"].astype(object).to_numpy()
-        views = sorted(([tuple(v) for v in self.views.get()] if self.views.exists() else [])
-                       + list(zip(t[left].tolist(), ids[left].tolist())))
+        held = self._held()
+        views = sorted(held + list(zip(t[left].tolist(), ids[left].tolist())))
         if views:
-            newest = views[-1][0]
-            self.views.put([v for v in views if v[0] >= newest - self.bound_ms])
+            if held and held[-1][0] != views[-1][0]:
+                self.handle.deleteTimer(held[-1][0] + self.bound_ms + 1)
+            if not held or held[-1][0] != views[-1][0]:
+                self.handle.registerTimer(views[-1][0] + self.bound_ms + 1)
+            self._keep(views, timerValues)
         if left.all():
             return
         rt, rid = t[~left], ids[~left]

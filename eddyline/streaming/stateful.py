@@ -89,12 +89,13 @@ def manual_sessions_stream(df: DataFrame, gap: str) -> DataFrame:
 
 
 def co_process_stream(left: DataFrame, right: DataFrame, bound: str) -> DataFrame:
-    """Union both sides with a discriminator, then one processor per key."""
+    """Union both sides with a discriminator, then one processor per key (needs
+    a watermark on ``event_time`` of both sides)."""
     cols = ["key", "event_id", "event_time"]
     u = (left.select(*cols, F.lit(True).alias("is_left"))
          .unionByName(right.select(*cols, F.lit(False).alias("is_left"))))
     return apply_processor(u, P.CoProcessor(duration_us(bound) // 1000), P.CoProcessor.OUTPUT,
-                           output_mode="Append")
+                           output_mode="Append", time_mode="EventTime")
 
 
 def key_profile_stream(df: DataFrame) -> DataFrame:

@@ -110,3 +110,14 @@ def test_click_never_takes_a_later_view():
     late = frame([40], is_left=[True])
     got = feed(P.CoProcessor(3_600_000), [view, late, frame([110], is_left=[False])], [0, 0, 0])
     assert got["view_id"].tolist() == ["e100"]
+
+
+def test_click_behind_a_newer_view_finds_its_own():
+    views = [frame([100], is_left=[True]), frame([500], is_left=[True])]
+    got = feed(P.CoProcessor(60_000), [*views, frame([120], is_left=[False])], [0, 90, 90])
+    assert got["view_id"].tolist() == ["e100"]
+    proc = P.CoProcessor(60_000)
+    feed(proc, [*views, frame([450], is_left=[False])], [0, 90, 400])
+    assert [v[0] for v in proc._held()] == [500_000]          # state follows the watermark
+    feed(proc, [frame([500], is_left=[True]), frame([], is_left=[])], [0, 561])
+    assert not proc._held()
