@@ -40,14 +40,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the smallest id (of
-    rows that repeat an id one stays; rows without an id all stay)."""
+    """One row of each group of linked fingerprints: the smallest by id (nulls
+    last), hash of the text and hash of the row.  Rows are told apart by all
+    their columns, so rows that share an id, or have none, take part as any."""
     prepare(spark)
-    groups = simhash_groups(docs.filter("doc_id IS NOT NULL"))
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(
-        docs.filter("doc_id IS NULL"))
+    row = fresh("_row", docs.columns)
+    # a null leaves a hash as it is, so the nulls' places are part of it
+    rows = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns],
+                                           *[F.isnull(F.col(f"`{c}`")) for c in docs.columns]))
+    groups = simhash_groups(rows, id_col=row).select(row, "component_id").distinct()
+    order = F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"),
+                     F.col(row).alias("row"))
+    first = (rows.select(row, order.alias("o")).join(groups, row)
+             .groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.row").alias(row)))
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).distinct()
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

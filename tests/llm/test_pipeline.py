@@ -45,3 +45,13 @@ def test_stages_take_odd_rows_and_empty_tables(spark, sf_small, odd, none):
             cur.count()
     for _, stage in C.STAGES[:-1]:
         assert stored(stage(spark, base, sf_small), "t").columns == base.columns
+
+
+def test_near_dedup_picks_rows_not_ids(spark, sf_small):
+    rng = np.random.default_rng(3)
+    a, b, c = (" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", None, 1),
+            (None, a, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, c, None, "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.simhash_dedup(spark, docs, sf_small).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c)])
