@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from eddyline.llm import line_dedup, lm, mixing, personal, pieces, quality, simhash, suffix_dedup, token_rollup, topk
+from eddyline.llm import (
+    decontaminate, line_dedup, lm, mixing, personal, pieces, quality, simhash, suffix_dedup, token_rollup, topk,
+)
 
 QUERIES = {
     "op1_mix_to_targets": mixing.op1_mix_to_targets,
@@ -15,9 +17,11 @@ QUERIES = {
     "op8_token_rollups": token_rollup.op8_token_rollups,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op9_exact_topk": topk.ORACLE_SQL,
+    "op11_decontaminate": decontaminate.ORACLE_SQL,
 }
