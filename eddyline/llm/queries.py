@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from eddyline.llm import (
-    decontaminate, line_dedup, lm, mixing, personal, pieces, quality, simhash, suffix_dedup, token_rollup, topk,
+    decontaminate, line_dedup, lm, mixing, personal, pieces, quality, simhash, spelling, suffix_dedup,
+    token_rollup, topk, whitening,
 )
 
 QUERIES = {
@@ -18,6 +19,8 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_simhash_pigeonring": simhash.op10_simhash_pigeonring,
     "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
