@@ -1,5 +1,7 @@
 """User-defined function surfaces (the slow path, used where asked for).
 
+* :class:`Accumulator` — a custom aggregate with a partial step (``add`` before
+  the shuffle, ``merge`` after it), by group or by sliding window.
 * :func:`avg_accumulator` — a custom aggregate as a grouped-aggregate pandas
   UDF: create/add/merge/result of an average whose empty result is 0.0.
 * :func:`value_band` — a vectorised scalar pandas UDF usable in streams.
@@ -12,10 +14,14 @@ porting per-record or per-window code.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, LongType, StructType
+
+from eddyline.functions.durations import duration_us
 
 
 @F.pandas_udf(DoubleType())
@@ -82,79 +88,143 @@ def render_window_groups(df: DataFrame, duration: str, slide: str | None = None,
     return clustered.mapInPandas(render, "line string")
 
 
-class AverageAccumulator:
-    """create / add / merge / result of an average, vectorised over groups.
+class Accumulator:
+    """A user aggregate over pandas frames, with a partial step.
 
-    ``add`` folds a frame into per-group partials ``(sum, count, rows)``;
-    ``merge`` combines two partials of one group; ``result`` is
-    ``sum / count`` with 0.0 for a group without values (nulls are skipped,
-    as the built-in ``avg``).
+    ``state`` names the partial's columns and their types.  ``add`` folds rows
+    into one partial a group, ``merge`` folds partials of equal groups into
+    one (both frames have the group columns and the state columns), ``result``
+    gives the final value of each partial.
     """
 
-    FIELDS = ("_sum", "_cnt", "_rows")
+    state: dict[str, str] = {}
+
+    def add(self, rows: pd.DataFrame, keys: list[str], value: str) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def merge(self, partials: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+        raise NotImplementedError
 
-    @staticmethod
-    def create() -> dict:
-        return {"_sum": 0.0, "_cnt": 0, "_rows": 0}
+    def result(self, partials: pd.DataFrame) -> pd.Series:
+        raise NotImplementedError
 
-    @staticmethod
-    def add(pdf: pd.DataFrame, keys, value: str) -> pd.DataFrame:
-        g = pdf.groupby(list(keys), sort=False, dropna=False)[value]
-        return pd.DataFrame({"_sum": g.sum(), "_cnt": g.count(),
-                             "_rows": g.size()}).reset_index()
 
-    @staticmethod
-    def merge(a, b) -> dict:
-        return {f: a[f] + b[f] for f in AverageAccumulator.FIELDS}
+class AverageAccumulator(Accumulator):
+    """Average; nulls are skipped, as the built-in ``avg`` does, and a group
+    without values gives 0.0."""
 
-    @staticmethod
-    def result(part: pd.DataFrame) -> pd.Series:
-        avg = part["_sum"] / part["_cnt"].where(part["_cnt"] > 0)
+    state = {"_sum": "double", "_cnt": "long", "_rows": "long"}
+
+    def add(self, rows, keys, value):
+        g = rows.groupby(keys, sort=False, dropna=False)[value]
+        return pd.DataFrame({"_sum": g.sum(), "_cnt": g.count(), "_rows": g.size()}).reset_index()
+
+    def merge(self, partials, keys):
+        return partials.groupby(keys, sort=False, dropna=False)[list(self.state)].sum().reset_index()
+
+    def result(self, partials):
+        avg = partials["_sum"] / partials["_cnt"].where(partials["_cnt"] > 0)
         return avg.fillna(0.0).astype("float64")
 
 
-def accumulate_by_group(df: DataFrame, keys, value: str, out_schema: str,
-                        acc=AverageAccumulator) -> DataFrame:
-    """Run an accumulator per group of ``keys`` with vectorised pandas.
-
-    Rows are hash-clustered on the keys and each partition sorted, so a
-    group's rows are contiguous.  ``mapInPandas`` folds each Arrow batch into
-    per-group partials with ``add``; only the batch's last group can continue
-    into the next batch, so its partial is carried and combined with
-    ``merge``.  Memory is one batch plus one partial, whatever the group
-    size.  Output columns: the keys, ``result``, ``rows``.
-    """
-    keys = list(keys)
-    clustered = df.select(*keys, value).repartition(*keys).sortWithinPartitions(*keys)
+FLUSH_GROUPS = 100_000       # partials that a task holds before it sends them
+
+
+def _arrow_ready(part: pd.DataFrame, keys: list[str], columns: list[str]) -> pd.DataFrame:
+    out = part[columns].copy()
+    for k in keys:
+        out[k] = part[k].astype(object).where(part[k].notna(), None)
+    return out
 
-    def same_group(a, b) -> bool:
-        return all((a[k] == b[k]) or (pd.isna(a[k]) and pd.isna(b[k])) for k in keys)
 
-    def emit(part: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({k: part[k].astype(object).where(part[k].notna(), None).values
-                            for k in keys})
-        out["result"] = acc.result(part).values
-        out["rows"] = part["_rows"].astype("int64").values
-        return out
+def partial_groups(df: DataFrame, keys: Sequence[str], value: str, acc: Accumulator) -> DataFrame:
+    """``keys`` and the state columns: partials of each task's rows, before
+    any shuffle.  A task merges its batches' partials and sends them when
+    ``FLUSH_GROUPS`` groups have gathered, so a group that holds a third of
+    the rows leaves each task as a few rows."""
+    keys = list(keys)
+    src = df.select(*keys, value)
+    columns = [*keys, *acc.state]
+    schema = StructType([*[src.schema[k] for k in keys],
+                         *StructType.fromDDL(", ".join(f"{c} {t}" for c, t in acc.state.items())).fields])
 
     def run(batches):
-        carry = None  # partial of the last group seen, as a one-row frame
+        held = None
         for pdf in batches:
             if pdf.empty:
                 continue
             part = acc.add(pdf, keys, value)
-            if carry is not None:
-                first = part.iloc[0]
-                if same_group(carry.iloc[0], first):
-                    merged = acc.merge(carry.iloc[0], first)
-                    for f, v in merged.items():
-                        part.at[part.index[0], f] = v
-                else:
-                    yield emit(carry)
-            carry, done = part.iloc[[-1]].reset_index(drop=True), part.iloc[:-1]
+            held = part if held is None else acc.merge(pd.concat([held, part], ignore_index=True), keys)
+            if len(held) >= FLUSH_GROUPS:
+                yield _arrow_ready(held, keys, columns)
+                held = None
+        if held is not None:
+            yield _arrow_ready(held, keys, columns)
+
+    return src.mapInPandas(run, schema)
+
+
+def merge_groups(partials: DataFrame, keys: Sequence[str], acc: Accumulator) -> DataFrame:
+    """Partials (:func:`partial_groups`) → one row a group: ``keys`` and the
+    state columns.  Partials are clustered on the keys and sorted; a group that
+    goes on in the next Arrow batch is carried over."""
+    keys = list(keys)
+    columns = [*keys, *acc.state]
+    clustered = partials.select(*columns).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            merged = acc.merge(pdf if carry is None else pd.concat([carry, pdf], ignore_index=True), keys)
+            carry, done = merged.iloc[[-1]], merged.iloc[:-1]
             if len(done):
-                yield emit(done)
+                yield _arrow_ready(done, keys, columns)
         if carry is not None:
-            yield emit(carry)
+            yield _arrow_ready(carry, keys, columns)
 
-    return clustered.mapInPandas(run, out_schema)
+    return clustered.mapInPandas(run, clustered.schema)
+
+
+def _results(merged: DataFrame, keys: list[str], out_schema: str, acc: Accumulator) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            out = _arrow_ready(pdf, keys, keys)
+            out["result"] = acc.result(pdf).values
+            out["rows"] = pdf["_rows"].astype("int64").values
+            yield out
+
+    return merged.mapInPandas(run, out_schema)
+
+
+def accumulate_by_group(df: DataFrame, keys, value: str, out_schema: str,
+                        acc: Accumulator | None = None) -> DataFrame:
+    """Run an accumulator by group: ``add`` before the shuffle, ``merge`` after
+    it.  Output columns: the keys, ``result``, ``rows`` (the accumulator keeps
+    the row count as ``_rows``)."""
+    keys, acc = list(keys), acc or AverageAccumulator()
+    return _results(merge_groups(partial_groups(df, keys, value, acc), keys, acc), keys, out_schema, acc)
+
+
+def accumulate_sliding(df: DataFrame, keys, value: str, duration: str, slide: str,
+                       acc: Accumulator | None = None, time_col: str = "event_time") -> DataFrame:
+    """Run an accumulator over sliding windows: rows are added once, into
+    panes as wide as the slide; each pane's partial is copied into the windows
+    that hold it and merged there.  ``keys, window_start, window_end, result,
+    rows``; ``duration`` must be a multiple of ``slide``."""
+    keys, acc = list(keys), acc or AverageAccumulator()
+    size_us, slide_us = duration_us(duration), duration_us(slide)
+    if size_us % slide_us:
+        raise ValueError("the window must be a multiple of the slide")
+    panes = df.select(*keys, value, F.window(time_col, slide).start.alias("_pane"))
+    merged = merge_groups(partial_groups(panes, [*keys, "_pane"], value, acc), [*keys, "_pane"], acc)
+    back = F.explode(F.sequence(F.lit(0), F.lit(size_us // slide_us - 1))).alias("_back")
+    copied = merged.select("*", back).withColumn(
+        "window_start", F.timestamp_micros(F.unix_micros("_pane") - F.col("_back").cast("long") * F.lit(slide_us)).cast("timestamp_ntz"))
+    out_keys = [*keys, "window_start"]
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    out = _results(merge_groups(copied, out_keys, acc), out_keys,
+                   f"{kinds}, window_start timestamp_ntz, result double, rows long", acc)
+    return out.select(*out_keys, (F.col("window_start") + F.expr(f"INTERVAL {size_us} MICROSECONDS")).alias("window_end"),
+                      "result", "rows")

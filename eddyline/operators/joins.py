@@ -1,13 +1,13 @@
 """Joins: stream–table enrichment, interval joins, same-window co-aggregation,
 table-materialised joins.
 
-Interval joins add a time-bucket equi-key (bucket width ≥ the join bound):
-a left row in bucket ``b`` can only meet right rows in buckets ``b`` and
-``b+1``, so a left row whose range crosses its bucket's end is duplicated
-into both, and the join is an equi-join on ``(key, bucket)`` plus the exact
-range filter.  A
-hot key is thereby spread over its time buckets instead of one task, and
-every pair is produced exactly once (each right row has one bucket).
+Interval joins add a time-bucket equi-key (bucket width ≥ the join bound): a
+left row stands in the bucket of its own time; a right row stands in its own
+and, if the bound reaches back over its bucket's start, in the one before.
+The join is an equi-join on ``(key, bucket)`` plus the exact range filter, a
+hot key is spread over its time buckets, and as every left row stands in one
+bucket only, each pair is met once and an outer join knows the left rows
+without a partner by itself.
 """
 
 from __future__ import annotations
@@ -20,53 +20,74 @@ from pyspark.sql import types as T
 
 from eddyline.functions.durations import duration_us
 
-DEFAULT_MAX_BROADCAST_ROWS = 5_000_000
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def _row_width(dt) -> int:
-    """Spark's default size estimates per type (strings/binaries 20 bytes)."""
-    if isinstance(dt, T.StructType):
-        return sum(_row_width(f.dataType) for f in dt.fields)
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        return 20
-    if isinstance(dt, (T.ByteType, T.BooleanType)):
-        return 1
-    if isinstance(dt, T.ShortType):
-        return 2
-    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(dt, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
-        return 8
-    if isinstance(dt, T.DecimalType):
-        return 8 if dt.precision <= 18 else 16
-    return 100  # arrays and maps: Spark's own default guess
-
-
-def broadcast_size_ok(table: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
-    """Count the table (one cheap job) and bound its size by rows and by
-    rows × the schema's default row width."""
-    width = _row_width(table.schema) + 8
-    n = table.count()
-    return n <= max_rows and n * width <= max_bytes
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+HEAVY_PARTS = 4              # a key with over 1 / (4 x shuffle width) of the rows is split
+
+_WIDTHS = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def _bytes_of(field: T.StructField) -> Column:
+    """Bytes that a value of the column takes in a row: 8, and the contents of
+    what has no fixed width."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(8) + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.lit(8) + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(16 if isinstance(kind, T.DecimalType) and kind.precision > 18 else _WIDTHS.get(type(kind), 8))
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Measured size of a table's rows (one aggregation over it)."""
+    each = F.lit(8)
+    for field in table.schema.fields:
+        each = each + _bytes_of(field)
+    return int(table.agg(F.sum(each.cast("long"))).first()[0] or 0)
+
+
+def heavy_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
+    """``on, _salts``: the keys that hold more than a ``parts``-th of the rows
+    (so at most ``parts`` of them), and into how many shares to split each."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lit(df.agg((F.count(F.lit(1)) / F.lit(parts)).alias("s")).first()["s"] or 1.0)
+    return counts.filter(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+
+
+def split_join(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join in which a heavy key of ``df`` is dealt over several tasks:
+    its rows get one of the key's salts, and the table's rows of that key are
+    copied to each of them.  Other keys are joined as they are."""
+    on = [on] if isinstance(on, str) else list(on)
+    parts = HEAVY_PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.broadcast(heavy_keys(df, on, parts).select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(on)], "_salts"))
+    same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(on)]
+    names = [f"_h{i}" for i in range(len(on))]
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = df.join(heavy, same, "left").withColumn(
+        "_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop(*names, "_salts")
+    copied = table.join(heavy, same, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(*names, "_salts")
+    return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
 def enrich(df: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left", *,
-           broadcast: str | bool = "auto", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           broadcast: str | bool = "auto",
            max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Stream–table (or table–table) equi-join.
+    """Stream–table (or table–table) equi-join (``how`` inner or left).
 
-    ``broadcast=True`` counts the table first and hints a broadcast only
-    within ``max_broadcast_rows`` rows and ``max_broadcast_bytes``; beyond
-    that the join stays a shuffle join.  Deciding before planning keeps the
-    large side from being shuffled at all.  ``broadcast="auto"`` leaves the
-    choice to Catalyst (estimated size under
+    ``broadcast=True`` measures the table first and broadcasts it within
+    ``max_broadcast_bytes``; deciding before planning keeps the large side from
+    being shuffled at all.  Beyond that it is a shuffle join, in which a table
+    on the left has its heavy keys split (:func:`split_join`).
+    ``broadcast="auto"`` leaves the choice to Catalyst (estimated size under
     ``spark.sql.autoBroadcastJoinThreshold``) and AQE (measured size after
     the shuffle stages ran).
     """
-    if broadcast is True and broadcast_size_ok(table, max_broadcast_rows, max_broadcast_bytes):
-        table = F.broadcast(table)
+    if broadcast is True:
+        if table_bytes(table) <= max_broadcast_bytes:
+            return df.join(F.broadcast(table), on, how)
+        if not df.isStreaming:
+            return split_join(df, table, on, how)
     return df.join(table, on, how)
 
 
@@ -75,60 +96,50 @@ def time_bucket(ts: str | Column, width_us: int) -> Column:
     return F.floor(F.unix_micros(c) / F.lit(width_us)).cast("long")
 
 
+def _bucketed(left: DataFrame, right: DataFrame, bound: str, left_time: str, right_time: str, factor: int):
+    """Both sides with their bucket, and the bound in microseconds."""
+    w = duration_us(bound)
+    width = max(1, w) * factor
+    b = time_bucket(right_time, width)
+    # the range [t - bound, t] of left times reaches the bucket before
+    crosses = F.unix_micros(F.col(right_time)) - F.lit(w) < b * F.lit(width)
+    lb = left.withColumn("_b", time_bucket(left_time, width))
+    rb = right.withColumn("_b", F.explode(F.when(crosses, F.array(b, b - F.lit(1))).otherwise(F.array(b))))
+    return lb, rb, w
+
+
 def interval_join(left: DataFrame, right: DataFrame, bound: str, *,
                   key: str = "key", left_time: str = "left_time",
                   right_time: str = "right_time", how: str = "inner",
                   left_id: str | None = None, bucket_factor: int = 2) -> DataFrame:
     """Pairs with equal ``key`` and ``left_time <= right_time <= left_time + bound``.
 
-    Buckets are ``bucket_factor × bound`` wide; only left rows whose range
-    crosses their bucket's end are copied into the next bucket.
-
-    ``how="left"`` also returns left rows without a partner (right columns
-    null); ``left_id`` must then name a unique column of ``left``.
-    Streams: both sides need watermarks on their time columns.
+    Buckets are ``bucket_factor × bound`` wide; only right rows whose range
+    crosses their bucket's start are copied (a ``1 / bucket_factor`` share).
+    ``how="left"`` also returns every left row without a partner (right
+    columns null), rows with a null key or time and repeated rows included, in
+    the same single join (``left_id`` is not needed for it any more).  Streams: both sides need watermarks on their time
+    columns.
     """
-    w = duration_us(bound)
-    width = w * bucket_factor
-    b = time_bucket(left_time, width)
-    # a left row needs the next bucket only when its range [t, t + bound]
-    # crosses the bucket's end: a 1/bucket_factor share of the rows
-    crosses = F.unix_micros(F.col(left_time)) + F.lit(w) >= (b + F.lit(1)) * F.lit(width)
-    lb = left.withColumn("_b", F.explode(F.when(crosses, F.array(b, b + F.lit(1)))
-                                          .otherwise(F.array(b))))
-    rb = right.withColumn("_b", time_bucket(right_time, width))
-    cond = [lb[key] == rb[key], lb["_b"] == rb["_b"],
-            rb[right_time] >= lb[left_time],
-            rb[right_time] <= lb[left_time] + F.expr(f"INTERVAL {w} MICROSECONDS")]
-    pairs = lb.join(rb, cond, "inner").drop(rb[key]).drop(lb["_b"]).drop(rb["_b"])
-    if how == "inner":
-        return pairs
-    if how != "left" or not left_id:
-        raise ValueError("how must be 'inner', or 'left' with left_id")
-    if left.isStreaming:
-        raise ValueError("use interval_join_stream for stream left outer joins")
-    matched = pairs.select(left_id).distinct()
-    lonely = left.join(matched, left_id, "left_anti")
-    return pairs.unionByName(lonely, allowMissingColumns=True)
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    lb, rb, w = _bucketed(left, right, bound, left_time, right_time, bucket_factor)
+    rb = rb.withColumnRenamed(key, "_rkey").withColumnRenamed("_b", "_rb")
+    cond = F.expr(f"`{key}` = _rkey AND _b = _rb AND `{right_time}` >= `{left_time}` AND "
+                  f"`{right_time}` <= `{left_time}` + INTERVAL {w} MICROSECONDS")
+    return lb.join(rb, cond, "inner" if how == "inner" else "leftOuter").drop("_rkey", "_b", "_rb")
 
 
 def interval_join_stream(left: DataFrame, right: DataFrame, bound: str, *, key: str = "key",
                          left_time: str = "left_time", right_time: str = "right_time",
                          how: str = "inner") -> DataFrame:
-    """Native stream–stream join with a time-range condition (Append).
-
-    Inner joins use the bucket equi-key of :func:`interval_join`; a left
-    outer join keys on ``key`` only, because an outer row must be judged
-    unmatched across all buckets.  Both inputs must carry watermarks.
-    """
-    if how == "inner":
-        return interval_join(left, right, bound, key=key, left_time=left_time,
-                             right_time=right_time)
-    w = duration_us(bound)
-    r = right.withColumnRenamed(key, "_rkey")
-    cond = F.expr(f"`{key}` = _rkey AND {right_time} >= {left_time} AND "
-                  f"{right_time} <= {left_time} + INTERVAL {w} MICROSECONDS")
-    return left.join(r, cond, "leftOuter").drop("_rkey")
+    """Stream–stream form of :func:`interval_join` (Append): the same bucket
+    equi-key, for outer joins too, so a hot key's state is spread over its
+    buckets.  Both inputs must carry watermarks; an unmatched left row is
+    emitted once the watermark has passed its range."""
+    if not (left.isStreaming and right.isStreaming):
+        raise ValueError("interval_join_stream expects two streams")
+    return interval_join(left, right, bound, key=key, left_time=left_time, right_time=right_time, how=how)
 
 
 def window_cogroup(left: DataFrame, right: DataFrame, duration: str, *, key: str = "key",

@@ -4,12 +4,11 @@ two-stream co-processing.
 
 These are the table twins of the stateful processors in
 :mod:`eddyline.streaming.processors`; a stream drained through a processor
-gives the same final rows.  Ordered per-key scans use the chunked two-level
-scans of :mod:`eddyline.operators.scan`, so one hot key is spread over its
-time chunks instead of landing in one task.  Order within a key is
-``(event_time, event_id)``.  Every key is cut into chunks of about
-``chunk_rows`` rows (:func:`eddyline.operators.scan.balanced_chunks`);
-``chunk_rows=None`` cuts by time buckets of ``chunk`` instead.
+gives the same final rows.  Ordered per-key scans are range-partitioned
+segmented scans (:mod:`eddyline.operators.segments`), so one hot key spreads
+over all tasks.  Order within a key is ``(event_time, event_id)``;
+``partitions`` fixes the number of ranges (the session's shuffle width
+otherwise), on which no result depends.
 """
 
 from __future__ import annotations
@@ -18,30 +17,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline.functions.durations import duration_us, shift
-from eddyline.operators.scan import (
-    DEFAULT_CHUNK_ROWS, balanced_chunks, chunked_last_non_null, chunked_neighbors,
-    chunked_running_sum, time_chunk,
+from eddyline.operators.segments import (
+    LastSeen, PreviousValue, RunningSums, segmented_fold, segmented_scan,
 )
 
 ORDER = ("event_time", "event_id")
-CHUNK_WIDTH = "1 hour"
 
 
 def _ntz(c):
     return c.cast("timestamp_ntz")
 
 
-def _chunked(df: DataFrame, keys, chunk: str, chunk_rows: int | None) -> DataFrame:
-    """Add ``_ck``: chunks of ``chunk_rows`` rows, or time buckets if that is None."""
-    if chunk_rows is None:
-        return df.withColumn("_ck", time_chunk("event_time", chunk))
-    return balanced_chunks(df, list(keys), "event_time", "_ck", rows=chunk_rows)
-
-
 def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record: bool = False,
-                  chunk: str = CHUNK_WIDTH, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """Running count per key.
 
     Final form (one row per key, the last value a processor emits):
@@ -51,10 +42,9 @@ def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record:
     keys = list(keys)
     if not per_record:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("running_count"))
-    d = _chunked(df.select(*keys, "event_id", "event_time"), keys, chunk, chunk_rows)
-    out = chunked_running_sum(d, keys, ORDER, F.col("_ck"), {"running_count": F.lit(1)})
-    return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"),
-                      F.col("running_count").cast("long").alias("running_count"))
+    out = segmented_scan(df.select(*keys, *ORDER), keys, ORDER, RunningSums({"running_count": None}),
+                         partitions=partitions)
+    return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"), "running_count")
 
 
 def running_last_type(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
@@ -65,14 +55,12 @@ def running_last_type(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFram
 
 
 def running_sum(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key",), *,
-                chunk: str = CHUNK_WIDTH, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """Generic accumulator: per-record running total of ``value``."""
     keys = list(keys)
-    d = _chunked(df.select(*keys, "event_id", "event_time", value), keys, chunk, chunk_rows)
-    out = chunked_running_sum(d, keys, ORDER, F.col("_ck"),
-                              {"running_sum": F.col(value).cast("long")})
-    return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"),
-                      F.col("running_sum"))
+    src = df.select(*keys, *ORDER, F.col(value).cast("long").alias("_add"))
+    out = segmented_scan(src, keys, ORDER, RunningSums({"running_sum": "_add"}), partitions=partitions)
+    return out.select(*keys, "event_id", _ntz(F.col("event_time")).alias("event_time"), "running_sum")
 
 
 def collect_recent(df: DataFrame, n: int = 3, item: str = "event_id",
@@ -104,24 +92,24 @@ def fold_state(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key"
 
 
 def inactivity_alerts(df: DataFrame, gap: str, delay: str | None = "10 seconds",
-                      keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
-                      chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                      keys: Sequence[str] = ("key",), *, partitions: int | None = None) -> DataFrame:
     """Alert when a key has no event for more than ``gap`` of event time.
 
     An event alerts at ``t + gap`` if the key's next event comes later than
     that; the key's last event alerts only if the final watermark
-    (``max(event_time) − delay``) has reached ``t + gap``.
+    (``max(event_time) − delay``) has reached ``t + gap``.  The next event is
+    the row before in falling order.
     """
     keys = list(keys)
     gap_us = duration_us(gap)
     delay_us = duration_us(delay) if delay else 0
-    base = _chunked(df.select(*keys, *ORDER), keys, chunk, chunk_rows)
-    nxt = chunked_neighbors(base, keys, ORDER, F.col("_ck"), "event_time", next_out="_next")
+    src = df.select(*keys, *ORDER, F.unix_micros("event_time").alias("_t_us"))
+    nxt = segmented_scan(src, keys, [F.col(c).desc() for c in ORDER],
+                         PreviousValue("_t_us", "next_us", T.LongType()), partitions=partitions)
     # final watermark as a scalar subquery: computed once, then a literal.
     final_wm = df.agg((F.max(F.unix_micros("event_time")) - F.lit(delay_us))).scalar()
-    t_us = F.unix_micros("event_time")
-    fired = (F.when(F.col("_next").isNotNull(),
-                    F.unix_micros("_next") - t_us > F.lit(gap_us))
+    t_us = F.col("_t_us")
+    fired = (F.when(F.col("next_us").isNotNull(), F.col("next_us") - t_us > F.lit(gap_us))
              .otherwise(t_us + F.lit(gap_us) <= final_wm))
     return nxt.filter(fired).select(
         *keys, _ntz(F.col("event_time")).alias("last_event_time"),
@@ -132,61 +120,22 @@ def inactivity_alerts(df: DataFrame, gap: str, delay: str | None = "10 seconds",
 FUNNEL_STEPS = ("view", "click", "purchase")
 
 
-def _advance(state: str, typ: str, steps: Sequence[str]) -> str:
-    n = len(steps)
-    arms = " ".join(f"WHEN {state} = {i} AND {typ} = '{s}' THEN {(i + 1) % n}"
-                    for i, s in enumerate(steps))
-    return f"CASE {arms} ELSE {state} END"
-
-
-def _completes(state: str, typ: str, steps: Sequence[str]) -> str:
-    last = len(steps) - 1
-    return f"CASE WHEN {state} = {last} AND {typ} = '{steps[last]}' THEN 1L ELSE 0L END"
-
-
 def funnel_states(df: DataFrame, steps: Sequence[str] = FUNNEL_STEPS,
-                  keys: Sequence[str] = ("key",), *, chunk: str = "1 minute",
-                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  keys: Sequence[str] = ("key",), *, partitions: int | None = None) -> DataFrame:
     """Per-key funnel: only the expected next step advances the stage; the
     last step completes a funnel and resets the stage to 0.
 
-    The machine is folded in two levels without a per-key sort: each
-    ``(key, chunk)`` reduces its ordered events to a transition table (end
-    stage and completions for every start stage); each key then composes
-    its chunk tables in order.  Both folds are ``aggregate`` over arrays,
-    JVM-side; the per-key array holds one entry per chunk.
-    Output: ``key, stage, completed``.
+    Each sorted partition reduces its part of a key to a transition table (end
+    stage and completions for every start stage); only tables of keys that
+    cross a partition's end are composed.  Output: ``key, stage, completed``.
     """
-    keys = list(keys)
-    n = len(steps)
-    d = _chunked(df.select(*keys, *ORDER, "event_type"), keys, chunk, chunk_rows) \
-        .withColumnRenamed("_ck", "_chunk")
-    evs = F.array_sort(F.collect_list(F.struct("event_time", "event_id", "event_type")))
-    init = "named_struct(" + ", ".join(
-        [f"'s{i}', {i}" for i in range(n)] + [f"'c{i}', 0L" for i in range(n)]) + ")"
-    step = "named_struct(" + ", ".join(
-        [f"'s{i}', {_advance(f'a.s{i}', 'e.event_type', steps)}" for i in range(n)]
-        + [f"'c{i}', a.c{i} + {_completes(f'a.s{i}', 'e.event_type', steps)}"
-           for i in range(n)]) + ")"
-    tables = (d.groupBy(*keys, "_chunk").agg(evs.alias("_evs"))
-              .select(*keys, "_chunk", F.expr(f"aggregate(_evs, {init}, (a, e) -> {step})")
-                      .alias("_t")))
-    ends = "array(" + ", ".join(f"x._t.s{i}" for i in range(n)) + ")"
-    dones = "array(" + ", ".join(f"x._t.c{i}" for i in range(n)) + ")"
-    fold = (f"aggregate(_tabs, named_struct('stage', 0, 'completed', 0L), (a, x) -> "
-            f"named_struct('stage', element_at({ends}, a.stage + 1), "
-            f"'completed', a.completed + element_at({dones}, a.stage + 1)))")
-    per_key = tables.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_t"))).alias("_tabs"))
-    res = per_key.select(*keys, F.expr(fold).alias("_r"))
-    return res.select(*keys, F.col("_r.stage").alias("stage"),
-                      F.col("_r.completed").alias("completed"))
+    return segmented_fold(df.select(*keys, *ORDER, "event_type"), keys, ORDER, "event_type", steps,
+                          partitions=partitions)
 
 
 # ── two-stream co-processing ───────────────────────────────────────────────
 def co_process(left: DataFrame, right: DataFrame, bound: str,
-               keys: Sequence[str] = ("key",), *, chunk: str = CHUNK_WIDTH,
-               chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+               keys: Sequence[str] = ("key",), *, partitions: int | None = None) -> DataFrame:
     """Match every right row (e.g. click) with the latest left row (view) of
     its key at or before it, if no older than ``bound``; else no match.
 
@@ -195,20 +144,18 @@ def co_process(left: DataFrame, right: DataFrame, bound: str,
     view_time`` (one row per right row).
     """
     keys = list(keys)
-    cols = [*keys, "event_id", "event_time"]
-    u = (left.select(*cols, F.lit(True).alias("is_left"))
-         .unionByName(right.select(*cols, F.lit(False).alias("is_left"))))
-    view = F.when(F.col("is_left"), F.struct(F.col("event_id").alias("id"),
-                                           F.col("event_time").alias("t")))
-    u = _chunked(u, keys, chunk, chunk_rows)
-    scanned = chunked_last_non_null(u, keys, ORDER, F.col("_ck"), view, "_view")
-    fresh = (F.unix_micros("event_time") - F.unix_micros("_view.t")
-             <= F.lit(duration_us(bound)))
-    return scanned.filter(~F.col("is_left")).select(
+    cols = [*keys, *ORDER]
+    view = F.struct(F.col("event_id").alias("id"), F.unix_micros("event_time").alias("t"))
+    kind = T.StructType([T.StructField("id", left.schema["event_id"].dataType), T.StructField("t", T.LongType())])
+    u = (left.select(*cols, view.cast(kind).alias("_own"))
+         .unionByName(right.select(*cols, F.lit(None).cast(kind).alias("_own"))))
+    scanned = segmented_scan(u, keys, ORDER, LastSeen("_own", "view", kind), partitions=partitions)
+    fresh = F.unix_micros("event_time") - F.col("view.t") <= F.lit(duration_us(bound))
+    return scanned.filter(F.col("_own").isNull()).select(
         *keys, F.col("event_id").alias("click_id"),
         _ntz(F.col("event_time")).alias("click_time"),
-        F.when(fresh, F.col("_view.id")).alias("view_id"),
-        F.when(fresh, _ntz(F.col("_view.t"))).alias("view_time"))
+        F.when(fresh, F.col("view.id")).alias("view_id"),
+        F.when(fresh, _ntz(F.timestamp_micros("view.t"))).alias("view_time"))
 
 
 def key_profile(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:

@@ -1,18 +1,10 @@
-"""Skew-safe ordered scans per key: running totals, running max, neighbours.
+"""A running maximum over a global arrival order, in two levels.
 
-A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one
-task; with one key holding a third of the rows that task holds a third of
-the data.  These helpers split each key's order into *chunks* (ranges of
-the ordering column with about equally many rows, time buckets, or arrival ranges) and compute the scan in two
-levels, the classic parallel prefix:
-
-1. a partial aggregate per ``(key, chunk)`` — map-side combined, small;
-2. an exclusive scan over the chunk totals of each key — its size is
-   bounded by the number of chunks (time span / width), not by data volume;
-3. the per-row scan inside ``(key, chunk)`` plus the carry from step 2.
-
-Rows shuffle once, on ``(key, chunk)``, so a hot key spreads over all its
-chunks.  The result equals the plain per-key window exactly.
+A window without partitions sends every row to one task.  Here the order is
+cut into chunks (ranges of the arrival position): the maximum of each chunk is
+aggregated, the few chunk maxima are scanned, and each row's own scan inside
+its chunk starts from the maximum before it.  Rows shuffle once, on the chunk.
+Scans per key are in :mod:`eddyline.operators.segments`.
 """
 
 from __future__ import annotations
@@ -22,31 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddyline.functions.durations import duration_us
-
 CHUNK = "_chunk"
-
-
-NULL_CHUNK = -(2 ** 62)     # rows without a time come first, in a chunk of their own
-
-
-def time_chunk(ts: str | Column, width: str) -> Column:
-    """Chunk id of a TIMESTAMP column: epoch-aligned buckets of ``width``;
-    never null, so that the carry join finds rows without a time."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.coalesce(F.floor(F.unix_micros(c) / F.lit(duration_us(width))).cast("long"),
-                      F.lit(NULL_CHUNK))
-
-
 GK = "_gk"
 
 
 def _with_group(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Add one non-null struct group key (NULL key fields compare equal) and the chunk.
-
-    Joining and windowing on the same plain columns ``(_gk, _chunk)`` lets the
-    join's hash partitioning serve the per-row window without a second shuffle.
-    """
+    """Add one non-null struct group key (NULL key fields compare equal) and the chunk."""
     return df.withColumn(GK, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)) \
              .withColumn(CHUNK, chunk)
 
@@ -55,31 +28,6 @@ def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def chunked_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                        chunk: Column, sums: dict[str, Column],
-                        inclusive: bool = True) -> DataFrame:
-    """Add running sums (``out -> value column``) in ``order`` within ``keys``.
-
-    ``inclusive`` counts the current row; a count is ``F.lit(1)``.
-    """
-    d = _with_group(df, keys, chunk)
-    part = [GK, CHUNK]
-    totals = d.groupBy(*part).agg(*[F.sum(v).alias(f"_tot_{o}") for o, v in sums.items()])
-    w_chunks = Window.partitionBy(GK).orderBy(CHUNK).rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = totals.select(*part, *[
-        F.coalesce(F.sum(f"_tot_{o}").over(w_chunks), F.lit(0)).alias(f"_carry_{o}")
-        for o in sums])
-    joined = d.join(carry, part, "left")
-    w_rows = Window.partitionBy(*part).orderBy(*_order(order)).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    out = joined
-    for o, v in sums.items():
-        out = out.withColumn(o, F.col(f"_carry_{o}") +
-                             F.coalesce(F.sum(v).over(w_rows), F.lit(0)))
-    return out.drop(GK, CHUNK, *[f"_carry_{o}" for o in sums])
-
-
 def chunked_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                         chunk: Column, value: Column, out: str,
                         inclusive: bool = False) -> DataFrame:
@@ -99,83 +47,3 @@ def chunked_running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str
         Window.unboundedPreceding, 0 if inclusive else -1)
     res = F.greatest(F.col("_carry"), F.max("_v").over(w_rows))
     return joined.withColumn(out, res).drop(GK, CHUNK, "_v", "_carry")
-
-
-def chunked_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                      chunk: Column, value: str | Column, prev_out: str | None = None,
-                      next_out: str | None = None) -> DataFrame:
-    """Previous / next value of ``value`` in ``order`` within ``keys`` (lag/lead).
-
-    ``order`` must refine ``chunk`` (rows of a later chunk come later).
-    """
-    v = F.col(value) if isinstance(value, str) else value
-    ordered = _order(order)
-    d = _with_group(df, keys, chunk).withColumn("_v", v).withColumn(
-        "_ord", F.struct(*ordered))
-    part = [GK, CHUNK]
-    totals = d.groupBy(*part).agg(F.min_by("_v", "_ord").alias("_first"),
-                                  F.max_by("_v", "_ord").alias("_last"))
-    w_chunks = Window.partitionBy(GK).orderBy(CHUNK)
-    carry = totals.select(*part,
-                          F.lag("_last").over(w_chunks).alias("_prev_chunk_last"),
-                          F.lead("_first").over(w_chunks).alias("_next_chunk_first"))
-    joined = d.join(carry, part, "left")
-    w_rows = Window.partitionBy(*part).orderBy(*ordered)
-    rn = F.row_number().over(w_rows)
-    out = joined.withColumn("_rn", rn)
-    if prev_out:
-        out = out.withColumn(prev_out, F.when(F.col("_rn") == 1, F.col("_prev_chunk_last"))
-                             .otherwise(F.lag("_v").over(w_rows)))
-    if next_out:
-        is_last = F.lead(F.lit(1)).over(w_rows).isNull()
-        out = out.withColumn(next_out, F.when(is_last, F.col("_next_chunk_first"))
-                             .otherwise(F.lead("_v").over(w_rows)))
-    return out.drop(GK, CHUNK, "_v", "_ord", "_rn", "_prev_chunk_last", "_next_chunk_first")
-
-
-def chunked_last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                          chunk: Column, value: Column, out: str) -> DataFrame:
-    """Latest non-null ``value`` at or before each row in ``order`` (as-of carry)."""
-    ordered = _order(order)
-    d = _with_group(df, keys, chunk).withColumn("_v", value).withColumn(
-        "_ord", F.when(F.col("_v").isNotNull(), F.struct(*ordered)))
-    part = [GK, CHUNK]
-    totals = d.groupBy(*part).agg(F.max_by("_v", "_ord").alias("_last"))
-    w_chunks = Window.partitionBy(GK).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*part, F.last("_last", ignorenulls=True).over(w_chunks).alias("_carry"))
-    joined = d.join(carry, part, "left")
-    w_rows = Window.partitionBy(*part).orderBy(*ordered).rowsBetween(
-        Window.unboundedPreceding, 0)
-    res = F.coalesce(F.last("_v", ignorenulls=True).over(w_rows), F.col("_carry"))
-    return joined.withColumn(out, res).drop(GK, CHUNK, "_v", "_ord", "_carry")
-
-
-DEFAULT_CHUNK_ROWS = 1_000_000
-MAX_BOUNDS = 256
-
-
-def balanced_chunks(df: DataFrame, keys: Sequence[str], ts: str, out: str = "_ck", *,
-                    rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Chunks of about ``rows`` rows, by one rule for every key.
-
-    A key of ``n`` rows is cut at its own time quantiles into ``ceil(n /
-    rows)`` chunks (at most ``MAX_BOUNDS`` + 1, which then grow with ``n``), so
-    a key whose rows crowd into one hour is cut as evenly as one spread over a
-    year.  Counts and quantiles come from one aggregation with a partial step;
-    keys of one chunk have no bounds and take no part in the join.  Rows with
-    equal times share a chunk; rows without a time have the first chunk, as
-    nulls sort first.  Results of a scan do not depend on ``rows``.
-    """
-    t = F.unix_micros(ts)
-    steps = [i / (MAX_BOUNDS + 1) for i in range(1, MAX_BOUNDS + 1)]
-    per_key = df.groupBy(F.struct(*[F.col(k) for k in keys]).alias("_bk")).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(t, steps, 10_000).alias("_q"))
-    n_cuts = F.least(F.ceil(F.col("_n") / F.lit(rows)) - 1, F.lit(MAX_BOUNDS))
-    pick = F.transform(F.sequence(F.lit(1).cast("long"), n_cuts), lambda i: F.element_at(
-        "_q", F.ceil(i * MAX_BOUNDS / (n_cuts + 1)).cast("int")))
-    bounds = per_key.filter((F.col("_n") > rows) & F.col("_q").isNotNull()).select(
-        "_bk", F.array_distinct(pick).alias("_bounds"))
-    tagged = df.withColumn("_bk", F.struct(*[F.col(k) for k in keys])).join(bounds, "_bk", "left")
-    after = F.size(F.filter("_bounds", lambda b: b < t)).cast("long")
-    chunk = F.when(t.isNull(), F.lit(NULL_CHUNK)).when(F.col("_bounds").isNull(), F.lit(0)).otherwise(after)
-    return tagged.withColumn(out, chunk.cast("long")).drop("_bk", "_bounds")

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.functions.durations import duration_us, shift
-from eddyline.operators.scan import time_chunk
+from eddyline.operators.segments import SessionStart, segmented_scan
 from eddyline.schema import SLIDING_SLIDE, SLIDING_WINDOW, TUMBLING_WINDOW, WATERMARK_DELAY
 
 EVENT_TIME = "event_time"
@@ -121,14 +121,14 @@ def sliding(df: DataFrame, duration: str = SLIDING_WINDOW, slide: str = SLIDING_
         and aggs is None and not df.isStreaming and ratio == int(ratio)
     if use_panes:
         keys = kw.get("keys", ("key",))
-        return sliding_panes(df, duration, slide, keys=keys,
-                             time_col=kw.get("time_col", EVENT_TIME))
+        return sliding_panes(df, duration, slide, keys=keys, time_col=kw.get("time_col", EVENT_TIME),
+                             ntz=kw.get("ntz", True))
     return windowed_agg(df, duration, aggs or avg_count_agg(), slide=slide, **kw)
 
 
 def sliding_panes(df: DataFrame, duration: str = SLIDING_WINDOW, slide: str = SLIDING_SLIDE,
                   value: str = "value", keys: Sequence[str] = ("key",),
-                  time_col: str = EVENT_TIME, digits: int | None = 2) -> DataFrame:
+                  time_col: str = EVENT_TIME, digits: int | None = 2, ntz: bool = True) -> DataFrame:
     """Sliding avg/count by pane pre-aggregation (batch).
 
     Rows aggregate once into tumbling panes of width ``slide``; each pane
@@ -139,21 +139,22 @@ def sliding_panes(df: DataFrame, duration: str = SLIDING_WINDOW, slide: str = SL
     size_us, slide_us = duration_us(duration), duration_us(slide)
     if size_us % slide_us:
         return sliding(df, duration, slide, avg_count_agg(value, digits),
-                       keys=keys, time_col=time_col)
+                       keys=keys, time_col=time_col, ntz=ntz)
     k = size_us // slide_us
     panes = (df.groupBy(*keys, F.window(time_col, slide).start.alias("_pane"))
              .agg(F.sum(value).alias("_s"), F.count(value).alias("_c"),
                   F.count(F.lit(1)).alias("_n")))
     fan = panes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start = F.timestamp_micros(F.unix_micros("_pane") - F.col("_i") * F.lit(slide_us))
+    start = F.timestamp_micros(F.unix_micros("_pane") - F.col("_i").cast("long") * F.lit(slide_us))
     win = (fan.groupBy(*keys, start.alias("_ws"))
            .agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"), F.sum("_n").alias("_n")))
     avg = F.col("_s") / F.col("_c")
     if digits is not None:
         avg = F.round(avg, digits)
-    return win.select(*keys, _ntz(F.col("_ws")).alias("window_start"),
-                      _ntz(shift(F.col("_ws"), duration)).alias("window_end"),
-                      avg.alias("avg_value"), F.col("_n").alias("event_count"))
+    start, end = F.col("_ws"), shift(F.col("_ws"), duration)
+    if ntz:
+        start, end = _ntz(start), _ntz(end)
+    return win.select(*keys, start.alias("window_start"), end.alias("window_end"), avg.alias("avg_value"), F.col("_n").alias("event_count"))
 
 
 SessionAggs = dict  # out name -> (kind, column); kind in count|sum|min|max|avg
@@ -195,63 +196,17 @@ def sessions(df: DataFrame, gap: str, aggs: SessionAggs | None = None, *,
 
 def sessionize_batch(df: DataFrame, gap: str, aggs: SessionAggs, *,
                      keys: Sequence[str] = ("key",), time_col: str = EVENT_TIME,
-                     ntz: bool = True, chunk: str = "1 day") -> DataFrame:
-    """Sessions of a table with one shuffle of the rows and no per-key sort.
-
-    1. Rows shuffle once on ``(key, time chunk)``; inside a chunk a row opens
-       a *local* session when its gap to the previous row is > ``gap``, and
-       local sessions aggregate to partials (same partitioning, no shuffle).
-    2. Local sessions of a key are stitched in time order: one that starts
-       at most ``gap`` after the previous one ends continues it.  A key
-       has at most ``time span / gap`` sessions plus one per chunk, so this
-       per-key scan is bounded by time, not by the key's row count.
-    3. Partials merge per stitched session.
-    """
+                     ntz: bool = True, partitions: int | None = None) -> DataFrame:
+    """Sessions of a table: a segmented scan over ``(key, time)`` ranges gives
+    every row the start of its session, then one aggregation by (key, start)
+    with a partial step, so neither a hot key nor a long session is one task."""
     keys = list(keys)
-    gap_us = duration_us(gap)
-    gk = F.struct(*[F.col(k) for k in keys])
-    cols = {c for _, (_, c) in aggs.items() if c is not None}
+    cols = [c for c in dict.fromkeys(c for _, c in aggs.values() if c is not None) if c not in keys]
     timed = df.filter(F.col(time_col).isNotNull())        # as session_window does
-    d = timed.select(gk.alias("_gk"), time_chunk(time_col, chunk).alias("_chunk"),
-                     F.unix_micros(F.col(time_col)).alias("_t"), *cols)
-    w_in = Window.partitionBy("_gk", "_chunk").orderBy("_t")
-    prev = F.lag("_t").over(w_in)
-    d = d.withColumn("_open", F.when(prev.isNull() | (F.col("_t") - prev > F.lit(gap_us)), 1)
-                     .otherwise(0))
-    d = d.withColumn("_lsid", F.sum("_open").over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
-    partial = []
-    for name, (kind, col) in aggs.items():
-        c = F.lit(1) if col is None else F.col(col)
-        if kind == "count":
-            partial.append(F.count(c).alias(f"_p_{name}"))
-        elif kind == "avg":
-            partial += [F.sum(c).alias(f"_p_{name}_s"), F.count(c).alias(f"_p_{name}_c")]
-        else:
-            partial.append({"sum": F.sum, "min": F.min, "max": F.max}[kind](c)
-                           .alias(f"_p_{name}"))
-    local = d.groupBy("_gk", "_chunk", "_lsid").agg(F.min("_t").alias("_s"),
-                                                    F.max("_t").alias("_e"), *partial)
-    w_key = Window.partitionBy("_gk").orderBy("_s")
-    prev_end = F.lag("_e").over(w_key)
-    local = local.withColumn("_new", F.when(prev_end.isNull() | (F.col("_s") - prev_end
-                                                                 > F.lit(gap_us)), 1)
-                             .otherwise(0))
-    local = local.withColumn("_sid", F.sum("_new").over(
-        w_key.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = []
-    for name, (kind, col) in aggs.items():
-        if kind == "count":
-            merged.append(F.sum(f"_p_{name}").alias(name))
-        elif kind == "avg":
-            merged.append((F.sum(f"_p_{name}_s") / F.sum(f"_p_{name}_c")).alias(name))
-        else:
-            fn = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
-            merged.append(fn(f"_p_{name}").alias(name))
-    out = local.groupBy("_gk", "_sid").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"),
-                                           *merged)
-    start = F.timestamp_micros("_s")
-    end = shift(F.timestamp_micros("_e"), gap)
+    d = timed.select(*keys, F.unix_micros(F.col(time_col)).alias("_t"), *cols)
+    scanned = segmented_scan(d, keys, ["_t"], SessionStart("_t", duration_us(gap), "session_from"), partitions=partitions)
+    out = scanned.groupBy(*keys, "session_from").agg(F.max("_t").alias("_e"), *_session_columns(aggs))
+    start, end = F.timestamp_micros("session_from"), shift(F.timestamp_micros("_e"), gap)
     if ntz:
         start, end = _ntz(start), _ntz(end)
-    return out.select(*[F.col(f"_gk.{k}").alias(k) for k in keys], start.alias("session_start"),
-                      end.alias("session_end"), *list(aggs))
+    return out.select(*keys, start.alias("session_start"), end.alias("session_end"), *list(aggs))

@@ -23,7 +23,7 @@ from eddyline.operators.filters import keep_types
 from eddyline.operators.windows import (
     sliding, sliding_panes, stats_agg, tumbling, with_event_time,
 )
-from eddyline.plans import inputs
+from eddyline.plans import inputs, views
 from eddyline.schema import EVENT_COLUMNS, SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
 from eddyline.streaming import stateful
 from eddyline.streaming.run import drain, drain_until_consumed
@@ -174,6 +174,13 @@ def running_sum(spark, sf_dir):
     return keyed.running_sum(inputs.typed_events(spark, sf_dir))
 
 
+@register
+def running_sum_stream(spark, sf_dir):
+    """Per-record running sum over a stream."""
+    return _ntz_cols(drain(stateful.running_sum_stream(inputs.event_stream(spark, sf_dir)), output_mode="append",
+                           name="running-sum"), "event_time")
+
+
 @register
 def recent_list(spark, sf_dir):
     return keyed.collect_recent(inputs.typed_events(spark, sf_dir), 3)
@@ -397,8 +404,7 @@ def interval_join(spark, sf_dir):
 def interval_join_left(spark, sf_dir):
     views, clicks = _sides(inputs.typed_events(spark, sf_dir))
     return _pairs_out(joins.interval_join(views, clicks, JOIN_BOUND, left_time="view_time",
-                                          right_time="click_time", how="left",
-                                          left_id="view_id"))
+                                          right_time="click_time", how="left"))
 
 
 def _stream_sides(spark, sf_dir):
@@ -631,6 +637,13 @@ def latency_summary(spark, sf_dir):
     return latency.latency_summary(rep)
 
 
+@register
+def latency_p99_rows(spark, sf_dir):
+    """The run's p99s in bucket order, a row a bucket."""
+    rep = latency.latency_report(latency_input(inputs.typed_events(spark, sf_dir)), "1 hour")
+    return latency.p99_rows(rep)
+
+
 @register
 def latency_matrix(spark, sf_dir):
     """Per pattern (event type): median over runs (days) of each run's
@@ -644,6 +657,17 @@ def latency_matrix(spark, sf_dir):
                                        F.median("median_p99").alias("median_p99"))
 
 
+@register
+def latency_matrix_sketch(spark, sf_dir):
+    """Approximate percentiles per pattern, merged from one sketch a run (day),
+    and whether each lies within the rank error of the exact distribution."""
+    ev = latency_input(inputs.typed_events(spark, sf_dir)).withColumn("pattern", F.col("event_type"))
+    runs = latency.latency_sketches(ev.withColumn("run", latency.bucket_of("received_at", "1 day")), ["pattern", "run"])
+    merged = latency.merge_sketches(runs, ["pattern"])
+    checked = latency.checked_quantiles(merged, ev.select("pattern", F.col("latency_ms").alias("_lat")), ["pattern"])
+    return checked.select("pattern", "n", "p50_ok", "p95_ok", "p99_ok")
+
+
 @register
 def latency_report_stream(spark, sf_dir):
     """Exact report over a stream: the histogram aggregates in Update mode per
@@ -682,9 +706,23 @@ def ttl_state_stream(spark, sf_dir):
     """Running count whose state expires after 1 hour of processing time
     without input for the key (never within a test run)."""
     src = stateful.running_count_stream(inputs.event_stream(spark, sf_dir), ttl="1 hour")
-    n = _input_rows(spark, sf_dir)
-    return drain_until_consumed(src, lambda got: got.agg(F.sum("running_count")).first()[0] == n,
-                                keys=["key"], name="ttl")
+    return drain_until_consumed(src, _input_rows(spark, sf_dir), keys=["key"], name="ttl")
+
+
+SEED = 1000
+SEED_SHARE = 0.02          # of the time span, in the first batch
+
+
+@register
+def ttl_seed_stream(spark, sf_dir):
+    """State that expires: every key starts from a seed that lives 1 ms of
+    processing time, so only keys with rows in the first batch (the first
+    ``SEED_SHARE`` of the time span) still find it; the others start from 0."""
+    ev = inputs.events(spark, sf_dir)
+    seeds = ev.groupBy("key").agg(F.lit(SEED).cast("long").alias("seed"))
+    stream = inputs.two_part_stream(spark, sf_dir, SEED_SHARE)
+    src = stateful.seeded_count_stream(inputs.decode_front(stream), seeds, "1 millisecond")
+    return drain_until_consumed(src, _input_rows(spark, sf_dir), keys=["key"], name="ttl-seed")
 
 
 @register
@@ -694,7 +732,8 @@ def processing_timer_stream(spark, sf_dir):
     src = stateful.inactivity_stream(inputs.event_stream(spark, sf_dir), "1 second",
                                      processing_time=True)
     n_keys = inputs.typed_events(spark, sf_dir).select("key").distinct().count()
-    out = drain_until_consumed(src, lambda got: got.select("key").distinct().count() == n_keys,
+    out = drain_until_consumed(src, _input_rows(spark, sf_dir),
+                               lambda got: got.select("key").distinct().count() == n_keys,
                                output_mode="append", name="pt-timer")
     return out.filter("alert_time IS NOT NULL").select("key").distinct()
 
@@ -714,12 +753,17 @@ def processed_at_stream(spark, sf_dir):
 
 @register
 def approx_latency_stream(spark, sf_dir):
-    """Approximate p50/p95/p99 per hour of arrival, Update mode."""
+    """Approximate p50/p95/p99 per hour of arrival from sketches kept in Update
+    mode, and whether each lies within the rank error of the exact ranks."""
     ev = latency_input(inputs.event_stream(spark, sf_dir)).withColumn(
-        "received_ts", F.timestamp_millis("received_at")).withWatermark("received_ts",
-                                                                         "10 seconds")
-    return drain(latency.approx_latency(ev, "1 hour"), output_mode="update",
-                 keys=["bucket_start"], name="approx-latency")
+        "received_ts", F.timestamp_millis("received_at")).withWatermark("received_ts", "10 seconds")
+    sketches = latency.window_sketches(ev, "1 hour")
+    got = drain(sketches, output_mode="update", keys=["bucket_start"], name="approx-latency")
+    hour = F.timestamp_millis(F.floor(F.col("received_at") / F.lit(3_600_000)) * F.lit(3_600_000)).cast("timestamp_ntz")
+    exact = latency_input(inputs.typed_events(spark, sf_dir)).select(hour.alias("bucket_start"),
+                                                                     F.col("latency_ms").alias("_lat"))
+    return latency.checked_quantiles(got, exact, ["bucket_start"]).select(
+        "bucket_start", "n", "p50_ok", "p95_ok", "p99_ok")
 
 
 @register
@@ -733,20 +777,21 @@ def foreach_rows_stream(spark, sf_dir):
 # ── UDF surfaces ───────────────────────────────────────────────────────────
 @register
 def sliding_avg_udaf(spark, sf_dir):
-    """Pattern 03 with the average as a custom aggregate (pandas UDAF)."""
-    ev = inputs.typed_events(spark, sf_dir)
-    w = ev.select("key", "value", F.window("event_time", "5 minutes", "1 minute").alias("w"))
-    g = w.select("key", "value", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                 F.col("w.end").cast("timestamp_ntz").alias("window_end"))
-    out = udfs.accumulate_by_group(
-        g, ["key", "window_start", "window_end"], "value",
-        "key string, window_start timestamp_ntz, window_end timestamp_ntz, result double, "
-        "rows long")
-    return out.select("key", "window_start", "window_end",
-                      F.round("result", 2).alias("avg_value"),
+    """Pattern 03 with the average as a custom aggregate with a partial step:
+    rows are added once, into panes; only partials cross the network."""
+    out = udfs.accumulate_sliding(inputs.typed_events(spark, sf_dir), ["key"], "value", "5 minutes", "1 minute")
+    return out.select("key", "window_start", "window_end", F.round("result", 2).alias("avg_value"),
                       F.col("rows").alias("event_count"))
 
 
+@register
+def accumulate_by_type(spark, sf_dir):
+    """The custom average by event type: few groups, each with a large share of the rows."""
+    out = udfs.accumulate_by_group(inputs.typed_events(spark, sf_dir), ["event_type"], "value",
+                                   "event_type string, result double, rows long")
+    return out.select("event_type", F.round("result", 4).alias("avg_value"), F.col("rows").alias("event_count"))
+
+
 @register
 def sliding_avg_pandas_udaf(spark, sf_dir):
     """The same average as a grouped-aggregate pandas UDF (one call per group:
@@ -797,3 +842,22 @@ def late_split_stream(spark, sf_dir):
     out = late.split_late_stream(stream, scratch_dir(spark, "late-split"), window="1 minute")
     return out.select("event_id", "key", F.col("event_time").cast("timestamp_ntz")
                       .alias("event_time"), "is_late")
+
+
+# ── SQL over temp views ────────────────────────────────────────────────────
+@register
+def tumbling_count_sql(spark, sf_dir):
+    """Pattern 02 as SQL text over the event records' view."""
+    return views.run_sql(spark, sf_dir, views.TUMBLING_SQL)
+
+
+@register
+def sliding_avg_sql(spark, sf_dir):
+    """Pattern 03 as SQL text over the event records' view."""
+    return views.run_sql(spark, sf_dir, views.SLIDING_SQL)
+
+
+@register
+def busiest_minute_sql(spark, sf_dir):
+    """SQL over two batch twins registered as views."""
+    return views.run_sql(spark, sf_dir, views.BUSIEST_SQL, ["running_count", "tumbling_count"])

@@ -62,6 +62,21 @@ def event_stream(spark: SparkSession, sf_dir: str, n_files: int = 3) -> DataFram
     return decode_front(message_stream(spark, sf_dir, n_files))
 
 
+def two_part_stream(spark: SparkSession, sf_dir: str, share: float) -> DataFrame:
+    """Messages of the first ``share`` of the time span as the first batch,
+    and the rest after it."""
+    from eddyline.session import scratch_dir
+    msgs = messages(spark, sf_dir)
+    lo, hi = msgs.agg(F.min("offset"), F.max("offset")).first()
+    path = scratch_dir(spark, "two-part")
+    cut = lo + int((hi - lo) * share) if lo is not None else 0
+    first = msgs.filter(F.col("offset") <= cut)
+    first.write.parquet(path)
+    n_first = max(1, len(spark.read.schema(msgs.schema).parquet(path).inputFiles()))
+    msgs.filter(F.col("offset") > cut).write.mode("append").parquet(path)
+    return file_stream(spark, path, KAFKA_SOURCE_SCHEMA, max_files_per_trigger=n_first)
+
+
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_event_time_col(orders_as_events(load_table(spark, sf_dir, "orders")))
 

@@ -424,10 +424,20 @@ SELECT make_timestamp(allb.bucket * {MIN5_MS} * 1000) AS bucket_start, coalesce(
 FROM allb LEFT JOIN rep ON allb.bucket = rep.bucket"""
 
 LAT_SUMMARY = f"""WITH {LAT_BASE}, {_report(HOUR_MS)}
-SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS buckets, quantile_cont(p99, 0.5) AS median_p99,
-       string_agg(CAST(p99 AS VARCHAR), ',' ORDER BY bucket) AS p99_list
+SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS buckets, quantile_cont(p99, 0.5) AS median_p99
 FROM rep"""
 
+LAT_P99_ROWS = f"""WITH {LAT_BASE}, {_report(HOUR_MS)}
+SELECT make_timestamp(bucket * {HOUR_MS} * 1000) AS bucket_start, p99 FROM rep"""
+
+SKETCH_FLAGS = "true AS p50_ok, true AS p95_ok, true AS p99_ok"
+LAT_APPROX = f"""WITH {LAT_BASE}
+SELECT make_timestamp(received_at // {HOUR_MS} * {HOUR_MS} * 1000) AS bucket_start, count(*) AS n, {SKETCH_FLAGS}
+FROM lat GROUP BY received_at // {HOUR_MS}"""
+
+LAT_MATRIX_SKETCH = f"""WITH {LAT_BASE}
+SELECT event_type AS pattern, count(*) AS n, {SKETCH_FLAGS} FROM lat GROUP BY event_type"""
+
 LAT_MATRIX = f"""WITH {LAT_BASE},
 lat2 AS (SELECT event_type AS pattern, received_at // {DAY_MS} AS run, received_at, lat FROM lat),
 b AS (SELECT pattern, run, received_at // {HOUR_MS} AS bucket, lat FROM lat2),
@@ -448,6 +458,9 @@ ORACLE.update({
     "latency_empty_buckets": LAT_EMPTY,
     "latency_summary": LAT_SUMMARY,
     "latency_matrix": LAT_MATRIX,
+    "latency_p99_rows": LAT_P99_ROWS,
+    "latency_matrix_sketch": LAT_MATRIX_SKETCH,
+    "approx_latency_stream": LAT_APPROX,
 })
 
 
@@ -487,8 +500,33 @@ FROM p"""
 
 ORACLE["late_split_stream"] = LATE_STREAM
 
+TTL_SEED = f"""WITH {EV},
+cut AS (SELECT min(produced_at) + CAST(trunc(CAST(max(produced_at) - min(produced_at) AS DOUBLE) * 0.02::DOUBLE) AS BIGINT) AS c FROM ev)
+SELECT key, count(*) + CASE WHEN min(produced_at) <= (SELECT c FROM cut) THEN 1000 ELSE 0 END AS running_count,
+       count(*) AS seen
+FROM ev GROUP BY key"""
+
+ACC_BY_TYPE = f"""WITH {EV}
+SELECT event_type, round(avg(value), 4) AS avg_value, count(*) AS event_count FROM ev GROUP BY event_type"""
+
+ORACLE.update({
+    "ttl_seed_stream": TTL_SEED,
+    "running_sum_stream": RUNNING_SUM,
+    "accumulate_by_type": ACC_BY_TYPE,
+})
+
 ORACLE.update({
     "processing_timer_stream": f"WITH {EV} SELECT DISTINCT key FROM ev",
     "processed_at_stream": f"""WITH {EV} SELECT key, event_id, true AS stamped FROM ev
 WHERE event_type IN ('click', 'purchase')""",
 })
+
+BUSIEST = f"""WITH {EV},
+t AS (SELECT key, t_us // {MIN_US} AS m, count(*) AS n FROM ev GROUP BY ALL)
+SELECT key, CAST(sum(n) AS BIGINT) AS running_count, max(n) AS busiest_minute, count(*) AS minutes FROM t GROUP BY key"""
+
+ORACLE.update({
+    "tumbling_count_sql": TUMBLING,
+    "sliding_avg_sql": SLIDING,
+    "busiest_minute_sql": BUSIEST,
+})

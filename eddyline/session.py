@@ -101,8 +101,16 @@ def cut_lineage(df, spark: SparkSession | None = None):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """``df`` written to the shared folder and read again: lineage ends there,
+    and a plan that uses it more than once computes it once."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 __all__ = ["get_session", "ensure_utc", "ensure_stateful_conf", "checkpoint_root",
-           "scratch_dir", "local_path", "cut_lineage", "ship_package"]
+           "scratch_dir", "local_path", "cut_lineage", "stored", "ship_package"]
 
 
 _SHIPPED: set = set()

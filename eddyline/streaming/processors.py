@@ -23,6 +23,8 @@ from pyspark.sql.types import (
     IntegerType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
+from eddyline.operators.segments import transition_tables
+
 
 def _key(key) -> object:
     return key[0] if isinstance(key, tuple) else key
@@ -33,7 +35,12 @@ def _sorted(rows: Iterator[pd.DataFrame], cols: Sequence[str]) -> pd.DataFrame:
     if not frames:
         return pd.DataFrame(columns=list(cols))
     pdf = pd.concat(frames, ignore_index=True)
-    return pdf.sort_values(["event_time", "event_id"], kind="stable", ignore_index=True)
+    return pdf.sort_values(["event_time", "event_id"], kind="stable", ignore_index=True, na_position="first")
+
+
+def _null_first(pair: tuple) -> tuple:
+    """Sort key of ``(time, id)``: a null id comes before all others, as in SQL."""
+    return pair[0], pair[1] is not None, pair[1] or ""
 
 
 def _us(ts: pd.Series) -> pd.Series:
@@ -92,6 +99,60 @@ class CountProcessor(KeyFold):
                          _add_rows, ["running_count"], ttl_ms)
 
 
+class SeededCountProcessor(StatefulProcessor):
+    """Running count that starts from a seed, as long as the seed lives.
+
+    Seeds come as the query's initial state and expire ``ttl_ms`` of
+    processing time after it was loaded; a key whose first rows come later
+    starts from 0.  ``seen`` counts the key's rows alone."""
+    OUTPUT = StructType([StructField("key", StringType()), StructField("running_count", LongType()),
+                         StructField("seen", LongType())])
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seed = handle.getValueState("seed", StructType([StructField("seed", LongType())]), self.ttl_ms)
+        self.counts = handle.getValueState("counts", StructType([
+            StructField("start", LongType()), StructField("seen", LongType())]))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seed.update((int(initialState["seed"].sum()),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = sum(len(f) for f in rows)
+        if self.counts.exists():
+            start, seen = self.counts.get()
+        else:
+            start, seen = (self.seed.get()[0] if self.seed.exists() else 0), 0
+        self.counts.update((start, seen + n))
+        yield pd.DataFrame({"key": [_key(key)], "running_count": [start + seen + n], "seen": [seen + n]})
+
+    def close(self) -> None:
+        pass
+
+
+class RunningSumProcessor(StatefulProcessor):
+    """Running sum of ``value`` per record, rows of a batch in event order."""
+    OUTPUT = StructType([StructField("key", StringType()), StructField("event_id", StringType()),
+                         StructField("event_time", TimestampType()), StructField("running_sum", LongType())])
+
+    def init(self, handle):
+        self.total = handle.getValueState("total", StructType([StructField("total", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _sorted(rows, ["event_id", "event_time", "value"])
+        base = self.total.get()[0] if self.total.exists() else 0
+        sums = base + pdf["value"].fillna(0).astype("int64").cumsum()
+        if len(sums):
+            self.total.update((int(sums.iloc[-1]),))
+        yield pd.DataFrame({"key": [_key(key)] * len(pdf), "event_id": pdf["event_id"],
+                            "event_time": pdf["event_time"], "running_sum": sums})
+
+    def close(self):
+        pass
+
+
 # ── ST2: running count per record ─────────────────────────────────────────
 class PerRecordCountProcessor(StatefulProcessor):
     OUTPUT = StructType([StructField("key", StringType()), StructField("event_id", StringType()),
@@ -187,12 +248,13 @@ class RecentListProcessor(StatefulProcessor):
         kept = [tuple(t) for t in self.items.get()] if self.items.exists() else []
         for pdf in rows:                     # only n rows of a frame can stay
             timed = pdf[pdf["event_time"].notna()]
-            last = timed.sort_values(["event_time", "event_id"]).tail(self.n)
-            kept += zip(_us(last["event_time"]).tolist(), last["event_id"].tolist())
-            kept = sorted(kept)[-self.n:]
+            last = timed.sort_values(["event_time", "event_id"], na_position="first").tail(self.n)
+            ids = last["event_id"].astype(object).where(last["event_id"].notna(), None)
+            kept += zip(_us(last["event_time"]).tolist(), ids.tolist())
+            kept = sorted(kept, key=_null_first)[-self.n:]
         if kept:
             self.items.put(kept)
-        yield pd.DataFrame({"key": [_key(key)], "recent": [",".join(e for _, e in kept)],
+        yield pd.DataFrame({"key": [_key(key)], "recent": [",".join(e for _, e in kept if e is not None)],
                             "n_recent": [len(kept)]})
 
     def close(self):
@@ -244,14 +306,10 @@ class FunnelProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["event_id", "event_time", "event_type"])
         stage, done = self.state.get() if self.state.exists() else (0, 0)
-        last = len(self.steps) - 1
-        for t in pdf["event_type"]:
-            if t == self.steps[stage]:
-                if stage == last:
-                    done += 1
-                    stage = 0
-                else:
-                    stage += 1
+        codes = pdf["event_type"].map({s: i for i, s in enumerate(self.steps)}).fillna(-1).to_numpy("int64")
+        if len(codes):
+            stages, counts = transition_tables(np.arange(len(codes)) == 0, codes, len(self.steps))
+            stage, done = int(stages[0, stage]), done + int(counts[0, stage])
         self.state.update((stage, done))
         yield pd.DataFrame({"key": [_key(key)], "stage": [stage], "completed": [done]})
 
@@ -414,7 +472,8 @@ class CoProcessor(StatefulProcessor):
     more rows.  A right
     row goes out in its own batch, so it sees the left rows that have arrived
     by then; a left row that comes later never changes it, and an older left
-    row never hides a newer one."""
+    row never hides a newer one.  A left row without an id sorts first at its
+    time; a right row without a time is emitted without a match."""
     OUTPUT = StructType([StructField("key", StringType()), StructField("click_id", StringType()),
                          StructField("click_time", TimestampType()),
                          StructField("view_id", StringType()),
@@ -429,7 +488,7 @@ class CoProcessor(StatefulProcessor):
             StructField("t", LongType()), StructField("id", StringType())]))
 
     def _held(self):
-        return sorted(tuple(v) for v in self.views.get()) if self.views.exists() else []
+        return sorted((tuple(v) for v in self.views.get()), key=_null_first) if self.views.exists() else []
 
     def _keep(self, views, timerValues):
         views = [v for v in views if v[0] >= timerValues.getCurrentWatermarkInMs() - self.bound_ms]
@@ -444,13 +503,13 @@ class CoProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _sorted(rows, ["event_id", "event_time", "is_left"])
-        pdf = pdf[pdf["event_time"].notna()]
-        if not len(pdf):
-            return
-        t, left = _ms(pdf["event_time"]).to_numpy(), pdf["is_left"].to_numpy(bool)
-        ids = pdf["event_id"].astype(object).to_numpy()
+        timed = pdf["event_time"].notna().to_numpy(bool)
+        left = pdf["is_left"].to_numpy(bool)
+        ids = pdf["event_id"].astype(object).where(pdf["event_id"].notna(), None).to_numpy()
+        t = np.zeros(len(pdf), "int64")
+        t[timed] = _ms(pdf["event_time"][timed]).to_numpy()
         held = self._held()
-        views = sorted(held + list(zip(t[left].tolist(), ids[left].tolist())))
+        views = sorted(held + list(zip(t[left & timed].tolist(), ids[left & timed].tolist())), key=_null_first)
         if views:
             if held and held[-1][0] != views[-1][0]:
                 self.handle.deleteTimer(held[-1][0] + self.bound_ms + 1)
@@ -459,13 +518,14 @@ class CoProcessor(StatefulProcessor):
             self._keep(views, timerValues)
         if left.all():
             return
-        rt, rid = t[~left], ids[~left]
+        rt, rid, known = t[~left], ids[~left], timed[~left]
         # a view at the click's own time counts if its id sorts before the click's
-        at = np.array([bisect_right(views, (int(a), b)) - 1 for a, b in zip(rt, rid)])
+        at = np.array([bisect_right(views, _null_first((int(a), b)), key=_null_first) - 1 for a, b in zip(rt, rid)])
         vt = np.array([views[i][0] if i >= 0 else np.iinfo("int64").min // 2 for i in at])
-        ok = (rt - vt <= self.bound_ms) & (at >= 0)
+        ok = (rt - vt <= self.bound_ms) & (at >= 0) & known
+        shown = pd.Series(rt, dtype="Int64").where(pd.Series(known))
         yield pd.DataFrame({
-            "key": [_key(key)] * len(rt), "click_id": rid, "click_time": _instants(rt),
+            "key": [_key(key)] * len(rt), "click_id": rid, "click_time": pd.to_datetime(shown, unit="ms", utc=True),
             "view_id": [views[i][1] if o else None for i, o in zip(at, ok)],
             "view_time": pd.to_datetime(pd.Series([int(v) if o else None for v, o in zip(vt, ok)],
                                                   dtype="Int64"), unit="ms", utc=True)})

@@ -8,8 +8,8 @@ the driver.
 
 * ``append``: Parquet file sink (exactly-once via its commit log).
 * ``update`` / ``complete``: :func:`eddyline.streaming.sinks.upsert_sink`
-  (one folder per batch id); update results are collapsed to the last
-  version of each key, complete results are the last batch.
+  (a folder per batch, merged in levels); update results are collapsed to the
+  last version of each key, complete results are the last batch.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ class StreamFailed(RuntimeError):
 
 
 def start_available_now(sdf: DataFrame, *, output_mode: str, path: str, checkpoint: str,
-                        name: str, batch_sink: bool):
+                        name: str, batch_sink: bool, keys: Sequence[str] | None = None):
     if batch_sink:
-        writer = sdf.writeStream.foreachBatch(upsert_sink(path))
+        writer = sdf.writeStream.foreachBatch(upsert_sink(path, keys=keys, complete=output_mode == "complete"))
     else:
         writer = sdf.writeStream.format("parquet").option("path", path)
     return (writer.outputMode(output_mode).option("checkpointLocation", checkpoint)
@@ -93,7 +93,7 @@ def drain(sdf: DataFrame, *, output_mode: str = "append", name: str = "drain",
     width = state_partitions or default_state_partitions(spark)
     with shuffle_width(spark, width):
         q = start_available_now(sdf, output_mode=output_mode, path=path,
-                                checkpoint=checkpoint, name=name, batch_sink=batch_sink)
+                                checkpoint=checkpoint, name=name, batch_sink=batch_sink, keys=keys)
         await_query(q, timeout_s)
     return read_result(spark, sdf.schema, path, output_mode, keys)
 
@@ -104,48 +104,52 @@ def read_result(spark, schema: StructType, path: str, output_mode: str,
         return spark.read.schema(schema).parquet(path)
     with_batch = StructType(schema.fields + [StructField(BATCH_COL, LongType())])
     rows = read_upserts(spark, path, with_batch)
-    if output_mode == "complete":
-        last = rows.agg(F.max(BATCH_COL).alias("_b"))
-        return rows.join(last, rows[BATCH_COL] == last["_b"], "left_semi").drop(BATCH_COL)
+    if output_mode == "complete":                       # the last batch is the only live one
+        return rows.drop(BATCH_COL)
     if keys is None:
         return rows
     from eddyline.operators.dedup import latest_per_key
     return latest_per_key(rows, keys, [BATCH_COL]).drop(BATCH_COL)
 
 
-def drain_until_consumed(sdf: DataFrame, done, *, output_mode: str = "update",
+def drain_until_consumed(sdf: DataFrame, rows: int, settled=None, *, output_mode: str = "update",
                          name: str = "drain-pt", keys: Sequence[str] | None = None,
                          interval: str = "1 second", timeout_s: float | None = None) -> DataFrame:
-    """Drain a processing-time query (timers/TTL keep it alive, so
-    ``availableNow`` never ends): run on a processing-time trigger until
-    ``done(result so far)`` is true after a batch, then stop between triggers.  No limit on time unless one is given."""
+    """Drain a processing-time query (timers and TTL keep it alive, so
+    ``availableNow`` never ends): run on a processing-time trigger until the
+    batches have read ``rows`` source rows and ``settled(result so far)``, if
+    given, is true, then stop between triggers.  No limit on time unless one
+    is given."""
     spark = sdf.sparkSession
     base = scratch_dir(spark, name)
     path, checkpoint = f"{base}/out", f"{base}/checkpoint"
     batch_sink = output_mode in ("update", "complete")
-    writer = (sdf.writeStream.foreachBatch(upsert_sink(path)) if batch_sink
-              else sdf.writeStream.format("parquet").option("path", path))
+    writer = (sdf.writeStream.foreachBatch(upsert_sink(path, keys=keys, complete=output_mode == "complete"))
+              if batch_sink else sdf.writeStream.format("parquet").option("path", path))
     with shuffle_width(spark, default_state_partitions(spark)):
         q = (writer.outputMode(output_mode).option("checkpointLocation", checkpoint)
              .queryName(f"{name}_{base.rsplit('-', 1)[-1]}")
              .trigger(processingTime=interval).start())
-        _wait_done(q, lambda: done(read_result(spark, sdf.schema, path, output_mode, keys)),
-                   name, timeout_s)
+        _wait_done(q, rows, (lambda: settled(read_result(spark, sdf.schema, path, output_mode, keys)))
+                   if settled else (lambda: True), name, timeout_s)
     return read_result(spark, sdf.schema, path, output_mode, keys)
 
 
-def _wait_done(q, done, name: str, timeout_s: float | None) -> None:
+def _wait_done(q, rows: int, settled, name: str, timeout_s: float | None) -> None:
     import time
     deadline = time.time() + timeout_s if timeout_s else None
+    read: dict = {}                                      # source rows by batch
     checked = -1
     try:
         while True:
             if q.exception() is not None:
                 raise StreamFailed(str(q.exception()))
-            last = q.lastProgress
-            if last is not None and last["batchId"] != checked:
-                checked = last["batchId"]
-                if done():
+            for p in q.recentProgress:
+                read[p["batchId"]] = max(read.get(p["batchId"], 0), p["numInputRows"])
+            newest = max(read, default=-1)
+            if newest != checked and sum(read.values()) >= rows:
+                checked = newest
+                if settled():
                     while q.status["isTriggerActive"]:
                         time.sleep(0.05)
                     return

@@ -1,29 +1,42 @@
 """Sinks: Kafka, upsert by batch folder, row-wise foreach, branch writers.
 
 ``upsert_sink`` is the Update-mode sink when no table format with MERGE is
-available: each micro-batch overwrites ``path/batch_id=N``.  A replayed
-batch (after a failure) replaces its own folder, so the result is
-exactly-once; cost per batch is the rows of that batch.  Readers take the
-last version of each key (``latest_per_key`` on ``batch_id``).
+available: each micro-batch is a folder of its own behind a manifest
+(:class:`eddyline.sources.batches.BatchFolders`).  A replayed batch replaces
+its folder, or changes nothing once it was merged, so the result is
+exactly-once; folders are merged level by level, so their number stays a
+multiple of the logarithm of the number of batches.  Readers take the last
+version of each key (``latest_per_key`` on ``batch_id``).
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from eddyline.config import PipelineConfig
+from eddyline.operators.dedup import latest_per_key
+from eddyline.sources.batches import FAN, BatchFolders
 
 BATCH_COL = "batch_id"
 
 
-def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, *, keys: Sequence[str] | None = None, complete: bool = False,
+                fan: int = FAN) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer.  With ``keys``, folders of one level are merged
+    to the last row of each key once ``fan`` of them are there; ``complete``
+    keeps the last batch only."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH_COL}={batch_id}")
+        rows = batch.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
+        folders = BatchFolders(batch.sparkSession, path, fan)
+        folders.commit(batch_id, rows, alone=complete)
+        if keys and not complete:
+            folders.compact(lambda df: latest_per_key(df, keys, [BATCH_COL]).select(*rows.columns), rows.schema)
     return write_batch
 
 
@@ -35,10 +48,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_upserts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All batch folders written by :func:`upsert_sink`, with ``batch_id``."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    """All live rows written by :func:`upsert_sink`, with ``batch_id``."""
+    return BatchFolders(spark, path).rows(schema)
 
 
 def write_events_kafka(df: DataFrame, cfg: PipelineConfig, checkpoint: str, *,
@@ -58,28 +69,39 @@ def console_writer(df: DataFrame, output_mode: str = "update", checkpoint: str |
 
 
 class RowWriter:
-    """``foreach`` sink: ``open`` / ``process`` / ``close`` per partition and epoch.
+    """``foreach`` sink on a file system that all executors share: ``open`` /
+    ``process`` / ``close`` for each partition and epoch.
 
-    ``process`` appends a line per row to a per-partition, per-epoch file, so
-    a replayed epoch rewrites its own files (idempotent).
+    Lines go to an attempt file; ``close`` without an error renames it to
+    ``epoch=E/part=P.txt``, which is at once the result and the mark that this
+    part of the epoch is committed.  A replayed epoch finds the mark and skips
+    the part; a failed attempt leaves a hidden file that no reader opens.
     """
 
     def __init__(self, folder: str, fmt: Callable = str):
         self.folder, self.fmt = folder, fmt
 
     def open(self, partition_id: int, epoch_id: int) -> bool:
-        os.makedirs(self.folder, exist_ok=True)
-        self._path = os.path.join(self.folder, f"epoch={epoch_id}-part={partition_id}.txt")
-        self._fh = open(self._path, "w", encoding="utf-8")
+        self._fs, root = pafs.FileSystem.from_uri(self.folder)
+        own = f"{root}/epoch={epoch_id}"
+        self._done = f"{own}/part={partition_id}.txt"
+        if self._fs.get_file_info(self._done).type != pafs.FileType.NotFound:
+            return False
+        self._fs.create_dir(own, recursive=True)
+        self._attempt = f"{own}/_attempt-{uuid.uuid4().hex}"
+        self._out = self._fs.open_output_stream(self._attempt)
         return True
 
     def process(self, row) -> None:
-        self._fh.write(self.fmt(row) + "\n")
+        self._out.write((self.fmt(row) + "\n").encode())
 
     def close(self, error) -> None:
-        self._fh.close()
-        if error:
-            raise error
+        if getattr(self, "_out", None) is None:          # a part that was skipped
+            return
+        self._out.close()
+        self._out = None
+        if error is None:
+            self._fs.move(self._attempt, self._done)
 
 
 def enrich_refreshing(stream: DataFrame, loader: Callable[[], DataFrame], on, *,
@@ -110,30 +132,23 @@ def enrich_refreshing(stream: DataFrame, loader: Callable[[], DataFrame], on, *,
     return spark.read.option("basePath", out).parquet(out)
 
 
-def run_foreach(df: DataFrame, fmt: Callable, *, name: str = "foreach",
+def run_foreach(df: DataFrame, fmt: Callable, *, name: str = "foreach", base: str | None = None,
                 timeout_s: float | None = None) -> DataFrame:
-    """Drain ``df`` as one line per row and read the lines back.
-
-    ``fmt`` renders a row.  Each micro-batch writes its lines with Spark's
-    text writer to a folder of its own, so any shared file system will do and
-    a replayed batch replaces its own lines.
-    """
+    """Drain ``df`` through :class:`RowWriter`, one line per row as ``fmt``
+    renders it, and read the committed lines back.  ``base`` (lines and
+    checkpoint) may be given again to resume."""
     from eddyline.session import scratch_dir
     from eddyline.streaming.run import await_query
     spark = df.sparkSession
-    base = scratch_dir(spark, name)
-    line = F.udf(lambda r: fmt(r), "string")(F.struct(*[F.col(c) for c in df.columns]))
-
-    def write_lines(batch: DataFrame, batch_id: int) -> None:
-        batch.select(line.alias("line")).write.mode("overwrite").text(f"{base}/lines/{BATCH_COL}={batch_id}")
-
-    q = (df.writeStream.foreachBatch(write_lines)
+    base = base or scratch_dir(spark, name)
+    lines = f"{base}/lines"
+    q = (df.writeStream.foreach(RowWriter(lines, fmt))
          .option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     await_query(q, timeout_s)
-    if not _exists(spark, f"{base}/lines"):
+    if not _exists(spark, lines):
         return spark.createDataFrame([], "line string")
-    return spark.read.text(f"{base}/lines").select(F.col("value").alias("line"))
+    return spark.read.text(f"{lines}/epoch=*/part=*.txt").select(F.col("value").alias("line"))
 
 
 def write_branches(stream: DataFrame, branches: dict, path: str, *, default: str | None = None,

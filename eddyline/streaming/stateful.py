@@ -18,11 +18,13 @@ from eddyline.streaming import processors as P
 
 
 def apply_processor(df: DataFrame, processor, output, *, keys: Sequence[str] = ("key",),
-                    time_mode: str = "None", output_mode: str = "Update") -> DataFrame:
+                    time_mode: str = "None", output_mode: str = "Update", initial=None) -> DataFrame:
+    """``initial``: rows (with the key columns) that the first batch hands to
+    the processor's ``handleInitialState``, key by key."""
     ensure_stateful_conf(df.sparkSession)
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=output,
-        outputMode=output_mode, timeMode=time_mode)
+        statefulProcessor=processor, outputStructType=output, outputMode=output_mode, timeMode=time_mode,
+        initialState=initial.groupBy(*keys) if initial is not None else None)
 
 
 def running_count_stream(df: DataFrame, *, per_record: bool = False,
@@ -49,6 +51,20 @@ def running_count_stream(df: DataFrame, *, per_record: bool = False,
                            time_mode="ProcessingTime" if ttl else "None")
 
 
+def seeded_count_stream(df: DataFrame, seeds: DataFrame, ttl: str) -> DataFrame:
+    """Running count from ``seeds(key, seed)``, which expire ``ttl`` of
+    processing time after the first batch (``key, running_count, seen``)."""
+    return apply_processor(df.select("key"), P.SeededCountProcessor(duration_us(ttl) // 1000),
+                           P.SeededCountProcessor.OUTPUT, time_mode="ProcessingTime",
+                           initial=seeds.select("key", "seed"))
+
+
+def running_sum_stream(df: DataFrame) -> DataFrame:
+    """Per-record running sum (Append)."""
+    return apply_processor(df.select("key", "event_id", "event_time", "value"),
+                           P.RunningSumProcessor(), P.RunningSumProcessor.OUTPUT, output_mode="Append")
+
+
 def running_last_type_stream(df: DataFrame) -> DataFrame:
     return apply_processor(df.select("key", "event_id", "event_time", "event_type"),
                            P.LastTypeProcessor(), P.LastTypeProcessor.OUTPUT)

@@ -59,3 +59,49 @@ def test_enrich_checked_broadcast(spark):
     assert sorted((r.key, r.name) for r in out.collect()) == [("a", "A"), ("b", None)]
     assert "broadcast" in out._jdf.queryExecution().optimizedPlan().toString().lower() or \
         "Broadcast" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_left_interval_join_nulls_and_repeats(spark):
+    """One join: repeated rows, repeated ids, null keys and null times."""
+    rng = np.random.default_rng(3)
+    v = [(str(rng.choice(["a", "hot"])), f"v{i % 90}", int(rng.integers(0, 20_000))) for i in range(300)]
+    v += [(None, "n1", 5), ("a", None, 700), ("a", "t", None), v[0], v[0]]
+    c = [(str(rng.choice(["a", "hot"])), f"c{i}", int(rng.integers(0, 20_000))) for i in range(60)]
+    c += [(None, "cn", 5), ("a", "ct", None), c[0]]
+    views, clicks = _side(spark, v, "view_id", "view_time"), _side(spark, c, "click_id", "click_time")
+    got = joins.interval_join(views, clicks, "5 minutes", left_time="view_time", right_time="click_time", how="left")
+    exp = []
+    for k, i, s in v:
+        hits = [c2 for k2, c2, s2 in c if k is not None and k == k2 and s is not None and s2 is not None and s <= s2 <= s + 300]
+        exp += [(str(k), str(i), str(h)) for h in hits or [None]]
+    assert sorted((str(r.key), str(r.view_id), str(r.click_id)) for r in got.collect()) == sorted(exp)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan and "LeftAnti" not in plan
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    facts = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "key string, x int")
+    wide = spark.createDataFrame([("a", "y" * 200_000), ("c", "z")], "key string, name string")
+    assert 200_000 < joins.table_bytes(wide) < 201_000
+    out = joins.enrich(facts, wide, "key", broadcast=True, max_broadcast_bytes=100_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((str(r.key), r.x, r.name and len(r.name)) for r in out.collect()) == [
+        ("None", 3, None), ("a", 1, 200_000), ("b", 2, None)]
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_split_join_spreads_a_heavy_key(spark, how):
+    rows = [("hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 40}", i) for i in range(3000)]
+    facts = spark.createDataFrame(rows, "key string, x int").repartition(3)
+    dim = spark.createDataFrame([("hot", "H1"), ("hot", "H2"), ("k2", "K"), (None, "N"), ("zz", "Z")], "key string, name string")
+    heavy = {r.key: r._salts for r in joins.heavy_keys(facts, ["key"], 16).collect()}
+    assert heavy == {"hot": 6, None: 6}
+    got = sorted((str(r.key), r.x, str(r.name)) for r in joins.split_join(facts, dim, "key", how).collect())
+    exp = sorted((str(r.key), r.x, str(r.name)) for r in facts.join(dim, "key", how).collect())
+    assert got == exp and joins.split_join(facts, dim, "key", how).columns == ["key", "x", "name"]
+    assert joins.split_join(facts.limit(0), dim, "key", how).count() == 0

@@ -21,8 +21,7 @@ def _ev(spark, rows):
 
 def test_running_count_fixture(spark):
     df = _ev(spark, [("a", 1, "x"), ("b", 2, "x"), ("a", 3, "x"), ("a", 4, "x"), ("b", 5, "x")])
-    per = keyed.running_count(df, per_record=True, chunk="2 seconds",
-                              chunk_rows=None).orderBy("event_time")
+    per = keyed.running_count(df, per_record=True, partitions=3).orderBy("event_time")
     assert [(r.key, r.running_count) for r in per.collect()] == [
         ("a", 1), ("b", 1), ("a", 2), ("a", 3), ("b", 2)]
     final = dict((r.key, r.running_count) for r in keyed.running_count(df).collect())
@@ -31,7 +30,7 @@ def test_running_count_fixture(spark):
 
 def test_null_key_is_its_own_group(spark):
     df = _ev(spark, [(None, 1, "x"), (None, 2, "x"), ("a", 3, "x")])
-    per = keyed.running_count(df, per_record=True, chunk="1 second", chunk_rows=None).collect()
+    per = keyed.running_count(df, per_record=True, partitions=3).collect()
     assert sorted(((r.key or ""), r.running_count) for r in per) == [("", 1), ("", 2), ("a", 1)]
 
 
@@ -57,8 +56,8 @@ def _brute_funnel(types, steps=("view", "click", "purchase")):
     return stage, done
 
 
-@pytest.mark.parametrize("chunk_rows", [None, 500, 10_000])
-def test_funnel_matches_brute_force(spark, chunk_rows):
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_funnel_matches_brute_force(spark, partitions):
     rng = np.random.default_rng(3)
     n = 2000
     pdf = pd.DataFrame({
@@ -70,14 +69,14 @@ def test_funnel_matches_brute_force(spark, chunk_rows):
     df = (spark.createDataFrame(pdf).withColumn(
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200))))
     got = {r.key: (r.stage, r.completed) for r in keyed.funnel_states(
-        df, chunk="7 minutes", chunk_rows=chunk_rows).collect()}
+        df, partitions=partitions).collect()}
     exp = {k: _brute_funnel(g.sort_values(["s", "event_id"]).event_type)
            for k, g in pdf.groupby("key")}
     assert got == exp
 
 
-@pytest.mark.parametrize("chunk_rows", [None, 600])
-def test_co_process_matches_brute_force(spark, chunk_rows):
+@pytest.mark.parametrize("partitions", [None, 5])
+def test_co_process_matches_brute_force(spark, partitions):
     rng = np.random.default_rng(5)
     n = 1500
     pdf = pd.DataFrame({"key": rng.choice(["a", "b"], n), "s": rng.integers(0, 40_000, n),
@@ -87,7 +86,7 @@ def test_co_process_matches_brute_force(spark, chunk_rows):
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200)))
     got = {r.click_id: r.view_id for r in keyed.co_process(
         df.filter("event_type = 'view'"), df.filter("event_type = 'click'"), "1 hour",
-        chunk="10 minutes", chunk_rows=chunk_rows).collect()}
+        partitions=partitions).collect()}
     exp = {}
     for _, g in pdf.sort_values(["s", "event_id"]).groupby("key"):
         last = None
@@ -136,19 +135,8 @@ def test_accumulator_groups_across_arrow_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_balanced_chunks_cut_by_rows_not_by_time(spark):
-    from eddyline.operators.scan import balanced_chunks
-    rows = [("hot", i) for i in range(3000)] + [("cold", i * 3600) for i in range(5)] + [("hot", None)]
-    df = spark.createDataFrame(rows, "key string, s long").withColumn(
-        "event_time", F.timestamp_seconds("s"))
-    out = balanced_chunks(df, ["key"], "event_time", rows=500).groupBy("key", "_ck").count().collect()
-    hot = [r["count"] for r in out if r.key == "hot"]
-    assert len(hot) == 8 and max(hot) <= 600 and sum(hot) == 3001
-    assert [r["count"] for r in out if r.key == "cold"] == [5]
-
-
-@pytest.mark.parametrize("chunk_rows", [None, 200])
-def test_running_count_hot_key_adaptive(spark, chunk_rows):
+@pytest.mark.parametrize("partitions", [None, 9])
+def test_running_count_hot_key_adaptive(spark, partitions):
     rng = np.random.default_rng(9)
     n = 1200
     pdf = pd.DataFrame({"key": np.where(rng.random(n) < 0.5, "hot", rng.choice(["a", "b"], n)),
@@ -157,7 +145,7 @@ def test_running_count_hot_key_adaptive(spark, chunk_rows):
     df = spark.createDataFrame(pdf).withColumn(
         "event_time", F.timestamp_seconds(F.col("s") + F.lit(1704067200)))
     got = {r.event_id: r.running_count for r in keyed.running_count(
-        df, per_record=True, chunk="1 hour", chunk_rows=chunk_rows).collect()}
+        df, per_record=True, partitions=partitions).collect()}
     exp = {}
     for _, g in pdf.sort_values(["s", "event_id"]).groupby("key"):
         for i, eid in enumerate(g.event_id, 1):
@@ -165,8 +153,8 @@ def test_running_count_hot_key_adaptive(spark, chunk_rows):
     assert got == exp
 
 
-@pytest.mark.parametrize("chunk_rows", [None, 1, 7, 1_000_000])
-def test_null_times_and_keys_count_alike_at_every_chunk_size(spark, chunk_rows):
+@pytest.mark.parametrize("partitions", [None, 1, 7, 40])
+def test_null_times_and_keys_count_alike_at_every_number_of_ranges(spark, partitions):
     rng = np.random.default_rng(4)
     rows = [(None if rng.random() < 0.4 else str(rng.choice(["a", "b"])),
              None if rng.random() < 0.2 else int(rng.integers(0, 3600)), f"{i:04d}") for i in range(300)]
@@ -176,7 +164,7 @@ def test_null_times_and_keys_count_alike_at_every_chunk_size(spark, chunk_rows):
     for k, t, e in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
         seen[k] = seen.get(k, 0) + 1
         exp[e] = seen[k]
-    got = keyed.running_count(df, per_record=True, chunk="10 minutes", chunk_rows=chunk_rows)
+    got = keyed.running_count(df, per_record=True, partitions=partitions)
     assert {r.event_id: r.running_count for r in got.collect()} == exp
-    total = keyed.running_sum(df, chunk="10 minutes", chunk_rows=chunk_rows)
+    total = keyed.running_sum(df, partitions=partitions)
     assert {r.event_id: r.running_sum for r in total.collect()} == {e: 2 * n for e, n in exp.items()}

@@ -121,3 +121,32 @@ def test_click_behind_a_newer_view_finds_its_own():
     assert [v[0] for v in proc._held()] == [500_000]          # state follows the watermark
     feed(proc, [frame([500], is_left=[True]), frame([], is_left=[])], [0, 561])
     assert not proc._held()
+
+
+def test_null_ids_at_equal_times():
+    """A null id sorts first at its time, as in SQL, and nothing fails."""
+    rows = frame([100, 100, 100])
+    rows["event_id"] = ["b", None, "a"]
+    got = feed(P.RecentListProcessor(2), [rows, rows], [0, 0])
+    assert got.iloc[-1]["recent"] == "b,b" and got.iloc[-1]["n_recent"] == 2
+    got = feed(P.RecentListProcessor(3), [rows], [0])
+    assert got.iloc[-1]["recent"] == "a,b" and got.iloc[-1]["n_recent"] == 3
+    views = frame([100, 100], is_left=[True, True])
+    views["event_id"] = ["v", None]
+    clicks = frame([100, 100], is_left=[False, False])
+    clicks["event_id"] = ["x", None]
+    got = feed(P.CoProcessor(60_000), [pd.concat([views, clicks], ignore_index=True)], [0])
+    assert dict(zip(got["click_id"].astype(object).where(got["click_id"].notna(), None), got["view_id"])) == {"x": "v", None: None}
+
+
+def test_clicks_without_a_time_are_emitted_unmatched():
+    rows = frame([100, 110], is_left=[True, False])
+    rows.loc[len(rows)] = ["c", pd.NaT, False]
+    got = feed(P.CoProcessor(60_000), [rows], [0])
+    assert sorted(zip(got["click_id"], got["view_id"].fillna(""), got["click_time"].isna())) == [
+        ("c", "", True), ("e110", "e100", False)]
+
+
+def test_running_sum_goes_on_over_batches():
+    got = feed(P.RunningSumProcessor(), [frame([2, 1], value=[5, 7]), frame([3, 4], value=[None, 1])], [0, 0])
+    assert got["event_id"].tolist() == ["e1", "e2", "e3", "e4"] and got["running_sum"].tolist() == [7, 12, 12, 13]
