@@ -96,14 +96,26 @@ def letter_groups(words: DataFrame) -> list[str]:
     """The groups of letters, level by level: a-z alone and the accented ones
     dealt over six groups, those whose counts vary most first."""
     groups = [chr(c) for c in range(97, 123)] + ["".join(chr(c) for c in range(0xC0 + i, 0x100, 6)) for i in range(6)]
-    counts = [F.regexp_count("word", F.lit(f"[{g}]")).cast("double") for g in groups]
-    spread = words.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(counts)]).first()
-    order = sorted(range(len(groups)), key=lambda i: (-(spread[i] or 0.0), i))
+
+    def run(batches):
+        n, total, squares = 0, np.zeros(len(groups)), np.zeros(len(groups))
+        for batch in batches:
+            counts = _group_matrix([w.encode("latin-1") for w in batch.column(0).to_pylist()], groups).astype(float)
+            n, total, squares = n + len(counts), total + counts.sum(axis=0), squares + (counts ** 2).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(groups), dtype=np.int32)),
+                                          pa.array(np.full(len(groups), n, np.int64)), pa.array(total), pa.array(squares)],
+                                         names=["i", "n", "total", "squares"])
+
+    sums = (words.select("word").mapInArrow(run, "i int, n long, total double, squares double").groupBy("i")
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("s")).collect())
+    spread = {r["i"]: r["s"] / r["n"] - (r["t"] / r["n"]) ** 2 for r in sums if r["n"]}
+    order = sorted(range(len(groups)), key=lambda i: (-spread.get(i, 0.0), i))
     return [groups[i] for i in order]
 
 
 def _level(group: str) -> Column:
-    return F.regexp_count("word", F.lit(f"[{group}]"))
+    """The word's letters of a group, counted as what translating them away takes off."""
+    return F.length("word") - F.length(F.translate("word", group, ""))
 
 
 def _group_matrix(words: list[bytes], groups: list[str]) -> np.ndarray:
