@@ -67,3 +67,48 @@ def test_odd_rows_and_empty_table(spark, odd, none):
     empty = R.TokenRollup(spark, scratch_dir(spark, "t"))
     empty.commit("1", R.inserted(R.count_tokens(none)))
     assert empty.totals().count() == 0
+
+
+def test_broken_commit_changes_nothing_and_batches_merge(spark):
+    from pyspark.sql import functions as F
+    roll = R.TokenRollup(spark, scratch_dir(spark, "t"), fan=3)
+    rows = spark.createDataFrame([(i, "s", "en", "v", 10) for i in range(4)], "id long, source string, lang string, tokenizer string, n_tokens long")
+    roll.commit("0", R.inserted(rows))
+    broken = R.inserted(rows.withColumn("n_tokens", F.expr("IF(id = 2, raise_error('lost'), n_tokens)").cast("long")))
+    for batch in ("0", "1"):
+        try:
+            roll.commit(batch, broken)
+            raise AssertionError("the commit should have failed")
+        except Exception as e:
+            assert "lost" in str(e)
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(4, 40)]
+    for i in range(1, 12):
+        roll.commit(str(i), R.inserted(rows.filter("id < 1")))
+        roll.commit(str(i), R.inserted(rows.filter("id < 1")))
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(15, 150)]
+    assert len(roll.folders.live()) <= 4
+    roll.commit("5", R.inserted(rows))                     # merged long ago
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(15, 150)]
+
+
+def test_marks_find_every_id(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(R, "MARK_BITS", 1 << 10)            # many ids meet by chance
+    df = spark.range(5000)
+    marks = R.IdMarks(df.filter("id % 17 = 0"), "id")
+    got = df.select("id", R.IdMarks.place(df["id"]).alias("p")).toPandas()
+    found = R.IdMarks.found(marks.bits, got["p"].to_numpy(np.int64))
+    assert found[got["id"] % 17 == 0].all() and not found.all()
+    none = R.IdMarks(df.limit(0), "id")
+    assert not R.IdMarks.found(none.bits, np.array([-1, 0, 5])).any()
+
+
+def test_long_unbroken_text_and_null_ids(spark):
+    import random
+    text = "".join(random.Random(1).choices("etaoinshr", k=200_000))
+    df = spark.createDataFrame([(None, text, "s", "en"), (1, text + " \n " + text, "s", "en"), (1, None, "s", "en")],
+                               "doc_id long, text string, source string, lang string")
+    marks = R.IdMarks(df, "doc_id")
+    got = {(r.id, r.n_tokens > 0): r for r in R.count_tokens(df, marks=marks).collect()}
+    assert got[None, True].n_revised is None
+    assert got[1, True].n_revised < got[1, True].n_tokens and got[1, False].n_revised == 0
