@@ -7,6 +7,7 @@ Words everywhere are the maximal runs of characters outside
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from eddyline.sources.tables import load_table
 WORD = r"[^\x20\x09-\x0D]+"
 
 __all__ = ["WORD", "prepare", "load_table", "cut_lineage", "scratch_dir", "as_bytes",
-           "text_slices", "mix64", "fresh", "word_count", "stored"]
+           "text_slices", "mix64", "fresh", "word_count", "stored", "Scratch"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -77,3 +78,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables an operator writes on its way, in the shared folder; it drops
+    those that later tables no longer need, so that they don't pile up."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def write(self, df: DataFrame, table: str) -> DataFrame:
+        """``df`` written as ``table`` and read again (see :func:`stored`)."""
+        path = scratch_dir(self.spark, f"{self.name}-{table}")
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.setdefault(table, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: str) -> None:
+        """Delete tables whose every reader has been written."""
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for table in tables:
+            for path in self.paths.pop(table, []):
+                p = path_of(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs: its cleaner
+        follows the driver's garbage collection, which may be long in coming."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
