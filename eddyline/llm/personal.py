@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eddyline.llm.common import fresh, load_table, prepare, text_slices
+from eddyline.llm.common import Scratch, fresh, load_table, prepare, text_slices
 from eddyline.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -160,21 +160,45 @@ def _whole_runs(text: str, span: tuple[int, int, int]) -> tuple[int, int, int]:
     return a, kind, b
 
 
+# Shapes of the added spans: the kinds written another way.
+_PART = r"(?:[01]?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])"
+SHAPES = (
+    re.compile(r"[A-Za-z0-9._%+-]+ ?(?:[\[(] ?(?:@|at) ?[\])]|@| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:\.|dot)[\])]) ?[A-Za-z0-9-]+)+"),
+    re.compile(rf"{_PART}(?: ?(?:-|_|,|\[\.\]|\(\.\)|\.) ?{_PART}){{3}}"),
+    re.compile(r"[0-9](?:[ ./_-]?[0-9])+"),
+    re.compile(r"\+[0-9][ ()./0-9-]+[0-9]"),
+)
+
+
 def _accept(text: str, span: tuple[int, int, int]) -> bool:
-    """The kind's least shape: an added span must still look like its kind."""
+    """Whether an added span holds what its kind must hold: the kind's shape,
+    its number of digits and check digit, and no letter or digit beside it."""
     a, kind, b = span
     part = text[a:b]
-    digits = sum(c in "0123456789" for c in part)
-    if kind == 0:
-        return len(part) >= 6 and ("@" in part or "at" in part.lower()) and "." in part
-    if kind == 1:
-        return 4 <= digits <= 12 and b - a >= 7
-    return (12 <= digits <= 19) if kind == 2 else (9 <= digits <= 15 and "+" in part)
+    if not SHAPES[kind].fullmatch(part) or a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
+        return False
+    digits = DIGIT.findall(part)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn("".join(digits))
+    return kind != 3 or 9 <= len(digits) <= 15
+
+
+def _trimmed(text: str, span: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The span without blanks and punctuation at its ends."""
+    a, kind, b = span
+    while a < b and not (text[a].isalnum() or text[a] == "+"):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    return a, kind, b
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     for s in tag_spans(tags):
+        s = _trimmed(text, s)
+        if s[0] == s[2]:
+            continue
         s = _whole_runs(text, s)
         if _accept(text, s) and not any(s[0] < b[2] and b[0] < s[2] for b in base):
             out.append(s)
@@ -200,47 +224,82 @@ def _altered(rng, text: str, a: int, kind: int, b: int) -> tuple[str, int]:
     return text[:a] + part + text[b:], a + len(part)
 
 
+HARD = re.compile(r"[0-9A-Za-z]*[0-9][0-9A-Za-z .:/-]{9,40}")
+
+
+def _learn_window(text: str, start: int, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    y = np.zeros(len(text) + LEARN, dtype=np.int64)
+    for a, kind, b in spans:
+        y[a:b] = 2 + 2 * kind
+        y[a] = 1 + 2 * kind
+    return _windows(char_classes(text), np.array([start]))[0][:LEARN], y[start:start + LEARN]
+
+
 def training_windows(texts: list[str], most: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows round the base spans of the texts (some altered), and as many
-    from elsewhere, with their tags; at most ``most``."""
+    """Windows round the base spans of the texts (some altered), round runs
+    with digits that are no span (ids, refused numbers), and from elsewhere,
+    with their tags; at most ``most``."""
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
+    out: list = []
     for text in texts:
         spans = base_spans(text)
         for a, kind, b in spans:
-            if len(xs) >= most or any(s != (a, kind, b) and s[0] < b + 2 * LEARN and a < s[2] + 2 * LEARN
-                                      for s in spans) or b - a > LEARN // 2:
+            if len(out) >= most or any(s != (a, kind, b) and s[0] < b + 2 * LEARN and a < s[2] + 2 * LEARN
+                                       for s in spans) or b - a > LEARN // 2:
                 continue
             changed, end = _altered(rng, text, a, kind, b)
-            start = max(0, a - int(rng.integers(0, LEARN - (end - a))))
-            y = np.zeros(len(changed), dtype=np.int64)
-            y[a:end] = 2 + 2 * kind
-            y[a] = 1 + 2 * kind
-            xs.append(_windows(char_classes(changed), np.array([start]))[0][:LEARN])
-            ys.append(np.r_[y, np.zeros(LEARN, np.int64)][start:start + LEARN])
-        if not spans and len(text) > LEARN and len(xs) < most:
-            start = int(rng.integers(0, len(text) - LEARN))
-            xs.append(_windows(char_classes(text), np.array([start]))[0][:LEARN])
-            ys.append(np.zeros(LEARN, dtype=np.int64))
-    if not xs:
+            out.append(_learn_window(changed, max(0, a - int(rng.integers(0, LEARN - (end - a)))), [(a, kind, end)]))
+        for m in list(HARD.finditer(text))[:3]:
+            start = max(0, m.start() - int(rng.integers(0, LEARN // 2)))
+            if len(out) < most and not any(s[0] < start + LEARN and start < s[2] for s in spans):
+                out.append(_learn_window(text, start, []))
+        if not spans and len(text) > LEARN and len(out) < most:
+            out.append(_learn_window(text, int(rng.integers(0, len(text) - LEARN)), []))
+    if not out:
         return np.zeros((0, LEARN), np.uint8), np.zeros((0, LEARN), np.int64)
-    return np.array(xs), np.array(ys)
+    return tuple(np.array(x) for x in zip(*out))
 
 
-def train_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500,
-                 windows: int = 3000, max_chars: int = 8000, steps: int = 240) -> Tagger | None:
-    """Tagger from a bounded sample: of documents up to ``max_chars``
-    characters, the ``sample`` with the smallest seeded hash among those with
-    an @ or a run of digits, and a fifth as many others."""
+def sample_texts(docs: DataFrame, id_col: str, text_col: str, n: int, others: int, max_chars: int) -> list[str]:
+    """The ``n`` texts with the smallest seeded hash among those with an @ or a
+    run of digits, and ``others`` of the rest.  A share of the documents by
+    hash, of ``8 (n + others)`` at first, is written aside; only if it does not
+    hold enough of both, a share twice as large is.  From it, first the hashes
+    and then the texts are fetched, so ``n + others`` texts reach the driver
+    whatever the number of tasks."""
     c = F.col(text_col).cast("string")
-    hint = F.coalesce(c.rlike(r"@|[0-9][0-9.]{6}"), F.lit(False))
-    rows = docs.filter(F.length(c) <= max_chars).select(
-        c.alias("t"), hint.alias("hint"), F.xxhash64(F.lit(11), F.col(id_col)).alias("h"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col), c), 1)          # 63 bits
+    rows = docs.select(c.alias("t"), place.alias("h"))
+    total = docs.count()
+    share = min(1.0, 8 * (n + others) / max(total, 1))
+    hint = F.coalesce(F.col("t").rlike(r"@|[0-9][0-9.]{6}"), F.lit(False)).alias("hint")
+    scratch = Scratch(docs.sparkSession, "personal")
+    while True:
+        # equal texts share a hash and are one example
+        part = scratch.write(rows.filter(F.col("h") <= min(2 ** 63 - 1, int(share * 2 ** 63))).filter(F.length("t") <= max_chars)
+                             .select("h", hint, "t").dropDuplicates(["h"]), "sample")
+        ends = {}
+        for flag, want in ((True, n), (False, others)):
+            w = [r["h"] for r in part.filter(F.col("hint") == flag).select("h").orderBy("h").limit(want).collect()]
+            ends[flag] = (w[-1] if w else -1, len(w) >= want)
+        if share >= 1 or ends[True][1] and ends[False][1]:
+            break
+        share = min(1.0, 2 * share)
+        scratch.drop("sample")
     texts = []
-    for flag, n in ((True, sample), (False, sample // 5)):
-        got = rows.filter(F.col("hint") == flag).orderBy("h", "t").limit(n).select("t").toPandas()
-        texts += got["t"].tolist()
-    x, y = training_windows(texts, windows)
+    for flag in (True, False):
+        got = part.filter((F.col("hint") == flag) & (F.col("h") <= ends[flag][0])).select("h", "t")
+        texts += [t for _, t in sorted((r["h"], r["t"]) for r in got.collect())]
+    scratch.drop("sample")
+    return texts
+
+
+def train_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500,
+                 windows: int = 3000, max_chars: int = 8000, steps: int = 400) -> Tagger | None:
+    """Tagger from a bounded sample: of documents up to ``max_chars``
+    characters, ``sample`` with an @ or a run of digits, and a fifth as many
+    others (:func:`sample_texts`)."""
+    x, y = training_windows(sample_texts(docs, id_col, text_col, sample, sample // 5, max_chars), windows)
     if not (y > 0).any():
         return None
     tagger = Tagger(N_CLASSES, TAGS)
@@ -250,7 +309,7 @@ def train_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # ---- finding ---------------------------------------------------------------
 
-def tag_texts(tagger: Tagger, texts: list[str], batch: int = 1024) -> list[np.ndarray]:
+def tag_texts(tagger: Tagger, texts: list[str], batch: int = 2048) -> list[np.ndarray]:
     """Reconciled tags of every character of every text."""
     cls = [char_classes(t) for t in texts]
     starts = [window_starts(len(c)) for c in cls]

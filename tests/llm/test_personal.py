@@ -88,3 +88,93 @@ def test_odd_rows_and_empty_table(odd, none, docs):
     assert P.find_personal(none, t, ["doc_id"]).count() == 0
     assert P.train_tagger(none) is None
     assert P.find_personal(odd, None, ["doc_id"]).filter("size(added) > 0").count() == 0
+
+
+def written_otherwise(rng):
+    """A made-up item of one kind, written in a way the patterns miss."""
+    kind = int(rng.integers(0, 4))
+    if kind == 0:
+        name = "".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(3, 9))))
+        return 0, f"{name}.{rng.integers(1, 99)}{rng.choice(['[@]', '(@)'])}{name[::-1]}.com"
+    if kind == 1:
+        return 1, str(rng.choice(["-", "[.]"])).join(str(x) for x in rng.integers(1, 256, 4))
+    if kind == 2:
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        d += next(c for c in "0123456789" if P.luhn(d + c))
+        return 2, str(rng.choice([".", "/"])).join(d[i:i + 4] for i in range(0, 16, 4))
+    return 3, "+{}/{}/{}".format(rng.integers(1, 99), rng.integers(100, 999), rng.integers(100_000, 9_999_999))
+
+
+def decoy(rng):
+    kind = int(rng.integers(0, 4))
+    if kind == 0:
+        return "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(10, 25))))
+    if kind == 1:
+        d = "".join(map(str, rng.integers(0, 10, 16)))
+        return d if not P.luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)
+    return f"{rng.integers(300, 999)}.{rng.integers(0, 99)}.{rng.integers(300, 999)}" if kind == 2 else f"v{rng.integers(1, 9)}-{rng.integers(1000, 9999)}"
+
+
+def test_added_spans_on_held_out_texts(texts):
+    """Precision and recall of added spans, planted in texts the tagger has
+    not seen, among ids and numbers that are none."""
+    x, y = P.training_windows(texts[:250], 3000)
+    t = Tagger(P.N_CLASSES, P.TAGS)
+    t.fit(x, y)
+    rng = np.random.default_rng(8)
+    made, planted = [], []
+    for text in texts[250:]:
+        words, want, out, size = text.split(" ")[:120], set(), [], 0
+        for i, w in enumerate(words):
+            if i % 30 == 17:
+                kind, item = written_otherwise(rng)
+                want.add((size, kind, size + len(item)))
+                w = item
+            elif i % 30 == 5:
+                w = decoy(rng)
+            out.append(w)
+            size += len(w) + 1
+        made.append(" ".join(out))
+        planted.append(want)
+    tags = P.tag_texts(t, made)
+    got = [set(P.added_spans(x, g, P.base_spans(x))) for x, g in zip(made, tags)]
+    right, found, wanted = sum(len(g & w) for g, w in zip(got, planted)), sum(map(len, got)), sum(map(len, planted))
+    print(f"added spans: precision {right / max(found, 1):.3f}, recall {right / wanted:.3f} of {wanted}")
+    assert wanted > 300 and right / found >= 0.95 and right / wanted >= 0.6
+
+
+@pytest.mark.parametrize("text", ["id 72db563d7f6e50cec00950f7 x", "nr 2123465659789240 x", "h 80176e57f7 x", "v 1.2.3 x"])
+def test_ids_and_refused_numbers_are_never_added(text):
+    """Whatever the tagger says about each place."""
+    a = text.index(" ") + 1
+    b = text.rindex(" ")
+    for kind in range(4):
+        tags = np.zeros(len(text), np.int8)
+        tags[a:b] = 2 + 2 * kind
+        tags[a] = 1 + 2 * kind
+        assert P.added_spans(text, tags, []) == []
+
+
+def test_query_against_brute_force(spark, docs):
+    import hashlib
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = P.op5_personal_data(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        base = brute(text[r.doc_id])
+        joined = [f"{P.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in base) for x in range(4)]
+        spans = [s for s in r.spans.split(",") if s]
+        assert set(joined) <= set(spans) and len(set(spans)) == len(spans)
+        order = [(int(s.split(":")[1]), P.KINDS.index(s.split(":")[0])) for s in spans]
+        assert order == sorted(order)
+
+
+def test_sample_is_bounded_and_repeats(spark):
+    rows = [(i, f"mail a{i}@b.com" if i % 3 else "plain words here") for i in range(400)] + [(None, "x@y.zz")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = P.sample_texts(df, "doc_id", "text", 50, 10, 100)
+    assert one == P.sample_texts(df.repartition(7), "doc_id", "text", 50, 10, 100)
+    assert len(one) == 60 and sum("@" in t for t in one) == 50 and sum(t == "x@y.zz" for t in one) <= 1
+    assert len(P.sample_texts(df, "doc_id", "text", 5000, 10, 100)) <= 400 + 2
