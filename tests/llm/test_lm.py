@@ -30,26 +30,59 @@ def test_base_scores_match_brute_force_and_the_model_beats_them(docs):
 
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    m = L.LogBilinear(rng.dirichlet(np.ones(L.N_OUT)))
+    m = L.LogBilinear(rng.dirichlet(np.ones(90)))
     m.out += rng.normal(0, 1, m.out.shape).astype(np.float32)
-    norms = m.log_norms()
-    ctx = np.repeat(rng.integers(0, L.N_IN, (2, 1)), L.N_OUT, axis=1)
-    assert abs(np.exp(m.log_probs(ctx, np.arange(L.N_OUT), norms)).sum() - 1) < 1e-4
+    ctx = np.repeat(rng.integers(0, 91, (2, 1)), 90, axis=1)
+    assert abs(np.exp(m.log_probs(ctx, np.arange(90))).sum() - 1) < 1e-4
 
 
 def test_contrastive_training_learns_a_pattern():
     n = 30_000
     cls = np.tile([0, 1, 2], n // 3)
-    uni = np.full(L.N_OUT, 1e-3)
+    uni = np.full(90, 1e-3)
     uni[:3] = 1
     m = L.LogBilinear(uni / uni.sum())
-    learn, ctx = m.trainer(), L.contexts(cls, np.array([n]))
+    learn, ctx = m.trainer(), L.contexts(cls, np.array([n]), 90)
     for lo in range(0, n, 512):
         learn(ctx[:, lo:lo + 512], cls[lo:lo + 512])
-    p = np.exp(m.log_probs(ctx, cls, m.log_norms()))
+    p = np.exp(m.log_probs(ctx, cls))
     assert p[-100:].mean() > 0.9
 
 
+def test_classes_grow_with_the_vocabulary_and_cover_it():
+    assert [L.class_number(v) for v in (0, 100, 10_000, 10_001, 4_000_000)] == [64, 64, 100, 101, 2000]
+    c = L.Classes([b"the", b"of"], 5)
+    got = c.of([b"the", b"nation", b"ration", b"", b"of"])
+    assert got[0] == 0 and got[4] == 1 and got[1] == got[2] and 2 <= got[1] < 7 and got[3] == c.end == 7
+
+
+def test_held_out_score_beats_the_base_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = L.score_texts(docs).filter("held_out").agg(
+        (F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b")).first()
+    print(f"held out, log10 a token: {r.s:.3f}, base {r.b:.3f}")
+    assert r.s > r.b + 0.06
+
+
+def test_shares_within_classes_sum_to_one(spark):
+    """A class's known words and its unknown words together; and every score is
+    a log probability."""
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 5}tail c{i % 7}tail d common common") for i in range(300)], "doc_id long, text string")
+    vocabulary = sorted({w for r in docs.collect() for w in r.text.split()})
+    probes = [(10_000 + i, f"common {w}") for i, w in enumerate(vocabulary)] + [(20_000, "common"), (20_001, "common \u00fcnseen")]
+    held = F.col("doc_id") >= 10_000
+    got = {r.doc_id: r for r in L.score_texts(docs.union(spark.createDataFrame(probes, "doc_id long, text string")), held=held).collect()}
+    known = spark.createDataFrame([(w.encode(), i + 1) for i, w in enumerate(vocabulary)], "word binary, c long")
+    classes = L.Classes([b"common"], 7)
+    n, v = L.class_counts(known, classes)
+    assert n.sum() == sum(range(1, len(vocabulary) + 1)) and v.sum() == len(vocabulary)
+    for k in range(1, 8):
+        own = [r.c for r in known.collect() if classes.of([bytes(r.word)])[0] == k]
+        assert abs(sum((c + 1) / (n[k] + v[k] + 1) for c in own) + 1 / (n[k] + v[k] + 1) - 1) < 1e-12
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got.values())
+    assert got[20_001].n_known == got[20_001].n_tokens - 1
+
+
 def test_odd_rows_and_empty_table(odd, none):
     got = L.score_texts(odd).collect()
     assert len(got) == odd.count()
