@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eddyline.functions.durations import duration_us, shift
+from eddyline.operators.dedup import first_rows
 from eddyline.operators.segments import (
     LastSeen, PreviousValue, RunningSums, segmented_fold, segmented_scan,
 )
@@ -48,10 +49,14 @@ def running_count(df: DataFrame, keys: Sequence[str] = ("key",), *, per_record:
 
 
 def running_last_type(df: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
-    """Running count plus the type of the latest event (by time, then id)."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("running_count"),
-        F.max_by("event_type", F.struct(*ORDER)).alias("last_event_type"))
+    """Running count plus the type of the latest event (by time, then id): a
+    count of fixed width beside the first row in falling order."""
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("running_count"))
+    last = first_rows(df.select(*keys, *ORDER, "event_type"), keys, [F.col(c).desc_nulls_last() for c in ORDER])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return counts.alias("a").join(last.alias("b"), same).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys], "running_count", F.col("event_type").alias("last_event_type"))
 
 
 def running_sum(df: DataFrame, value: str = "value", keys: Sequence[str] = ("key",), *,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline.functions.durations import duration_us
 from eddyline.operators.scan import chunked_running_max
@@ -54,50 +55,27 @@ def drop_late(df: DataFrame, **kw) -> DataFrame:
     return mark_late(df, **kw).filter(~F.col("is_late")).drop("is_late")
 
 
-def split_late_stream(stream: DataFrame, out: str, *, time_col: str = "event_time",
-                      delay: str = "10 seconds", window: str | None = None,
-                      timeout_s: float | None = None) -> DataFrame:
-    """Late-row side output for a stream, as the engine would judge it.
-
-    Spark drops a row as late against the watermark of the *previous*
-    micro-batch (max event time seen so far minus ``delay``).  ``foreachBatch``
-    reproduces that: the running maximum is kept per batch id in
-    ``out/_max/batch_id=N`` (a replayed batch reads batch ``N-1`` again, so
-    the split is exactly-once), and each batch's rows are written to
-    ``out/branch=on_time|late/batch_id=N`` with ``is_late``.
-    Returns all written rows.
-    """
-    from eddyline.session import scratch_dir
-    from eddyline.streaming.run import await_query
-    from eddyline.streaming.sinks import _exists
-
-    spark = stream.sparkSession
-    delay_us = duration_us(delay)
-    w = duration_us(window) if window else None
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        prev = None
-        if batch_id > 0 and _exists(spark, f"{out}/_max/batch_id={batch_id - 1}"):
-            prev = spark.read.parquet(f"{out}/_max/batch_id={batch_id - 1}").first()["m"]
-        t_us = F.unix_micros(F.col(time_col))
-        bound = (F.floor(t_us / F.lit(w)) * F.lit(w) + F.lit(w)) if w else t_us
-        wm = F.lit(None).cast("long") if prev is None else F.lit(prev - delay_us)
-        late = (bound <= wm) if w else (bound < wm)
-        tagged = batch.withColumn("is_late", F.coalesce(late, F.lit(False)))
-        tagged = tagged.withColumn("branch", F.when(F.col("is_late"), "late")
-                                   .otherwise("on_time"))
-        tagged.write.mode("overwrite").partitionBy("branch").parquet(
-            f"{out}/rows/batch_id={batch_id}")
-        m = batch.agg(F.max(t_us).alias("m")).first()["m"]
-        best = m if prev is None else (prev if m is None else max(prev, m))
-        spark.createDataFrame([(best,)], "m long").write.mode("overwrite").parquet(
-            f"{out}/_max/batch_id={batch_id}")
-
-    base = scratch_dir(spark, "late-stream")
-    q = (stream.writeStream.foreachBatch(judge)
-         .option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
-    await_query(q, timeout_s)
-    if not _exists(spark, f"{out}/rows"):
-        return spark.createDataFrame([], stream.schema).withColumn("is_late", F.lit(False))
-    return spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").drop("branch")
+def mark_late_stream(stream: DataFrame, *, id_col: str = "event_id", time_col: str = "event_time",
+                     delay: str = "10 seconds", window: str | None = None, shares: int = 64) -> DataFrame:
+    """A stream's rows with ``is_late``, by the watermark that Spark itself
+    holds: it is asked for in a stateful processor, batch by batch, and is the
+    largest event time of the batches before less ``delay``.  Rows are dealt
+    over ``shares`` groups by a hash of their id, whatever their key.  The event
+    time travels as a plain column, so late rows reach the processor instead of
+    being dropped in front of it; the columns are those of ``stream`` and
+    ``is_late``."""
+    from eddyline.session import ensure_stateful_conf
+    from eddyline.streaming.processors import LateMarkProcessor
+
+    ensure_stateful_conf(stream.sparkSession)
+    others = [c for c in stream.columns if c != time_col]
+    rows = stream.withWatermark(time_col, delay).select(
+        F.pmod(F.xxhash64(id_col), F.lit(shares)).cast("int").alias("late_share"), *others,
+        F.unix_micros(time_col).alias("late_time_us"))
+    output = T.StructType([*[stream.schema[c] for c in others], T.StructField("late_time_us", T.LongType()),
+                           T.StructField("is_late", T.BooleanType())])
+    marked = rows.groupBy("late_share").transformWithStateInPandas(
+        statefulProcessor=LateMarkProcessor(duration_us(window) if window else None), outputStructType=output,
+        outputMode="Append", timeMode="EventTime")
+    back = F.timestamp_micros("late_time_us").cast(stream.schema[time_col].dataType).alias(time_col)
+    return marked.select(*[back if c == time_col else F.col(c) for c in stream.columns], "is_late")

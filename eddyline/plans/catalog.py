@@ -834,14 +834,11 @@ def late_split_stream(spark, sf_dir):
     """Late side output of a stream replayed in arrival order (3 batches):
     a row is late when its window closed before the previous batches'
     watermark, which is when Spark's stateful operators would drop it."""
-    from eddyline.session import scratch_dir
     ev = inputs.arrival_order(inputs.events(spark, sf_dir))
     msgs = inputs.to_messages(ev, offset=F.col("arrival_seq"))
-    stream = inputs.decode_front(inputs.message_stream(spark, sf_dir, 3, msgs=msgs,
-                                                       name="arrival-messages"))
-    out = late.split_late_stream(stream, scratch_dir(spark, "late-split"), window="1 minute")
-    return out.select("event_id", "key", F.col("event_time").cast("timestamp_ntz")
-                      .alias("event_time"), "is_late")
+    stream = inputs.decode_front(inputs.message_stream(spark, sf_dir, 3, msgs=msgs, name="arrival-messages"))
+    out = drain(late.mark_late_stream(stream, window="1 minute"), output_mode="append", name="late-split")
+    return out.select("event_id", "key", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "is_late")
 
 
 # ── SQL over temp views ────────────────────────────────────────────────────

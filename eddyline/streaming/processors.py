@@ -566,3 +566,25 @@ class KeyProfileProcessor(StatefulProcessor):
 
     def close(self):
         pass
+
+
+# ── T12: late rows by the engine's own watermark ──────────────────────────
+class LateMarkProcessor(StatefulProcessor):
+    """Marks rows whose window has closed before the current watermark (or,
+    without a window, whose own time lies before it).  Keeps no state."""
+
+    def __init__(self, window_us: int | None):
+        self.window_us = window_us
+
+    def init(self, handle):
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for pdf in rows:
+            t = pdf["late_time_us"].fillna(np.iinfo("int64").max).astype("int64")
+            late = (t // self.window_us + 1) * self.window_us <= mark if self.window_us else t < mark
+            yield pdf.drop(columns="late_share").assign(is_late=late & pdf["late_time_us"].notna() & (mark > 0))
+
+    def close(self):
+        pass

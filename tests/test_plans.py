@@ -51,3 +51,15 @@ def test_typed_inputs_push_type_filters_to_scan(spark, sf_small):
     latest = _plan(catalog.latest_per_key(spark, sf_small))
     assert "from_json" not in latest and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz," \
         "user_id:bigint,event_type:string>" in latest
+
+
+def test_winner_rows_need_no_sort_aggregate(spark, sf_small):
+    for query in (catalog.latest_per_key, catalog.running_last_type, catalog.dedup):
+        plan = _plan(query(spark, sf_small))
+        assert "SortAggregate" not in plan and "WindowGroupLimit" in plan, query.__name__
+
+
+def test_session_and_funnel_plans_collect_nothing_by_key(spark, sf_small):
+    for query in (catalog.funnel_states, catalog.sessions, catalog.running_count_per_record, catalog.inactivity_alerts):
+        plan = _plan(query(spark, sf_small))
+        assert "collect_list" not in plan and "Window" not in plan, query.__name__
