@@ -38,6 +38,7 @@ from eddyline.llm.common import load_table, prepare, stored
 NODES = 2
 CHUNK = 4096         # vectors in a chunk
 BLOCK = 512          # queries in a block
+TOGETHER = 16        # blocks that meet a chunk in one task
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -76,21 +77,11 @@ def _packed(rows: DataFrame, size: int, count: int, dims: int, nodes: int) -> Da
             .groupBy("part").applyInPandas(pack, "part int, node int, cids binary, mat binary, cuts binary"))
 
 
-def _meet(chunks: DataFrame, n_chunks: int, blocks: DataFrame) -> DataFrame:
-    """Every block of queries beside every chunk, node by node."""
-    spread = blocks.select(F.col("part").alias("block"), F.col("node").alias("qnode"),
-                           F.col("cids").alias("qids"), F.col("mat").alias("qmat"), "cuts",
-                           F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    c = chunks.select("part", "node", "cids", "mat")
-    return (spread.join(c, (F.col("chunk") == F.col("part")) & (F.col("qnode") == F.col("node")))
-            .select("chunk", "block", "node", "cids", "mat", "qids", "qmat", "cuts"))
-
-
-def _local(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _local(row, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of queries and vectors, and the node's exact scores."""
-    cids, qids = np.frombuffer(row.cids, np.int64), np.frombuffer(row.qids, np.int64)
+    cids, qids = np.frombuffer(chunk.cids, np.int64), np.frombuffer(row.qids, np.int64)
     a = np.frombuffer(row.qmat).reshape(len(qids), -1)
-    b = np.frombuffer(row.mat).reshape(len(cids), -1)
+    b = np.frombuffer(chunk.mat).reshape(len(cids), -1)
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2 ** 53:
         return qids, cids, (a @ b.T).astype(np.int64)
     return qids, cids, a.astype(np.int64) @ b.T.astype(np.int64)
@@ -99,15 +90,28 @@ def _local(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 ENTRY = "qid long, cid long, node int, part_score long"
 
 
-def _entries(pairs: DataFrame, pick) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in pdf.itertuples():
-            qids, cids, s = _local(row)
-            i, j = pick(row, s)
-            out.append(pd.DataFrame({"qid": qids[i], "cid": cids[j], "node": row.node, "part_score": s[i, j]}))
+def _entries(chunks: DataFrame, n_chunks: int, blocks: DataFrame, n_blocks: int, pick) -> DataFrame:
+    """Every block of queries beside every chunk, node by node: one task holds
+    a chunk and up to ``TOGETHER`` blocks, cogrouped, so matrices cross the
+    network once and are never joined row by row."""
+    groups = -(-n_blocks // TOGETHER)
+    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), "node",
+                          F.floor(F.col("part") / F.lit(TOGETHER)).cast("int").alias("several"),
+                          F.col("cids").alias("qids"), F.col("mat").alias("qmat"), "cuts")
+    held = chunks.select(F.col("part").alias("chunk"), "node",
+                         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("several"), "cids", "mat")
+    key = ["chunk", "node", "several"]
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": [], "cid": [], "node": [], "part_score": []}).astype("int64")]
+        for chunk in c.itertuples():
+            for row in q.itertuples():
+                qids, cids, s = _local(row, chunk)
+                i, j = pick(row, s)
+                out.append(pd.DataFrame({"qid": qids[i], "cid": cids[j], "node": row.node, "part_score": s[i, j]}))
         return pd.concat(out)
-    return pairs.groupBy("chunk", "block", "node").applyInPandas(run, ENTRY)
+
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(run, ENTRY)
 
 
 def _dot(a: str, b: str) -> Column:
@@ -141,8 +145,8 @@ def exact_topk(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
         j = np.argpartition(-s, m - 1, axis=1)[:, :m]
         return np.repeat(np.arange(len(s)), m), j.ravel()
 
-    blocks = _packed(q_classes.select("cid", "v"), BLOCK, n_q, dims, nodes)
-    lists = _entries(_meet(chunks, n_chunks, blocks), best)
+    n_blocks = max(1, -(-n_q // BLOCK))
+    lists = _entries(chunks, n_chunks, _packed(q_classes.select("cid", "v"), BLOCK, n_q, dims, nodes), n_blocks, best)
     local = (lists.withColumn("p", F.row_number().over(
         W.partitionBy("qid", "node").orderBy(F.col("part_score").desc(), "cid"))).filter(F.col("p") <= want))
     qv = classes.select(F.col("cid").alias("qid"), F.col("v").alias("qv"))
@@ -161,7 +165,7 @@ def exact_topk(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
         return np.nonzero(s >= np.frombuffer(row.cuts, np.int64)[:, None])
 
     with_cut = q_classes.select("cid", "v").join(cuts.select(F.col("qid").alias("cid"), "cut"), "cid")
-    sent = _entries(_meet(chunks, n_chunks, _packed(with_cut, BLOCK, n_q, dims, nodes)), enough)
+    sent = _entries(chunks, n_chunks, _packed(with_cut, BLOCK, n_q, dims, nodes), n_blocks, enough)
     sums = sent.groupBy("qid", "cid").agg(F.sum("part_score").alias("got"), F.count(F.lit(1)).alias("from"))
     bound = F.col("got") + (m - F.col("from")) * (F.col("cut") - 1)
     alive = stored(sums.join(cuts, "qid").filter((F.col("from") == m) | F.col("tau").isNull()

@@ -35,3 +35,20 @@ def test_fewer_candidates_than_k_and_empty(spark):
     check(spark, [(0, [1.0, 2.0]), (1, [-1.0, 0.5])])
     check(spark, [(0, [1.0])])
     check(spark, [])
+
+
+def test_several_chunks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", 7)
+    monkeypatch.setattr(K, "BLOCK", 2)
+    monkeypatch.setattr(K, "TOGETHER", 3)
+    rng = np.random.default_rng(2)
+    check(spark, [(i, [float(x) for x in rng.normal(0, .3, 5)]) for i in range(80)])
+
+
+def test_matrices_are_cogrouped_not_joined(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    v = K.whole_vectors(e, "vec_id", "embedding").select(F.col("id").alias("cid"), "v")
+    chunks = K._packed(v, 100, 200, 64, 2)
+    got = K._entries(chunks, 2, K._packed(v.filter("cid % 50 = 0"), 4, 8, 64, 2), 2, lambda row, s: np.nonzero(s > 10 ** 9))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapCoGroupsInPandas") == 1 and got.count() == 0
