@@ -21,7 +21,12 @@ from eddyline.llm.simhash import simhash_groups
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's band."""
+    """Documents that pass the base rules and their language's band.
+
+    Null and empty texts have no words, so they go; null languages are one
+    language; null ids count as unlabelled; rows that share an id or repeat
+    are judged each; an empty table gives an empty table; all columns stay as
+    they are, whatever their names."""
     prepare(spark)
     names = docs.columns
     judged = judge_documents(docs, names, labels=load_table(spark, sf_dir, "labels"))
@@ -31,7 +36,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a large part of their source repeats;
-    ``n_chars`` follows the text."""
+    ``n_chars`` follows the text.
+
+    Null texts stay null and empty ones empty; null sources are one source;
+    repeated rows are pages of their own; texts of any length are taken whole;
+    an empty table gives an empty table; other columns stay."""
     prepare(spark)
     out = drop_site_boilerplate(docs, F.col("source"), "text").select(*[F.col(f"`{n}`") for n in docs.columns])
     if "n_chars" in docs.columns:
@@ -57,7 +66,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 3 times)."""
+    """Every document as often as the mix takes it (0 to 3 times).
+
+    A null or empty text has size 0 and is taken as the mix decides for that
+    size; null sources are one source; repeated rows and null ids are
+    documents of their own; an empty table gives an empty table."""
     prepare(spark)
     mixed = mix_sources(docs)
     copies, turn = mixed.columns[-1], fresh("_turn", mixed.columns)
@@ -67,7 +80,12 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document."""
+    """Two sampled segmentations of each document.
+
+    Null and empty texts have one segmentation without pieces, given as the
+    operator defines it; repeated rows are sampled alike, as the seed is the
+    row's key; texts of any length are encoded whole; an empty table gives an
+    empty result."""
     prepare(spark)
     return sample_pieces(docs, k=2, carry=["doc_id", "source", "lang"])
 
