@@ -61,3 +61,32 @@ def test_a_length_shared_by_all_documents_is_split_exactly(spark):
     got = {r.source: r for r in M.mix_sources(df).groupBy("source").agg(
         F.sum(F.col("copies") * 3).alias("taken"), F.first("target").alias("target")).collect()}
     assert all(abs(r.taken - r.target) <= 3 for r in got.values())
+
+
+def test_query_against_brute_force(spark, docs):
+    import re
+    sizes = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()}
+    total = {}
+    for s, n in sizes.values():
+        total[s] = total.get(s, 0) + n
+    names = sorted((s for s in total if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in total)
+    w, capped = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = sum(total.values()) - sum(3 * total[s] for s in capped)
+        target = {s: 3.0 * total[s] if s in capped else rest * w[s] / sum(w[x] for x in free) for s in names}
+        over = {s for s in free if target[s] > 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    got = M.op1_mix_to_targets(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(sizes)
+    taken = {}
+    for r in got:
+        source, n = sizes[r.doc_id]
+        assert (r.size, r.source_size) == (n, total[source]) and abs(r.target - target[source]) < 1e-6
+        assert 0 <= r.taken <= 3 * n and (r.taken % n == 0 if n else r.taken == 0)
+        taken[source] = taken.get(source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 100 for s in names)
+    again = M.op1_mix_to_targets(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)

@@ -67,3 +67,23 @@ def test_odd_rows_and_empty_table(odd, none):
     assert len(empty) == 2 and all(r.ids == [] and r.log_prob == 0 and r.log_inclusion == 0 for r in empty)
     assert all(r.decoded == (r.text or "").replace(P.MARK, " ") for r in got)
     assert P.sample_pieces(none).count() == 0
+
+
+def test_query_against_the_operator_and_the_weights(spark, docs, vocab):
+    """Two rows a document; what the digest says of ids and round trips holds
+    for the ids themselves, and differences of log probabilities are those of
+    the pieces' weights."""
+    got = {(r.doc_id, r["rank"]): r for r in P.op3_sentencepiece_gumbel(spark, "/root/testdata/sf0.001").collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    keyed = docs.withColumn("h", F.xxhash64(F.coalesce(F.translate("text", P.MARK, " "), F.lit(""))))
+    ids = {(r.doc_id, r["rank"]): r for r in P.sample_pieces(keyed, k=2, carry=["doc_id", "h"]).select(
+        "doc_id", "rank", "ids", F.xxhash64("ids").alias("hash")).collect()}
+    assert set(got) == set(ids) and {d for d, _ in got} == set(text)
+    for key, r in got.items():
+        assert r.round_trip and r.ids_hash == ids[key]["hash"] and r.n_pieces == len(ids[key].ids) and r.log_inclusion < 1e-9
+        assert P.decode_ids(vocab.text, ids[key].ids) == (text[key[0]] or "").replace(P.MARK, " ")
+    for d in text:
+        if (d, 2) in got:
+            a, b = (sum(vocab.logw[i] for i in ids[d, k].ids) for k in (1, 2))
+            assert abs((got[d, 1].log_prob - got[d, 2].log_prob) - (a - b)) < 1e-6 * max(1, abs(a))
+            assert got[d, 1].perturbed >= got[d, 2].perturbed and got[d, 1].ids_hash != got[d, 2].ids_hash
