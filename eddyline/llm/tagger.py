@@ -191,11 +191,18 @@ class Tagger:
     # ---- decoding ----------------------------------------------------------
 
     def all_outside(self, e: np.ndarray) -> np.ndarray:
-        """Windows whose best path provably keeps tag 0 throughout: no other
-        tag's emission makes up for the two transitions it could gain by."""
-        gain = 2 * max(0.0, float(max(self.trans.max(), self.first.max()) - min(self.trans[0, 0], self.first[0])))
+        """Windows whose best path provably keeps tag 0 throughout.  Against
+        that path, any stretch of other tags gains at most its best emissions,
+        the best step between other tags for each place but one, and the best
+        way in and out; if no stretch can gain, none is taken."""
+        t = self.trans
+        within = float(t[1:, 1:].max() - t[0, 0])
+        enter = max(float(t[0, 1:].max() - t[0, 0]), float(self.first[1:].max() - self.first[0]))
+        leave = max(0.0, float(t[1:, 0].max() - t[0, 0]))
         e = np.moveaxis(e, 0, 2)                                 # as it lies in memory
-        return (e[:, 1:].max(axis=1) - e[:, 0] + gain < 0).all(axis=0)
+        total = np.cumsum(e[:, 1:].max(axis=1) - e[:, 0] + np.float32(within), axis=0, dtype=np.float64)
+        before = np.minimum.accumulate(np.concatenate([np.zeros_like(total[:1]), total[:-1]]), axis=0)
+        return (total - before).max(axis=0) + enter + leave - within < -1e-3
 
     def decode(self, e: np.ndarray) -> np.ndarray:
         """Viterbi paths ``(n, t)``."""
