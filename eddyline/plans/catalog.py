@@ -19,12 +19,13 @@ from eddyline.functions.encode import (
 )
 from eddyline.operators import dedup as dedup_ops
 from eddyline.operators import joins, keyed, late, latency, sets, windows
-from eddyline.operators.filters import keep_types
+from eddyline.operators.filters import keep_equal, keep_types
 from eddyline.operators.windows import (
     sliding, sliding_panes, stats_agg, tumbling, with_event_time,
 )
 from eddyline.plans import inputs, views
 from eddyline.schema import EVENT_COLUMNS, SLIDING_SLIDE_DOCS, SLIDING_WINDOW_DOCS
+from eddyline.sources.files import table_stream
 from eddyline.streaming import stateful
 from eddyline.streaming.run import drain, drain_until_consumed
 
@@ -53,6 +54,21 @@ def passthrough_stream(spark, sf_dir):
                  name="passthrough")
 
 
+@register
+def parquet_table_stream(spark, sf_dir):
+    """The events table's own Parquet files as a stream of typed records,
+    filtered and appended: neither staged nor turned into JSON."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    raw = table_stream(spark, path, inputs.load_table(spark, sf_dir, "events").schema)
+    return drain(keep_types(inputs.driver_events(raw)), output_mode="append", name="parquet-table")
+
+
+@register
+def equality_filter(spark, sf_dir):
+    """Rows of one event type; the filter reaches the Parquet scan."""
+    return keep_equal(inputs.events(spark, sf_dir), "event_type", "purchase")
+
+
 # ── pattern 02: tumbling count ────────────────────────────────────────────
 def tumbling_count_plan(df: DataFrame) -> DataFrame:
     return tumbling(with_event_time(df))

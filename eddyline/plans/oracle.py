@@ -530,3 +530,10 @@ ORACLE.update({
     "sliding_avg_sql": SLIDING,
     "busiest_minute_sql": BUSIEST,
 })
+
+TYPED = f"WITH {EV} SELECT event_id, event_type, key, value, produced_at FROM ev WHERE event_type IN "
+
+ORACLE.update({
+    "parquet_table_stream": TYPED + "('click', 'purchase')",
+    "equality_filter": TYPED + "('purchase')",
+})
