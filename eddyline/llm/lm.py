@@ -3,8 +3,9 @@
 The model predicts a word's class from the two words before: the context
 words' vectors add up to a predicted vector, whose products with all output
 vectors, plus biases, are normalised over all classes.  The number of classes
-is the square root of the number of distinct training words, so the model
-grows with the corpus while its parameters still fit the driver.  Half of the
+is ``GROWTH`` times the cube root of the number of distinct training words, so
+the model grows with the corpus while its parameters still fit the driver and
+a token's normaliser stays affordable.  Half of the
 classes are the most frequent words, each its own class; in the other half,
 words share a class by their last ``TAIL`` bytes (hashed), and a word has its
 add-one share of its class's training count (a class's unknown words together
@@ -45,16 +46,17 @@ from pyspark.sql import types as T
 
 from eddyline.llm.common import Scratch, as_bytes, load_table, prepare, text_slices
 
-LEAST_CLASSES = 64
+LEAST_CLASSES, GROWTH = 64, 6
 TAIL = 3                        # bytes by which less frequent words share a class
 CONTEXT = 2
 DIM = 24
 NOISE = 32                      # noise classes of a batch
-BATCH = 2048
+BATCH = 4096
 ROUNDS = 1
 BLOCK = 16_000_000
 SLICE = 2_000_000
 NORMS = 2048                    # contexts normalised at a time
+TABLE = 1 << 22                 # pairs of context classes whose normalisers are kept
 PART = 4096                     # parameters in a row of the averaging
 END_WORD = b""                  # no word is empty
 
@@ -96,7 +98,7 @@ class Classes:
 
 def class_number(distinct: int) -> int:
     """Classes of a vocabulary of ``distinct`` words."""
-    return max(LEAST_CLASSES, math.isqrt(max(0, distinct - 1)) + 1)
+    return max(LEAST_CLASSES, math.ceil(GROWTH * max(0, distinct) ** (1 / 3)))
 
 
 def contexts(cls: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
@@ -111,7 +113,8 @@ def contexts(cls: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
 
 def _summed_rows(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places in ``at`` and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
+    # short integers sort by radix
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 65536 else at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[first], np.add.reduceat(rows[order], first, axis=0)
@@ -123,6 +126,7 @@ class LogBilinear:
     def __init__(self, unigram: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.unigram, n = unigram, len(unigram)
+        self.known = None                       # normalisers by pair of context classes
         self.inp = rng.normal(0, 0.1, (CONTEXT, n + 1, DIM)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
         self.bias = np.log(unigram).astype(np.float32)
@@ -156,8 +160,9 @@ class LogBilinear:
             o = self.out[cls]
             real = np.einsum("nd,nd->n", r, o) + self.bias[cls] - odds[cls]
             fake = r @ self.out[noise].T + self.bias[noise] - odds[noise]
-            g_real = 0.5 * np.tanh(0.5 * real) - 0.5
-            g_fake = 0.5 * np.tanh(0.5 * fake) + 0.5
+            # sigmoid(real) - 1 and sigmoid(fake); odds beyond e^60 are certain
+            g_real = -1 / (1 + np.exp(np.clip(real, -60, 60)))
+            g_fake = 1 / (1 + np.exp(np.clip(-fake, -60, 60)))
             gr = g_real[:, None] * o + g_fake @ self.out[noise]
             # a class may be met as data and as noise: one sum for each class
             at, g = _summed_rows(np.column_stack([np.concatenate([g_real[:, None] * r, g_fake.T @ r]),
@@ -179,18 +184,30 @@ class LogBilinear:
             p = pairs[:, lo:lo + NORMS]
             s = sum(self.inp[i][p[i]] for i in range(CONTEXT)) @ self.out.T
             s += self.bias
-            m = s.max(axis=1, keepdims=True)
-            s -= m
+            top = s.max(axis=1, keepdims=True) if s.max() > 60 else np.zeros((1, 1), s.dtype)
+            s -= top
             np.exp(s, out=s)
-            out[lo:lo + NORMS] = m[:, 0] + np.log(s.sum(axis=1, dtype=np.float64))
+            out[lo:lo + NORMS] = top[:, 0] + np.log(s.sum(axis=1, dtype=np.float64))
         return out
 
-    def log_probs(self, ctx: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Natural log of each token's class probability; a context that comes
-        again is normalised once."""
+    def _norms_of(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Normalisers, and the place of each token's among them.  A context
+        that comes again is normalised once: in the model's lifetime while a
+        table of all pairs has ``TABLE`` places at most, else in the batch."""
         width = len(self.unigram) + 1
-        key, back = np.unique(ctx[0] * width + ctx[1], return_inverse=True)
-        norms = self.log_norms(np.array([key // width, key % width]))
+        pair = ctx[0] * width + ctx[1]
+        if width * width > TABLE:
+            key, back = np.unique(pair, return_inverse=True)
+            return self.log_norms(np.array([key // width, key % width])), back
+        if self.known is None:
+            self.known = np.full(width * width, np.nan)
+        new = np.unique(pair[np.isnan(self.known[pair])])
+        self.known[new] = self.log_norms(np.array([new // width, new % width]))
+        return self.known, pair
+
+    def log_probs(self, ctx: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Natural log of each token's class probability."""
+        norms, back = self._norms_of(ctx)
         out = np.empty(len(cls))
         for lo in range(0, len(cls), 65536):
             s = slice(lo, lo + 65536)
