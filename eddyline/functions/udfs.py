@@ -3,7 +3,8 @@
 * :class:`Accumulator` — a custom aggregate with a partial step (``add`` before
   the shuffle, ``merge`` after it), by group or by sliding window.
 * :func:`avg_accumulator` — a custom aggregate as a grouped-aggregate pandas
-  UDF: create/add/merge/result of an average whose empty result is 0.0.
+  UDF: create/add/merge/result of an average whose empty result is 0.0;
+  :func:`sliding_average_blocks` aggregates many windows in one such call.
 * :func:`value_band` — a vectorised scalar pandas UDF usable in streams.
 * :func:`render_window_groups` — a window "process function": all rows of
   one ``(key, window)`` group handed to pandas at once.
@@ -44,6 +45,56 @@ def count_rows(values: pd.Series) -> int:
     return len(values)
 
 
+BLOCK_ROWS = 20_000          # rows that one call of a block aggregate gets, about
+BLOCK_SPAN_US = 3_600_000_000
+
+
+def sliding_average_blocks(df: DataFrame, keys: Sequence[str], value: str, duration: str, slide: str,
+                           time_col: str = "event_time", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """:func:`avg_accumulator` and :func:`count_rows` over sliding windows as
+    one grouped-aggregate pandas UDF whose group is a block of whole
+    ``(keys, window)`` groups: a call aggregates thousands of windows instead
+    of one.  A block holds the windows of some keys that start in the same
+    hours; a row goes once to each block with a window of its, which is hardly
+    ever more than one.  ``keys, window_start, window_end, avg_value,
+    event_count``; ``duration`` must be a multiple of ``slide``."""
+    keys = list(keys)
+    size_us, slide_us = duration_us(duration), duration_us(slide)
+    if size_us % slide_us:
+        raise ValueError("the window must be a multiple of the slide")
+    k, span = size_us // slide_us, max(BLOCK_SPAN_US, size_us) // slide_us      # in panes
+    rows = df.filter(F.col(time_col).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("_v"),
+        F.floor(F.unix_micros(time_col) / F.lit(slide_us)).cast("long").alias("_pane"))
+    spans = F.array_distinct(F.array(*[F.floor((F.col("_pane") - F.lit(b)) / F.lit(span)).cast("long") for b in (0, k - 1)]))
+    n_blocks = max(1, rows.count() // block_rows)
+    blocks = rows.withColumn("_span", F.explode(spans)).withColumn("_block", F.pmod(F.xxhash64(*keys, "_span"), F.lit(n_blocks)))
+    kinds = ", ".join(f"{c}: {df.schema[c].dataType.simpleString()}" for c in keys)
+
+    @F.pandas_udf(f"array<struct<{kinds}, pane: bigint, avg_value: double, event_count: bigint>>")
+    def averages(pane: pd.Series, of: pd.Series, values: pd.Series, *key: pd.Series) -> list:
+        codes = pd.MultiIndex.from_arrays([pd.factorize(c, use_na_sentinel=False)[0] for c in key])
+        who = pd.factorize(codes)[0]
+        first = pd.Series(range(len(who))).groupby(who).first()
+        one = pd.DataFrame({"who": who, "span": of.to_numpy(), "pane": pane.to_numpy(), "v": values.to_numpy()})
+        panes = one.groupby(["who", "span", "pane"], sort=False)["v"].agg(["sum", "count", "size"]).reset_index()
+        copies = pd.concat([panes.assign(pane=panes["pane"] - b) for b in range(k)], ignore_index=True)
+        copies = copies[copies["pane"] // span == copies["span"]]
+        g = copies.groupby(["who", "pane"], sort=False)[["sum", "count", "size"]].sum().reset_index()
+        avg = (g["sum"] / g["count"].where(g["count"] > 0)).fillna(0.0)        # 0.0 for a group without values
+        at = first.loc[g["who"]].to_numpy()
+        held = [c.astype(object).where(c.notna(), None).to_numpy()[at] for c in key]
+        names = [*keys, "pane", "avg_value", "event_count"]
+        return [dict(zip(names, r)) for r in zip(*held, g["pane"].tolist(), avg.tolist(), g["size"].astype("int64").tolist())]
+
+    out = blocks.groupBy("_block").agg(averages("_pane", "_span", "_v", *keys).alias("_w")).select(F.explode("_w").alias("_w"))
+    start = F.timestamp_micros(F.col("_w.pane") * F.lit(slide_us))
+    ntz = [start.cast("timestamp_ntz").alias("window_start"),
+           (start.cast("timestamp_ntz") + F.expr(f"INTERVAL {size_us} MICROSECONDS")).alias("window_end")]
+    return out.select(*[F.col(f"_w.{c}").alias(c) for c in keys], *ntz, F.col("_w.avg_value").alias("avg_value"),
+                      F.col("_w.event_count").alias("event_count"))
+
+
 def _render_frame(pdf: pd.DataFrame) -> pd.DataFrame:
     """Vectorised: one line per (key, window) group of a sorted frame."""
     g = pdf.groupby(["key", "ws", "we"], sort=False, dropna=False)["value"].mean().fillna(0.0)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from eddyline.operators.windows import (
@@ -79,3 +81,17 @@ def test_session_aggregate_kinds_merge_across_chunks(spark):
             "hi": ("max", "value"), "mean": ("avg", "value")}
     got = sorted((r.n, r.s, r.lo, r.hi, r.mean) for r in sessions(df, "1 day", aggs).collect())
     assert got == [(4, 14, 1, 7, 3.5)]
+
+
+@pytest.mark.parametrize("block_rows", [3, 10_000])
+def test_window_averages_by_blocks_equal_windows(spark, block_rows):
+    from eddyline.functions import udfs
+    df = spark.sql("SELECT if(id % 5 = 0, null, concat('u', id % 3)) AS key, if(id % 4 = 0, null, cast(id % 11 AS int)) AS value, "
+                   "if(id % 17 = 0, null, timestamp_seconds(1704067200 - 7200 + id * 97)) AS event_time FROM range(200)")
+    got = udfs.sliding_average_blocks(df, ["key"], "value", "5 minutes", "1 minute", block_rows=block_rows)
+    exp = df.groupBy("key", F.window("event_time", "5 minutes", "1 minute").alias("w")).agg(
+        F.coalesce(F.avg("value"), F.lit(0.0)).alias("a"), F.count("*").alias("n"))
+    exp = exp.select("key", F.col("w.start").cast("timestamp_ntz"), F.col("w.end").cast("timestamp_ntz"), "a", "n")
+    assert got.columns == ["key", "window_start", "window_end", "avg_value", "event_count"]
+    order = lambda rows: sorted((str(r[0]), *r[1:3], round(r[3], 9), r[4]) for r in rows)
+    assert order(got.collect()) == order(exp.collect())
