@@ -98,3 +98,30 @@ def test_allowed_lateness_folds_into_watermark(spark, sf_small):
     plan = with_event_time(s, delay="10 seconds", allowed_lateness="1 minute") \
         ._jdf.queryExecution().logical().toString()
     assert "EventTimeWatermark" in plan and "1 minutes 10 seconds" in plan
+
+
+class _BusyQuery:
+    """A query whose triggers take longer than their interval."""
+    recentProgress = [{"batchId": 0, "numInputRows": 7}]
+
+    def __init__(self):
+        self.polls, self.stopped = 0, False
+
+    def exception(self):
+        return None
+
+    @property
+    def status(self):
+        self.polls += 1
+        assert self.polls < 5, "waits for a pause that never comes"
+        return {"isTriggerActive": True}
+
+    def stop(self):
+        self.stopped = True
+
+
+def test_a_consumed_query_stops_though_a_trigger_is_active():
+    from eddyline.streaming.run import _wait_done
+    q = _BusyQuery()
+    _wait_done(q, 7, lambda: True, "busy", 5)
+    assert q.stopped and not q.polls
