@@ -118,6 +118,14 @@ def p99_rows(report: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return report.select(*group, "bucket_start", "p99").orderBy(*group, "bucket_start")
 
 
+def p99_list(report: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """``group, p99_list``: the p99s of every bucket with data, in bucket
+    order, comma-joined.  A number a bucket, so a run's text grows with its
+    time span, not with its events."""
+    return report.groupBy(*group).agg(F.expr(
+        "listagg(CAST(p99 AS STRING), ',') WITHIN GROUP (ORDER BY bucket_start)").alias("p99_list"))
+
+
 # ── mergeable quantile sketches ────────────────────────────────────────────
 SKETCH_K = 400               # rank error about 0.7 % of n, in 99 of 100 sketches
 RANK_ERROR = 0.02            # what the checks allow

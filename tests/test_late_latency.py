@@ -57,3 +57,20 @@ def test_split_late_outputs_partition_rows(spark):
     on_time, late_rows = late.split_late(df, window="1 minute")
     assert on_time.count() + late_rows.count() == 5
     assert sorted(r.arrival_seq for r in late_rows.collect()) == [2, 4]
+
+
+def test_summary_query_lists_every_bucket_p99(spark, tmp_path):
+    import duckdb
+
+    from eddyline.plans.catalog import QUERIES
+    from eddyline.plans.oracle import ORACLE
+    hours = [5, 0, 0, 2, 2, 11]                  # out of order, with empty hours
+    duckdb.sql("COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (h) HOUR AS ts, i AS user_id, 'view' AS event_type, "
+               f"1.0 AS value FROM (SELECT unnest({list(range(6))}) AS i, unnest({hours}) AS h)) "
+               f"TO '{tmp_path}/events.parquet' (FORMAT PARQUET)")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = duckdb.sql(ORACLE["latency_summary"])
+    got = QUERIES["latency_summary"](spark, str(tmp_path))
+    assert got.columns == want.columns == ["events", "buckets", "median_p99", "p99_list"]
+    row = tuple(got.first())
+    assert row == want.fetchall()[0] and len(row[3].split(",")) == row[1] == 4
