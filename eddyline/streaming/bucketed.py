@@ -199,3 +199,55 @@ class BucketSessions(BucketTimed):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.clear()
         yield from self._close(self.rows.get(), timerValues.getCurrentWatermarkInMs())
+
+
+class BucketInactivity(BucketTimed):
+    """As :class:`eddyline.streaming.processors.InactivityProcessor`: event
+    time keeps the times that the watermark has not yet left ``gap`` behind;
+    processing time keeps a key's newest time, due ``gap`` after its last batch."""
+    OUTPUT = P.InactivityProcessor.OUTPUT
+    STATE = _schema(key=pa.string(), ms=pa.int64(), due=pa.int64())
+
+    def __init__(self, gap_ms: int, processing_time: bool = False):
+        self.gap_ms, self.processing_time = gap_ms, processing_time
+
+    def _alerts(self, rows: pd.DataFrame):
+        if len(rows):
+            yield pd.DataFrame({"key": rows["key"].to_numpy(), "last_event_time": _instants(rows["ms"].to_numpy()),
+                                "alert_time": _instants(rows["due"].to_numpy())})
+
+    def _settle(self, rows: pd.DataFrame, now: int):
+        """Alert and drop what is due at ``now``: in event time, times whose next one is further off than the gap."""
+        done = (rows["due"] <= now).to_numpy()
+        quiet = done
+        if not self.processing_time and len(rows):
+            k = _codes(rows)
+            order = np.lexsort((rows["ms"].to_numpy(), k))
+            rows, done, k = rows.iloc[order], done[order], k[order]
+            t = rows["ms"].to_numpy()
+            quiet = done & np.r_[(k[1:] != k[:-1]) | (np.diff(t) > self.gap_ms), True]
+        rest = rows[~done]
+        self._store(rest, int(rest["due"].min()) if len(rest) else None)
+        yield from self._alerts(rows[quiet])
+
+    def handleInputRows(self, key, rows, timerValues):
+        held, new, seen = self.rows.get(), [], []
+        for frame in rows:
+            keys = _objects(frame["key"])
+            seen.append(keys.drop_duplicates())
+            timed = frame["event_time"].notna()
+            if timed.any():
+                ms = _ms(frame.loc[timed, "event_time"])
+                new.append(pd.DataFrame({"key": keys[timed], "ms": ms, "due": ms + self.gap_ms}).drop_duplicates())
+        times = _concat([held, *new]).drop_duplicates(["key", "ms"])
+        if not self.processing_time:
+            yield from self._settle(times, timerValues.getCurrentWatermarkInMs())
+            return
+        last = times.sort_values("ms", kind="stable").drop_duplicates("key", keep="last")
+        last.loc[_touched(last, pd.concat(seen)).index, "due"] = timerValues.getCurrentProcessingTimeInMs() + self.gap_ms
+        self._store(last, int(last["due"].min()) if len(last) else None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.timer.clear()
+        now = timerValues.getCurrentProcessingTimeInMs() if self.processing_time else timerValues.getCurrentWatermarkInMs()
+        yield from self._settle(self.rows.get(), now)
