@@ -139,6 +139,39 @@ class BucketFold(BucketProcessor):
         yield self.show(new)
 
 
+# ── initial state that expires ────────────────────────────────────────────
+class BucketSeededCount(BucketProcessor):
+    """As :class:`eddyline.streaming.processors.SeededCountProcessor`.  All
+    seeds are loaded by the first batch, so a bucket's expire together."""
+    OUTPUT = P.SeededCountProcessor.OUTPUT
+    SEEDS = _schema(key=pa.string(), seed=pa.int64())
+    COUNTS = _schema(key=pa.string(), start=pa.int64(), seen=pa.int64())
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle):
+        self.seeds = TableState(handle, "seeds", self.SEEDS, self.ttl_ms)
+        self.counts = TableState(handle, "counts", self.COUNTS)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        new = initialState[["key", "seed"]].assign(key=_objects(initialState["key"]))
+        self.seeds.put(by_key(_concat([self.seeds.get(), new]))["seed"].sum().reset_index())
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [by_key(f.assign(key=_objects(f["key"]))).size().reset_index(name="n") for f in rows]
+        if not parts:
+            return
+        new = by_key(_concat(parts))["n"].sum().reset_index()
+        held = self.counts.get()
+        out = new.merge(held, on="key", how="left").merge(self.seeds.get(), on="key", how="left")
+        start = out["start"].where(out["seen"].notna(), out["seed"]).fillna(0).astype("int64")
+        seen = out["n"] + out["seen"].fillna(0).astype("int64")
+        now = pd.DataFrame({"key": out["key"], "start": start, "seen": seen})
+        self.counts.put(_concat([held.drop(_touched(held, now["key"]).index), now]))
+        yield pd.DataFrame({"key": now["key"], "running_count": start + seen, "seen": seen})
+
+
 # ── timers: one a bucket, at its earliest time ────────────────────────────
 class BucketTimed(BucketProcessor):
     def init(self, handle):

@@ -119,3 +119,14 @@ def test_a_bucket_gives_what_its_keys_give(bucket, single, seed):
 def test_one_group_serves_many_keys(spark, sf_small):
     out = stateful.manual_sessions_stream(inputs.event_stream(spark, sf_small).withWatermark("event_time", "10 seconds"), "2 hours")
     assert B.BUCKET in out._jdf.queryExecution().logical().toString()
+
+
+def test_seeds_of_a_bucket():
+    proc = B.BucketSeededCount(1000)
+    proc.init(Handle())
+    for part in (["a", None], ["b", "c"]):
+        proc.handleInitialState((0,), pd.DataFrame({"key": part, "seed": 1000}), Clock(0))
+    out = list(proc.handleInputRows((0,), iter([pd.DataFrame({"key": ["a", "a", None]})]), Clock(0)))
+    proc.seeds.value.clear()                                  # expired
+    out += proc.handleInputRows((0,), iter([pd.DataFrame({"key": ["a", "b"]})]), Clock(0))
+    assert plain(out) == Counter({("a", 1002.0, 2.0): 1, ("null", 1001.0, 1.0): 1, ("a", 1003.0, 3.0): 1, ("b", 1.0, 1.0): 1})

@@ -125,3 +125,11 @@ def test_a_consumed_query_stops_though_a_trigger_is_active():
     q = _BusyQuery()
     _wait_done(q, 7, lambda: True, "busy", 5)
     assert q.stopped and not q.polls
+
+
+def test_two_parts_hold_the_rows_without_a_time(spark, tmp_path):
+    from eddyline.plans import catalog
+    spark.sql("SELECT id AS event_id, if(id = 1, null, timestamp_ntz'2024-01-01 00:00:00') AS ts, id AS user_id, 'view' AS event_type, "
+              "1D AS value FROM range(3)").write.parquet(f"{tmp_path}/events.parquet")
+    staged = drain(inputs.two_part_stream(spark, str(tmp_path), 0.5), name="staged")
+    assert staged.count() == catalog._input_rows(spark, str(tmp_path)) == 3
