@@ -139,6 +139,23 @@ class BucketFold(BucketProcessor):
         yield self.show(new)
 
 
+# ── value state: sum, max and count ───────────────────────────────────────
+class BucketTotals(BucketFold):
+    OUTPUT = P.FoldProcessor.OUTPUT
+    STATE = _schema(key=pa.string(), max_value=pa.float64(), sum_value=pa.int64(), event_count=pa.int64())
+
+    def part(self, frame):
+        v = frame["value"].astype("float64")      # 32-bit values: exact
+        one = pd.DataFrame({"key": frame["key"], "max_value": v, "sum_value": v.fillna(0).astype("int64"), "event_count": 1})
+        return self.merge(one)
+
+    def merge(self, rows):
+        return by_key(rows).agg({"max_value": "max", "sum_value": "sum", "event_count": "sum"}).reset_index()
+
+    def show(self, rows):
+        return rows.assign(max_value=rows["max_value"].astype("Int32"))
+
+
 # ── initial state that expires ────────────────────────────────────────────
 class BucketSeededCount(BucketProcessor):
     """As :class:`eddyline.streaming.processors.SeededCountProcessor`.  All

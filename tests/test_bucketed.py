@@ -98,6 +98,7 @@ CASES = [
     (B.BucketSessions(60_000), lambda: P.SessionProcessor(60_000)),
     (B.BucketInactivity(60_000), lambda: P.InactivityProcessor(60_000)),
     (B.BucketInactivity(300_000, True), lambda: P.InactivityProcessor(300_000, True)),
+    (B.BucketTotals(), P.FoldProcessor),
 ]
 
 
