@@ -156,6 +156,38 @@ class BucketTotals(BucketFold):
         return rows.assign(max_value=rows["max_value"].astype("Int32"))
 
 
+# ── several state variables: totals beside a map by event type ────────────
+class BucketProfile(BucketTotals):
+    """Value state (count, max value) plus map state (type → count by key)."""
+    OUTPUT = P.KeyProfileProcessor.OUTPUT
+    COUNTS = _schema(key=pa.string(), count=pa.int64())
+
+    def init(self, handle):
+        super().init(handle)
+        self.types = handle.getMapState("types", StructType([StructField("event_type", StringType())]), TABLE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        counts = []
+
+        def counted():
+            for frame in rows:
+                known = frame[frame["event_type"].notna()].assign(key=lambda f: _objects(f["key"]))
+                one = known.groupby(["key", "event_type"], sort=False, dropna=False).size()
+                counts.append(one.reset_index(name="count"))
+                yield frame
+
+        for totals in super().handleInputRows(key, counted(), timerValues):
+            for kind, new in _concat(counts).groupby("event_type", sort=False):
+                held = self.types.getValue((kind,))
+                both = _concat([*([from_bytes(held[0])] if held else []), new[["key", "count"]]])
+                self.types.updateValue((kind,), (to_bytes(by_key(both)["count"].sum().reset_index(), self.COUNTS),))
+            keys = [from_bytes(table[0])[["key"]] for table in self.types.values()]
+            n = by_key(pd.concat(keys)).size().reset_index(name="n_types") if keys else pd.DataFrame({"key": [], "n_types": []}, dtype=object)
+            out = totals.merge(n, on="key", how="left")
+            out["n_types"] = out["n_types"].fillna(0).astype("int64")
+            yield out[["key", "event_count", "max_value", "n_types"]]
+
+
 # ── initial state that expires ────────────────────────────────────────────
 class BucketSeededCount(BucketProcessor):
     """As :class:`eddyline.streaming.processors.SeededCountProcessor`.  All

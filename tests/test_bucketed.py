@@ -99,6 +99,7 @@ CASES = [
     (B.BucketInactivity(60_000), lambda: P.InactivityProcessor(60_000)),
     (B.BucketInactivity(300_000, True), lambda: P.InactivityProcessor(300_000, True)),
     (B.BucketTotals(), P.FoldProcessor),
+    (B.BucketProfile(), P.KeyProfileProcessor),
 ]
 
 
