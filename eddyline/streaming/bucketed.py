@@ -156,6 +156,38 @@ class BucketTotals(BucketFold):
         return rows.assign(max_value=rows["max_value"].astype("Int32"))
 
 
+# ── the last n items ──────────────────────────────────────────────────────
+class BucketRecent(BucketProcessor):
+    OUTPUT = P.RecentListProcessor.OUTPUT
+    STATE = _schema(key=pa.string(), at_us=pa.int64(), event_id=pa.string())
+
+    def __init__(self, n: int = 3):
+        self.n = n
+
+    def init(self, handle):
+        self.items = TableState(handle, "recent", self.STATE)
+
+    def _last(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return by_key(rows.sort_values(["at_us", "event_id"], kind="stable", na_position="first")).tail(self.n)
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept, seen = self.items.get(), []
+        for frame in rows:
+            frame = frame.assign(key=_objects(frame["key"]))
+            seen.append(frame[["key"]].drop_duplicates())
+            timed = frame[frame["event_time"].notna()]
+            if len(timed):
+                new = pd.DataFrame({"key": timed["key"], "at_us": _us(timed["event_time"]), "event_id": _objects(timed["event_id"])})
+                kept = self._last(_concat([kept, self._last(new)]))
+        self.items.put(kept)
+        recent: dict = {k: [] for k in pd.concat(seen)["key"].tolist()}
+        for k, e in zip(kept["key"].tolist(), _objects(kept["event_id"]).tolist()):
+            if k in recent:
+                recent[k].append(e)
+        yield pd.DataFrame({"key": list(recent), "recent": [",".join(e for e in r if e is not None) for r in recent.values()],
+                            "n_recent": [len(r) for r in recent.values()]})
+
+
 # ── several state variables: totals beside a map by event type ────────────
 class BucketProfile(BucketTotals):
     """Value state (count, max value) plus map state (type → count by key)."""

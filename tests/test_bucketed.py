@@ -100,6 +100,7 @@ CASES = [
     (B.BucketInactivity(300_000, True), lambda: P.InactivityProcessor(300_000, True)),
     (B.BucketTotals(), P.FoldProcessor),
     (B.BucketProfile(), P.KeyProfileProcessor),
+    (B.BucketRecent(3), lambda: P.RecentListProcessor(3)),
 ]
 
 
