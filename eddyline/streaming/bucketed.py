@@ -139,6 +139,33 @@ class BucketFold(BucketProcessor):
         yield self.show(new)
 
 
+# ── value state: running count and last event type ────────────────────────
+class BucketLastType(BucketFold):
+    """As :class:`eddyline.streaming.processors.LastTypeProcessor`: the type
+    of the row with the largest (time, id); rows without a time only count."""
+    OUTPUT = P.LastTypeProcessor.OUTPUT
+    STATE = _schema(key=pa.string(), running_count=pa.int64(), last_event_type=pa.string(),
+                    at_us=pa.int64(), event_id=pa.string())
+
+    def part(self, frame):
+        at = pd.Series(NEVER, index=frame.index)
+        timed = frame["event_time"].notna()
+        if timed.any():
+            at[timed] = _us(frame.loc[timed, "event_time"])
+        kind, eid = _objects(frame["event_type"].where(timed)), frame["event_id"].astype(object).fillna("").where(timed, "")
+        one = pd.DataFrame({"key": frame["key"], "running_count": 1, "last_event_type": kind, "at_us": at, "event_id": eid})
+        return self.merge(one[::-1])              # of equal (time, id) in a frame, the first
+
+    def merge(self, rows):
+        rows = rows.assign(key=_objects(rows["key"]))     # one null for drop_duplicates
+        counts = by_key(rows)["running_count"].sum().reset_index()
+        last = rows.sort_values(["at_us", "event_id"], kind="stable").drop_duplicates("key", keep="last")
+        return counts.merge(last.drop(columns="running_count"), on="key")[self.STATE.names]
+
+    def show(self, rows):
+        return rows[["key", "running_count", "last_event_type"]]
+
+
 # ── value state: sum, max and count ───────────────────────────────────────
 class BucketTotals(BucketFold):
     OUTPUT = P.FoldProcessor.OUTPUT

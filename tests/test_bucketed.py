@@ -101,6 +101,7 @@ CASES = [
     (B.BucketTotals(), P.FoldProcessor),
     (B.BucketProfile(), P.KeyProfileProcessor),
     (B.BucketRecent(3), lambda: P.RecentListProcessor(3)),
+    (B.BucketLastType(), P.LastTypeProcessor),
 ]
 
 
