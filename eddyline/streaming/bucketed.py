@@ -139,6 +139,21 @@ class BucketFold(BucketProcessor):
         yield self.show(new)
 
 
+# ── value state: running count ────────────────────────────────────────────
+class BucketCount(BucketFold):
+    OUTPUT = P.CountProcessor.OUTPUT
+    STATE = _schema(key=pa.string(), running_count=pa.int64())
+
+    def part(self, frame):
+        return by_key(frame).size().reset_index(name="running_count")
+
+    def merge(self, rows):
+        return by_key(rows)["running_count"].sum().reset_index()
+
+    def show(self, rows):
+        return rows[["key", "running_count"]]
+
+
 # ── value state: running count and last event type ────────────────────────
 class BucketLastType(BucketFold):
     """As :class:`eddyline.streaming.processors.LastTypeProcessor`: the type

@@ -102,6 +102,7 @@ CASES = [
     (B.BucketProfile(), P.KeyProfileProcessor),
     (B.BucketRecent(3), lambda: P.RecentListProcessor(3)),
     (B.BucketLastType(), P.LastTypeProcessor),
+    (B.BucketCount(), P.CountProcessor),
 ]
 
 
@@ -134,3 +135,12 @@ def test_seeds_of_a_bucket():
     proc.seeds.value.clear()                                  # expired
     out += proc.handleInputRows((0,), iter([pd.DataFrame({"key": ["a", "b"]})]), Clock(0))
     assert plain(out) == Counter({("a", 1002.0, 2.0): 1, ("null", 1001.0, 1.0): 1, ("a", 1003.0, 3.0): 1, ("b", 1.0, 1.0): 1})
+
+
+def test_counts_of_a_bucket_expire_by_key():
+    proc = B.BucketCount(ttl_ms=100)
+    proc.init(Handle())
+    got = []
+    for keys, now in ((["a", "b"], 0), (["a"], 60), (["a", "b"], 110), (["b", "a"], 210)):
+        got.append(plain(proc.handleInputRows((0,), iter([pd.DataFrame({"key": keys})]), Clock(now))))
+    assert got[2] == Counter({("a", 3.0): 1, ("b", 1.0): 1}) and got[3] == Counter({("a", 1.0): 1, ("b", 1.0): 1})
