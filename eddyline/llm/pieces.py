@@ -37,15 +37,17 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eddyline.llm.common import fresh, load_table, mix64, prepare, text_slices
+from eddyline.llm.common import bound_batches, fresh, load_table, mix64, prepare, text_ranges
 
 MARK = "▁"
 SEED = 20240607
-SLICE = 1_500_000       # characters held at once by a worker
+SLICE = 540_000         # characters held at once by a worker
+ROWS = 512              # lists decoded at once by a worker
 
 
 def default_model() -> str:
@@ -97,6 +99,7 @@ class Vocabulary:
         self.logw_byte = float(self.logw.min() - 1.0)
         self.node_id = np.array(node_id, dtype=np.int32)
         self.edges = np.array([(a, b, c) for (a, b), c in edges.items()], dtype=np.int32).reshape(-1, 3)
+        self.cut = cut
         self.chunk = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if cut else rf"{MARK}*[^{MARK}]+|{MARK}+")
         self._next = None
 
@@ -108,7 +111,23 @@ class Vocabulary:
         return self._next
 
     def chunks(self, text: str) -> list[str]:
-        return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not text:
+            return []
+        if not self.cut or MARK in text or "  " in text:
+            return self.chunk.findall(MARK + text.replace(" ", MARK))
+        out = []
+        for i, line in enumerate(text.split("\n")):         # the same, mostly without the expression
+            if i:
+                out.append("\n")
+            if line[:1] == " " or line[-1:] == " ":
+                out += self.chunk.findall((line if i else MARK + line).replace(" ", MARK))
+            elif line:
+                words = line.split(" ")
+                out.append(words[0] if i else MARK + words[0])
+                out += [MARK + w for w in words[1:]]
+            elif not i:
+                out.append(MARK)
+        return out
 
 
 class Lattice:
@@ -144,24 +163,23 @@ class Lattice:
             hit = pid >= 0
             at = alive[hit]
             found.append((depth, at, pid[hit]))
-            single[at[width[at] == depth]] = True
+            if depth <= 4:
+                single[at[width[at] == depth]] = True
         bare = head[~single[head]]
-        deg = np.zeros(len(buf) + 1, dtype=np.int64)
-        for _, at, _ in found:
-            deg[at] += 1
-        deg[bare] += 1
+        deg = np.bincount(np.concatenate([*(at for _, at, _ in found), bare]), minlength=len(buf) + 1)
         self.off = np.r_[0, np.cumsum(deg)][:-1]
         n = int(deg.sum())
-        self.src, self.dst = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        self.src = np.repeat(np.arange(len(buf) + 1, dtype=np.int32), deg)
+        self.dst = np.zeros(n, dtype=np.int32)
         self.pid = np.full(n, -1, dtype=np.int32)
         w = np.zeros(n)
         cursor = self.off.copy()
         for depth, at, pid in reversed(found):
             e = cursor[at]
-            self.src[e], self.dst[e], self.pid[e], w[e] = at, at + depth, pid, vocab.logw[pid]
+            self.dst[e], self.pid[e], w[e] = at + depth, pid, vocab.logw[pid]
             cursor[at] += 1
         e = cursor[bare]
-        self.src[e], self.dst[e], w[e] = bare, bare + width[bare], width[bare] * vocab.logw_byte
+        self.dst[e], w[e] = bare + width[bare], width[bare] * vocab.logw_byte
         # backward sums, from the words' ends: beta = log of the mass of all paths to the end
         beta = np.full(len(buf), -np.inf)
         beta[self.end] = 0.0
@@ -193,9 +211,12 @@ class Lattice:
         last = self.off[head] + deg[head] - 1
         self.cum[last] = np.inf
         self.deg = deg
-        only = deg[self.src] == 1 if n else np.zeros(0, bool)
+
+    def log_rest(self, e: np.ndarray) -> np.ndarray:
+        """Log-probability of the other edges from the places of ``e``."""
         with np.errstate(divide="ignore"):
-            self.log_rest = np.where(only, -np.inf, np.log(np.maximum(-np.expm1(np.minimum(self.logq, 0.0)), 1e-300)))
+            rest = np.log(np.maximum(-np.expm1(np.minimum(self.logq[e], 0.0)), 1e-300))
+        return np.where(self.deg[self.src[e]] == 1, -np.inf, rest)
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -329,9 +350,11 @@ class _Slice:
         start = np.cumsum(size) - size
         e = np.concatenate(full)
         logq = np.minimum(lat.logq[e], 0.0)
-        before = np.concatenate([np.r_[0.0, np.cumsum(logq[a:a + n])][:-1] if n else logq[:0]
-                                 for a, n in zip(start, size)])      # each text by itself
-        mass = before + lat.log_rest[e]
+        before = np.zeros(len(e))
+        for a, n in zip(start.tolist(), size.tolist()):              # each text by itself
+            if n > 1:
+                np.cumsum(logq[a:a + n - 1], out=before[a + 1:a + n])
+        mass = before + lat.log_rest(e)
         step = np.arange(len(e)) - np.repeat(start, size)
         mass[step < np.repeat(turns, size)] = -np.inf
         for j, d in enumerate(ds):
@@ -356,18 +379,27 @@ class _Slice:
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; a character outside the vocabulary gives its bytes."""
-        lat, pid = self.lat, self.lat.pid[edges] if len(edges) else np.zeros(0, np.int32)
+        return self.ids_of([edges])[0]
+
+    def ids_of(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of many paths end to end, and the number of each."""
+        count = np.array([len(p) for p in paths], dtype=np.int64)
+        if not count.sum():
+            return np.zeros(0, np.int32), count
+        lat, edges = self.lat, np.concatenate(paths)
+        pid = lat.pid[edges]
         bare = pid < 0
         if not bare.any():
-            return pid
+            return pid, count
         size = np.where(bare, lat.dst[edges] - lat.src[edges], 1)
-        off = np.cumsum(size) - size
-        out = np.zeros(int(size.sum()), dtype=np.int32)
+        end = np.r_[0, np.cumsum(size)]
+        off, cut = end[:-1], np.r_[0, np.cumsum(count)]
+        out = np.zeros(int(end[-1]), dtype=np.int32)
         out[off[~bare]] = pid[~bare]
         for j in range(4):
             b = bare & (size > j)
             out[off[b] + j] = self.vocab.byte_id[lat.buf[lat.src[edges[b]] + j]]
-        return out
+        return out, np.diff(end[cut])
 
 
 def log_inclusion(logp: float, threshold: float) -> float:
@@ -387,6 +419,7 @@ def sample_pieces(docs: DataFrame, k: int = 2, key_col: str = "doc_id", text_col
     segmentations of each row, best perturbed value first.  Added names that
     clash with a carried column get underscores."""
     carry = [key_col] if carry is None else carry
+    bound_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model()))
     src = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
                       F.xxhash64(F.lit(seed), F.col(f"`{key_col}`")).alias("_key"),
@@ -398,44 +431,63 @@ def sample_pieces(docs: DataFrame, k: int = 2, key_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("_text")
             keys = batch.column("_key").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in text_slices(texts, SLICE):
-                part = _Slice(vocab.value, texts[lo:hi], keys[lo:hi], k)
-                rows, ids, cols = [], [], ([], [], [], [], [])
+            for lo, hi in text_ranges(pc.utf8_length(texts).to_numpy(zero_copy_only=False), SLICE):
+                part = _Slice(vocab.value, texts.slice(lo, hi - lo).to_pylist(), keys[lo:hi], k)
+                rows, paths, cols = [], [], ([], [], [], [])
                 for d, found in enumerate(part.search()):
                     for r, (edges, logp, value, threshold) in enumerate(found):
-                        got = part.ids(edges)
                         rows.append(lo + d)
-                        ids.append(got)
-                        for c, v in zip(cols, (r + 1, len(got), logp, value, log_inclusion(logp, threshold))):
+                        paths.append(edges)
+                        for c, v in zip(cols, (r + 1, logp, value, log_inclusion(logp, threshold))):
                             c.append(v)
-                off = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(off, np.concatenate(ids).astype(np.int32))
-                kept = batch.take(pa.array(rows, pa.int64()))
+                ids, count = part.ids_of(paths)
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(count)].astype(np.int32), ids.astype(np.int32))
+                rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column(i) for i in range(len(carry))]
-                    + [pa.array(cols[0], pa.int32()), lists, pa.array(cols[1], pa.int64())]
-                    + [pa.array(c, pa.float64()) for c in cols[2:]], names=schema.names)
+                    [batch.column(i).take(rows) for i in range(len(carry))]
+                    + [pa.array(cols[0], pa.int32()), lists, pa.array(count, pa.int64())]
+                    + [pa.array(c, pa.float64()) for c in cols[1:]], names=schema.names)
 
     own = [fresh(n, carry) for n, _ in added]
     return src.mapInArrow(run, schema).toDF(*carry, *own)
 
 
+def _text(raw: bytes) -> str:
+    text = raw.decode("utf-8", "replace").replace(MARK, " ")
+    return text[1:] if text.startswith(" ") else text
+
+
 def decode_ids(pieces: list[bytes], ids) -> str:
     """Text of one list of piece ids."""
-    raw = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
-    return raw[1:] if raw.startswith(" ") else raw
+    return _text(b"".join([pieces[i] for i in ids]))
+
+
+def decode_lists(pieces: pa.Array, ids: pa.Array) -> pa.Array:
+    """Texts of many lists of piece ids, ``ROWS`` lists at a time; null for null."""
+    out = []
+    for lo in range(0, len(ids), ROWS):
+        part = ids.slice(lo, ROWS)
+        raw = pieces.take(part.flatten())                  # the lists' bytes, end to end
+        at = np.frombuffer(raw.buffers()[1], dtype=np.int32, count=len(raw) + 1, offset=4 * raw.offset)
+        data = raw.buffers()[2].to_pybytes() if raw.buffers()[2] is not None else b""
+        cut = at[np.r_[0, np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]].tolist()
+        out.append(pa.array([_text(data[a:b]) if there else None for a, b, there
+                             in zip(cut, cut[1:], part.is_valid().to_pylist())], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def decode_pieces(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded",
                   model_file: str | None = None) -> DataFrame:
     """``rows`` with the text of ``ids_col`` (null ids give null) in place of it."""
-    pieces = rows.sparkSession.sparkContext.broadcast(Vocabulary(model_file or default_model()).text)
+    bound_batches(rows.sparkSession)
+    pieces = rows.sparkSession.sparkContext.broadcast(
+        pa.array(Vocabulary(model_file or default_model()).text, pa.binary()))
 
-    @F.pandas_udf(T.StringType())
-    def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode_ids(pieces.value, x.tolist()))
+    @F.arrow_udf(T.StringType())
+    def text_of(ids: pa.Array) -> pa.Array:
+        return decode_lists(pieces.value, ids)
 
     return rows.withColumn(out_col, text_of(F.col(ids_col)))
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,37 @@ def test_samples_follow_the_row_key_alone(docs):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_batches_are_bounded_by_bytes(spark, vocab):
+    """Spark hands texts over in batches of about a megabyte, so neither side's
+    memory follows 10 000 rows a batch; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 26))
+    rows = [(i, "the cat sat on the mat " * 400) for i in range(600)] + [(600, None), (601, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = P.decode_pieces(P.sample_pieces(df, k=1, carry=["doc_id", "text"]))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes] * b.num_rows, pa.int64())], names=["n"])
+
+    assert got.filter("decoded <> coalesce(text, '')").count() == 0
+    most = df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert most < 1.2e6
+
+
+def test_many_paths_and_lists_as_one_by_one(vocab):
+    texts = ["", "the cat", " a  b\nc d \n\n e", "\n", "x ", "\U0001F600 \u4e00\u1234 tail", "a\nb", f"u{P.MARK}v"]
+    for t in texts:
+        assert vocab.chunks(t) == (vocab.chunk.findall(P.MARK + t.replace(" ", P.MARK)) if t else [])
+    part = P._Slice(vocab, texts, mix64(np.arange(len(texts), dtype=np.uint64)).view(np.int64), 2)
+    paths = [e for found in part.search() for e, *_ in found]
+    ids, count = part.ids_of(paths)
+    lists = [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+    assert lists == [part.ids(p).tolist() for p in paths]
+    lists.insert(3, None)
+    got = P.decode_lists(pa.array(vocab.text, pa.binary()), pa.array(lists * 300, pa.list_(pa.int32())).slice(2))
+    assert got.to_pylist() == ([None if x is None else P.decode_ids(vocab.text, x) for x in lists] * 300)[2:]
+
+
 def test_odd_rows_and_empty_table(odd, none):
     got = P.decode_pieces(P.sample_pieces(odd, k=2, carry=["doc_id", "text", "size"])).collect()
     empty = [r for r in got if not r.text]
