@@ -17,7 +17,8 @@ segmentations without replacement, by a perturbed A* search:
 
 All random numbers are hashes of (row key, sample, place), so results depend
 neither on partitions nor on batches.  No piece spans a word mark in its
-inside, so lattices are built once for each distinct word of a slice of text;
+inside, so lattices are built once for each distinct word of a slice of text,
+and those of words that a slice repeats are kept for the task's later slices;
 everything below is arrays over such a slice, whatever the text's length.
 
 ``decode_pieces`` turns ids back into text.  The round trip is exact but for a
@@ -33,9 +34,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,9 @@ MARK = "▁"
 SEED = 20240607
 SLICE = 540_000         # characters held at once by a worker
 ROWS = 512              # lists decoded at once by a worker
+KEEP = 1 << 20          # places of frequent words that a worker keeps for later slices
+NEAR = 64               # steps of a path looked at first
+SPREAD = 41.0           # Gumbels of 53-bit numbers between 0 and 1 are within -3.7 and 36.8
 
 
 def default_model() -> str:
@@ -101,6 +105,7 @@ class Vocabulary:
         self.edges = np.array([(a, b, c) for (a, b), c in edges.items()], dtype=np.int32).reshape(-1, 3)
         self.cut = cut
         self.chunk = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if cut else rf"{MARK}*[^{MARK}]+|{MARK}+")
+        self.size = np.array([len(t) for t in self.text], dtype=np.int32)
         self._next = None
 
     def next(self) -> np.ndarray:
@@ -110,40 +115,90 @@ class Vocabulary:
             self._next[self.edges[:, 0] * 256 + self.edges[:, 1]] = self.edges[:, 2]
         return self._next
 
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of many texts end to end, as UTF-8 bytes, and the place of each
+        text's first (one place more than texts): what ``chunk`` finds, by
+        comparing bytes."""
+        texts = texts.cast(pa.large_binary())
+        lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), b"", MARK.encode())
+        texts = pc.binary_join_element_wise(lead.cast(pa.large_binary()), pc.replace_substring(texts, " ", MARK),
+                                            pa.scalar(b"", pa.large_binary()))
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        if ends[0] == ends[-1]:
+            return pa.array([], pa.large_binary()), np.zeros(len(ends), dtype=np.int64)
+        raw = np.frombuffer(data, dtype=np.uint8)[:ends[-1]]
+        first = np.zeros(len(raw) + 1, dtype=bool)
+        mark = np.flatnonzero(raw[:-2] == 0xE2)
+        mark = mark[(raw[mark + 1] == 0x96) & (raw[mark + 2] == 0x81)]
+        first[mark[np.diff(mark, prepend=-9) != 3]] = True
+        if self.cut:
+            line = np.flatnonzero(raw == 10)
+            first[line] = first[line + 1] = True
+        first[ends] = True
+        cuts = np.flatnonzero(first)
+        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data])
+        return words, np.searchsorted(cuts, ends)
+
     def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not self.cut or MARK in text or "  " in text:
-            return self.chunk.findall(MARK + text.replace(" ", MARK))
-        out = []
-        for i, line in enumerate(text.split("\n")):         # the same, mostly without the expression
-            if i:
-                out.append("\n")
-            if line[:1] == " " or line[-1:] == " ":
-                out += self.chunk.findall((line if i else MARK + line).replace(" ", MARK))
-            elif line:
-                words = line.split(" ")
-                out.append(words[0] if i else MARK + words[0])
-                out += [MARK + w for w in words[1:]]
-            elif not i:
-                out.append(MARK)
-        return out
+        return [w.decode() for w in self.split(pa.array([text], pa.string()))[0].to_pylist()]
 
 
 class Lattice:
     """Edges of the lattices of many words, grouped by start position, longer
-    pieces first, with conditional log-probabilities."""
-
-    def __init__(self, vocab: Vocabulary, words: list[bytes]):
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        self.start = np.cumsum(size + 1) - (size + 1)
-        self.end = self.start + size
+    pieces first, with conditional log-probabilities.  Words that a slice has
+    more than once stay for the next slices, until they fill ``KEEP`` places;
+    the others' places are used again.  A word's edges depend on it alone."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.known: dict[bytes, int] = {}                      # kept words, and what they take
+        self.places = self.edges = 0
+        self.buf = np.zeros(0, dtype=np.uint8)                 # by place
+        self.off = self.deg = np.zeros(0, dtype=np.int32)
+        self.src = self.dst = self.pid = np.zeros(0, dtype=np.int32)     # by edge
+        self.logq = self.cum = np.zeros(0)
+
+    def add(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First places and ends of ``words``, until the next call; those
+        ``often`` stay."""
+        if self.places > KEEP:
+            self.known, self.places, self.edges = {}, 0, 0
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        words = words.to_numpy(zero_copy_only=False)
+        start = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            new = new[np.argsort(~often[new], kind="stable")]
+            own = words[new].tolist()
+            start[new] = self._build(own, size[new], self.places, self.edges)
+            stay = int(often[new].sum())
+            if stay:
+                self.known.update(zip(own[:stay], start[new[:stay]].tolist()))
+                end = start[new[stay - 1]] + size[new[stay - 1]] + 1
+                self.places = int(end)
+                self.edges = int(self.off[end - 1])            # an end has no edges
+        return start, start + size
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """``values`` into an array from ``at`` on; it grows and shrinks with what it holds."""
+        have, need = getattr(self, name), at + len(values)
+        if not need <= len(have) <= 4 * need:
+            setattr(self, name, np.empty(need + need // 4, dtype=have.dtype))
+            getattr(self, name)[:at] = have[:at]
+        getattr(self, name)[at:need] = values
+
+    def _build(self, words: list[bytes], size: np.ndarray, place: int, edge: int) -> np.ndarray:
+        """Lattices of ``words`` behind the kept places and edges; their first places."""
+        vocab = self.vocab
+        start = np.cumsum(size + 1) - (size + 1)
+        ends = start + size
         padded = np.frombuffer(b"\0".join(words) + b"\0" * (vocab.longest + 1), dtype=np.uint8)
-        self.buf = buf = padded[:int(self.end[-1]) + 1]
+        buf = padded[:int(ends[-1]) + 1]
         inside = np.ones(len(buf), dtype=bool)
-        inside[self.end] = False
+        inside[ends] = False
         head = np.flatnonzero(inside & ((buf & 0xC0) != 0x80))
-        remain = np.repeat(self.end, size + 1) - np.arange(len(buf))
+        remain = np.repeat(ends, size + 1) - np.arange(len(buf))
         after = np.r_[head[1:], len(buf)]
         step = np.minimum(after - head, remain[head])          # bytes of the character
         trie, node_id = vocab.next(), vocab.node_id
@@ -151,7 +206,7 @@ class Lattice:
         alive, state = head, np.zeros(len(head), dtype=np.int32)
         found = []                                             # by depth: starts and piece ids
         single = np.zeros(len(buf), dtype=bool)
-        width = np.zeros(len(buf), dtype=np.int64)
+        width = np.zeros(len(buf), dtype=np.int32)
         width[head] = step
         for depth in range(1, vocab.longest + 1):
             state = trie[state * 256 + padded[alive + (depth - 1)]].astype(np.int32)
@@ -160,57 +215,57 @@ class Lattice:
             if not len(alive):
                 break
             pid = node_id[state]
-            hit = pid >= 0
+            hit = np.flatnonzero(pid >= 0)
             at = alive[hit]
-            found.append((depth, at, pid[hit]))
+            found.append((at, pid[hit]))
             if depth <= 4:
                 single[at[width[at] == depth]] = True
         bare = head[~single[head]]
-        deg = np.bincount(np.concatenate([*(at for _, at, _ in found), bare]), minlength=len(buf) + 1)
-        self.off = np.r_[0, np.cumsum(deg)][:-1]
+        deg = np.bincount(np.concatenate([*(at for at, _ in found), bare]), minlength=len(buf)).astype(np.int32)
+        off = (np.cumsum(deg) - deg).astype(np.int32)
         n = int(deg.sum())
-        self.src = np.repeat(np.arange(len(buf) + 1, dtype=np.int32), deg)
-        self.dst = np.zeros(n, dtype=np.int32)
-        self.pid = np.full(n, -1, dtype=np.int32)
-        w = np.zeros(n)
-        cursor = self.off.copy()
-        for depth, at, pid in reversed(found):
+        src = np.repeat(np.arange(len(buf), dtype=np.int32), deg)
+        pid = np.full(n, -1, dtype=np.int32)
+        cursor = off.copy()
+        for at, found_id in reversed(found):
             e = cursor[at]
-            self.dst[e], self.pid[e], w[e] = at + depth, pid, vocab.logw[pid]
-            cursor[at] += 1
+            pid[e] = found_id
+            cursor[at] = e + 1
+        dst, w = src + vocab.size[pid], vocab.logw[pid]
         e = cursor[bare]
-        self.dst[e], w[e] = bare + width[bare], width[bare] * vocab.logw_byte
+        dst[e], w[e] = bare + width[bare], width[bare] * vocab.logw_byte
         # backward sums, from the words' ends: beta = log of the mass of all paths to the end
         beta = np.full(len(buf), -np.inf)
-        beta[self.end] = 0.0
-        left = remain[head]
+        beta[ends] = 0.0
+        many = head[np.argsort(-deg[head].astype(np.int16), kind="stable")]      # most edges first
+        left = remain[many]
         order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 65536 else left, kind="stable")
-        heads, left = head[order], left[order]
+        heads, left = many[order], left[order]
+        e, more = off[heads], deg[heads]
+        w0, dst0 = w[e], dst[e]
         bounds = np.r_[np.flatnonzero(np.r_[True, left[1:] != left[:-1]]), len(left)] if len(left) else [0]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            pos = heads[a:b]
-            e, more = self.off[pos], deg[pos]
-            acc = w[e] + beta[self.dst[e]]
-            j, act = 1, np.flatnonzero(more > 1)
-            while len(act):
-                ej = e[act] + j
-                acc[act] = np.logaddexp(acc[act], w[ej] + beta[self.dst[ej]])
-                j += 1
-                act = act[more[act] > j]
-            beta[pos] = acc
-        self.logq = w + beta[self.dst] - beta[self.src] if n else w
-        q = np.exp(np.minimum(self.logq, 0.0))
-        self.cum = q                                           # summed place by place, so that
-        act = head[deg[head] > 1]                              # rounding never depends on the slice
-        j = 1
-        while len(act):
-            e = self.off[act] + j
-            self.cum[e] += self.cum[e - 1]
-            j += 1
-            act = act[deg[act] > j]
-        last = self.off[head] + deg[head] - 1
-        self.cum[last] = np.inf
-        self.deg = deg
+            acc = w0[a:b] + beta[dst0[a:b]]
+            ej, less = e[a:b], -more[a:b]
+            for j in range(1, more[a]):
+                ej = ej[:np.searchsorted(less, -j)] + 1
+                acc[:len(ej)] = np.logaddexp(acc[:len(ej)], w[ej] + beta[dst[ej]])
+            beta[heads[a:b]] = acc
+        logq = w + beta[dst] - beta[src]
+        q = np.exp(np.minimum(logq, 0.0))
+        cum = q.copy()                                         # summed place by place, so that
+        e, less = off[many], -deg[many]                        # rounding never depends on the slice
+        acc = q[e]
+        for j in range(1, -less[0] if len(less) else 0):
+            e = e[:np.searchsorted(less, -j)] + 1
+            acc = acc[:len(e)] + q[e]
+            cum[e] = acc
+        cum[off[head] + deg[head] - 1] = np.inf
+        for name, values in (("buf", buf), ("off", off + edge), ("deg", deg)):
+            self._put(name, place, values)
+        for name, values in (("src", src + place), ("dst", dst + place), ("pid", pid), ("logq", logq), ("cum", cum)):
+            self._put(name, edge, values)
+        return start + place
 
     def log_rest(self, e: np.ndarray) -> np.ndarray:
         """Log-probability of the other edges from the places of ``e``."""
@@ -227,20 +282,21 @@ def _unit(h: np.ndarray) -> np.ndarray:
 def _draw(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One path from each ``pos`` to ``end``: edges of all paths end to end,
     and the number of edges of each."""
-    pos = pos.copy()
     rounds, count = [], np.zeros(len(pos), dtype=np.int64)
     act, it = np.flatnonzero(pos < end), 0
+    pos, end, key = pos[act], end[act], key[act]
     while len(act):
-        u = _unit(mix64(key[act] + np.uint64(it)))
-        e = lat.off[pos[act]]
+        u = _unit(mix64(key + np.uint64(it)))
+        e = lat.off[pos]
         lag = np.flatnonzero(u > lat.cum[e])
         while len(lag):
             e[lag] += 1
             lag = lag[u[lag] > lat.cum[e[lag]]]
         rounds.append((act, e))
         count[act] += 1
-        pos[act] = lat.dst[e]
-        act = act[pos[act] < end[act]]
+        pos = lat.dst[e]
+        go = np.flatnonzero(pos < end)
+        act, pos, end, key = act[go], pos[go], end[go], key[go]
         it += 1
     off = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), dtype=np.int64)
@@ -252,15 +308,15 @@ def _draw(lat: Lattice, pos: np.ndarray, end: np.ndarray, key: np.ndarray) -> tu
 class _Slice:
     """The search over the texts of one slice."""
 
-    def __init__(self, vocab: Vocabulary, texts: list[str], keys: np.ndarray, k: int):
-        parts = [vocab.chunks(t) for t in texts]
+    def __init__(self, vocab: Vocabulary, texts: pa.Array | list[str], keys: np.ndarray, k: int,
+                 lat: Lattice | None = None):
+        words, self.first = vocab.split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         self.k, self.vocab = k, vocab
-        self.n_words = np.array([len(p) for p in parts], dtype=np.int64)
-        self.first = np.r_[0, np.cumsum(self.n_words)]
-        flat = np.empty(int(self.first[-1]), dtype=object)
-        flat[:] = [w for p in parts for w in p]
-        self.word, kinds = pd.factorize(flat)
-        self.lat = Lattice(vocab, [w.encode("utf-8", "surrogatepass") for w in kinds]) if len(kinds) else None
+        self.n_words = np.diff(self.first)
+        words = words.dictionary_encode()
+        self.word = words.indices.to_numpy(zero_copy_only=False)
+        self.lat = Lattice(vocab) if lat is None else lat
+        self.start, self.end = self.lat.add(words.dictionary, np.bincount(self.word, minlength=1) > 1)
         self.keys = keys.view(np.uint64)
 
     def _key(self, doc, sample: int, kind: int):
@@ -273,7 +329,7 @@ class _Slice:
         out: list[list] = [[] for _ in range(n)]
         docs = np.arange(n)
         root = -np.log(-np.log(_unit(self._key(docs, 0, 0))))
-        if lat is None:
+        if not len(self.word):
             return [[(np.zeros(0, np.int64), 0.0, float(root[d]), -np.inf)] for d in range(n)]
         owner = np.repeat(docs, self.n_words)
         place = np.arange(len(self.word)) - np.repeat(self.first[:-1], self.n_words)
@@ -288,16 +344,16 @@ class _Slice:
             for d, edges, words, turn, _ in todo:
                 if turn < 0:
                     occ.append(np.arange(self.first[d], self.first[d + 1]))
-                    pos.append(lat.start[self.word[occ[-1]]])
+                    pos.append(self.start[self.word[occ[-1]]])
                 else:                                # go on behind the turn's edge, in its word
                     occ.append(np.arange(words[turn], self.first[d + 1]))
-                    p = lat.start[self.word[occ[-1]]]
+                    p = self.start[self.word[occ[-1]]]
                     p[0] = lat.dst[edges[turn]]
                     pos.append(p)
             occ_all = np.concatenate(occ)
-            ends = lat.end[self.word[occ_all]]
+            ends = self.end[self.word[occ_all]]
             with np.errstate(over="ignore"):
-                key = mix64(self._key(owner[occ_all], sample, 1) + place[occ_all].astype(np.uint64))
+                key = mix64(self._key(docs, sample, 1)[owner[occ_all]] + place[occ_all].astype(np.uint64))
             drawn, count = _draw(lat, np.concatenate(pos), ends, key)
             drawn_word = np.repeat(occ_all, count)
             cut = np.r_[0, np.cumsum(np.add.reduceat(np.r_[count, 0], np.r_[0, np.cumsum([len(o) for o in occ])][:-1])
@@ -354,28 +410,45 @@ class _Slice:
         for a, n in zip(start.tolist(), size.tolist()):              # each text by itself
             if n > 1:
                 np.cumsum(logq[a:a + n - 1], out=before[a + 1:a + n])
-        mass = before + lat.log_rest(e)
-        step = np.arange(len(e)) - np.repeat(start, size)
-        mass[step < np.repeat(turns, size)] = -np.inf
-        for j, d in enumerate(ds):
-            if turns[j] >= 0:
-                at = start[j] + turns[j]
-                p = lat.src[e[at]]
-                free = self._free(p, shut[d, sample, int(turns[j])])
-                rest = np.log(np.exp(lat.logq[free]).sum()) if len(free) else -np.inf
-                mass[at] = before[at] + rest
+        lo = np.maximum(turns, 0)
+        turned = np.flatnonzero(turns >= 0)
+        others = np.full(len(ds), -np.inf)
+        for j in turned:
+            free = self._free(lat.src[full[j][turns[j]]], shut[ds[j], sample, int(turns[j])])
+            if len(free):
+                others[j] = np.log(np.exp(lat.logq[free]).sum())
+
+        def masses(n):
+            """Of ``n`` subsets of each path, from its turn on; their steps; where each path's begin."""
+            cut = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(cut - lo, n)
+            at = step + np.repeat(start, n)
+            mass = before[at] + lat.log_rest(e[at])
+            mass[cut[turned]] = before[at[cut[turned]]] + others[turned]
+            return mass, step, cut
+
+        # Gumbels differ by less than SPREAD, and no mass is above ``before``, which never rises: behind
+        # the step where it is below the k-th largest mass less SPREAD, no subset is among the k best
+        near = np.minimum(size - lo, NEAR)
+        mass, _, cut = masses(near)
+        floor = np.full(len(ds), -np.inf)
+        for j, (a, n) in enumerate(zip(cut.tolist(), near.tolist())):
+            if n >= self.k:
+                floor[j] = np.partition(mass[a:a + n], n - self.k)[n - self.k] - SPREAD
+        above = np.r_[0, np.cumsum(before >= np.repeat(floor, size))]
+        n = above[start + size] - above[start] - lo
+        mass, step, cut = masses(n)
         with np.errstate(over="ignore", divide="ignore"):
-            h = mix64(np.repeat(self._key(ds, sample, 3), size) + step.astype(np.uint64))
+            h = mix64(np.repeat(self._key(ds, sample, 3), n) + step.astype(np.uint64))
             g = mass - np.log(-np.log(_unit(h)))
-            g = -np.logaddexp(-np.repeat(bounds, size), -g)
+            g = -np.logaddexp(-np.repeat(bounds, n), -g)
         for j, d in enumerate(ds):
-            seg = slice(start[j], start[j] + size[j])
-            out[d].append((full[j], float(logq[seg].sum()), float(bounds[j])))
-            own = g[seg]
+            out[d].append((full[j], float(logq[start[j]:start[j] + size[j]].sum()), float(bounds[j])))
+            own = g[cut[j]:cut[j] + n[j]]
             top = np.arange(len(own)) if len(own) <= self.k else np.argpartition(-own, self.k - 1)[:self.k]
             for t in top:
                 if own[t] > -np.inf:
-                    heapq.heappush(queue[d], (-float(own[t]), sample, int(t)))
+                    heapq.heappush(queue[d], (-float(own[t]), sample, int(t + lo[j])))
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; a character outside the vocabulary gives its bytes."""
@@ -388,17 +461,18 @@ class _Slice:
             return np.zeros(0, np.int32), count
         lat, edges = self.lat, np.concatenate(paths)
         pid = lat.pid[edges]
-        bare = pid < 0
-        if not bare.any():
+        bare = np.flatnonzero(pid < 0)
+        if not len(bare):
             return pid, count
-        size = np.where(bare, lat.dst[edges] - lat.src[edges], 1)
+        size, src = np.ones(len(pid), dtype=np.int64), lat.src[edges[bare]]
+        size[bare] = lat.dst[edges[bare]] - src
         end = np.r_[0, np.cumsum(size)]
         off, cut = end[:-1], np.r_[0, np.cumsum(count)]
         out = np.zeros(int(end[-1]), dtype=np.int32)
-        out[off[~bare]] = pid[~bare]
+        out[off] = pid
         for j in range(4):
-            b = bare & (size > j)
-            out[off[b] + j] = self.vocab.byte_id[lat.buf[lat.src[edges[b]] + j]]
+            b = np.flatnonzero(size[bare] > j)
+            out[off[bare[b]] + j] = self.vocab.byte_id[lat.buf[src[b] + j]]
         return out, np.diff(end[cut])
 
 
@@ -430,11 +504,12 @@ def sample_pieces(docs: DataFrame, k: int = 2, key_col: str = "doc_id", text_col
                           + [T.StructField(f"a{i}", t) for i, (_, t) in enumerate(added)])
 
     def run(batches):
+        lat = Lattice(vocab.value)
         for batch in batches:
             texts = batch.column("_text")
             keys = batch.column("_key").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in text_ranges(pc.utf8_length(texts).to_numpy(zero_copy_only=False), SLICE):
-                part = _Slice(vocab.value, texts.slice(lo, hi - lo).to_pylist(), keys[lo:hi], k)
+                part = _Slice(vocab.value, texts.slice(lo, hi - lo), keys[lo:hi], k, lat)
                 rows, paths, cols = [], [], ([], [], [], [])
                 for d, found in enumerate(part.search()):
                     for r, (edges, logp, value, threshold) in enumerate(found):
@@ -496,7 +571,7 @@ def op3_sentencepiece_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of every document, encoded, decoded and compared."""
     prepare(spark)
     docs = load_table(spark, sf_dir, "documents").withColumn(
-        "h", F.xxhash64(F.coalesce(F.translate("text", MARK, " "), F.lit(""))))
+        "h", F.xxhash64(F.coalesce(F.replace("text", F.lit(MARK), F.lit(" ")), F.lit(""))))
     got = sample_pieces(docs, k=2, carry=["doc_id", "h"])
     return decode_pieces(got).select(
         "doc_id", "rank", "n_pieces", "log_prob", "perturbed", "log_inclusion",

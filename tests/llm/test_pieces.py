@@ -119,3 +119,69 @@ def test_query_against_the_operator_and_the_weights(spark, docs, vocab):
             a, b = (sum(vocab.logw[i] for i in ids[d, k].ids) for k in (1, 2))
             assert abs((got[d, 1].log_prob - got[d, 2].log_prob) - (a - b)) < 1e-6 * max(1, abs(a))
             assert got[d, 1].perturbed >= got[d, 2].perturbed and got[d, 1].ids_hash != got[d, 2].ids_hash
+
+
+def _found(vocab, texts, k, lat=None, slices=1):
+    """Ids and numbers of all samples, the texts dealt over ``slices``."""
+    keys, out = mix64(np.arange(len(texts), dtype=np.uint64)).view(np.int64), []
+    for at in np.array_split(np.arange(len(texts)), slices):
+        part = P._Slice(vocab, pa.array([texts[i] for i in at], pa.string()), keys[at], k, lat)
+        out += [[(part.ids(e).tolist(), *x) for e, *x in found] for found in part.search()]
+    return out
+
+
+def _texts(n, words):
+    rng = np.random.default_rng(7)
+    kinds = ["".join(rng.choice(list("aeinrst\u00e9\u4e00"), rng.integers(1, 9))) for _ in range(words)]
+    return [" ".join(rng.choice(kinds, rng.integers(0, 400))) + "\n" * (i % 3) for i in range(n)]
+
+
+def test_words_of_earlier_slices_are_not_built_again(vocab, monkeypatch):
+    """Samples don't depend on what is kept, also where the kept words overflow."""
+    texts, built = _texts(60, 150), []
+    plain = _found(vocab, texts, 3)
+    build = P.Lattice._build
+
+    def counted(self, words, *more):
+        built.append(len(words))
+        return build(self, words, *more)
+
+    monkeypatch.setattr(P.Lattice, "_build", counted)
+    assert _found(vocab, texts, 3, P.Lattice(vocab), 6) == plain
+    assert sum(built[1:]) < built[0]                         # each slice has nearly all words
+    monkeypatch.setattr(P, "KEEP", 500)
+    assert _found(vocab, texts, 3, P.Lattice(vocab), 20) == plain
+
+
+def test_kept_lattices_shrink_after_a_long_text(vocab):
+    lat = P.Lattice(vocab)
+    _found(vocab, [" ".join(map(str, range(60_000)))], 1, lat)
+    _found(vocab, ["a short text"] * 2, 1, lat)
+    assert len(lat.buf) < 1000 and len(lat.cum) < 10_000
+
+
+def test_far_subsets_are_left_out_only_if_they_cannot_win(vocab, monkeypatch):
+    texts = [*_texts(40, 500), "z " * 300, "\u4e00" * 300, "", "\u4e00" * 200 + " the on" * 90]
+    short = _found(vocab, texts, 4)
+    drawn = []
+    mix = P.mix64
+    monkeypatch.setattr(P, "mix64", lambda x: drawn.append(len(x)) or mix(x))
+    assert _found(vocab, texts, 4) == short
+    few, drawn[:] = sum(drawn), []
+    monkeypatch.setattr(P, "SPREAD", np.inf)
+    assert _found(vocab, texts, 4) == short
+    assert few < sum(drawn)
+
+
+def test_words_by_bytes_are_those_of_the_expression(vocab):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(f"a\u00e9 \n{P.MARK}\u2580\x00"), rng.integers(0, 12))) for _ in range(3000)]
+    for cut in (True, False):
+        v = P.Vocabulary(P.default_model())
+        v.cut, v.chunk = cut, P.re.compile(v.chunk.pattern if cut else rf"{P.MARK}*[^{P.MARK}]+|{P.MARK}+")
+        words, first = v.split(pa.array(["x", *texts], pa.string()).slice(1))
+        words = [w.decode() for w in words.to_pylist()]
+        assert [words[a:b] for a, b in zip(first, first[1:])] == [
+            v.chunk.findall(P.MARK + t.replace(" ", P.MARK)) if t else [] for t in texts]
+    words, first = vocab.split(pa.array(["", ""]))
+    assert len(words) == 0 and first.tolist() == [0, 0, 0]
